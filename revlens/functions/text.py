@@ -99,11 +99,14 @@ def any_substring(low, keywords: list[str]) -> Column:
 
 
 def first_in_order(keywords: list[str], hits) -> Column:
-    """SRT-5: first keyword of ``keywords`` (list order) present in ``hits``; NULL if none."""
+    """SRT-5: first keyword of ``keywords`` (list order) present in ``hits``; NULL if none.
+
+    ``array_intersect`` keeps the order of its first argument. (No lambda that
+    refers to ``hits``: Catalyst may inline the producer of an outer column
+    into a lambda body, which would re-run it per element.)"""
     if not keywords:
         return F.lit(None).cast("string")
-    return F.get(F.filter(F.array(*[F.lit(k) for k in keywords]),
-                          lambda k: F.array_contains(col(hits), k)), 0)
+    return F.get(F.array_intersect(F.array(*[F.lit(k) for k in keywords]), col(hits)), 0)
 
 
 def mask_first(low, kw) -> Column:

@@ -46,12 +46,24 @@ def with_text_features(df: DataFrame, text_col: str = "reviews", keywords: list[
 
 
 def tag_structs(hits=HITS, lexicon="json") -> Column:
-    """TXT-4: ``array<struct<aspect, keyword>>`` -- one entry per matched keyword,
-    in lexicon order (aspect order, then keyword order)."""
+    """TXT-4: ``array<struct<aspect, keyword>>`` -- one entry per matched keyword
+    (list duplicates included), in lexicon order (aspect order, then keyword order).
+
+    Matched distinct keywords -> their entry positions (literal map) -> sorted ->
+    entries. Lambdas only touch literals, never an outer column."""
     lex = get_lexicon(lexicon)
-    entries = [F.struct(F.lit(a).alias("aspect"), F.lit(k).alias("keyword"))
-               for a, kws in lex.items() for k in kws]
-    return F.filter(F.array(*entries), lambda s: F.array_contains(T.col(hits), s["keyword"]))
+    entries = [(a, k) for a, kws in lex.items() for k in kws]
+    positions: dict[str, list[int]] = {}
+    for i, (_, k) in enumerate(entries):
+        positions.setdefault(k, []).append(i)
+    if not entries:
+        return F.array().cast("array<struct<aspect:string,keyword:string>>")
+    kw_order = list(positions)
+    pos_map = F.create_map(*[x for k in kw_order for x in (F.lit(k), F.array(*[F.lit(i) for i in positions[k]]))])
+    ent = F.array(*[F.struct(F.lit(a).alias("aspect"), F.lit(k).alias("keyword")) for a, k in entries])
+    matched = F.array_intersect(F.array(*[F.lit(k) for k in kw_order]), T.col(hits))
+    idx = F.array_sort(F.flatten(F.transform(matched, lambda k: F.element_at(pos_map, k))))
+    return F.transform(idx, lambda i: F.element_at(ent, i + 1))
 
 
 def tag_aspects(df: DataFrame, text_col: str = "reviews", lexicon="json") -> DataFrame:
