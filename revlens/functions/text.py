@@ -82,7 +82,9 @@ def keyword_hits(low, words, keywords: list[str]) -> Column:
         parts.append(F.array_intersect(F.array(*[F.lit(k) for k in single]), col(words)))
     if multi:
         low_c = col(low)
-        parts.append(F.filter(F.array(*[F.when(low_c.rlike(word_pattern(k)), F.lit(k)) for k in multi]),
+        # cheap substring test first; the look-around regex only on candidates
+        parts.append(F.filter(F.array(*[F.when(low_c.contains(k) & low_c.rlike(word_pattern(k)), F.lit(k))
+                                        for k in multi]),
                               lambda x: x.isNotNull()))
     if not parts:
         return F.array().cast("array<string>")

@@ -17,8 +17,11 @@ gated) and a ``sentiment`` map, the shape of the reference's ``/predict``.
 
 from __future__ import annotations
 
+import sys
+
 from typing import Callable, Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -27,6 +30,10 @@ from ..functions import text as T
 from ..functions.lexicons import ASPECTS, CONFIDENCE_THRESHOLD, SENTIMENT_LABELS
 from . import tagging
 
+# Functions here run inside Python workers; ship this module's code with the
+# task (pickled by value) so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Our default scorer weights: (aspect or '*', token, w_neg, w_neu, w_pos).
 # '*' rows apply to every aspect; aspect rows add to them.
 DEFAULT_WEIGHTS = [
@@ -187,24 +194,14 @@ def sentiment_map() -> Column:
     return F.create_map(*[x for a in ASPECTS for x in (F.lit(a), F.col(a))])
 
 
-def predict(reviews: DataFrame, scorer=None, text_col: str = "reviews", gate_lexicon="api",
-            keep_features: bool = False) -> DataFrame:
+def predict(reviews: DataFrame, scorer=None, text_col: str = "reviews", engine: str | None = None) -> DataFrame:
     """SCR-6: per review, six aspect labels and the ``sentiment`` map.
 
     Gate = substring match of the ``api`` lexicon on the lower-cased text;
     only gated aspects are scored. All narrow -- no shuffle."""
-    scorer = scorer or LinearScorer()
-    df = reviews if tagging.LOW in reviews.columns else reviews.withColumn(tagging.LOW, T.lower(text_col))
-    gates = tagging.gate_columns(tagging.LOW, gate_lexicon)
-    if isinstance(scorer, ModelScorer):
-        out = scorer.apply(df, gates, text_col)
-    else:
-        out = scorer.apply(df, gates)
-    out = out.withColumn("sentiment", sentiment_map())
-    if not keep_features:
-        out = out.drop(tagging.LOW, tagging.HITS, tagging.PRESENT,
-                       *[f"logits_{a}" for a in ASPECTS if f"logits_{a}" in out.columns])
-    return out
+    from ..plans.flow import score_reviews
+    out = score_reviews(reviews, scorer, text_col, keep_features=False, engine=engine)
+    return out.drop(*[f"logits_{a}" for a in ASPECTS if f"logits_{a}" in out.columns])
 
 
 def sentiment_long(scored: DataFrame, keys=("review_id",)) -> DataFrame:

@@ -1,9 +1,16 @@
 """Aspect gating, tagging and masking (TXT-1..7, JON-1/2/5, SRT-5).
 
 Everything here is a narrow projection: one pass over each review, no join, no
-shuffle. The lexicons are a few hundred literals compiled into the plan; the
-per-review work is linear in the text (tokenise once, hash-intersect with the
-keyword set, a handful of regexes for multi-token keywords).
+shuffle. Two engines find the keywords in the lower-cased text:
+
+* ``automaton`` (default when available) -- one Aho-Corasick pass per review
+  in an Arrow-batched pandas UDF (:mod:`.matcher`), giving the substring gates
+  and all whole-word hits at once;
+* ``jvm`` -- built-in expressions only: word tokens hash-intersected with the
+  keyword set, a ``contains`` chain per aspect for the gate, and a regex for
+  the few multi-token keywords.
+
+Both give the same ``_gate_mask`` and ``_hits`` columns.
 """
 
 from __future__ import annotations
@@ -14,35 +21,55 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import (ASPECTS, all_keywords, dedupe, get_lexicon,
                                   reduce_for_substring)
+from . import matcher
 
 LOW = "_low"
 WORDS = "_words"
 HITS = "_hits"
 PRESENT = "_present"
+GATE_MASK = "_gate_mask"
 
 
-def gate_columns(low=LOW, lexicon="api") -> dict[str, Column]:
-    """TXT-2 / JON-2: per aspect, does any keyword occur as a substring?
+def default_engine() -> str:
+    return "automaton" if matcher.automaton_available() else "jvm"
+
 
-    Uses the reduced lexicon (R1), which gives the same ``any``."""
+def gate_columns(low=LOW, lexicon="api") -> dict[str, Column]:
+    """TXT-2 / JON-2 with built-in expressions: per aspect, does any keyword
+    occur as a substring? Uses the reduced lexicon (R1), which gives the same ``any``."""
     lex = get_lexicon(lexicon)
     return {a: T.any_substring(low, reduce_for_substring(lex.get(a, []))) for a in ASPECTS}
 
 
+def gates_from_mask(mask=GATE_MASK) -> dict[str, Column]:
+    return {a: (T.col(mask).bitwiseAND(F.lit(1 << i)) != 0) for i, a in enumerate(ASPECTS)}
+
+
 def with_text_features(df: DataFrame, text_col: str = "reviews", keywords: list[str] | None = None,
-                       vocab: list[str] | None = None) -> DataFrame:
-    """Add the lower-cased text and the whole-word keyword hits (and, with
-    ``vocab``, the distinct vocabulary tokens present, for the linear scorer).
-
-    The text is split into word tokens once; the token array itself is not
-    kept, only the small hit arrays derived from it."""
-    kws = keywords if keywords is not None else all_keywords()
-    out = (df.withColumn(LOW, T.lower(text_col))
-             .withColumn(WORDS, T.word_tokens(LOW))
-             .withColumn(HITS, T.keyword_hits(LOW, WORDS, kws)))
+                       vocab: list[str] | None = None, gate_lexicon="api", engine: str | None = None) -> DataFrame:
+    """Add ``_low`` (lower-cased text), ``_gate_mask`` (substring gate per
+    aspect, bit i = ``ASPECTS[i]``), ``_hits`` (whole-word keyword hits) and,
+    with ``vocab``, ``_present`` (distinct vocabulary words, for the linear scorer)."""
+    engine = engine or default_engine()
+    kws = dedupe(list(keywords if keywords is not None else all_keywords()) + list(vocab or []))
+    lex = get_lexicon(gate_lexicon)
+    out = df.withColumn(LOW, T.lower(text_col))
+    if engine == "automaton":
+        gate_kws = [reduce_for_substring(lex.get(a, [])) for a in ASPECTS]
+        out = (out.withColumn("_scan", matcher.scan_column(F.col(LOW), gate_kws, kws))
+                  .withColumn(GATE_MASK, F.col("_scan.gate_mask"))
+                  .withColumn(HITS, F.col("_scan.hits")).drop("_scan"))
+    elif engine == "jvm":
+        gates = gate_columns(LOW, lex)
+        mask = sum(F.when(gates[a], F.lit(1 << i)).otherwise(F.lit(0)) for i, a in enumerate(ASPECTS))
+        out = (out.withColumn(WORDS, T.word_tokens(LOW))
+                  .withColumn(HITS, T.keyword_hits(LOW, WORDS, kws))
+                  .withColumn(GATE_MASK, mask).drop(WORDS))
+    else:
+        raise ValueError("engine must be 'automaton' or 'jvm'")
     if vocab is not None:
-        out = out.withColumn(PRESENT, F.array_intersect(F.array(*[F.lit(t) for t in vocab]), F.col(WORDS)))
-    return out.drop(WORDS)
+        out = out.withColumn(PRESENT, F.array_intersect(F.array(*[F.lit(t) for t in vocab]), F.col(HITS)))
+    return out
 
 
 def tag_structs(hits=HITS, lexicon="json") -> Column:
@@ -73,7 +100,7 @@ def tag_aspects(df: DataFrame, text_col: str = "reviews", lexicon="json") -> Dat
     out = with_text_features(df, text_col, kws).withColumn("_tags", tag_structs(HITS, lex))
     return (out.withColumn("Aspects", F.transform("_tags", lambda s: s["aspect"]))
                .withColumn("Matched Keywords", F.transform("_tags", lambda s: s["keyword"]))
-               .drop("_tags", LOW, HITS))
+               .drop("_tags", LOW, HITS, GATE_MASK))
 
 
 def distinct_aspects(hits=HITS, lexicon="json") -> Column:

@@ -29,18 +29,19 @@ def drop_null_reviews(reviews: DataFrame, text_col: str = "reviews") -> DataFram
     return reviews.where(F.col(text_col).isNotNull()).withColumn(text_col, F.col(text_col).cast("string"))
 
 
-def score_reviews(reviews: DataFrame, scorer=None, text_col: str = "reviews", keep_features: bool = True) -> DataFrame:
+def score_reviews(reviews: DataFrame, scorer=None, text_col: str = "reviews", keep_features: bool = True,
+                  engine: str | None = None) -> DataFrame:
     """Features + gate + scorer: six label columns, ``sentiment`` map, and (with
     ``keep_features``) ``_low`` / ``_hits`` for tagging and masking."""
     scorer = scorer or scoring.LinearScorer()
     vocab = scorer.vocab if isinstance(scorer, scoring.LinearScorer) and not scorer.max_tokens else None
-    feats = tagging.with_text_features(reviews, text_col, all_keywords(), vocab)
-    gates = tagging.gate_columns(tagging.LOW, "api")
+    feats = tagging.with_text_features(reviews, text_col, all_keywords(), vocab, engine=engine)
+    gates = tagging.gates_from_mask()
     if isinstance(scorer, scoring.ModelScorer):
         out = scorer.apply(feats, gates, text_col)
     else:
         out = scorer.apply(feats, gates)
-    out = out.withColumn("sentiment", scoring.sentiment_map())
+    out = out.withColumn("sentiment", scoring.sentiment_map()).drop(tagging.GATE_MASK)
     if not keep_features:
         out = out.drop(tagging.LOW, tagging.HITS)
     return out

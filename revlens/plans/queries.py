@@ -34,8 +34,8 @@ def _join_arr(c, sep="|"):
 # --- tagging / matching -----------------------------------------------------
 
 def q_aspect_gate_substring(spark, sf_dir):
-    df = _nn(spark, sf_dir).withColumn(tagging.LOW, T.lower("reviews"))
-    gates = tagging.gate_columns(tagging.LOW, "api")
+    df = tagging.with_text_features(_nn(spark, sf_dir), "reviews", keywords=[])
+    gates = tagging.gates_from_mask()
     return df.select("review_id", "batch", *[gates[a].alias(f"g_{a}") for a in ASPECTS])
 
 

@@ -6,12 +6,15 @@ columns pass through. All columns are read as strings.
 
 from __future__ import annotations
 
+import sys
+
 import io
 import json
 import re
 import zipfile
 from xml.etree import ElementTree as ET
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -19,6 +22,10 @@ from pyspark.sql import types as Ty
 from ..functions import text as T
 from ..functions.lexicons import NA_TOKENS, get_lexicon, lexicon_rows
 
+# Functions here run inside Python workers; ship this module's code with the
+# task (pickled by value) so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REQUIRED = "Reviews"
 
 
