@@ -62,6 +62,16 @@ def review_token_stats(reviews: DataFrame, text_col: str = "reviews", keys=("bat
                         .otherwise(F.lit(0.0))))
 
 
+def set_groups(stats: DataFrame, batch: str = "batch") -> DataFrame:
+    """Reviews grouped by identical token set: ``batch, n_distinct, m`` (how
+    many reviews share the set) and ``ttr_sum``. Sets are keyed by an md5
+    digest of the sorted set. This one aggregate feeds the mean TTR and both
+    Jaccard bounds, so the text is tokenised once."""
+    key = F.md5(F.array_join(F.array_sort("token_set"), " "))
+    return (stats.groupBy(batch, key.alias("_set"), "n_distinct")
+            .agg(F.count(F.lit(1)).alias("m"), F.sum("ttr").alias("ttr_sum")))
+
+
 def batch_ttr(stats: DataFrame, batch: str = "batch") -> DataFrame:
     """AGG-2: reviews per batch and mean TTR rounded to 3 (0 for no reviews)."""
     return stats.groupBy(batch).agg(F.count(F.lit(1)).alias("n"),
@@ -72,26 +82,31 @@ def _pairs(n):
     return n * (n - F.lit(1)) / F.lit(2)
 
 
-def jaccard_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
-    """Exact lower / upper bounds of the mean pairwise Jaccard per batch."""
-    # Lower bound: identical non-empty sets.
-    same = (stats.where(F.col("n_distinct") > 0)
-            .groupBy(batch, F.md5(F.array_join(F.array_sort("token_set"), " ")).alias("_set"))
-            .agg(F.count(F.lit(1)).alias("m"))
-            .groupBy(batch).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("lo_num")))
+def _bounds_from_sets(sets: DataFrame, batch: str) -> DataFrame:
+    # Lower bound: identical non-empty sets. (Empty sets are zeroed by a
+    # condition, not a filter: Catalyst would push a filter on the derived size,
+    # with the whole tokenisation, below the input exchange.)
+    lo = sets.groupBy(batch).agg(
+        F.sum(F.when(F.col("n_distinct") > 0, F.col("m") * (F.col("m") - 1) / 2).otherwise(F.lit(0.0)))
+        .alias("lo_num"),
+        F.sum("m").alias("n"), F.sum("ttr_sum").alias("ttr_sum"))
     # Upper bound: histogram of set sizes, pairs weighted min/max.
-    hist = stats.groupBy(batch, "n_distinct").agg(F.count(F.lit(1)).alias("c"))
+    hist = sets.groupBy(batch, "n_distinct").agg(F.sum("m").alias("c"))
     w = Window.partitionBy(batch).orderBy("n_distinct").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_below", F.coalesce(F.sum(F.col("c") * F.col("n_distinct")).over(w), F.lit(0)))
     d = F.col("n_distinct")
     contrib = F.when(d > 0, F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * F.col("_below") / d).otherwise(F.lit(0.0))
-    hi = hist.groupBy(batch).agg(F.sum(contrib).alias("hi_num"), F.sum("c").alias("n"))
-    out = hi.join(same, batch, "left")
+    hi = hist.groupBy(batch).agg(F.sum(contrib).alias("hi_num"))
     pairs = _pairs(F.col("n"))
-    return out.select(batch, "n",
-                      F.when(pairs > 0, F.coalesce(F.col("lo_num"), F.lit(0.0)) / pairs).otherwise(F.lit(0.0))
-                      .alias("jaccard_lo"),
-                      F.when(pairs > 0, F.col("hi_num") / pairs).otherwise(F.lit(0.0)).alias("jaccard_hi"))
+    return lo.join(hi, batch).select(
+        batch, "n", "ttr_sum",
+        F.when(pairs > 0, F.col("lo_num") / pairs).otherwise(F.lit(0.0)).alias("jaccard_lo"),
+        F.when(pairs > 0, F.col("hi_num") / pairs).otherwise(F.lit(0.0)).alias("jaccard_hi"))
+
+
+def jaccard_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
+    """Exact lower / upper bounds of the mean pairwise Jaccard per batch."""
+    return _bounds_from_sets(set_groups(stats, batch), batch).drop("ttr_sum")
 
 
 def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch",
@@ -99,21 +114,29 @@ def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, b
     """Per review: ``mh_0 .. mh_{K-1}`` min-hashes of the distinct token set
     (reviews with no tokens produce no row)."""
     params = hash_params(num_hashes)
-    post = (stats.select(batch, key, F.explode("token_set").alias("tok"))
+    # explode_outer + an explicit filter above the generator: a plain explode
+    # makes Catalyst infer ``size(token_set) > 0`` and push it, tokenisation
+    # included, below the input exchange into the scan task.
+    post = (stats.select(batch, key, F.explode_outer("token_set").alias("tok"))
+            .where(F.col("tok").isNotNull())
             .select(batch, key, (token_hash32("tok") % F.lit(MERSENNE_31)).alias("x")))
     aggs = [F.min((F.lit(a) * F.col("x") + F.lit(b)) % F.lit(MERSENNE_31)).alias(f"mh_{i}")
             for i, (a, b) in enumerate(params)]
     return post.groupBy(batch, key).agg(*aggs)
 
 
-def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:
-    """AGG-4b: MinHash estimate of the mean pairwise Jaccard per batch
-    (``jaccard_est``, unrounded) with the batch size ``n``."""
-    sig = minhash_signatures(stats, num_hashes, batch)
+def _collisions(sig: DataFrame, num_hashes: int, batch: str = "batch") -> DataFrame:
+    """Σ_k Σ_buckets C(c,2): pairs of reviews whose min-hash agrees, summed over hashes."""
     stacked = sig.select(batch, F.posexplode(F.array(*[F.col(f"mh_{i}") for i in range(num_hashes)]))
                          .alias("k", "mh"))
-    coll = (stacked.groupBy(batch, "k", "mh").agg(F.count(F.lit(1)).alias("c"))
+    return (stacked.groupBy(batch, "k", "mh").agg(F.count(F.lit(1)).alias("c"))
             .groupBy(batch).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("coll")))
+
+
+def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:
+    """AGG-4b: MinHash estimate of the mean pairwise Jaccard per batch
+    (``jaccard_est``, unrounded) with the batch size ``n``."""
+    coll = _collisions(minhash_signatures(stats, num_hashes, batch), num_hashes, batch)
     n = stats.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
     pairs = _pairs(F.col("n"))
     return (n.join(coll, batch, "left")
@@ -129,11 +152,11 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
 
     ``estimate='all'`` computes the MinHash estimate for every batch (for
     reporting); ``'undecided'`` only for batches the exact bounds leave open
-    (``avg_jaccard`` is then NULL elsewhere) -- the cheap production path."""
+    (``avg_jaccard`` is then NULL elsewhere) -- the cheap production path: the
+    reviews of decided batches are never tokenised a second time."""
     stats = review_token_stats(reviews, text_col, keys=(batch, "review_id"))
-    ttr = batch_ttr(stats, batch)
-    bounds = jaccard_bounds(stats, batch).drop("n")
-    base = ttr.join(bounds, batch)
+    base = _bounds_from_sets(set_groups(stats, batch), batch)
+    base = base.withColumn("avg_ttr", F.coalesce(F.round(F.col("ttr_sum") / F.col("n"), 3), F.lit(0.0)))
     lo3, hi3 = F.round("jaccard_lo", 3), F.round("jaccard_hi", 3)
     ttr_ok = F.col("avg_ttr") <= F.lit(ttr_threshold)
     base = base.withColumn(
@@ -142,14 +165,18 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
         .when(hi3 < F.lit(jaccard_threshold), F.lit("upper_bound")).otherwise(F.lit("estimate")))
     if estimate == "undecided":
         open_batches = base.where(F.col("decided_by") == "estimate").select(batch)
-        est_in = stats.join(open_batches, batch, "left_semi")
+        est_in = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col, keys=(batch, "review_id"))
     elif estimate == "all":
         est_in = stats
     else:
         raise ValueError("estimate must be 'all' or 'undecided'")
-    est = jaccard_estimate(est_in, num_hashes, batch).drop("n")
-    out = base.join(est, batch, "left")
-    clamped = F.least(F.greatest(F.col("jaccard_est"), F.col("jaccard_lo")), F.col("jaccard_hi"))
+    coll = _collisions(minhash_signatures(est_in, num_hashes, batch), num_hashes, batch)
+    out = base.join(coll, batch, "left")
+    pairs = _pairs(F.col("n"))
+    est = F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes)).otherwise(F.lit(0.0))
+    if estimate == "undecided":
+        est = F.when(F.col("decided_by") == "estimate", est)
+    clamped = F.least(F.greatest(est, F.col("jaccard_lo")), F.col("jaccard_hi"))
     out = out.withColumn("avg_jaccard", F.round(clamped, 3))
     is_spam = (F.when(F.col("decided_by") == "ttr", F.lit(False))
                .when(F.col("decided_by") == "lower_bound", F.lit(True))

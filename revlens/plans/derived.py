@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Our own short review templates. They cover every aspect, positive, negative
 # and neutral wording, multi-word and hyphenated keywords, accents,
 # substring-only hits and a review with no hit at all.
@@ -101,4 +103,4 @@ def reviews_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit(SPAM_TEXT),
                              F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(" "), F.col("source")))
                              .otherwise(F.lit(""))).alias("reviews")))
-    return base.unionByName(spam)
+    return spread(base.unionByName(spam), "review_id")

@@ -58,3 +58,18 @@ def staging_path(spark: SparkSession, name: str) -> str:
     """A location for a written (lineage-cutting) table under the checkpoint folder."""
     base = checkpoint_dir(spark)
     return base.rstrip("/") + "/staging/" + name + "-" + os.urandom(6).hex()
+
+
+def spread(df, key: str | None = None, min_partitions: int | None = None):
+    """Give CPU-heavy per-row work enough tasks.
+
+    A scan yields one task per file split; a small input (one parquet row
+    group) would leave all text work on one core. Only when the scan has fewer
+    partitions than the cluster's parallelism, hash-partition by ``key``
+    (deterministic on task retry, no sort needed). Large inputs are already
+    split into many tasks and pass through untouched -- no shuffle."""
+    spark = df.sparkSession
+    target = min_partitions or 2 * spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
