@@ -48,7 +48,9 @@ def read_review_payloads(spark: SparkSession, path: str, multi_line: bool = True
     ``strict`` mirrors the API variant's error for an empty payload."""
     raw = (spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", multi_line).json(path)
            .withColumn("hospital_name", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1)))
-    raw = raw.withColumn("hospital_name", F.url_decode("hospital_name"))
+    # input_file_name() is a URI: decode once for the file name, once more for
+    # the hospital name, which is stored percent-encoded (PRJ-12 key).
+    raw = raw.withColumn("hospital_name", F.url_decode(F.url_decode("hospital_name")))
     out = explode_payload(raw.select("hospital_name", F.struct("data").alias("payload")), "payload", api_variant)
     if strict and out.isEmpty():
         raise LookupError("No data found.")
