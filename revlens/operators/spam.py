@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import JACCARD_THRESHOLD, TTR_THRESHOLD
+from ..session import materialize
 
 MERSENNE_31 = (1 << 31) - 1
 DEFAULT_NUM_HASHES = 64
@@ -82,23 +83,29 @@ def _pairs(n):
     return n * (n - F.lit(1)) / F.lit(2)
 
 
-def _bounds_from_sets(sets: DataFrame, batch: str) -> DataFrame:
-    # Lower bound: identical non-empty sets. (Empty sets are zeroed by a
-    # condition, not a filter: Catalyst would push a filter on the derived size,
-    # with the whole tokenisation, below the input exchange.)
-    lo = sets.groupBy(batch).agg(
-        F.sum(F.when(F.col("n_distinct") > 0, F.col("m") * (F.col("m") - 1) / 2).otherwise(F.lit(0.0)))
-        .alias("lo_num"),
-        F.sum("m").alias("n"), F.sum("ttr_sum").alias("ttr_sum"))
-    # Upper bound: histogram of set sizes, pairs weighted min/max.
-    hist = sets.groupBy(batch, "n_distinct").agg(F.sum("m").alias("c"))
-    w = Window.partitionBy(batch).orderBy("n_distinct").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_below", F.coalesce(F.sum(F.col("c") * F.col("n_distinct")).over(w), F.lit(0)))
+def batch_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
+    """Per batch: ``n``, ``ttr_sum``, ``jaccard_lo``, ``jaccard_hi`` in one chain
+    of aggregates (no join): identical sets -> histogram of set sizes -> batch.
+
+    Lower bound: pairs of identical non-empty sets (J = 1); each histogram row
+    carries the Σ C(m,2) of its sets. Upper bound: J(A,B) <= |B|/|A| for
+    |B| <= |A|, summed over the size histogram with a running sum; the window
+    runs over the distinct sizes of a batch (at most the longest review's
+    token count), never over its reviews. (Empty sets are zeroed by a
+    condition, not a filter: Catalyst would push a filter on the derived size,
+    with the whole tokenisation, below the input exchange.)"""
     d = F.col("n_distinct")
+    hist = set_groups(stats, batch).groupBy(batch, "n_distinct").agg(
+        F.sum("m").alias("c"),
+        F.sum(F.when(d > 0, F.col("m") * (F.col("m") - 1) / 2).otherwise(F.lit(0.0))).alias("lo_part"),
+        F.sum("ttr_sum").alias("ttr_sum"))
+    w = Window.partitionBy(batch).orderBy("n_distinct").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_below", F.coalesce(F.sum(F.col("c") * d).over(w), F.lit(0)))
     contrib = F.when(d > 0, F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * F.col("_below") / d).otherwise(F.lit(0.0))
-    hi = hist.groupBy(batch).agg(F.sum(contrib).alias("hi_num"))
+    agg = hist.groupBy(batch).agg(F.sum("c").alias("n"), F.sum("ttr_sum").alias("ttr_sum"),
+                                  F.sum("lo_part").alias("lo_num"), F.sum(contrib).alias("hi_num"))
     pairs = _pairs(F.col("n"))
-    return lo.join(hi, batch).select(
+    return agg.select(
         batch, "n", "ttr_sum",
         F.when(pairs > 0, F.col("lo_num") / pairs).otherwise(F.lit(0.0)).alias("jaccard_lo"),
         F.when(pairs > 0, F.col("hi_num") / pairs).otherwise(F.lit(0.0)).alias("jaccard_hi"))
@@ -106,7 +113,7 @@ def _bounds_from_sets(sets: DataFrame, batch: str) -> DataFrame:
 
 def jaccard_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
     """Exact lower / upper bounds of the mean pairwise Jaccard per batch."""
-    return _bounds_from_sets(set_groups(stats, batch), batch).drop("ttr_sum")
+    return batch_bounds(stats, batch).drop("ttr_sum")
 
 
 def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch",
@@ -144,39 +151,70 @@ def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, bat
                     .otherwise(F.lit(0.0)).alias("jaccard_est")))
 
 
-def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch",
-              ttr_threshold: float = TTR_THRESHOLD, jaccard_threshold: float = JACCARD_THRESHOLD,
-              num_hashes: int = DEFAULT_NUM_HASHES, estimate: str = "all") -> DataFrame:
-    """AGG-5: one row per batch -- ``n, avg_ttr, avg_jaccard, jaccard_lo,
-    jaccard_hi, is_spam, decided_by``.
+# Largest key set shipped to every task as a broadcast (the flagged / open
+# batch lists are sized with a job before the join is chosen); beyond it the
+# join shuffles and AQE splits a hot batch.
+MAX_BROADCAST_BYTES = 64 << 20
 
-    ``estimate='all'`` computes the MinHash estimate for every batch (for
-    reporting); ``'undecided'`` only for batches the exact bounds leave open
-    (``avg_jaccard`` is then NULL elsewhere) -- the cheap production path: the
-    reviews of decided batches are never tokenised a second time."""
-    stats = review_token_stats(reviews, text_col, keys=(batch, "review_id"))
-    base = _bounds_from_sets(set_groups(stats, batch), batch)
+
+def _broadcast_if_small(keys: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """``(keys or broadcast(keys), row count)`` for a materialised key list:
+    broadcast only when its measured size is within MAX_BROADCAST_BYTES."""
+    row = keys.agg(F.count(F.lit(1)).alias("n"),
+                   F.coalesce(F.sum(F.octet_length(col) + F.lit(16)), F.lit(0)).alias("bytes")).collect()[0]
+    if row["bytes"] <= MAX_BROADCAST_BYTES:
+        return F.broadcast(keys), row["n"]
+    return keys, row["n"]
+
+
+def _decide(base: DataFrame, ttr_threshold: float, jaccard_threshold: float) -> DataFrame:
     base = base.withColumn("avg_ttr", F.coalesce(F.round(F.col("ttr_sum") / F.col("n"), 3), F.lit(0.0)))
     lo3, hi3 = F.round("jaccard_lo", 3), F.round("jaccard_hi", 3)
     ttr_ok = F.col("avg_ttr") <= F.lit(ttr_threshold)
-    base = base.withColumn(
+    return base.withColumn(
         "decided_by",
         F.when(~ttr_ok, F.lit("ttr")).when(lo3 >= F.lit(jaccard_threshold), F.lit("lower_bound"))
         .when(hi3 < F.lit(jaccard_threshold), F.lit("upper_bound")).otherwise(F.lit("estimate")))
-    if estimate == "undecided":
-        open_batches = base.where(F.col("decided_by") == "estimate").select(batch)
-        est_in = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col, keys=(batch, "review_id"))
-    elif estimate == "all":
-        est_in = stats
-    else:
+
+
+def _collisions_or_empty(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
+    return _collisions(minhash_signatures(stats, num_hashes, batch), num_hashes, batch)
+
+
+def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch",
+              ttr_threshold: float = TTR_THRESHOLD, jaccard_threshold: float = JACCARD_THRESHOLD,
+              num_hashes: int = DEFAULT_NUM_HASHES, estimate: str = "all") -> DataFrame:
+    """AGG-5: one row per batch -- ``n, avg_ttr, avg_jaccard, jaccard_lo,
+    jaccard_hi, is_spam, decided_by``.
+
+    ``estimate='all'`` computes the MinHash estimate for every batch (for
+    reporting), as one lazy plan. ``'undecided'`` is the production path and
+    runs in two phases: the bounds (one row per batch) are computed and
+    materialised first; only the reviews of batches they leave open are
+    tokenised again for the MinHash pass (skipped entirely when no batch is
+    open). ``avg_jaccard`` is then NULL for batches that were not estimated."""
+    if estimate not in ("all", "undecided"):
         raise ValueError("estimate must be 'all' or 'undecided'")
-    coll = _collisions(minhash_signatures(est_in, num_hashes, batch), num_hashes, batch)
-    out = base.join(coll, batch, "left")
+    stats = review_token_stats(reviews, text_col, keys=(batch, "review_id"))
+    base = _decide(batch_bounds(stats, batch), ttr_threshold, jaccard_threshold)
     pairs = _pairs(F.col("n"))
-    est = F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes)).otherwise(F.lit(0.0))
-    if estimate == "undecided":
-        est = F.when(F.col("decided_by") == "estimate", est)
-    clamped = F.least(F.greatest(est, F.col("jaccard_lo")), F.col("jaccard_hi"))
+    if estimate == "all":
+        out = base.join(_collisions_or_empty(stats, num_hashes, batch), batch, "left")
+        est = F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes)).otherwise(F.lit(0.0))
+    else:
+        base = materialize(base)
+        open_batches, n_open = _broadcast_if_small(base.where(F.col("decided_by") == "estimate").select(batch), batch)
+        if n_open == 0:
+            out = base.withColumn("coll", F.lit(None).cast("double"))
+        else:
+            est_in = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
+                                        keys=(batch, "review_id"))
+            out = base.join(_collisions_or_empty(est_in, num_hashes, batch), batch, "left")
+        est = F.when(F.col("decided_by") == "estimate",
+                     F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes))
+                     .otherwise(F.lit(0.0)))
+    # the estimate is clamped into the exact bounds (NULL stays NULL)
+    clamped = F.when(est.isNotNull(), F.least(F.greatest(est, F.col("jaccard_lo")), F.col("jaccard_hi")))
     out = out.withColumn("avg_jaccard", F.round(clamped, 3))
     is_spam = (F.when(F.col("decided_by") == "ttr", F.lit(False))
                .when(F.col("decided_by") == "lower_bound", F.lit(True))
@@ -189,8 +227,13 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
 def drop_spam_batches(reviews: DataFrame, gate: DataFrame, batch: str = "batch") -> DataFrame:
     """JON-6: reviews of batches that passed the gate.
 
-    A plain anti join: AQE turns it into a broadcast join at run time when the
-    flagged-batch list is small (its measured size is the check) and splits
-    skewed partitions otherwise."""
-    flagged = gate.where(F.col("is_spam")).select(batch)
-    return reviews.join(flagged, batch, "left_anti")
+    The flagged-batch list (one row per flagged batch) is materialised and
+    sized first. Nothing flagged: the reviews pass untouched (no join). A
+    list within MAX_BROADCAST_BYTES: broadcast anti join, so the reviews are
+    never shuffled. Beyond that: a shuffle anti join on the batch key, where
+    AQE's skew-join handling splits a hot batch across tasks."""
+    flagged = materialize(gate.where(F.col("is_spam")).select(batch))
+    keys, n = _broadcast_if_small(flagged, batch)
+    if n == 0:
+        return reviews
+    return reviews.join(keys, batch, "left_anti")

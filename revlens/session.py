@@ -54,6 +54,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint written
+    to the shared ``spark.checkpoint.dir`` (survives lost executors; never a
+    local checkpoint). Meant for small intermediate results that later steps
+    read more than once or size-check before choosing a join."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A location for a written (lineage-cutting) table under the checkpoint folder."""
     base = checkpoint_dir(spark)
