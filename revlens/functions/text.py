@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import literals as L
 from .lexicons import is_word_keyword
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -79,7 +80,7 @@ def keyword_hits(low, words, keywords: list[str]) -> Column:
     multi = [k for k in keywords if not is_word_keyword(k)]
     parts = []
     if single:
-        parts.append(F.array_intersect(F.array(*[F.lit(k) for k in single]), col(words)))
+        parts.append(F.array_intersect(L.const(single), col(words)))
     if multi:
         low_c = col(low)
         # cheap substring test first; the look-around regex only on candidates
@@ -108,7 +109,7 @@ def first_in_order(keywords: list[str], hits) -> Column:
     into a lambda body, which would re-run it per element.)"""
     if not keywords:
         return F.lit(None).cast("string")
-    return F.get(F.array_intersect(F.array(*[F.lit(k) for k in keywords]), col(hits)), 0)
+    return F.get(F.array_intersect(L.const(list(keywords)), col(hits)), 0)
 
 
 def mask_first(low, kw) -> Column:

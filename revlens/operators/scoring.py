@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from ..functions import literals as L
 from ..functions import text as T
 from ..functions.lexicons import ASPECTS, CONFIDENCE_THRESHOLD, SENTIMENT_LABELS
 from . import tagging
@@ -112,7 +113,7 @@ class LinearScorer:
         words = T.word_tokens(low)
         if self.max_tokens:
             words = F.slice(F.filter(words, lambda w: w != F.lit("")), 1, self.max_tokens)
-        return F.array_intersect(F.array(*[F.lit(t) for t in self.vocab]), words)
+        return F.array_intersect(L.const(self.vocab, "array<string>"), words)
 
     def logits(self, aspect: str, present=PRESENT) -> Column:
         tab = self.table(aspect)
@@ -124,7 +125,7 @@ class LinearScorer:
             return lambda acc, t: acc + F.coalesce(F.try_element_at(m, t), F.lit(0))
 
         for c in range(3):
-            m = F.create_map(*[x for t in keys for x in (F.lit(t), F.lit(tab[t][c]))])
+            m = L.const({t: int(tab[t][c]) for t in keys})
             cols.append(F.aggregate(T.col(present), F.lit(int(self.bias[c])), adder(m)).cast("double"))
         return F.array(*cols)
 

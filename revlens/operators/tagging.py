@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import literals as L
 from ..functions import text as T
 from ..functions.lexicons import (ASPECTS, all_keywords, dedupe, get_lexicon,
                                   reduce_for_substring)
@@ -68,7 +69,7 @@ def with_text_features(df: DataFrame, text_col: str = "reviews", keywords: list[
     else:
         raise ValueError("engine must be 'automaton' or 'jvm'")
     if vocab is not None:
-        out = out.withColumn(PRESENT, F.array_intersect(F.array(*[F.lit(t) for t in vocab]), F.col(HITS)))
+        out = out.withColumn(PRESENT, F.array_intersect(L.const(list(vocab), "array<string>"), F.col(HITS)))
     return out
 
 
@@ -86,9 +87,9 @@ def tag_structs(hits=HITS, lexicon="json") -> Column:
     if not entries:
         return F.array().cast("array<struct<aspect:string,keyword:string>>")
     kw_order = list(positions)
-    pos_map = F.create_map(*[x for k in kw_order for x in (F.lit(k), F.array(*[F.lit(i) for i in positions[k]]))])
-    ent = F.array(*[F.struct(F.lit(a).alias("aspect"), F.lit(k).alias("keyword")) for a, k in entries])
-    matched = F.array_intersect(F.array(*[F.lit(k) for k in kw_order]), T.col(hits))
+    pos_map = L.const({k: positions[k] for k in kw_order})
+    ent = L.struct_array(entries, ("aspect", "keyword"))
+    matched = F.array_intersect(L.const(kw_order), T.col(hits))
     idx = F.array_sort(F.flatten(F.transform(matched, lambda k: F.element_at(pos_map, k))))
     return F.transform(idx, lambda i: F.element_at(ent, i + 1))
 
@@ -106,7 +107,7 @@ def tag_aspects(df: DataFrame, text_col: str = "reviews", lexicon="json") -> Dat
 def distinct_aspects(hits=HITS, lexicon="json") -> Column:
     """TXT-3: aspects with at least one whole-word hit, in lexicon order."""
     lex = get_lexicon(lexicon)
-    flags = [F.when(F.arrays_overlap(T.col(hits), F.array(*[F.lit(k) for k in kws])), F.lit(a))
+    flags = [F.when(F.arrays_overlap(T.col(hits), L.const(list(kws))), F.lit(a))
              for a, kws in lex.items() if kws]
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
 
