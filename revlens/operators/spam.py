@@ -127,8 +127,8 @@ def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, b
     post = (stats.select(batch, key, F.explode_outer("token_set").alias("tok"))
             .where(F.col("tok").isNotNull())
             .select(batch, key, (token_hash32("tok") % F.lit(MERSENNE_31)).alias("x")))
-    aggs = [F.min((F.lit(a) * F.col("x") + F.lit(b)) % F.lit(MERSENNE_31)).alias(f"mh_{i}")
-            for i, (a, b) in enumerate(params)]
+    # one SQL expression per hash (a, b < 2^31 and x < 2^31: the product fits a BIGINT)
+    aggs = [F.expr(f"min(({a} * x + {b}) % {MERSENNE_31})").alias(f"mh_{i}") for i, (a, b) in enumerate(params)]
     return post.groupBy(batch, key).agg(*aggs)
 
 
