@@ -11,12 +11,22 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Session defaults. They only fill in what the launcher (cluster config,
+# spark-submit --conf) left unset.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches for pandas UDFs are cut by bytes as well as rows: reviews
+    # can be long, and 10,000 long texts in one batch would sit in one Python
+    # worker's memory at once.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.session.timeZone": "UTC",
+}
+# Settings that only take effect when this process launches Spark itself
+# (local runs, tests); a cluster session keeps its own.
+LAUNCH_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -24,16 +34,24 @@ DEFAULTS = {
 
 def get_spark(master: str | None = None, app: str = "revlens", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
+    """The active session, or a new one. ``shuffle_partitions`` and ``extra``
+    are explicit requests and always applied; ``DEFAULTS`` only where unset."""
+    launching = SparkSession.getActiveSession() is None
     b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    for k, v in DEFAULTS.items():
-        b = b.config(k, v)
-    if shuffle_partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if launching:
+        if master:
+            b = b.master(master)
+        for k, v in LAUNCH_DEFAULTS.items():
+            b = b.config(k, v)
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    launched_conf = spark.sparkContext.getConf()
+    for k, v in DEFAULTS.items():
+        if not launched_conf.contains(k) and k not in (extra or {}):
+            spark.conf.set(k, v)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
