@@ -2,11 +2,13 @@
 
 The reference runs one fine-tuned sequence classifier per aspect, but ships no
 weights, so its predictions cannot be reproduced. Scoring is therefore an
-interface with two implementations:
+interface with three implementations:
 
 * :class:`LinearScorer` (default) -- our own bag-of-words model with small
   integer weights, written as native column expressions (no Python worker, no
   shuffle). Integer logits make labels deterministic across engines.
+* :class:`PipelineScorer` -- one fitted ``pyspark.ml`` ``PipelineModel`` per
+  aspect, run in the JVM;
 * :class:`ModelScorer` -- any per-aspect model supplied as a loader callable,
   run with ``mapInPandas`` over Arrow batches; each Python worker loads the
   models once and scores only gated (review, aspect) pairs.
@@ -190,6 +192,51 @@ class ModelScorer:
         return out.drop(*[f"_g_{a}" for a in ASPECTS])
 
 
+class PipelineScorer:
+    """SCR-2(b): one fitted ``pyspark.ml`` ``PipelineModel`` per aspect, run
+    in the JVM (no Python worker).
+
+    Each model reads the review text from ``input_col`` and writes a
+    three-class ``rawPrediction`` (margins / log-scores, class order Negative,
+    Neutral, Positive); labels follow SCR-1 (softmax, first max, threshold).
+    The six models are applied one after another on the wide frame -- a
+    narrow chain, no join back and no shuffle; each model's own output
+    columns are dropped again after its margins are taken. Aspects without a
+    model get ``Neutral`` (SCR-4); ungated aspects ``""``."""
+
+    def __init__(self, models: dict, input_col: str = "text", raw_col: str = "rawPrediction",
+                 threshold: float = CONFIDENCE_THRESHOLD):
+        self.models = dict(models)
+        self.input_col = input_col
+        self.raw_col = raw_col
+        self.threshold = threshold
+
+    def apply(self, df: DataFrame, gates: dict[str, Column], text_col: str = "reviews") -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        alias_input = self.input_col != text_col
+        if alias_input and self.input_col in df.columns:
+            raise ValueError(f"input column {self.input_col!r} already exists")
+        out = df.withColumn(self.input_col, F.col(text_col)) if alias_input else df
+        for a in ASPECTS:
+            model = self.models.get(a)
+            if model is None:
+                out = out.withColumn(f"logits_{a}", F.lit(None).cast("array<double>"))
+                continue
+            before = set(out.columns)
+            scored = model.transform(out)
+            added = [c for c in scored.columns if c not in before]
+            out = (scored.withColumn(f"logits_{a}", F.when(gates[a], vector_to_array(F.col(self.raw_col))))
+                   .drop(*added))
+        if alias_input:
+            out = out.drop(self.input_col)
+        for a in ASPECTS:
+            label = (label_from_logits(f"logits_{a}", self.threshold) if a in self.models
+                     else F.lit("Neutral"))
+            out = out.withColumn(a, F.when(gates[a], label).otherwise(F.lit("")))
+        return out
+
+
 def sentiment_map() -> Column:
     """SCR-5: six aspects -> label (``""`` when not mentioned)."""
     return F.create_map(*[x for a in ASPECTS for x in (F.lit(a), F.col(a))])

@@ -37,7 +37,7 @@ def score_reviews(reviews: DataFrame, scorer=None, text_col: str = "reviews", ke
     vocab = scorer.vocab if isinstance(scorer, scoring.LinearScorer) and not scorer.max_tokens else None
     feats = tagging.with_text_features(reviews, text_col, all_keywords(), vocab, engine=engine)
     gates = tagging.gates_from_mask()
-    if isinstance(scorer, scoring.ModelScorer):
+    if isinstance(scorer, (scoring.ModelScorer, scoring.PipelineScorer)):
         out = scorer.apply(feats, gates, text_col)
     else:
         out = scorer.apply(feats, gates)

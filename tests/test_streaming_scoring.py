@@ -68,3 +68,39 @@ def test_linear_scorer_truncation(spark):
     full = flow.score_reviews(df, keep_features=False).collect()[0]
     cut = flow.score_reviews(df, scorer=scoring.LinearScorer(max_tokens=512), keep_features=False).collect()[0]
     assert full["doctor"] == "Negative" and cut["doctor"] == "Neutral"
+
+
+def test_pipeline_scorer_matches_model_predictions(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, Tokenizer
+
+    from revlens.functions.lexicons import ASPECTS, SENTIMENT_LABELS
+    from revlens.operators import scoring
+    from revlens.plans import flow
+
+    train = spark.createDataFrame(
+        [("rude doctor terrible", 0.0), ("dirty and slow", 0.0), ("ok average visit", 1.0),
+         ("nothing special", 1.0), ("kind nurses excellent", 2.0), ("great clean rooms", 2.0)] * 3,
+        "text string, label double")
+    model = Pipeline(stages=[Tokenizer(inputCol="text", outputCol="words"),
+                             HashingTF(inputCol="words", outputCol="tf", numFeatures=64),
+                             LogisticRegression(featuresCol="tf", maxIter=30, family="multinomial")]).fit(train)
+    rows = ["The Doctor was rude; doctors ok", "The nurses were kind", "Clean ICU, room access was slow",
+            "Hospitals nearby are cheap", ""]
+    df = spark.createDataFrame([(i, "b", r) for i, r in enumerate(rows)], "review_id long, batch string, reviews string")
+    scorer = scoring.PipelineScorer({"doctor": model, "staff": model, "cleanliness": model})
+    got = {r["review_id"]: r for r in flow.score_reviews(df, scorer, keep_features=False).collect()}
+    gated = {r["review_id"]: r for r in flow.score_reviews(df, keep_features=False).collect()}
+    preds = {r["review_id"]: SENTIMENT_LABELS[int(r["prediction"])]
+             for r in model.transform(df.withColumnRenamed("reviews", "text")).collect()}
+    for rid in range(len(rows)):
+        for a in ASPECTS:
+            is_gated = gated[rid][a] != ""
+            if not is_gated:
+                assert got[rid][a] == ""
+            elif a in ("doctor", "staff", "cleanliness"):
+                assert got[rid][a] == preds[rid]
+            else:
+                assert got[rid][a] == "Neutral"
+    assert "text" not in flow.score_reviews(df, scorer, keep_features=False).columns
