@@ -25,6 +25,9 @@ all n(n-1)/2 pairs; we never materialise those pairs. Instead:
 The gate decision is exact whenever the bounds decide it (TTR above the
 threshold; ``round(L) >= 0.8``; ``round(U) < 0.8``) and falls back to the
 estimate (clamped into [L, U]) only in between. ``decided_by`` says which.
+
+Exclusion of flagged batches (JON-6) is an anti join whose broadcast side is
+materialised and measured first (see :func:`drop_spam_batches`).
 """
 
 from __future__ import annotations
@@ -177,7 +180,7 @@ def _decide(base: DataFrame, ttr_threshold: float, jaccard_threshold: float) ->
         .when(hi3 < F.lit(jaccard_threshold), F.lit("upper_bound")).otherwise(F.lit("estimate")))
 
 
-def _collisions_or_empty(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
+def _collisions_of(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
     return _collisions(minhash_signatures(stats, num_hashes, batch), num_hashes, batch)
 
 
@@ -199,7 +202,7 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
     base = _decide(batch_bounds(stats, batch), ttr_threshold, jaccard_threshold)
     pairs = _pairs(F.col("n"))
     if estimate == "all":
-        out = base.join(_collisions_or_empty(stats, num_hashes, batch), batch, "left")
+        out = base.join(_collisions_of(stats, num_hashes, batch), batch, "left")
         est = F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes)).otherwise(F.lit(0.0))
     else:
         base = materialize(base)
@@ -209,7 +212,7 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
         else:
             est_in = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
                                         keys=(batch, "review_id"))
-            out = base.join(_collisions_or_empty(est_in, num_hashes, batch), batch, "left")
+            out = base.join(_collisions_of(est_in, num_hashes, batch), batch, "left")
         est = F.when(F.col("decided_by") == "estimate",
                      F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes))
                      .otherwise(F.lit(0.0)))
