@@ -59,14 +59,17 @@ def get_spark(master: str | None = None, app: str = "revlens", shuffle_partition
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local runs, tests) a private
-    folder is created and registered."""
+    Read from the session. Only a local master (tests, single-machine runs)
+    may fall back to a private folder; on a cluster a machine-local folder
+    would not be visible to other executors, so an unset setting is an error."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="revlens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
