@@ -119,6 +119,53 @@ def jaccard_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
     return batch_bounds(stats, batch).drop("ttr_sum")
 
 
+def _postings(stats: DataFrame, batch: str) -> DataFrame:
+    """``(batch, n_distinct, tok)``: one row per distinct token of a review.
+
+    explode_outer + an explicit filter above the generator: a plain explode
+    makes Catalyst infer ``size(token_set) > 0`` and push it, tokenisation
+    included, below the input exchange into the scan task."""
+    return (stats.select(batch, "n_distinct", F.explode_outer("token_set").alias("tok"))
+            .where(F.col("tok").isNotNull()))
+
+
+def pair_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
+    """Tighter exact bounds of the mean pairwise Jaccard, from token document
+    frequencies -- linear in the token postings, no pairs.
+
+    With c(t, s) = reviews of set size s containing token t, the intersections
+    summed over same-size pairs are W_s = Σ_t C(c(t,s), 2). J = I/(a+b-I) is
+    convex in I on [0, min(a,b)] with J(0) = 0, so
+
+    * upper: J <= I / max(a,b) (the chord); summed as Σ_s W_s/s plus, for pairs
+      of different sizes, Σ_t Σ_b c(t,b)/b · #(reviews with t and a smaller
+      size) -- a running count over the sizes of one token, never its reviews;
+    * lower (Jensen, same-size pairs only, the others count 0):
+      Σ_s P_s · Ī_s / (2s - Ī_s) with P_s = C(N_s, 2) and Ī_s = W_s / P_s.
+
+    Both are tight when intersections are uniform (e.g. copies that differ
+    by one token). Returns ``batch, n, pair_lo, pair_hi``."""
+    h = _postings(stats, batch).groupBy(batch, "tok", "n_distinct").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(batch, "tok").orderBy("n_distinct").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("_smaller", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    size = F.col("n_distinct").cast("double")
+    per_size = h.groupBy(batch, "n_distinct").agg(
+        F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("w_s"),
+        F.sum(F.col("c") * F.col("_smaller") / size).alias("x_s"))
+    sizes = stats.groupBy(batch, "n_distinct").agg(F.count(F.lit(1)).alias("n_s"))
+    p_s = F.col("n_s") * (F.col("n_s") - 1) / 2
+    ibar = F.col("w_s") / p_s
+    lo_part = F.when((p_s > 0) & (size > 0), p_s * ibar / (F.lit(2.0) * size - ibar)).otherwise(F.lit(0.0))
+    hi_part = F.when(size > 0, F.col("w_s") / size + F.col("x_s")).otherwise(F.lit(0.0))
+    per = (sizes.join(per_size, [batch, "n_distinct"], "left").na.fill(0.0, ["w_s", "x_s"])
+           .groupBy(batch).agg(F.sum("n_s").alias("n"), F.sum(lo_part).alias("lo_num"),
+                               F.sum(hi_part).alias("hi_num")))
+    pairs = _pairs(F.col("n"))
+    return per.select(batch, "n",
+                      F.when(pairs > 0, F.col("lo_num") / pairs).otherwise(F.lit(0.0)).alias("pair_lo"),
+                      F.when(pairs > 0, F.col("hi_num") / pairs).otherwise(F.lit(0.0)).alias("pair_hi"))
+
+
 def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch",
                        key: str = "review_id") -> DataFrame:
     """Per review: ``mh_0 .. mh_{K-1}`` min-hashes of the distinct token set
@@ -207,9 +254,27 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
     else:
         base = materialize(base)
         open_batches, n_open = _broadcast_if_small(base.where(F.col("decided_by") == "estimate").select(batch), batch)
+        if n_open > 0:
+            # phase 2: exact pair bounds for the open batches only
+            in2 = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
+                                     keys=(batch, "review_id"))
+            pb = pair_bounds(in2, batch).drop("n")
+            lo = F.greatest("jaccard_lo", F.coalesce("pair_lo", "jaccard_lo"))
+            hi = F.least("jaccard_hi", F.coalesce("pair_hi", "jaccard_hi"))
+            base = base.join(pb, batch, "left").withColumn("jaccard_lo", lo).withColumn("jaccard_hi", hi)
+            lo3, hi3 = F.round("jaccard_lo", 3), F.round("jaccard_hi", 3)
+            settled = (F.col("decided_by") == "estimate") & (
+                (lo3 >= F.lit(jaccard_threshold)) | (hi3 < F.lit(jaccard_threshold)))
+            base = materialize(base.withColumn(
+                "decided_by", F.when(settled & (lo3 >= F.lit(jaccard_threshold)), F.lit("pair_lower_bound"))
+                .when(settled, F.lit("pair_upper_bound")).otherwise(F.col("decided_by")))
+                .drop("pair_lo", "pair_hi"))
+            open_batches, n_open = _broadcast_if_small(
+                base.where(F.col("decided_by") == "estimate").select(batch), batch)
         if n_open == 0:
             out = base.withColumn("coll", F.lit(None).cast("double"))
         else:
+            # phase 3: MinHash only where no exact bound settles the batch
             est_in = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
                                         keys=(batch, "review_id"))
             out = base.join(_collisions_of(est_in, num_hashes, batch), batch, "left")
@@ -220,8 +285,8 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
     clamped = F.when(est.isNotNull(), F.least(F.greatest(est, F.col("jaccard_lo")), F.col("jaccard_hi")))
     out = out.withColumn("avg_jaccard", F.round(clamped, 3))
     is_spam = (F.when(F.col("decided_by") == "ttr", F.lit(False))
-               .when(F.col("decided_by") == "lower_bound", F.lit(True))
-               .when(F.col("decided_by") == "upper_bound", F.lit(False))
+               .when(F.col("decided_by").isin("lower_bound", "pair_lower_bound"), F.lit(True))
+               .when(F.col("decided_by").isin("upper_bound", "pair_upper_bound"), F.lit(False))
                .otherwise(F.col("avg_jaccard") >= F.lit(jaccard_threshold)))
     return out.select(batch, "n", "avg_ttr", "avg_jaccard", F.round("jaccard_lo", 6).alias("jaccard_lo"),
                       F.round("jaccard_hi", 6).alias("jaccard_hi"), is_spam.alias("is_spam"), "decided_by")

@@ -94,7 +94,24 @@ gate0 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.jaccard_lo, b.jaccard_hi, e.jacca
           FROM bt JOIN bounds b ON bt.batch = b.batch JOIN est e ON bt.batch = e.batch),
 gate AS (SELECT *, CASE decided_by WHEN 'ttr' THEN false WHEN 'lower_bound' THEN true
                      WHEN 'upper_bound' THEN false ELSE avg_jaccard >= 0.8 END AS is_spam FROM gate0),
-clean AS (SELECT * FROM {src} WHERE batch NOT IN (SELECT batch FROM gate WHERE is_spam))"""
+clean AS (SELECT * FROM {src} WHERE batch NOT IN (SELECT batch FROM gate WHERE is_spam)),
+ph AS (SELECT batch, t, s, count(*) AS c
+       FROM (SELECT batch, n_distinct AS s, unnest(tset) AS t FROM st) GROUP BY batch, t, s),
+ph2 AS (SELECT batch, t, s, c, coalesce(sum(c) OVER (PARTITION BY batch, t ORDER BY s
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS smaller FROM ph),
+pws AS (SELECT batch, s, sum(c * (c - 1) / 2) AS w_s, sum(c * smaller / s) AS x_s FROM ph2 GROUP BY batch, s),
+psz AS (SELECT batch, n_distinct AS s, count(*) AS n_s FROM st GROUP BY batch, n_distinct),
+pb0 AS (SELECT psz.batch, psz.s, psz.n_s, psz.n_s * (psz.n_s - 1) / 2 AS p_s,
+               coalesce(pws.w_s, 0.0) AS w_s, coalesce(pws.x_s, 0.0) AS x_s
+        FROM psz LEFT JOIN pws ON psz.batch = pws.batch AND psz.s = pws.s),
+pb AS (SELECT batch, sum(n_s) AS n,
+              sum(CASE WHEN p_s > 0 AND s > 0 THEN p_s * (w_s / p_s) / (2.0 * s - w_s / p_s) ELSE 0.0 END) AS lo_num,
+              sum(CASE WHEN s > 0 THEN w_s / s + x_s ELSE 0.0 END) AS hi_num
+       FROM pb0 GROUP BY batch),
+pair AS (SELECT batch, n,
+                CASE WHEN n * (n - 1) / 2 > 0 THEN lo_num / (n * (n - 1) / 2) ELSE 0.0 END AS pair_lo,
+                CASE WHEN n * (n - 1) / 2 > 0 THEN hi_num / (n * (n - 1) / 2) ELSE 0.0 END AS pair_hi
+         FROM pb)"""
 
 
 def gate_expr(aspect: str, low: str = "low") -> str:
@@ -203,6 +220,8 @@ SELECT batch, n, avg_ttr FROM bt"""
 SELECT batch, n, round(jaccard_lo, 6) AS jaccard_lo, round(jaccard_hi, 6) AS jaccard_hi FROM bounds"""
     q["batch_jaccard_estimate"] = f"""WITH {base}, {gate}
 SELECT batch, n, round(jaccard_est, 6) AS jaccard_est FROM est"""
+    q["batch_jaccard_pair_bounds"] = f"""WITH {base}, {gate}
+SELECT batch, n, round(pair_lo, 6) AS pair_lo, round(pair_hi, 6) AS pair_hi FROM pair"""
     q["spam_gate"] = f"""WITH {base}, {gate}
 SELECT batch, n, avg_ttr, avg_jaccard, round(jaccard_lo, 6) AS jaccard_lo, round(jaccard_hi, 6) AS jaccard_hi,
        is_spam, decided_by FROM gate"""

@@ -91,6 +91,11 @@ def q_batch_jaccard_estimate(spark, sf_dir):
     return e.select("batch", "n", F.round("jaccard_est", 6).alias("jaccard_est"))
 
 
+def q_batch_jaccard_pair_bounds(spark, sf_dir):
+    b = spam.pair_bounds(spam.review_token_stats(_nn(spark, sf_dir)))
+    return b.select("batch", "n", F.round("pair_lo", 6).alias("pair_lo"), F.round("pair_hi", 6).alias("pair_hi"))
+
+
 def q_spam_gate(spark, sf_dir):
     return spam.spam_gate(_nn(spark, sf_dir), estimate="all")
 
@@ -216,6 +221,7 @@ QUERIES = {
     "batch_ttr": q_batch_ttr,
     "batch_jaccard_bounds": q_batch_jaccard_bounds,
     "batch_jaccard_estimate": q_batch_jaccard_estimate,
+    "batch_jaccard_pair_bounds": q_batch_jaccard_pair_bounds,
     "spam_gate": q_spam_gate,
     "clean_reviews": q_clean_reviews,
     "sentiment_long": q_sentiment_long,

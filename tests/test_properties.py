@@ -152,6 +152,32 @@ def test_bounds_and_estimate_vs_brute_force(spark):
         assert ttr[b]["avg_ttr"] == pytest.approx(round(py_ttr, 3), abs=1e-9)
 
 
+def test_pair_bounds_vs_brute_force(spark):
+    rng = random.Random(23)
+    vocab = list("abcdefgh")
+    batches = {}
+    for b in range(12):
+        base = set(rng.sample(vocab, rng.randint(1, 5)))
+        rows = []
+        for _ in range(rng.randint(2, 14)):
+            s = set(base)
+            if rng.random() < 0.5 and len(s) > 1:
+                s.discard(rng.choice(sorted(s)))
+            if rng.random() < 0.4:
+                s.add(rng.choice(vocab))
+            if rng.random() < 0.1:
+                s = set()
+            rows.append(" ".join(sorted(s)))
+        batches[f"b{b}"] = rows
+    data = [(i, b, r) for b, rows in batches.items() for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "review_id long, batch string, reviews string")
+    got = {r["batch"]: r for r in spam.pair_bounds(spam.review_token_stats(df)).collect()}
+    for b, rows in batches.items():
+        exact = exact_mean_jaccard(rows)
+        assert got[b]["n"] == len(rows)
+        assert got[b]["pair_lo"] - 1e-12 <= exact <= got[b]["pair_hi"] + 1e-12
+
+
 def test_gate_decisions_consistent(spark):
     rows = ["great " * 10 + "hospital"] * 20 + ["some other review text entirely different words"]
     df = spark.createDataFrame([(i, "s", r) for i, r in enumerate(rows)], "review_id long, batch string, reviews string")
