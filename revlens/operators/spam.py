@@ -227,6 +227,21 @@ def _decide(base: DataFrame, ttr_threshold: float, jaccard_threshold: float) ->
         .when(hi3 < F.lit(jaccard_threshold), F.lit("upper_bound")).otherwise(F.lit("estimate")))
 
 
+def _tighten(base: DataFrame, pb: DataFrame, batch: str, jaccard_threshold: float) -> DataFrame:
+    """Narrow [jaccard_lo, jaccard_hi] with the pair bounds and settle the
+    batches still marked ``estimate`` that the tighter bounds decide."""
+    lo = F.greatest("jaccard_lo", F.coalesce("pair_lo", "jaccard_lo"))
+    hi = F.least("jaccard_hi", F.coalesce("pair_hi", "jaccard_hi"))
+    out = base.join(pb.drop("n"), batch, "left").withColumn("jaccard_lo", lo).withColumn("jaccard_hi", hi)
+    lo3, hi3 = F.round("jaccard_lo", 3), F.round("jaccard_hi", 3)
+    still_open = F.col("decided_by") == "estimate"
+    return out.withColumn(
+        "decided_by",
+        F.when(still_open & (lo3 >= F.lit(jaccard_threshold)), F.lit("pair_lower_bound"))
+        .when(still_open & (hi3 < F.lit(jaccard_threshold)), F.lit("pair_upper_bound"))
+        .otherwise(F.col("decided_by"))).drop("pair_lo", "pair_hi")
+
+
 def _collisions_of(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
     return _collisions(minhash_signatures(stats, num_hashes, batch), num_hashes, batch)
 
@@ -237,18 +252,26 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
     """AGG-5: one row per batch -- ``n, avg_ttr, avg_jaccard, jaccard_lo,
     jaccard_hi, is_spam, decided_by``.
 
-    ``estimate='all'`` computes the MinHash estimate for every batch (for
-    reporting), as one lazy plan. ``'undecided'`` is the production path and
-    runs in two phases: the bounds (one row per batch) are computed and
-    materialised first; only the reviews of batches they leave open are
-    tokenised again for the MinHash pass (skipped entirely when no batch is
-    open). ``avg_jaccard`` is then NULL for batches that were not estimated."""
+    Decision ladder, the same in both modes: TTR; identical-set lower bound;
+    size-histogram upper bound; token-frequency pair bounds
+    (``pair_lower_bound`` / ``pair_upper_bound``); only then the MinHash
+    estimate, clamped into the tightest exact bounds.
+
+    ``estimate='all'`` computes every bound and the estimate for every batch
+    (for reporting), as one lazy plan. ``'undecided'`` is the production path,
+    in phases: the first bounds (one row per batch) are materialised; only the
+    reviews of batches they leave open are tokenised again for the pair
+    bounds, and only those still open after that for MinHash (each phase is
+    skipped when no batch is left). ``avg_jaccard`` is then NULL for batches
+    that were not estimated, and the pair bounds tighten ``jaccard_lo`` /
+    ``jaccard_hi`` only where they were computed."""
     if estimate not in ("all", "undecided"):
         raise ValueError("estimate must be 'all' or 'undecided'")
     stats = review_token_stats(reviews, text_col, keys=(batch, "review_id"))
     base = _decide(batch_bounds(stats, batch), ttr_threshold, jaccard_threshold)
     pairs = _pairs(F.col("n"))
     if estimate == "all":
+        base = _tighten(base, pair_bounds(stats, batch), batch, jaccard_threshold)
         out = base.join(_collisions_of(stats, num_hashes, batch), batch, "left")
         est = F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes)).otherwise(F.lit(0.0))
     else:
@@ -258,17 +281,7 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
             # phase 2: exact pair bounds for the open batches only
             in2 = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
                                      keys=(batch, "review_id"))
-            pb = pair_bounds(in2, batch).drop("n")
-            lo = F.greatest("jaccard_lo", F.coalesce("pair_lo", "jaccard_lo"))
-            hi = F.least("jaccard_hi", F.coalesce("pair_hi", "jaccard_hi"))
-            base = base.join(pb, batch, "left").withColumn("jaccard_lo", lo).withColumn("jaccard_hi", hi)
-            lo3, hi3 = F.round("jaccard_lo", 3), F.round("jaccard_hi", 3)
-            settled = (F.col("decided_by") == "estimate") & (
-                (lo3 >= F.lit(jaccard_threshold)) | (hi3 < F.lit(jaccard_threshold)))
-            base = materialize(base.withColumn(
-                "decided_by", F.when(settled & (lo3 >= F.lit(jaccard_threshold)), F.lit("pair_lower_bound"))
-                .when(settled, F.lit("pair_upper_bound")).otherwise(F.col("decided_by")))
-                .drop("pair_lo", "pair_hi"))
+            base = materialize(_tighten(base, pair_bounds(in2, batch), batch, jaccard_threshold))
             open_batches, n_open = _broadcast_if_small(
                 base.where(F.col("decided_by") == "estimate").select(batch), batch)
         if n_open == 0:

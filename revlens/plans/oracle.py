@@ -87,14 +87,6 @@ est AS (SELECT bt.batch, bt.n,
            CASE WHEN bt.n * (bt.n - 1) / 2 > 0 THEN coalesce(coll.coll, 0) / (bt.n * (bt.n - 1) / 2 * {DEFAULT_NUM_HASHES})
                 ELSE 0.0 END AS jaccard_est
         FROM bt LEFT JOIN coll ON bt.batch = coll.batch),
-gate0 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.jaccard_lo, b.jaccard_hi, e.jaccard_est,
-             CASE WHEN bt.avg_ttr > 0.2 THEN 'ttr' WHEN round(b.jaccard_lo, 3) >= 0.8 THEN 'lower_bound'
-                  WHEN round(b.jaccard_hi, 3) < 0.8 THEN 'upper_bound' ELSE 'estimate' END AS decided_by,
-             round(least(greatest(e.jaccard_est, b.jaccard_lo), b.jaccard_hi), 3) AS avg_jaccard
-          FROM bt JOIN bounds b ON bt.batch = b.batch JOIN est e ON bt.batch = e.batch),
-gate AS (SELECT *, CASE decided_by WHEN 'ttr' THEN false WHEN 'lower_bound' THEN true
-                     WHEN 'upper_bound' THEN false ELSE avg_jaccard >= 0.8 END AS is_spam FROM gate0),
-clean AS (SELECT * FROM {src} WHERE batch NOT IN (SELECT batch FROM gate WHERE is_spam)),
 ph AS (SELECT batch, t, s, count(*) AS c
        FROM (SELECT batch, n_distinct AS s, unnest(tset) AS t FROM st) GROUP BY batch, t, s),
 ph2 AS (SELECT batch, t, s, c, coalesce(sum(c) OVER (PARTITION BY batch, t ORDER BY s
@@ -111,7 +103,23 @@ pb AS (SELECT batch, sum(n_s) AS n,
 pair AS (SELECT batch, n,
                 CASE WHEN n * (n - 1) / 2 > 0 THEN lo_num / (n * (n - 1) / 2) ELSE 0.0 END AS pair_lo,
                 CASE WHEN n * (n - 1) / 2 > 0 THEN hi_num / (n * (n - 1) / 2) ELSE 0.0 END AS pair_hi
-         FROM pb)"""
+         FROM pb),
+tb AS (SELECT b.batch, b.jaccard_lo AS lo1, b.jaccard_hi AS hi1,
+              greatest(b.jaccard_lo, coalesce(p.pair_lo, b.jaccard_lo)) AS jaccard_lo,
+              least(b.jaccard_hi, coalesce(p.pair_hi, b.jaccard_hi)) AS jaccard_hi
+       FROM bounds b LEFT JOIN pair p ON b.batch = p.batch),
+gate0 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.jaccard_lo, b.jaccard_hi, e.jaccard_est,
+             CASE WHEN bt.avg_ttr > 0.2 THEN 'ttr' WHEN round(b.lo1, 3) >= 0.8 THEN 'lower_bound'
+                  WHEN round(b.hi1, 3) < 0.8 THEN 'upper_bound'
+                  WHEN round(b.jaccard_lo, 3) >= 0.8 THEN 'pair_lower_bound'
+                  WHEN round(b.jaccard_hi, 3) < 0.8 THEN 'pair_upper_bound' ELSE 'estimate' END AS decided_by,
+             round(least(greatest(e.jaccard_est, b.jaccard_lo), b.jaccard_hi), 3) AS avg_jaccard
+          FROM bt JOIN tb b ON bt.batch = b.batch JOIN est e ON bt.batch = e.batch),
+gate AS (SELECT *, CASE WHEN decided_by = 'ttr' THEN false
+                        WHEN decided_by IN ('lower_bound', 'pair_lower_bound') THEN true
+                        WHEN decided_by IN ('upper_bound', 'pair_upper_bound') THEN false
+                        ELSE avg_jaccard >= 0.8 END AS is_spam FROM gate0),
+clean AS (SELECT * FROM {src} WHERE batch NOT IN (SELECT batch FROM gate WHERE is_spam))"""
 
 
 def gate_expr(aspect: str, low: str = "low") -> str:

@@ -77,3 +77,22 @@ def test_drop_spam_batches_shuffle_fallback(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_both_modes_share_the_decision_ladder(spark):
+    fixtures = {
+        "u": ["a a a a a"] * 5 + ["b b b b b"] * 5,
+        "o": [_rep(x) for x in ["c f g h"] * 7 + ["c g h"] * 2 + ["c f h"]],
+        "s": ["great " * 10 + "hospital"] * 9 + ["great " * 10 + "hospital extra"],
+        "t": ["a b c", "d e f"],
+    }
+    df = None
+    for b, rows in fixtures.items():
+        f = frame(spark, rows, batch=b)
+        df = f if df is None else df.unionByName(f)
+    und = {r["batch"]: r for r in spam.spam_gate(df, estimate="undecided").collect()}
+    alls = {r["batch"]: r for r in spam.spam_gate(df, estimate="all").collect()}
+    for b in fixtures:
+        assert und[b]["decided_by"] == alls[b]["decided_by"]
+        assert und[b]["is_spam"] == alls[b]["is_spam"]
+    assert alls["u"]["decided_by"] == "pair_upper_bound"
