@@ -108,7 +108,7 @@ tb AS (SELECT b.batch, b.jaccard_lo AS lo1, b.jaccard_hi AS hi1,
               greatest(b.jaccard_lo, coalesce(p.pair_lo, b.jaccard_lo)) AS jaccard_lo,
               least(b.jaccard_hi, coalesce(p.pair_hi, b.jaccard_hi)) AS jaccard_hi
        FROM bounds b LEFT JOIN pair p ON b.batch = p.batch),
-gate0 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.jaccard_lo, b.jaccard_hi, e.jaccard_est,
+gate0 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.lo1, b.hi1, b.jaccard_lo, b.jaccard_hi, e.jaccard_est,
              CASE WHEN bt.avg_ttr > 0.2 THEN 'ttr' WHEN round(b.lo1, 3) >= 0.8 THEN 'lower_bound'
                   WHEN round(b.hi1, 3) < 0.8 THEN 'upper_bound'
                   WHEN round(b.jaccard_lo, 3) >= 0.8 THEN 'pair_lower_bound'
@@ -119,6 +119,11 @@ gate AS (SELECT *, CASE WHEN decided_by = 'ttr' THEN false
                         WHEN decided_by IN ('lower_bound', 'pair_lower_bound') THEN true
                         WHEN decided_by IN ('upper_bound', 'pair_upper_bound') THEN false
                         ELSE avg_jaccard >= 0.8 END AS is_spam FROM gate0),
+gate_prod AS (SELECT batch, n, avg_ttr, is_spam, decided_by,
+                     CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN lo1 ELSE jaccard_lo END AS jaccard_lo,
+                     CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN hi1 ELSE jaccard_hi END AS jaccard_hi,
+                     CASE WHEN decided_by = 'estimate' THEN avg_jaccard END AS avg_jaccard
+              FROM gate),
 clean AS (SELECT * FROM {src} WHERE batch NOT IN (SELECT batch FROM gate WHERE is_spam))"""
 
 
@@ -232,7 +237,7 @@ SELECT batch, n, round(jaccard_est, 6) AS jaccard_est FROM est"""
 SELECT batch, n, round(pair_lo, 6) AS pair_lo, round(pair_hi, 6) AS pair_hi FROM pair"""
     q["spam_gate"] = f"""WITH {base}, {gate}
 SELECT batch, n, avg_ttr, avg_jaccard, round(jaccard_lo, 6) AS jaccard_lo, round(jaccard_hi, 6) AS jaccard_hi,
-       is_spam, decided_by FROM gate"""
+       is_spam, decided_by FROM gate_prod"""
     q["clean_reviews"] = f"""WITH {base}, {gate}
 SELECT review_id, batch, length(reviews)::INTEGER AS n_chars FROM clean"""
 

@@ -97,7 +97,8 @@ def q_batch_jaccard_pair_bounds(spark, sf_dir):
 
 
 def q_spam_gate(spark, sf_dir):
-    return spam.spam_gate(_nn(spark, sf_dir), estimate="all")
+    """AGG-5 as the pipeline runs it: later rungs only for batches still open."""
+    return spam.spam_gate(_nn(spark, sf_dir), estimate="undecided")
 
 
 def q_clean_reviews(spark, sf_dir):
