@@ -262,7 +262,8 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
     in phases: the first bounds (one row per batch) are materialised; only the
     reviews of batches they leave open are tokenised again for the pair
     bounds, and only those still open after that for MinHash (each phase is
-    skipped when no batch is left). ``avg_jaccard`` is then NULL for batches
+    skipped when no batch is left); the result is materialised, so callers
+    can size and reuse it without recomputing. ``avg_jaccard`` is then NULL for batches
     that were not estimated, and the pair bounds tighten ``jaccard_lo`` /
     ``jaccard_hi`` only where they were computed."""
     if estimate not in ("all", "undecided"):
@@ -290,7 +291,7 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
             # phase 3: MinHash only where no exact bound settles the batch
             est_in = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
                                         keys=(batch, "review_id"))
-            out = base.join(_collisions_of(est_in, num_hashes, batch), batch, "left")
+            out = materialize(base.join(_collisions_of(est_in, num_hashes, batch), batch, "left"))
         est = F.when(F.col("decided_by") == "estimate",
                      F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes))
                      .otherwise(F.lit(0.0)))
@@ -305,15 +306,19 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
                       F.round("jaccard_hi", 6).alias("jaccard_hi"), is_spam.alias("is_spam"), "decided_by")
 
 
-def drop_spam_batches(reviews: DataFrame, gate: DataFrame, batch: str = "batch") -> DataFrame:
+def drop_spam_batches(reviews: DataFrame, gate: DataFrame, batch: str = "batch",
+                      gate_materialized: bool = False) -> DataFrame:
     """JON-6: reviews of batches that passed the gate.
 
-    The flagged-batch list (one row per flagged batch) is materialised and
-    sized first. Nothing flagged: the reviews pass untouched (no join). A
-    list within MAX_BROADCAST_BYTES: broadcast anti join, so the reviews are
-    never shuffled. Beyond that: a shuffle anti join on the batch key, where
-    AQE's skew-join handling splits a hot batch across tasks."""
-    flagged = materialize(gate.where(F.col("is_spam")).select(batch))
+    The flagged-batch list (one row per flagged batch) is materialised (unless
+    the gate already is: ``gate_materialized``) and sized first. Nothing
+    flagged: the reviews pass untouched (no join). A list within
+    MAX_BROADCAST_BYTES: broadcast anti join, so the reviews are never
+    shuffled. Beyond that: a shuffle anti join on the batch key, where AQE's
+    skew-join handling splits a hot batch across tasks."""
+    flagged = gate.where(F.col("is_spam")).select(batch)
+    if not gate_materialized:
+        flagged = materialize(flagged)
     keys, n = _broadcast_if_small(flagged, batch)
     if n == 0:
         return reviews

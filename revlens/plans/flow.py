@@ -52,7 +52,7 @@ def clean_reviews(reviews: DataFrame, text_col: str = "reviews", batch: str = "b
     """Non-null reviews of the batches that pass the spam gate."""
     nn = drop_null_reviews(reviews, text_col)
     gate = spam.spam_gate(nn, text_col, batch, num_hashes=num_hashes, estimate="undecided")
-    return spam.drop_spam_batches(nn, gate, batch)
+    return spam.drop_spam_batches(nn, gate, batch, gate_materialized=True)
 
 
 @dataclass
@@ -68,7 +68,7 @@ def analyze(reviews: DataFrame, scorer=None, text_col: str = "reviews", batch: s
     """All outputs of one run, as lazy DataFrames."""
     nn = drop_null_reviews(reviews, text_col)
     gate = spam.spam_gate(nn, text_col, batch, estimate="undecided")
-    passed = spam.drop_spam_batches(nn, gate, batch)
+    passed = spam.drop_spam_batches(nn, gate, batch, gate_materialized=True)
     scored = score_reviews(passed, scorer, text_col)
     return Analysis(gate=gate, scored=scored,
                     rollup=rollup.aspect_rollup(scored, (batch,), neutral),
@@ -85,7 +85,7 @@ def run_and_write(spark: SparkSession, reviews: DataFrame, out_dir: str, scorer=
     gate_path = f"{out_dir}/batch_spam"
     gate.write.mode("overwrite").parquet(gate_path)
     gate = spark.read.parquet(gate_path)
-    passed = spam.drop_spam_batches(nn, gate, batch)
+    passed = spam.drop_spam_batches(nn, gate, batch, gate_materialized=True)
     scored_path = staging_path(spark, "scored")
     score_reviews(passed, scorer, text_col).write.mode("overwrite").parquet(scored_path)
     scored = spark.read.parquet(scored_path)
