@@ -82,8 +82,16 @@ def batch_ttr(stats: DataFrame, batch: str = "batch") -> DataFrame:
                                     F.coalesce(F.round(F.avg("ttr"), 3), F.lit(0.0)).alias("avg_ttr"))
 
 
+def _dbl(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+
 def _pairs(n):
-    return n * (n - F.lit(1)) / F.lit(2)
+    """C(n, 2). Counts are products of row counts: at a third of a 100 TB
+    table they pass 2^63, which ANSI BIGINT arithmetic rejects, so they are
+    computed in double (exact below 2^53, 1e-16 relative above)."""
+    n = _dbl(n)
+    return n * (n - F.lit(1.0)) / F.lit(2.0)
 
 
 def batch_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
@@ -97,14 +105,20 @@ def batch_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
     token count), never over its reviews. (Empty sets are zeroed by a
     condition, not a filter: Catalyst would push a filter on the derived size,
     with the whole tokenisation, below the input exchange.)"""
+    return bounds_from_sets(set_groups(stats, batch), batch)
+
+
+def bounds_from_sets(sets: DataFrame, batch: str = "batch") -> DataFrame:
+    """The arithmetic of :func:`batch_bounds` on ``(batch, n_distinct, m, ttr_sum)``
+    rows, one per distinct token set."""
     d = F.col("n_distinct")
-    hist = set_groups(stats, batch).groupBy(batch, "n_distinct").agg(
+    hist = sets.groupBy(batch, "n_distinct").agg(
         F.sum("m").alias("c"),
-        F.sum(F.when(d > 0, F.col("m") * (F.col("m") - 1) / 2).otherwise(F.lit(0.0))).alias("lo_part"),
+        F.sum(F.when(d > 0, _pairs("m")).otherwise(F.lit(0.0))).alias("lo_part"),
         F.sum("ttr_sum").alias("ttr_sum"))
     w = Window.partitionBy(batch).orderBy("n_distinct").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_below", F.coalesce(F.sum(F.col("c") * d).over(w), F.lit(0)))
-    contrib = F.when(d > 0, F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * F.col("_below") / d).otherwise(F.lit(0.0))
+    contrib = F.when(d > 0, _pairs("c") + _dbl("c") * F.col("_below") / d).otherwise(F.lit(0.0))
     agg = hist.groupBy(batch).agg(F.sum("c").alias("n"), F.sum("ttr_sum").alias("ttr_sum"),
                                   F.sum("lo_part").alias("lo_num"), F.sum(contrib).alias("hi_num"))
     pairs = _pairs(F.col("n"))
@@ -150,10 +164,10 @@ def pair_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
     h = h.withColumn("_smaller", F.coalesce(F.sum("c").over(w), F.lit(0)))
     size = F.col("n_distinct").cast("double")
     per_size = h.groupBy(batch, "n_distinct").agg(
-        F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("w_s"),
-        F.sum(F.col("c") * F.col("_smaller") / size).alias("x_s"))
+        F.sum(_pairs("c")).alias("w_s"),
+        F.sum(_dbl("c") * F.col("_smaller") / size).alias("x_s"))
     sizes = stats.groupBy(batch, "n_distinct").agg(F.count(F.lit(1)).alias("n_s"))
-    p_s = F.col("n_s") * (F.col("n_s") - 1) / 2
+    p_s = _pairs("n_s")
     ibar = F.col("w_s") / p_s
     lo_part = F.when((p_s > 0) & (size > 0), p_s * ibar / (F.lit(2.0) * size - ibar)).otherwise(F.lit(0.0))
     hi_part = F.when(size > 0, F.col("w_s") / size + F.col("x_s")).otherwise(F.lit(0.0))
@@ -187,7 +201,7 @@ def _collisions(sig: DataFrame, num_hashes: int, batch: str = "batch") -> DataFr
     stacked = sig.select(batch, F.posexplode(F.array(*[F.col(f"mh_{i}") for i in range(num_hashes)]))
                          .alias("k", "mh"))
     return (stacked.groupBy(batch, "k", "mh").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy(batch).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("coll")))
+            .groupBy(batch).agg(F.sum(_pairs("c")).alias("coll")))
 
 
 def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:

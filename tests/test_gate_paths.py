@@ -96,3 +96,18 @@ def test_both_modes_share_the_decision_ladder(spark):
         assert und[b]["decided_by"] == alls[b]["decided_by"]
         assert und[b]["is_spam"] == alls[b]["is_spam"]
     assert alls["u"]["decided_by"] == "pair_upper_bound"
+
+
+def test_counts_of_a_huge_batch_do_not_overflow(spark):
+    # A batch of 6e9 reviews: C(n, 2) and c * below pass 2^63, which ANSI
+    # BIGINT arithmetic would reject.
+    sets = spark.createDataFrame(
+        [("h", "k1", 3, 4_000_000_000, 0.3 * 4e9), ("h", "k2", 5, 2_000_000_000, 0.2 * 2e9)],
+        "batch string, _set string, n_distinct int, m bigint, ttr_sum double")
+    r = spam.bounds_from_sets(sets).collect()[0]
+    n = 6e9
+    pairs = n * (n - 1) / 2
+    lo = (4e9 * (4e9 - 1) / 2 + 2e9 * (2e9 - 1) / 2) / pairs
+    hi = (4e9 * (4e9 - 1) / 2 + 2e9 * (2e9 - 1) / 2 + 2e9 * (4e9 * 3) / 5) / pairs
+    assert r["n"] == 6_000_000_000
+    assert abs(r["jaccard_lo"] - lo) < 1e-12 and abs(r["jaccard_hi"] - hi) < 1e-12
