@@ -336,4 +336,7 @@ def drop_spam_batches(reviews: DataFrame, gate: DataFrame, batch: str = "batch",
     keys, n = _broadcast_if_small(flagged, batch)
     if n == 0:
         return reviews
-    return reviews.join(keys, batch, "left_anti")
+    # null-safe: a NULL batch key is a batch of its own in the gate's
+    # aggregates, so a flagged NULL batch must be excluded too
+    keys = keys.withColumnRenamed(batch, "_flagged")
+    return reviews.join(keys, reviews[batch].eqNullSafe(keys["_flagged"]), "left_anti")

@@ -124,7 +124,8 @@ gate_prod AS (SELECT batch, n, avg_ttr, is_spam, decided_by,
                      CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN hi1 ELSE jaccard_hi END AS jaccard_hi,
                      CASE WHEN decided_by = 'estimate' THEN avg_jaccard END AS avg_jaccard
               FROM gate),
-clean AS (SELECT * FROM {src} WHERE batch NOT IN (SELECT batch FROM gate WHERE is_spam))"""
+clean AS (SELECT * FROM {src} r
+          WHERE NOT EXISTS (SELECT 1 FROM gate g WHERE g.is_spam AND g.batch IS NOT DISTINCT FROM r.batch))"""
 
 
 def gate_expr(aspect: str, low: str = "low") -> str:

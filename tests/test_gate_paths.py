@@ -111,3 +111,13 @@ def test_counts_of_a_huge_batch_do_not_overflow(spark):
     hi = (4e9 * (4e9 - 1) / 2 + 2e9 * (2e9 - 1) / 2 + 2e9 * (4e9 * 3) / 5) / pairs
     assert r["n"] == 6_000_000_000
     assert abs(r["jaccard_lo"] - lo) < 1e-12 and abs(r["jaccard_hi"] - hi) < 1e-12
+
+
+def test_flagged_null_batch_is_dropped(spark):
+    spam_text = "great great great great great"
+    rows = [(i, None, spam_text) for i in range(1, 5)] + [(10, "b", "the nurses were kind"),
+                                                          (11, "b", "doctor was rude")]
+    df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
+    out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"), gate_materialized=True)
+    assert sorted(r["review_id"] for r in out.collect()) == [10, 11]
+    assert "BroadcastHashJoin" in _plan(out)
