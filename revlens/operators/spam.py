@@ -86,6 +86,22 @@ def _dbl(c):
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def _join_batch(left: DataFrame, right: DataFrame, batch: str, how: str, *also: str,
+                broadcast: bool = False) -> DataFrame:
+    """Join on the batch key (plus ``also`` columns) with NULL-safe equality on
+    the batch: the gate's aggregates treat a NULL batch as a batch of its own,
+    so every join between their results must too."""
+    r = right.withColumnRenamed(batch, "_jb")
+    for c in also:
+        r = r.withColumnRenamed(c, f"_j_{c}")
+    if broadcast:
+        r = F.broadcast(r)
+    cond = left[batch].eqNullSafe(r["_jb"])
+    for c in also:
+        cond = cond & (left[c] == r[f"_j_{c}"])
+    return left.join(r, cond, how).drop("_jb", *[f"_j_{c}" for c in also])
+
+
 def _pairs(n):
     """C(n, 2). Counts are products of row counts: at a third of a 100 TB
     table they pass 2^63, which ANSI BIGINT arithmetic rejects, so they are
@@ -171,7 +187,7 @@ def pair_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
     ibar = F.col("w_s") / p_s
     lo_part = F.when((p_s > 0) & (size > 0), p_s * ibar / (F.lit(2.0) * size - ibar)).otherwise(F.lit(0.0))
     hi_part = F.when(size > 0, F.col("w_s") / size + F.col("x_s")).otherwise(F.lit(0.0))
-    per = (sizes.join(per_size, [batch, "n_distinct"], "left").na.fill(0.0, ["w_s", "x_s"])
+    per = (_join_batch(sizes, per_size, batch, "left", "n_distinct").na.fill(0.0, ["w_s", "x_s"])
            .groupBy(batch).agg(F.sum("n_s").alias("n"), F.sum(lo_part).alias("lo_num"),
                                F.sum(hi_part).alias("hi_num")))
     pairs = _pairs(F.col("n"))
@@ -210,7 +226,7 @@ def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, bat
     coll = _collisions(minhash_signatures(stats, num_hashes, batch), num_hashes, batch)
     n = stats.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
     pairs = _pairs(F.col("n"))
-    return (n.join(coll, batch, "left")
+    return (_join_batch(n, coll, batch, "left")
             .select(batch, "n", F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes))
                     .otherwise(F.lit(0.0)).alias("jaccard_est")))
 
@@ -221,14 +237,12 @@ def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, bat
 MAX_BROADCAST_BYTES = 64 << 20
 
 
-def _broadcast_if_small(keys: DataFrame, col: str) -> tuple[DataFrame, int]:
-    """``(keys or broadcast(keys), row count)`` for a materialised key list:
-    broadcast only when its measured size is within MAX_BROADCAST_BYTES."""
+def _broadcast_if_small(keys: DataFrame, col: str) -> tuple[DataFrame, int, bool]:
+    """``(keys, row count, broadcast?)`` for a materialised key list: broadcast
+    only when its measured size is within MAX_BROADCAST_BYTES."""
     row = keys.agg(F.count(F.lit(1)).alias("n"),
                    F.coalesce(F.sum(F.octet_length(col) + F.lit(16)), F.lit(0)).alias("bytes")).collect()[0]
-    if row["bytes"] <= MAX_BROADCAST_BYTES:
-        return F.broadcast(keys), row["n"]
-    return keys, row["n"]
+    return keys, row["n"], row["bytes"] <= MAX_BROADCAST_BYTES
 
 
 def _decide(base: DataFrame, ttr_threshold: float, jaccard_threshold: float) -> DataFrame:
@@ -246,7 +260,7 @@ def _tighten(base: DataFrame, pb: DataFrame, batch: str, jaccard_threshold: floa
     batches still marked ``estimate`` that the tighter bounds decide."""
     lo = F.greatest("jaccard_lo", F.coalesce("pair_lo", "jaccard_lo"))
     hi = F.least("jaccard_hi", F.coalesce("pair_hi", "jaccard_hi"))
-    out = base.join(pb.drop("n"), batch, "left").withColumn("jaccard_lo", lo).withColumn("jaccard_hi", hi)
+    out = _join_batch(base, pb.drop("n"), batch, "left").withColumn("jaccard_lo", lo).withColumn("jaccard_hi", hi)
     lo3, hi3 = F.round("jaccard_lo", 3), F.round("jaccard_hi", 3)
     still_open = F.col("decided_by") == "estimate"
     return out.withColumn(
@@ -287,25 +301,27 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
     pairs = _pairs(F.col("n"))
     if estimate == "all":
         base = _tighten(base, pair_bounds(stats, batch), batch, jaccard_threshold)
-        out = base.join(_collisions_of(stats, num_hashes, batch), batch, "left")
+        out = _join_batch(base, _collisions_of(stats, num_hashes, batch), batch, "left")
         est = F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes)).otherwise(F.lit(0.0))
     else:
         base = materialize(base)
-        open_batches, n_open = _broadcast_if_small(base.where(F.col("decided_by") == "estimate").select(batch), batch)
+        open_batches, n_open, small = _broadcast_if_small(
+            base.where(F.col("decided_by") == "estimate").select(batch), batch)
         if n_open > 0:
             # phase 2: exact pair bounds for the open batches only
-            in2 = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
+            in2 = review_token_stats(_join_batch(reviews, open_batches, batch, "left_semi", broadcast=small), text_col,
                                      keys=(batch, "review_id"))
             base = materialize(_tighten(base, pair_bounds(in2, batch), batch, jaccard_threshold))
-            open_batches, n_open = _broadcast_if_small(
+            open_batches, n_open, small = _broadcast_if_small(
                 base.where(F.col("decided_by") == "estimate").select(batch), batch)
         if n_open == 0:
             out = base.withColumn("coll", F.lit(None).cast("double"))
         else:
             # phase 3: MinHash only where no exact bound settles the batch
-            est_in = review_token_stats(reviews.join(open_batches, batch, "left_semi"), text_col,
+            est_in = review_token_stats(_join_batch(reviews, open_batches, batch, "left_semi", broadcast=small),
+                                        text_col,
                                         keys=(batch, "review_id"))
-            out = materialize(base.join(_collisions_of(est_in, num_hashes, batch), batch, "left"))
+            out = materialize(_join_batch(base, _collisions_of(est_in, num_hashes, batch), batch, "left"))
         est = F.when(F.col("decided_by") == "estimate",
                      F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes))
                      .otherwise(F.lit(0.0)))
@@ -333,10 +349,9 @@ def drop_spam_batches(reviews: DataFrame, gate: DataFrame, batch: str = "batch",
     flagged = gate.where(F.col("is_spam")).select(batch)
     if not gate_materialized:
         flagged = materialize(flagged)
-    keys, n = _broadcast_if_small(flagged, batch)
+    keys, n, small = _broadcast_if_small(flagged, batch)
     if n == 0:
         return reviews
     # null-safe: a NULL batch key is a batch of its own in the gate's
     # aggregates, so a flagged NULL batch must be excluded too
-    keys = keys.withColumnRenamed(batch, "_flagged")
-    return reviews.join(keys, reviews[batch].eqNullSafe(keys["_flagged"]), "left_anti")
+    return _join_batch(reviews, keys, batch, "left_anti", broadcast=small)

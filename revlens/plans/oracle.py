@@ -75,7 +75,7 @@ hi AS (SELECT batch, sum(CASE WHEN d > 0 THEN c * (c - 1) / 2 + c * below / d EL
 bounds AS (SELECT hi.batch, hi.n,
               CASE WHEN hi.n * (hi.n - 1) / 2 > 0 THEN coalesce(lo.lo_num, 0) / (hi.n * (hi.n - 1) / 2) ELSE 0.0 END AS jaccard_lo,
               CASE WHEN hi.n * (hi.n - 1) / 2 > 0 THEN hi.hi_num / (hi.n * (hi.n - 1) / 2) ELSE 0.0 END AS jaccard_hi
-           FROM hi LEFT JOIN lo ON hi.batch = lo.batch),
+           FROM hi LEFT JOIN lo ON hi.batch IS NOT DISTINCT FROM lo.batch),
 hp(k, a, b) AS (VALUES {hp}),
 post AS (SELECT batch, review_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {p} AS x
          FROM (SELECT batch, review_id, unnest(tset) AS t FROM st)),
@@ -86,7 +86,7 @@ coll AS (SELECT batch, sum(c * (c - 1) / 2) AS coll
 est AS (SELECT bt.batch, bt.n,
            CASE WHEN bt.n * (bt.n - 1) / 2 > 0 THEN coalesce(coll.coll, 0) / (bt.n * (bt.n - 1) / 2 * {DEFAULT_NUM_HASHES})
                 ELSE 0.0 END AS jaccard_est
-        FROM bt LEFT JOIN coll ON bt.batch = coll.batch),
+        FROM bt LEFT JOIN coll ON bt.batch IS NOT DISTINCT FROM coll.batch),
 ph AS (SELECT batch, t, s, count(*) AS c
        FROM (SELECT batch, n_distinct AS s, unnest(tset) AS t FROM st) GROUP BY batch, t, s),
 ph2 AS (SELECT batch, t, s, c, coalesce(sum(c) OVER (PARTITION BY batch, t ORDER BY s
@@ -95,7 +95,7 @@ pws AS (SELECT batch, s, sum(c * (c - 1) / 2) AS w_s, sum(c * smaller / s) AS x_
 psz AS (SELECT batch, n_distinct AS s, count(*) AS n_s FROM st GROUP BY batch, n_distinct),
 pb0 AS (SELECT psz.batch, psz.s, psz.n_s, psz.n_s * (psz.n_s - 1) / 2 AS p_s,
                coalesce(pws.w_s, 0.0) AS w_s, coalesce(pws.x_s, 0.0) AS x_s
-        FROM psz LEFT JOIN pws ON psz.batch = pws.batch AND psz.s = pws.s),
+        FROM psz LEFT JOIN pws ON psz.batch IS NOT DISTINCT FROM pws.batch AND psz.s = pws.s),
 pb AS (SELECT batch, sum(n_s) AS n,
               sum(CASE WHEN p_s > 0 AND s > 0 THEN p_s * (w_s / p_s) / (2.0 * s - w_s / p_s) ELSE 0.0 END) AS lo_num,
               sum(CASE WHEN s > 0 THEN w_s / s + x_s ELSE 0.0 END) AS hi_num
@@ -107,14 +107,14 @@ pair AS (SELECT batch, n,
 tb AS (SELECT b.batch, b.jaccard_lo AS lo1, b.jaccard_hi AS hi1,
               greatest(b.jaccard_lo, coalesce(p.pair_lo, b.jaccard_lo)) AS jaccard_lo,
               least(b.jaccard_hi, coalesce(p.pair_hi, b.jaccard_hi)) AS jaccard_hi
-       FROM bounds b LEFT JOIN pair p ON b.batch = p.batch),
+       FROM bounds b LEFT JOIN pair p ON b.batch IS NOT DISTINCT FROM p.batch),
 gate0 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.lo1, b.hi1, b.jaccard_lo, b.jaccard_hi, e.jaccard_est,
              CASE WHEN bt.avg_ttr > 0.2 THEN 'ttr' WHEN round(b.lo1, 3) >= 0.8 THEN 'lower_bound'
                   WHEN round(b.hi1, 3) < 0.8 THEN 'upper_bound'
                   WHEN round(b.jaccard_lo, 3) >= 0.8 THEN 'pair_lower_bound'
                   WHEN round(b.jaccard_hi, 3) < 0.8 THEN 'pair_upper_bound' ELSE 'estimate' END AS decided_by,
              round(least(greatest(e.jaccard_est, b.jaccard_lo), b.jaccard_hi), 3) AS avg_jaccard
-          FROM bt JOIN tb b ON bt.batch = b.batch JOIN est e ON bt.batch = e.batch),
+          FROM bt JOIN tb b ON bt.batch IS NOT DISTINCT FROM b.batch JOIN est e ON bt.batch IS NOT DISTINCT FROM e.batch),
 gate AS (SELECT *, CASE WHEN decided_by = 'ttr' THEN false
                         WHEN decided_by IN ('lower_bound', 'pair_lower_bound') THEN true
                         WHEN decided_by IN ('upper_bound', 'pair_upper_bound') THEN false

@@ -121,3 +121,30 @@ def test_flagged_null_batch_is_dropped(spark):
     out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"), gate_materialized=True)
     assert sorted(r["review_id"] for r in out.collect()) == [10, 11]
     assert "BroadcastHashJoin" in _plan(out)
+
+
+def test_null_batch_goes_down_the_same_ladder(spark):
+    rows_u = [(i, None, r) for i, r in enumerate(["a a a a a"] * 5 + ["b b b b b"] * 5)]
+    rows_o = [(100 + i, "o", _rep(x)) for i, x in enumerate(["c f g h"] * 7 + ["c g h"] * 2 + ["c f h"])]
+    df = spark.createDataFrame(rows_u + rows_o, "review_id long, batch string, reviews string")
+    for mode in ("undecided", "all"):
+        got = {r["batch"]: r for r in spam.spam_gate(df, estimate=mode).collect()}
+        assert got[None]["decided_by"] == "pair_upper_bound" and got[None]["n"] == 10
+        assert got["o"]["decided_by"] == "estimate" and abs(got["o"]["avg_jaccard"] - 0.861) < 0.08
+    # the same open batch under a NULL key gets the same estimate
+    df_null = spark.createDataFrame([(i, None, r) for i, _, r in rows_o], "review_id long, batch string, reviews string")
+    g = spam.spam_gate(df_null, estimate="undecided").collect()[0]
+    assert g["decided_by"] == "estimate" and g["avg_jaccard"] == got["o"]["avg_jaccard"]
+
+
+def test_explicit_broadcast_without_auto_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = _mixed(spark)
+        out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"), gate_materialized=True)
+        assert sorted(r["review_id"] for r in out.collect()) == [100, 101, 102]
+        assert "BroadcastHashJoin" in _plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
