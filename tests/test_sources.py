@@ -109,3 +109,36 @@ def test_results_csv_sink(spark, tmp_path):
     src.write_results_csv(df, out)
     back = spark.read.option("header", True).option("escape", '"').csv(out).collect()[0]
     assert back["Reviews"] == 'a "q"' and back["Formatted Review"] == "the $T$"
+
+
+def test_staging_roundtrip_and_full_run(spark, tmp_path):
+    from revlens.operators import masking
+    from revlens.plans import flow
+
+    rows = [(i, "h1", t) for i, t in enumerate(["The nurses were kind", "The Doctor was rude; doctors ok",
+                                                "Clean ICU, room access was slow", None])]
+    rows += [(10 + i, "spam", "great " * 10 + "hospital") for i in range(6)]
+    df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
+    staged = str(tmp_path / "staged")
+    src.write_staging(df, staged)
+    back = spark.read.parquet(staged)
+    assert sorted(back.columns) == sorted(df.columns) and back.count() == df.count()
+
+    paths = flow.run_and_write(spark, back, str(tmp_path / "out"))
+    gate = {r["batch"]: r for r in spark.read.parquet(paths["batch_spam"]).collect()}
+    assert gate["spam"]["is_spam"] and not gate["h1"]["is_spam"]
+    roll = spark.read.parquet(paths["aspect_rollup"])
+    assert roll.count() == 6 and {r["batch"] for r in roll.collect()} == {"h1"}
+    res = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(
+        paths["sentiment_results"])
+    assert res.columns == masking.EXPORT_COLUMNS
+    assert res.count() > 0 and res.where("Reviews LIKE 'great%'").count() == 0
+
+
+def test_empty_export_keeps_schema(spark):
+    from revlens.operators import masking
+    from revlens.plans import flow
+
+    df = spark.createDataFrame([(1, "b", "no keyword here at all")], "review_id long, batch string, reviews string")
+    out = masking.export_frame(masking.masked_rows(flow.score_reviews(df)))
+    assert out.columns == masking.EXPORT_COLUMNS and out.count() == 0
