@@ -56,12 +56,28 @@ def get_spark(master: str | None = None, app: str = "revlens", shuffle_partition
     return spark
 
 
+def _has_context(spark: SparkSession) -> bool:
+    """False on a Spark Connect session, which has no SparkContext / RDD API."""
+    try:
+        spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Connect raises its own not-supported error
+        return False
+    return True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session. Only a local master (tests, single-machine runs)
     may fall back to a private folder; on a cluster a machine-local folder
-    would not be visible to other executors, so an unset setting is an error."""
+    would not be visible to other executors, so an unset setting is an error.
+    On a Spark Connect session the server owns the folder; its setting is
+    returned as is."""
+    if not _has_context(spark):
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by all executors")
+        return d
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
@@ -99,6 +115,8 @@ def spread(df, key: str | None = None, min_partitions: int | None = None):
     (deterministic on task retry, no sort needed). Large inputs are already
     split into many tasks and pass through untouched -- no shuffle."""
     spark = df.sparkSession
+    if not _has_context(spark):
+        return df  # Spark Connect: no partition count to inspect; the scan's splits stand
     target = min_partitions or 2 * spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
