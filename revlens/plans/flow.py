@@ -76,12 +76,18 @@ def analyze(reviews: DataFrame, scorer=None, text_col: str = "reviews", batch: s
 
 
 def run_and_write(spark: SparkSession, reviews: DataFrame, out_dir: str, scorer=None,
-                  text_col: str = "reviews", batch: str = "batch") -> dict[str, str]:
+                  text_col: str = "reviews", batch: str = "batch",
+                  gate_estimate: str = "undecided") -> dict[str, str]:
     """Materialise a full run. The scored reviews are written once (a table in
     the shared checkpoint folder cuts the lineage and survives lost executors);
-    rollup and masked rows are then derived from that table."""
+    rollup and masked rows are then derived from that table.
+
+    ``gate_estimate='undecided'`` (default) runs the phased gate: later rungs
+    only for batches still open. ``'all'`` also reports every rung and the
+    MinHash estimate for every batch, at the cost of a token-level pass over
+    all of them; the decisions are the same."""
     nn = drop_null_reviews(reviews, text_col)
-    gate = spam.spam_gate(nn, text_col, batch, estimate="all")
+    gate = spam.spam_gate(nn, text_col, batch, estimate=gate_estimate)
     gate_path = f"{out_dir}/batch_spam"
     gate.write.mode("overwrite").parquet(gate_path)
     gate = spark.read.parquet(gate_path)
