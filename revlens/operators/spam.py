@@ -14,6 +14,11 @@ all n(n-1)/2 pairs; we never materialise those pairs. Instead:
   Upper bound ``U``: J(A,B) <= min(|A|,|B|) / max(|A|,|B|); summed over pairs
   from the histogram of set sizes with a running sum -- the window runs over
   distinct sizes per batch, not over reviews.
+* **tighter exact bounds, linear in the token postings** (:func:`pair_bounds`):
+  Σ over pairs of |A∩B| = Σ_t C(df_t, 2), split by set size; J = I/(a+b-I)
+  is convex in I, so the chord gives J <= I/max(a,b) and Jensen within a size
+  class a lower bound. Windows run over the sizes of one token, never over
+  its reviews.
 * **estimate, linear work.** MinHash (Broder 1997): for a random hash h,
   P[min h(A) = min h(B)] = J(A,B), so the mean over pairs equals
   E_h[Σ_buckets C(c,2)] / C(n,2) where buckets group the batch by min-hash.
@@ -22,9 +27,10 @@ all n(n-1)/2 pairs; we never materialise those pairs. Instead:
   per (k, min-hash) bucket. Unbiased; standard error about 1/sqrt(K) per pair,
   far less for the batch mean.
 
-The gate decision is exact whenever the bounds decide it (TTR above the
-threshold; ``round(L) >= 0.8``; ``round(U) < 0.8``) and falls back to the
-estimate (clamped into [L, U]) only in between. ``decided_by`` says which.
+The gate decision is exact whenever a rung decides it (TTR above the
+threshold; a rounded lower bound >= 0.8; a rounded upper bound < 0.8) and
+falls back to the estimate (clamped into the tightest [L, U]) only in
+between. ``decided_by`` names the rung.
 
 Exclusion of flagged batches (JON-6) is an anti join whose broadcast side is
 materialised and measured first (see :func:`drop_spam_batches`).
