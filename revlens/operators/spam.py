@@ -229,7 +229,7 @@ def _collisions(sig: DataFrame, num_hashes: int, batch: str = "batch") -> DataFr
 def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:
     """AGG-4b: MinHash estimate of the mean pairwise Jaccard per batch
     (``jaccard_est``, unrounded) with the batch size ``n``."""
-    coll = _collisions(minhash_signatures(stats, num_hashes, batch), num_hashes, batch)
+    coll = _collisions_of(stats, num_hashes, batch)
     n = stats.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
     pairs = _pairs(F.col("n"))
     return (_join_batch(n, coll, batch, "left")
