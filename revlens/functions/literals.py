@@ -74,3 +74,11 @@ def struct_array(rows: list[tuple], names: tuple[str, ...], empty_type: str | No
         return F.expr(f"array({body})")
     except _Unquotable:
         return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r)]) for r in rows])
+
+
+def sql_literal(value) -> str | None:
+    """SQL text of a constant, or None when plain quoting cannot carry it."""
+    try:
+        return _sql(value)
+    except _Unquotable:
+        return None

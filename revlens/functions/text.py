@@ -93,7 +93,13 @@ def keyword_hits(low, words, keywords: list[str]) -> Column:
 
 
 def any_substring(low, keywords: list[str]) -> Column:
-    """TXT-2: ``any(kw in low for kw in keywords)`` as a short-circuit OR chain."""
+    """TXT-2: ``any(kw in low for kw in keywords)`` as a short-circuit OR chain
+    (one SQL expression when ``low`` is a column name, else built term by term)."""
+    if not keywords:
+        return F.lit(False)
+    quoted = [L.sql_literal(k) for k in keywords]
+    if isinstance(low, str) and "`" not in low and all(q is not None for q in quoted):
+        return F.expr(" OR ".join(f"contains(`{low}`, {q})" for q in quoted))
     low_c = col(low)
     out = F.lit(False)
     for k in keywords:
