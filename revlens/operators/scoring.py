@@ -68,9 +68,24 @@ MAX_LITERAL_WEIGHTS = 5000
 PRESENT = tagging.PRESENT
 
 
+def _label_sql(name: str, threshold: float) -> str:
+    lg = f"`{name}`"
+    labels = ", ".join(f"'{x}'" for x in SENTIMENT_LABELS)
+    return (f"CASE WHEN {_confidence_sql(name)} < {float(threshold)!r}D THEN 'Neutral' "
+            f"ELSE element_at(array({labels}), CAST(array_position({lg}, array_max({lg})) AS INT)) END")
+
+
+def _confidence_sql(name: str) -> str:
+    lg = f"`{name}`"
+    return f"(1.0D / aggregate({lg}, 0.0D, (acc, x) -> acc + exp(CAST(x AS DOUBLE) - array_max({lg}))))"
+
+
 def label_from_logits(logits, threshold: float = CONFIDENCE_THRESHOLD) -> Column:
     """SCR-1: softmax -> argmax (first max wins) -> label; ``Neutral`` below the
-    confidence threshold (cannot fire for three classes, kept as a parameter)."""
+    confidence threshold (cannot fire for three classes, kept as a parameter).
+    A column name is rendered as one SQL expression (one JVM call)."""
+    if isinstance(logits, str) and "`" not in logits:
+        return F.expr(_label_sql(logits, threshold))
     lg = T.col(logits)
     m = F.array_max(lg)
     idx = F.array_position(lg, m)
@@ -81,6 +96,8 @@ def label_from_logits(logits, threshold: float = CONFIDENCE_THRESHOLD) -> Column
 
 def confidence(logits) -> Column:
     """Largest softmax probability: 1 / Σ exp(x - max)."""
+    if isinstance(logits, str) and "`" not in logits:
+        return F.expr(_confidence_sql(logits))
     lg = T.col(logits)
     m = F.array_max(lg)
     denom = F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - m))
@@ -122,23 +139,32 @@ class LinearScorer:
         if not tab:
             return F.array(*[F.lit(float(b)) for b in self.bias])
         keys = sorted(tab)
+        maps = [{t: int(tab[t][c]) for t in keys} for c in range(3)]
+        quoted = [L.sql_literal(m) for m in maps]
+        if isinstance(present, str) and "`" not in present and all(q is not None for q in quoted):
+            # one SQL expression: three integer sums of the token weights
+            parts = [f"CAST(aggregate(`{present}`, {int(self.bias[c])}, "
+                     f"(acc, t) -> acc + coalesce(try_element_at({quoted[c]}, t), 0)) AS DOUBLE)"
+                     for c in range(3)]
+            return F.expr("array(" + ", ".join(parts) + ")")
         cols = []
+
         def adder(m):
             return lambda acc, t: acc + F.coalesce(F.try_element_at(m, t), F.lit(0))
 
         for c in range(3):
-            m = L.const({t: int(tab[t][c]) for t in keys})
-            cols.append(F.aggregate(T.col(present), F.lit(int(self.bias[c])), adder(m)).cast("double"))
+            cols.append(F.aggregate(T.col(present), F.lit(int(self.bias[c])), adder(L.const(maps[c]))).cast("double"))
         return F.array(*cols)
 
     def apply(self, df: DataFrame, gates: dict[str, Column]) -> DataFrame:
-        """Add ``logits_<aspect>`` (NULL when not gated) and ``<aspect>`` labels."""
+        """Add ``logits_<aspect>`` (NULL when not gated) and ``<aspect>`` labels
+        (two projections, not twelve)."""
         out = df if (PRESENT in df.columns and not self.max_tokens) else df.withColumn(PRESENT, self.present_column())
-        for a in ASPECTS:
-            out = out.withColumn(f"logits_{a}", F.when(gates[a], self.logits(a)))
-        for a in ASPECTS:
-            out = out.withColumn(a, F.when(F.col(f"logits_{a}").isNotNull(),
-                                           label_from_logits(f"logits_{a}")).otherwise(F.lit("")))
+        replaced = [c for c in [f"logits_{a}" for a in ASPECTS] + ASPECTS if c in out.columns]
+        out = out.drop(*replaced)
+        out = out.select("*", *[F.when(gates[a], self.logits(a)).alias(f"logits_{a}") for a in ASPECTS])
+        out = out.select("*", *[F.when(F.col(f"logits_{a}").isNotNull(), label_from_logits(f"logits_{a}"))
+                                .otherwise(F.lit("")).alias(a) for a in ASPECTS])
         return out.drop(PRESENT)
 
 
