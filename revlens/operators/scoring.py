@@ -10,8 +10,9 @@ interface with three implementations:
 * :class:`PipelineScorer` -- one fitted ``pyspark.ml`` ``PipelineModel`` per
   aspect, run in the JVM;
 * :class:`ModelScorer` -- any per-aspect model supplied as a loader callable,
-  run with ``mapInPandas`` over Arrow batches; each Python worker loads the
-  models once and scores only gated (review, aspect) pairs.
+  run in an Arrow-batched pandas UDF that receives only the text and the gate
+  flags; models are loaded once per task and score only gated (review,
+  aspect) pairs.
 
 Both produce, per review, six label columns (``""`` when the aspect is not
 gated) and a ``sentiment`` map, the shape of the reference's ``/predict``.
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import sys
 
-from typing import Callable, Iterable
+from typing import Callable, Iterator, Tuple
+
+import pandas as pd
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -171,10 +174,13 @@ class LinearScorer:
 class ModelScorer:
     """SCR-2(c): per-aspect models run in Python workers over Arrow batches.
 
-    ``load`` is called once per worker process and returns ``{aspect: fn}``
-    where ``fn(list[str]) -> array-like (n, 3)`` of logits. Aspects without a
-    model get ``Neutral`` (SCR-4). Texts are passed in original case;
-    truncation to ``max_length`` model tokens is the model's business (SCR-3).
+    ``load`` is called once per task's batch iterator and returns
+    ``{aspect: fn}`` where ``fn(list[str]) -> array-like (n, 3)`` of logits.
+    Aspects without a model get ``Neutral`` (SCR-4). Texts are passed in
+    original case; truncation to ``max_length`` model tokens is the model's
+    business (SCR-3). Only the text and the six gate flags cross into Python
+    (a scalar-iterator pandas UDF returning a struct of labels); every other
+    column stays in the JVM, and each model sees only its gated texts.
     """
 
     def __init__(self, load: Callable[[], dict], threshold: float = CONFIDENCE_THRESHOLD):
@@ -182,28 +188,26 @@ class ModelScorer:
         self.threshold = threshold
 
     def apply(self, df: DataFrame, gates: dict[str, Column], text_col: str = "reviews") -> DataFrame:
-        flagged = df
-        for a in ASPECTS:
-            flagged = flagged.withColumn(f"_g_{a}", gates[a])
-        schema = Ty.StructType(list(flagged.schema.fields) +
-                               [Ty.StructField(a, Ty.StringType(), False) for a in ASPECTS])
         load, thr = self.load, self.threshold
+        label_type = Ty.StructType([Ty.StructField(a, Ty.StringType(), False) for a in ASPECTS])
 
-        def run(batches: Iterable):
+        @F.pandas_udf(label_type)
+        def run(batches: Iterator[Tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
             import numpy as np
             models = None
-            for pdf in batches:
+            for texts, flags in batches:
                 if models is None:
                     models = load()
+                labels_by_aspect = {}
                 for a in ASPECTS:
-                    gate = pdf[f"_g_{a}"].fillna(False).to_numpy(dtype=bool)
-                    labels = np.full(len(pdf), "", dtype=object)
+                    gate = flags[a].fillna(False).to_numpy(dtype=bool)
+                    labels = np.full(len(texts), "", dtype=object)
                     if gate.any():
                         fn = models.get(a)
                         if fn is None:
                             labels[gate] = "Neutral"
                         else:
-                            lg = np.asarray(fn(pdf.loc[gate, text_col].astype(str).tolist()), dtype=float)
+                            lg = np.asarray(fn(texts[gate].astype(str).tolist()), dtype=float)
                             z = np.exp(lg - lg.max(axis=1, keepdims=True))
                             p = z / z.sum(axis=1, keepdims=True)
                             idx = p.argmax(axis=1)
@@ -211,11 +215,13 @@ class ModelScorer:
                             lab = np.array(SENTIMENT_LABELS, dtype=object)[idx]
                             lab[conf < thr] = "Neutral"
                             labels[gate] = lab
-                    pdf[a] = labels
-                yield pdf
+                    labels_by_aspect[a] = labels
+                yield pd.DataFrame(labels_by_aspect)
 
-        out = flagged.mapInPandas(run, schema)
-        return out.drop(*[f"_g_{a}" for a in ASPECTS])
+        flags = F.struct(*[gates[a].alias(a) for a in ASPECTS])
+        out = df.drop(*[a for a in ASPECTS if a in df.columns])
+        out = out.withColumn("_labels", run(F.col(text_col), flags))
+        return out.select("*", *[F.col("_labels")[a].alias(a) for a in ASPECTS]).drop("_labels")
 
 
 class PipelineScorer:
