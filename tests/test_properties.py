@@ -204,3 +204,35 @@ def test_scanner_boundaries():
     assert sc.scan("rs,wi-fi") == (1, ["rs", "wi-fi"])
     assert sc.scan("édoc doc_x doc") == (0, ["doc"])
     assert re.fullmatch(r"\w", "é") and is_word_char("é") and not is_word_char("-")
+
+
+_set_lists = st.lists(st.lists(st.sampled_from(list("abcdef")), max_size=5), min_size=1, max_size=12)
+
+
+@settings(max_examples=25, deadline=None)
+@given(batches=st.lists(_set_lists, min_size=1, max_size=3))
+def test_all_exact_bounds_bracket_the_mean(spark, batches):
+    rows = [(i, f"b{b}", " ".join(toks)) for b, sets in enumerate(batches) for i, toks in enumerate(sets)]
+    df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
+    stats = spam.review_token_stats(df)
+    first = {r["batch"]: r for r in spam.jaccard_bounds(stats).collect()}
+    pair = {r["batch"]: r for r in spam.pair_bounds(stats).collect()}
+    for b, sets in enumerate(batches):
+        exact = exact_mean_jaccard([" ".join(t) for t in sets])
+        f, p = first[f"b{b}"], pair[f"b{b}"]
+        assert f["jaccard_lo"] - 1e-9 <= exact <= f["jaccard_hi"] + 1e-9
+        assert p["pair_lo"] - 1e-9 <= exact <= p["pair_hi"] + 1e-9
+
+
+def test_gate_partition_invariance(spark):
+    rng = random.Random(3)
+    rows = []
+    for b in range(4):
+        base = ["w%d" % rng.randrange(6) for _ in range(4)]
+        for i in range(15):
+            toks = [t for t in base if rng.random() < 0.8] * 5
+            rows.append((b * 100 + i, f"b{b}", " ".join(toks)))
+    df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
+    a = sorted(map(tuple, spam.spam_gate(df.repartition(1), estimate="all").collect()))
+    b = sorted(map(tuple, spam.spam_gate(df.repartition(7), estimate="all").collect()))
+    assert a == b
