@@ -142,3 +142,33 @@ def test_empty_export_keeps_schema(spark):
     df = spark.createDataFrame([(1, "b", "no keyword here at all")], "review_id long, batch string, reviews string")
     out = masking.export_frame(masking.masked_rows(flow.score_reviews(df)))
     assert out.columns == masking.EXPORT_COLUMNS and out.count() == 0
+
+
+def test_usage_flows(spark, tmp_path):
+    """The README's usage examples, run end to end."""
+    from revlens.operators import masking, scoring
+    from revlens.plans import flow
+
+    # E1: an uploaded file is one batch
+    up = tmp_path / "upload.csv"
+    up.write_text("Reviews,Stars\nThe nurses were kind,5\n\"Bad service, worst staff\",1\nNA,3\n", encoding="utf-8")
+    df = src.with_review_id(src.read_reviews(spark, str(up))).withColumn("batch", F.lit("upload"))
+    res = flow.analyze(df, text_col="Reviews")
+    assert res.gate.collect()[0]["is_spam"] is False
+    assert res.rollup.count() == 6
+    export = masking.export_frame(res.masked)
+    assert export.columns == masking.EXPORT_COLUMNS and export.count() >= 2
+
+    # E2: landed provider payloads, one batch per hospital
+    d = tmp_path / "landed"
+    d.mkdir()
+    body = {"data": [{"reviews_data": [{"author_title": "A", "review_text": "Clean ICU, room access was slow"},
+                                       {"author_title": "B", "review_text": "Hospitals nearby are cheap"}]}]}
+    (d / "City%20Care.json").write_text(json.dumps(body), encoding="utf-8")
+    rv = src.with_review_id(payload.read_review_payloads(spark, str(d))).withColumnRenamed("hospital_name", "batch")
+    res2 = flow.analyze(rv)
+    assert {r["batch"] for r in res2.rollup.collect()} == {"City Care"}
+
+    # E3: batch predict over a list of texts
+    got = scoring.predict(src.reviews_from_list(spark, ["The nurses were kind", "rs"])).collect()
+    assert got[0]["staff"] != "" and got[1]["staff"] == "" and got[1]["cost"] != ""
