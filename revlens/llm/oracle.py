@@ -12,3 +12,39 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """
 
 ORACLE_SQL = {"op3_exact_dedup": OP3}
+
+
+def _license_sql() -> str:
+    from . import licenses as L
+
+    words = "regexp_extract_all(translate({}, '" + L.UPPER + "', '" + L.LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    lists = []
+    for phrase, label in L.PHRASES.items():
+        ws = phrase.split()
+        test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(ws))
+        lists.append(f"list_transform(list_filter(range(len(w)), lambda i: {test}), lambda i: {{'start': i, 'label': '{label}'}})")
+    places = lists[0]
+    for x in lists[1:]:
+        places = f"list_concat({places}, {x})"
+    notices = ", ".join("([" + ", ".join(f"'{w}'" for w in sorted(set(t.split()))) + f"], '{label}')" for t, label in L.NOTICES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, {words.format('text')} AS w FROM d),
+p AS (SELECT doc_id, len(w) AS n_words, {places} AS places FROM b),
+notices(words, label) AS (VALUES {notices}),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+blocks AS (SELECT doc_id, list_distinct({words.format('line')}) AS w FROM lines),
+hits AS (SELECT doc_id, label, len(list_intersect(words, w)) / len(words) AS share
+         FROM blocks, notices WHERE len(list_intersect(words, w)) >= ceil({L.CONTAINMENT} * len(words) - 1e-9)),
+found AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS best FROM hits GROUP BY doc_id)
+SELECT p.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+       CAST(list_min(list_transform(places, lambda x: x.start)) AS BIGINT) AS first_word,
+       CAST(list_max(list_transform(places, lambda x: x.start)) AS BIGINT) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda x: x.label), coalesce(found, [])))), ',') AS labels,
+       CAST(CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS DOUBLE) AS score
+FROM p LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLE_SQL["op10_licenses"] = _license_sql()

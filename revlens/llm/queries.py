@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, token_files, toxicity
+from . import chat, exact_dedup, hyperminhash, licenses, merkle, packing, quality, sentencepiece_scan, token_files, toxicity
 from .common import load, safe_text
 
 
@@ -13,6 +13,14 @@ def op1_quality(spark, sf_dir):
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op2_chat_format(spark, sf_dir):
+    # The contract's own conversation: control strings inside both texts.
+    text = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    talks = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_conversations(talks))
+
+
 def op3_exact_dedup(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     digest = F.sha2(exact_dedup.normalised(safe_text()), 256)
@@ -28,9 +36,30 @@ def op5_packing(spark, sf_dir):
             .select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"))
 
 
+def op6_fingerprints(spark, sf_dir):
+    return merkle.compare_with_next(load(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark, sf_dir):
     path = token_files.write(load(spark, sf_dir, "documents"))
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_toxicity, op5_packing, op7_token_files)}
+def op8_near_dedup(spark, sf_dir):
+    return hyperminhash.near_dedup(load(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    encoded = sentencepiece_scan.encode(docs).withColumn("ids_crc32", F.crc32("ids"))
+    back = sentencepiece_scan.decode(encoded.withColumn("n_pieces", F.floor(F.length("ids") / 4)), keep=["n_chunks", "n_pieces", "ids_crc32"])
+    return back.select("doc_id", "n_chunks", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_chat_format, op3_exact_dedup, op4_toxicity, op5_packing, op6_fingerprints, op7_token_files,
+    op8_near_dedup, op9_sentencepiece, op10_licenses)}
