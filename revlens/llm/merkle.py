@@ -3,7 +3,7 @@
 A text is cut into paragraphs (lines); paragraphs are grouped into sections
 that end at a blank line or at a paragraph whose hash says so (about every
 eighth), so an edit moves no border far from it. The leaves below a paragraph
-are its sentences (cut after 120 characters at most). Every inner node hashes
+are its sentences (cut after 40 characters at most). Every inner node hashes
 its children; the root is the hash of the sections.
 
 The fingerprint is the tree written as text:
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, safe_text
 
 _PARAGRAPH = re.compile(r"[^\n]*\n|[^\n]+")
-_SENTENCE = re.compile(r"[^.!?\n]{1,120}[.!?\n]*|[.!?\n]+")
+_SENTENCE = re.compile(r"[^.!?\n]{1,40}[.!?\n]*|[.!?\n]+")
 # A paragraph whose hash starts with one of these ends its section.
 _BORDER = frozenset("01")
 
@@ -51,7 +51,7 @@ def fingerprint(text: str | None) -> str:
         hashes.clear()
 
     for paragraph in _PARAGRAPH.findall(text or ""):
-        leaves = [_hash(s.encode("utf-8", "surrogatepass"), 6) + f"-{len(s):x}" for s in _SENTENCE.findall(paragraph)]
+        leaves = [_hash(s.encode("utf-8", "surrogatepass"), 4) + f"-{len(s):x}" for s in _SENTENCE.findall(paragraph)]
         node = ".".join(leaves)
         h = _hash(paragraph.encode("utf-8", "surrogatepass"), 8)
         current.append(node)
@@ -74,7 +74,7 @@ def _leaves(body: str) -> Counter:
 
 
 def _size(leaf: str) -> int:
-    return int(leaf[13:], 16)
+    return int(leaf[9:], 16)
 
 
 def likeness(a: str, b: str) -> float:
