@@ -1,19 +1,20 @@
 """Near-duplicate detection with HyperMinHash.
 
-A document's set is its distinct 3-word shingles. Sketch: every shingle hash
-falls into one of ``REGISTERS`` buckets; a bucket keeps, of its smallest hash,
+A document's set is its distinct word shingles (``Rule``: five words and a
+similarity of 0.8 unless told otherwise; words are split at ASCII white space, A-Z
+folded to a-z). Sketch: every shingle hash falls into one of ``REGISTERS`` buckets; a bucket keeps, of its smallest hash,
 the number of leading zeros (6 bits) and the next ``MANTISSA`` bits. Empty
 buckets of short documents copy a full one chosen by a fixed random order, so a
 register of two documents agrees with probability equal to their Jaccard
 similarity (plus the known chance of equal compressed registers).
 
 1. Documents with equal sets are one class; its smallest doc_id stands for it.
-2. ``BAND`` registers at a time are hashed to a band key. Classes that share a
+2. ``Rule.band`` registers at a time are hashed to a band key. Classes that share a
    key are linked to the smallest class of that key; connected components of
    these links contain every candidate pair, and no pair is listed.
 3. Inside each such group pairs are compared: registers first, with the
    collision-corrected estimate, then the full shingle sets with
-   100 * intersection >= 85 * union. Groups of more than ``BLOCK`` classes are
+   100 * intersection >= percent * union. Groups of more than ``BLOCK`` classes are
    split over tasks: each block compares its own members and all members with
    a few pivots; classes that are not connected to the group's largest
    component after that are compared with every block, using what distinguishes
@@ -21,10 +22,11 @@ similarity (plus the known chance of equal compressed registers).
    follows exactly from those differences).
 4. Connected components of the confirmed links are the result.
 
-The bands miss a pair at the threshold itself with a probability below 1e-6.
+The bands miss a pair at the threshold itself with a probability below 1e-6
+(25 bands of 5 registers at 0.85, 32 bands of 4 registers at 0.8).
 
 Defined results: null and empty texts and texts without words have an empty set
-and link with nothing; fewer than three words are one shingle; rows with a null
+and link with nothing; fewer words than a shingle has are one shingle; rows with a null
 doc_id take no part (component_id null, kept); rows that repeat a doc_id are
 one document, all of its texts are in its component; an empty table gives no
 rows; texts are read whole.
@@ -32,6 +34,9 @@ rows; texts are read whole.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,13 +45,22 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, is_space, mix, safe_text, slices, small_side, staged, utf8, word_hashes
 from .components import components
 
-SHINGLE = 3
-PERCENT = 85
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, least similarity in per cent, registers of a band."""
+
+    shingle: int = 5
+    percent: int = 80
+    band: int = 4
+
+    @property
+    def bands(self) -> int:
+        return REGISTERS // self.band
+
+
 REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA = 10
-BAND = 5
-BANDS = REGISTERS // BAND
 # Chance that two registers with different minima are stored alike, for the
 # estimate; with 10 mantissa bits it is small whatever the set sizes.
 COLLISION = 0.17 / (1 << MANTISSA) * 6
@@ -68,7 +82,7 @@ def _lower(t: bytes) -> bytes:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_sets(texts) -> list[np.ndarray]:
+def shingle_sets(texts, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     words: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
     for buf, spans in slices([_lower(t) for t in utf8(texts)]):
@@ -81,14 +95,16 @@ def shingle_sets(texts) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         for parts in words:
             w = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, _U)
-            if len(w) >= SHINGLE:
-                s = w[:-2] * _U(0x9E3779B97F4A7C15) + mix(w[1:-1] * _U(0xC2B2AE3D27D4EB4F) + mix(w[2:]))
-            elif len(w):
-                s = w[:1] + _U(len(w)) + (mix(w[1:]) if len(w) > 1 else _U(0))
-            else:
-                s = w
+            if not len(w):
+                out.append(w)
+                continue
+            # A shingle's hash folds its words in order; a shorter text is folded whole.
+            n = min(width, len(w))
+            s = w[:len(w) - n + 1] + _U(n)
+            for k in range(1, n):
+                s = mix(s * _U(0x9E3779B97F4A7C15) + w[k:len(w) - n + 1 + k])
             s = np.sort(mix(s))
-            out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+            out.append(s[np.append(True, s[1:] != s[:-1])])
     return out
 
 
@@ -121,14 +137,15 @@ def registers(s: np.ndarray) -> np.ndarray:
     return regs
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def band_keys(regs: np.ndarray, band: int) -> np.ndarray:
     """One 64-bit key per band of (n, REGISTERS) registers."""
-    h = np.zeros((len(regs), BANDS), _U)
+    bands = REGISTERS // band
+    h = np.zeros((len(regs), bands), _U)
     with np.errstate(over="ignore"):
-        r = regs[:, :BANDS * BAND].reshape(len(regs), BANDS, BAND).astype(_U)
-        for k in range(BAND):
+        r = regs[:, :bands * band].reshape(len(regs), bands, band).astype(_U)
+        for k in range(band):
             h = mix(h + r[:, :, k] + _U(k + 1))
-        return mix(h + np.arange(BANDS, dtype=_U))
+        return mix(h + np.arange(bands, dtype=_U))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,15 +156,15 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out - COLLISION) / (1 - COLLISION)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n (set size), h1, h2 (hash of the set), bands."""
     bound_batches(docs.sparkSession)
 
     def task(batches):
         for pdf in batches:
-            sets = shingle_sets(list(pdf["text"]))
+            sets = shingle_sets(list(pdf["text"]), rule.shingle)
             regs = np.array([registers(s) for s in sets if len(s)], np.uint16).reshape(-1, REGISTERS)
-            keys = iter(band_keys(regs).view(np.int64))
+            keys = iter(band_keys(regs, rule.band).view(np.int64))
             with np.errstate(over="ignore"):
                 h1 = [int(s.sum(dtype=_U).view(np.int64)) if len(s) else 0 for s in sets]
                 h2 = [int(np.bitwise_xor.reduce(mix(s ^ _U(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0 for s in sets]
@@ -158,7 +175,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         task, "doc_id long, n long, h1 long, h2 long, bands array<bigint>")
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def candidate_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """Shingle sets and registers of the wanted documents: (grp, size, degree,
     rep, n, shingles, regs). ``wanted(doc_id, h1, h2, ...)`` is materialised."""
     bound_batches(docs.sparkSession)
@@ -166,7 +183,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def task(batches):
         for pdf in batches:
-            sets = shingle_sets(list(pdf["text"]))
+            sets = shingle_sets(list(pdf["text"]), rule.shingle)
             pdf = pdf.drop(columns="text")
             pdf["n"] = [len(s) for s in sets]
             pdf["shingles"] = [s.tobytes() for s in sets]
@@ -198,8 +215,8 @@ class _Union:
         return True
 
 
-def near(inter, size_a, size_b):
-    return 100 * inter >= PERCENT * (size_a + size_b - inter)
+def near(inter, size_a, size_b, percent: int):
+    return 100 * inter >= percent * (size_a + size_b - inter)
 
 
 def _matrix(sets: list[np.ndarray], vocab: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -231,21 +248,21 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def links_within(sets: list[np.ndarray], regs: np.ndarray) -> list[tuple[int, int]]:
+def links_within(sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that span the connected components of some sets."""
     n = np.array([len(s) for s in sets])
     uni, out = _Union(len(sets)), []
     if len(sets) <= 48:
-        est = estimate(regs, regs) >= PERCENT / 100 - SLACK
+        est = estimate(regs, regs) >= percent / 100 - SLACK
         for i in range(len(sets)):
             for j in np.flatnonzero(est[i, i + 1:]) + i + 1:
                 j = int(j)
-                if uni.find(i) != uni.find(j) and near(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j]):
+                if uni.find(i) != uni.find(j) and near(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j], percent):
                     uni.join(i, j)
                     out.append((i, j))
         return out
     inter = intersections(sets, sets)
-    hit = near(inter, n[:, None], n[None, :])
+    hit = near(inter, n[:, None], n[None, :], percent)
     for i, j in zip(*np.nonzero(np.triu(hit, 1))):
         if uni.join(int(i), int(j)):
             out.append((int(i), int(j)))
@@ -275,17 +292,17 @@ def _sets(col) -> list[np.ndarray]:
     return [np.frombuffer(x, _U) for x in col]
 
 
-def _small_links(batches):
+def _small_links(percent, batches):
     for g in _groups(batches, ["grp"]):
         sets = _sets(g["shingles"])
         regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(len(g), REGISTERS)
         rep = g["rep"].to_numpy()
-        found = links_within(sets, regs)
+        found = links_within(sets, regs, percent)
         if found:
             yield pd.DataFrame({"a": [int(rep[i]) for i, _ in found], "b": [int(rep[j]) for _, j in found]})
 
 
-def _block_links(batches):
+def _block_links(percent, batches):
     """Per block of a large group: links among its members and to the pivots,
     and each member's difference from the first pivot."""
     cols = ["kind", "grp", "block", "a", "b", "n", "lost", "pivot_n", "delta"]
@@ -299,12 +316,12 @@ def _block_links(batches):
         rows = []
         uni = _Union(len(sets))
         for p in pivots:
-            likely = members[estimate(regs[p][None], regs[members])[0] >= PERCENT / 100 - SLACK]
+            likely = members[estimate(regs[p][None], regs[members])[0] >= percent / 100 - SLACK]
             for i in likely:
-                if near(np.isin(sets[i], sets[p], assume_unique=True).sum(), n[i], n[p]) and uni.join(int(p), int(i)):
+                if near(np.isin(sets[i], sets[p], assume_unique=True).sum(), n[i], n[p], percent) and uni.join(int(p), int(i)):
                     rows.append(("link", grp, block, int(rep[i]), int(rep[p]), 0, 0, 0, b""))
         own = [sets[i] for i in members]
-        for i, j in links_within(own, regs[members]):
+        for i, j in links_within(own, regs[members], percent):
             if uni.join(int(members[i]), int(members[j])):
                 rows.append(("link", grp, block, int(rep[members[i]]), int(rep[members[j]]), 0, 0, 0, b""))
         hub = sets[pivots[0]]
@@ -318,7 +335,7 @@ def _block_links(batches):
         yield out
 
 
-def _cross_links(batches):
+def _cross_links(percent, batches):
     """Loose members of one block against all members of another. With c the
     pivot, |x & y| = |c| - |c-x| - |c-y| + |dx & dy|, d = difference from c."""
     for g in _groups(batches, ["grp", "left", "right"]):
@@ -330,7 +347,7 @@ def _cross_links(batches):
         na, nb = a["n"].to_numpy(), b["n"].to_numpy()
         la, lb = a["lost"].to_numpy(), b["lost"].to_numpy()
         inter = int(g["pivot_n"].iloc[0]) - la[:, None] - lb[None, :] + intersections(da, db)
-        hit = near(inter, na[:, None], nb[None, :]) & (a["a"].to_numpy()[:, None] != b["a"].to_numpy()[None, :])
+        hit = near(inter, na[:, None], nb[None, :], percent) & (a["a"].to_numpy()[:, None] != b["a"].to_numpy()[None, :])
         roots = {r: k for k, r in enumerate(pd.unique(pd.concat([a["root"], b["root"]])))}
         uni, rows = _Union(len(roots)), []
         ra, rb = a["root"].map(roots).to_numpy(), b["root"].map(roots).to_numpy()
@@ -341,7 +358,7 @@ def _cross_links(batches):
             yield pd.DataFrame(rows, columns=["a", "b"])
 
 
-def _large_group_links(large: DataFrame) -> DataFrame | None:
+def _large_group_links(large: DataFrame, rule: Rule) -> DataFrame | None:
     """Confirmed links of groups of more than BLOCK classes (materialised)."""
     spark = large.sparkSession
     if not large.limit(1).count():
@@ -359,7 +376,7 @@ def _large_group_links(large: DataFrame) -> DataFrame | None:
               .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("pivot", F.lit(True)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = staged(members.unionByName(pivots).repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
-                   .mapInPandas(_block_links, "kind string, grp long, block int, a long, b long, n long, lost long, pivot_n long, delta binary"),
+                   .mapInPandas(partial(_block_links, rule.percent), "kind string, grp long, block int, a long, b long, n long, lost long, pivot_n long, delta binary"),
                    "near-blocks")
     links = first.where("kind = 'link'").select("a", "b")
     roots = components(links)
@@ -382,11 +399,11 @@ def _large_group_links(large: DataFrame) -> DataFrame | None:
              .withColumn("left", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("loose", F.lit(False)))
     cols = ["grp", "left", "right", "loose", "a", "n", "lost", "pivot_n", "root", "delta"]
     crossed = (left.select(cols).unionByName(right.select(cols)).repartition(parts, "grp", "left", "right")
-               .sortWithinPartitions("grp", "left", "right").mapInPandas(_cross_links, "a long, b long"))
+               .sortWithinPartitions("grp", "left", "right").mapInPandas(partial(_cross_links, rule.percent), "a long, b long"))
     return links.unionByName(crossed)
 
 
-def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def link_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) over class representatives with at least one link.
     ``classes(rep, bands)`` is materialised, one row per distinct set."""
     spark = docs.sparkSession
@@ -399,21 +416,21 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     degree = met.groupBy("rep").agg(F.sum("c").alias("degree"))
     wanted = cut(groups.join(size, "root").join(degree, F.col("node") == F.col("rep"))
                  .select(F.col("node").alias("doc_id"), F.col("root").alias("grp"), "size", "degree"))
-    sets = staged(candidate_sets(docs, wanted), "near-sets")
+    sets = staged(candidate_sets(docs, wanted, rule), "near-sets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = (sets.where(F.col("size") <= BLOCK).repartition(parts, "grp").sortWithinPartitions("grp", "rep")
-             .mapInPandas(_small_links, "a long, b long"))
-    large = _large_group_links(sets.where(F.col("size") > BLOCK))
+             .mapInPandas(partial(_small_links, rule.percent), "a long, b long"))
+    large = _large_group_links(sets.where(F.col("size") > BLOCK), rule)
     return components(small if large is None else small.unionByName(large))
 
 
-def near_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    rows = staged(sketch(docs), "near-sketch")
+    rows = staged(sketch(docs, rule), "near-sketch")
     usable = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = staged(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
                                                          F.count(F.lit(1)).alias("c")), "near-classes")
-    found = cut(link_classes(docs, classes.select("rep", "bands")))
+    found = cut(link_classes(docs, classes.select("rep", "bands"), rule))
     # Only classes whose documents are not all their own representative.
     named = (classes.join(found, F.col("rep") == F.col("node"), "left")
              .select("n", "h1", "h2", "c", "rep", F.coalesce("root", "rep").alias("component_id"))
@@ -424,10 +441,10 @@ def near_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``docs`` (all columns) with one document of each component; rows that
     repeat a kept id stay one row each."""
-    result = staged(near_dedup(docs), "near-result")
+    result = staged(near_dedup(docs, rule), "near-result")
     dropped = cut(result.where("not kept").select("doc_id").distinct())
     kept = docs.join(small_side(dropped, 16), docs["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
     return kept

@@ -46,7 +46,7 @@ def op7_token_files(spark, sf_dir):
 
 
 def op8_near_dedup(spark, sf_dir):
-    return hyperminhash.near_dedup(load(spark, sf_dir, "documents"))
+    return hyperminhash.near_dedup(load(spark, sf_dir, "documents"), hyperminhash.Rule(shingle=3, percent=85, band=5))
 
 
 def op9_sentencepiece(spark, sf_dir):
