@@ -61,7 +61,8 @@ def _features(buf: np.ndarray):
 
 def _range_sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     c = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return c[np.maximum(lo, hi)] - c[lo]
+    lo = np.minimum(lo, len(values))  # a text without features may start behind the last one
+    return c[np.minimum(np.maximum(lo, hi), len(values))] - c[lo]
 
 
 def _spans(spans):
