@@ -411,7 +411,6 @@ def link_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = staged(keys.join(small_side(staged(buckets, "near-buckets"), 40), "key").select("rep", "least", "c"), "near-stars")
     groups = components(met.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    groups = cut(groups)
     size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     degree = met.groupBy("rep").agg(F.sum("c").alias("degree"))
     wanted = cut(groups.join(size, "root").join(degree, F.col("node") == F.col("rep"))

@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from revlens.llm import components as C
 from revlens.llm import exact_dedup as E
 from revlens.llm import hyperminhash as H
-from revlens.llm.components import components
 
 
 def norm(t):
@@ -138,11 +138,13 @@ def test_intersections_and_registers():
     assert abs(est - 3000 / 4000) < 0.15
 
 
-def test_components_of_chain_and_star(spark):
+@pytest.mark.parametrize("gather", [0, 500_000])
+def test_components_of_chain_and_star(spark, monkeypatch, gather):
+    monkeypatch.setattr(C, "GATHER_LINKS", gather)
     links = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(31)} | {100 + k: 100 for k in range(40)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_digest_of_query(spark, documents, texts):
