@@ -54,12 +54,6 @@ def ws_tokens(c) -> Column:
     return F.filter(F.split(col(c), WS_RUN), lambda x: x != F.lit(""))
 
 
-def ttr(tokens) -> Column:
-    """AGG-1: distinct tokens / tokens, 0 when there are none."""
-    t = col(tokens)
-    return F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(F.lit(0.0))
-
-
 def jaccard(a_tokens, b_tokens) -> Column:
     """AGG-3: |A∩B| / |A∪B| on token sets, 0 when both are empty."""
     a = F.array_distinct(col(a_tokens))
@@ -145,17 +139,30 @@ def aspect_key_col(c) -> Column:
     return F.replace(F.lower(col(c)), F.lit(" "), F.lit(""))
 
 
+# A quoted string of a Python or JSON literal, escapes included.
+QUOTED = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+_JSON_OPTIONS = {"allowBackslashEscapingAnyCharacter": "true", "allowSingleQuotes": "true"}
+
+
 def parse_list_literal(c) -> Column:
     """TXT-8: parse a list literal (JSON or Python quoting); error -> empty list."""
-    return F.coalesce(F.from_json(col(c), "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.from_json(col(c), "array<string>", _JSON_OPTIONS), F.array().cast("array<string>"))
 
 
 def parse_map_literal(c) -> Column:
     """TXT-9: parse a dict literal; error / other type -> empty map.
 
-    Python's bare ``None`` is turned into JSON ``null`` first."""
-    fixed = F.regexp_replace(col(c), r":\s*None(\s*[,}])", ": null$1")
-    return F.coalesce(F.from_json(fixed, "map<string,string>"),
+    Only text outside quotes is adapted to JSON: keys that are not strings are
+    quoted (``1`` -> ``"1"``), values that are not strings (``None``, ``True``,
+    numbers) become null, which scores like the reference's non-strings."""
+    x = col(c)
+    bare = F.split(x, QUOTED)
+    bare = F.transform(bare, lambda t: F.regexp_replace(
+        F.regexp_replace(t, r"([{,]\s*)([^\s'\"{}\[\],:]+)(?=\s*:)", '$1"$2"'),
+        r"(:\s*)([^\s'\"{}\[\],:]+)(?=\s*[,}])", "$1null"))
+    quoted = F.regexp_extract_all(x, F.lit(QUOTED), 0)
+    fixed = F.array_join(F.flatten(F.zip_with(bare, quoted, lambda t, q: F.array(t, F.coalesce(q, F.lit(""))))), "")
+    return F.coalesce(F.from_json(fixed, "map<string,string>", _JSON_OPTIONS),
                       F.create_map().cast("map<string,string>"))
 
 

@@ -73,16 +73,34 @@ def aspect_rollup(scored: DataFrame, group_cols=("batch",), neutral: str = "drop
                       "Sentiment", "signed_pct")
 
 
-def chart_feed(rollup: DataFrame, group_cols=("batch",)) -> DataFrame:
-    """PRJ-13: bar value, colour, ``.1f`` label, alignment and label position.
+def one_decimal(v) -> Column:
+    """``format(v, '.1f')`` of a double: the nearest tenth of its exact binary
+    value, ties to even. Java and Spark round the shortest decimal form instead
+    (66.55 is stored as 66.5499..., which ``bround`` turns into 66.6).
+
+    All in integers: the fraction of ``v`` scaled by 2^58 is exact (below 1/64
+    it is cut off, far from any tie), and twenty times it still fits a BIGINT;
+    its whole part counts half tenths, the rest tells a tie from more."""
+    c = F.col(v) if isinstance(v, str) else v
+    a = F.abs(c)
+    whole = F.floor(a)
+    halves = ((a - whole) * F.lit(2.0 ** 58)).cast("bigint") * F.lit(20)
+    k = F.shiftright(halves, 58)
+    rest = halves - F.shiftleft(k, 58)
+    tenth = F.shiftright(k, 1)
+    up = (k.bitwiseAND(F.lit(1)) == 1) & ((rest > 0) | (tenth.bitwiseAND(F.lit(1)) == 1))
+    total = whole.cast("bigint") * 10 + tenth + up.cast("bigint")
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+
 
-    The label rounds half-to-even first (``bround``), like Python formatting of
-    an exact tie; Java's ``%.1f`` alone would round ties up."""
+def chart_feed(rollup: DataFrame, group_cols=("batch",)) -> DataFrame:
+    """PRJ-13: bar value, colour, ``.1f`` label, alignment and label position."""
     v = F.col("signed_pct")
     pos = v >= 0
     return rollup.select(
         *group_cols, "aspect_ord", "Aspect", v.alias("value"),
         F.when(pos, F.lit("green")).otherwise(F.lit("red")).alias("color"),
-        F.format_string("%.1f", F.bround(v, 1)).alias("label"),
+        one_decimal(v).alias("label"),
         F.when(pos, F.lit("left")).otherwise(F.lit("right")).alias("align"),
         (v + F.when(pos, F.lit(0.01)).otherwise(F.lit(-0.01))).alias("label_x"))

@@ -11,7 +11,7 @@ interface with three implementations:
   aspect, run in the JVM;
 * :class:`ModelScorer` -- any per-aspect model supplied as a loader callable,
   run in an Arrow-batched pandas UDF that receives only the text and the gate
-  flags; models are loaded once per task and score only gated (review,
+  flags; models are loaded once per worker process and score only gated (review,
   aspect) pairs.
 
 Both produce, per review, six label columns (``""`` when the aspect is not
@@ -21,7 +21,8 @@ gated) and a ``sentiment`` map, the shape of the reference's ``/predict``.
 from __future__ import annotations
 
 import sys
-
+import types
+import uuid
 from typing import Callable, Iterator, Tuple
 
 import pandas as pd
@@ -64,9 +65,11 @@ DEFAULT_WEIGHTS = [
 ]
 DEFAULT_BIAS = (0, 1, 0)
 
-# Largest weight table compiled into the plan as literals; bigger tables are a
-# data set, not a parameter, and belong in a join.
+# Weight tables up to this size are compiled into the plan as literals; larger
+# ones are joined as a table (same results).
 MAX_LITERAL_WEIGHTS = 5000
+# Texts handed to a model at once.
+MODEL_BATCH = 64
 
 PRESENT = tagging.PRESENT
 
@@ -112,8 +115,6 @@ class LinearScorer:
 
     def __init__(self, weights=None, bias=DEFAULT_BIAS, max_tokens: int | None = None):
         self.weights = list(weights if weights is not None else DEFAULT_WEIGHTS)
-        if len(self.weights) > MAX_LITERAL_WEIGHTS:
-            raise ValueError(f"{len(self.weights)} weights exceed the literal limit {MAX_LITERAL_WEIGHTS}")
         self.bias = tuple(bias)
         self.max_tokens = max_tokens
 
@@ -132,9 +133,7 @@ class LinearScorer:
 
     def present_column(self, low=tagging.LOW) -> Column:
         """Distinct weight-vocabulary tokens of the review (SCR-3 truncation optional)."""
-        words = T.word_tokens(low)
-        if self.max_tokens:
-            words = F.slice(F.filter(words, lambda w: w != F.lit("")), 1, self.max_tokens)
+        words = self._words(low) if self.max_tokens else T.word_tokens(low)
         return F.array_intersect(L.const(self.vocab, "array<string>"), words)
 
     def logits(self, aspect: str, present=PRESENT) -> Column:
@@ -159,9 +158,44 @@ class LinearScorer:
             cols.append(F.aggregate(T.col(present), F.lit(int(self.bias[c])), adder(L.const(maps[c]))).cast("double"))
         return F.array(*cols)
 
+    @property
+    def joined(self) -> bool:
+        return len(self.weights) > MAX_LITERAL_WEIGHTS
+
+    def _words(self, low=tagging.LOW) -> Column:
+        words = F.filter(T.word_tokens(low), lambda w: w != F.lit(""))
+        return F.slice(words, 1, self.max_tokens) if self.max_tokens else words
+
+    def _apply_joined(self, df: DataFrame, gates: dict[str, Column]) -> DataFrame:
+        """Logits by a join with the weight table: rows of equal text share
+        their distinct words, so (text hash, word) pairs are joined and summed
+        per text, and the sums come back by the same key."""
+        spark = df.sparkSession
+        rows = [(a, t, *map(int, w)) for a, t, *w in self.weights]
+        table = spark.createDataFrame(rows, "aspect string, token string, w0 long, w1 long, w2 long")
+        sums = [F.coalesce(F.sum(F.when(F.col("aspect").isin("*", a), F.col(f"w{c}"))), F.lit(0)).alias(f"{a}__{c}")
+                for a in ASPECTS for c in range(3)]
+        per_token = table.groupBy("token").agg(*sums)
+        key = F.sha2(F.col(tagging.LOW), 256)
+        out = df.withColumn("_text_key", key)
+        pairs = out.select("_text_key", tagging.LOW).dropDuplicates(["_text_key"]).select(
+            "_text_key", F.explode(F.array_distinct(self._words())).alias("token"))
+        scored = (pairs.join(per_token, "token").groupBy("_text_key")
+                  .agg(*[F.sum(f"{a}__{c}").alias(f"{a}__{c}") for a in ASPECTS for c in range(3)]))
+        out = out.join(scored, "_text_key", "left")
+        out = out.drop(*[c for c in [f"logits_{a}" for a in ASPECTS] + ASPECTS if c in df.columns])
+        out = out.select("*", *[F.when(gates[a], F.array(*[
+            (F.coalesce(F.col(f"{a}__{c}"), F.lit(0)) + int(self.bias[c])).cast("double") for c in range(3)]))
+            .alias(f"logits_{a}") for a in ASPECTS])
+        out = out.drop("_text_key", PRESENT, *[f"{a}__{c}" for a in ASPECTS for c in range(3)])
+        return out.select("*", *[F.when(F.col(f"logits_{a}").isNotNull(), label_from_logits(f"logits_{a}"))
+                                 .otherwise(F.lit("")).alias(a) for a in ASPECTS])
+
     def apply(self, df: DataFrame, gates: dict[str, Column]) -> DataFrame:
         """Add ``logits_<aspect>`` (NULL when not gated) and ``<aspect>`` labels
         (two projections, not twelve)."""
+        if self.joined:
+            return self._apply_joined(df, gates)
         out = df if (PRESENT in df.columns and not self.max_tokens) else df.withColumn(PRESENT, self.present_column())
         replaced = [c for c in [f"logits_{a}" for a in ASPECTS] + ASPECTS if c in out.columns]
         out = out.drop(*replaced)
@@ -171,11 +205,21 @@ class LinearScorer:
         return out.drop(PRESENT)
 
 
+def worker_models(key: str, load: Callable[[], dict]) -> dict:
+    """Models of this worker process. The module travels by value with every
+    task, so they are kept in a module of the process itself."""
+    cache = sys.modules.setdefault("_revlens_models", types.ModuleType("_revlens_models")).__dict__
+    if key not in cache:
+        cache[key] = load()
+    return cache[key]
+
+
 class ModelScorer:
     """SCR-2(c): per-aspect models run in Python workers over Arrow batches.
 
-    ``load`` is called once per task's batch iterator and returns
-    ``{aspect: fn}`` where ``fn(list[str]) -> array-like (n, 3)`` of logits.
+    ``load`` is called once per Python worker process (workers are reused by
+    later tasks) and returns ``{aspect: fn}`` where ``fn(list[str]) ->
+    array-like (n, 3)`` of logits; ``fn`` gets at most ``MODEL_BATCH`` texts.
     Aspects without a model get ``Neutral`` (SCR-4). Texts are passed in
     original case; truncation to ``max_length`` model tokens is the model's
     business (SCR-3). Only the text and the six gate flags cross into Python
@@ -186,18 +230,17 @@ class ModelScorer:
     def __init__(self, load: Callable[[], dict], threshold: float = CONFIDENCE_THRESHOLD):
         self.load = load
         self.threshold = threshold
+        self.key = uuid.uuid4().hex
 
     def apply(self, df: DataFrame, gates: dict[str, Column], text_col: str = "reviews") -> DataFrame:
-        load, thr = self.load, self.threshold
+        load, thr, key = self.load, self.threshold, self.key
         label_type = Ty.StructType([Ty.StructField(a, Ty.StringType(), False) for a in ASPECTS])
 
         @F.pandas_udf(label_type)
         def run(batches: Iterator[Tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
             import numpy as np
-            models = None
+            models = worker_models(key, load)
             for texts, flags in batches:
-                if models is None:
-                    models = load()
                 labels_by_aspect = {}
                 for a in ASPECTS:
                     gate = flags[a].fillna(False).to_numpy(dtype=bool)
@@ -207,7 +250,9 @@ class ModelScorer:
                         if fn is None:
                             labels[gate] = "Neutral"
                         else:
-                            lg = np.asarray(fn(texts[gate].astype(str).tolist()), dtype=float)
+                            todo = texts[gate].astype(str).tolist()
+                            lg = np.concatenate([np.asarray(fn(todo[k:k + MODEL_BATCH]), dtype=float)
+                                                 for k in range(0, len(todo), MODEL_BATCH)])
                             z = np.exp(lg - lg.max(axis=1, keepdims=True))
                             p = z / z.sum(axis=1, keepdims=True)
                             idx = p.argmax(axis=1)
@@ -233,7 +278,8 @@ class PipelineScorer:
     Neutral, Positive); labels follow SCR-1 (softmax, first max, threshold).
     The six models are applied one after another on the wide frame -- a
     narrow chain, no join back and no shuffle; each model's own output
-    columns are dropped again after its margins are taken. Aspects without a
+    columns are dropped again after its margins are taken. A model sees the
+    text of its gated rows only (an empty text elsewhere). Aspects without a
     model get ``Neutral`` (SCR-4); ungated aspects ``""``."""
 
     def __init__(self, models: dict, input_col: str = "text", raw_col: str = "rawPrediction",
@@ -246,22 +292,25 @@ class PipelineScorer:
     def apply(self, df: DataFrame, gates: dict[str, Column], text_col: str = "reviews") -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        alias_input = self.input_col != text_col
-        if alias_input and self.input_col in df.columns:
+        held = "_whole_text"
+        if self.input_col != text_col and self.input_col in df.columns:
             raise ValueError(f"input column {self.input_col!r} already exists")
-        out = df.withColumn(self.input_col, F.col(text_col)) if alias_input else df
+        out = df.withColumn(held, F.col(text_col))
         for a in ASPECTS:
             model = self.models.get(a)
             if model is None:
                 out = out.withColumn(f"logits_{a}", F.lit(None).cast("array<double>"))
                 continue
+            out = out.withColumn(self.input_col, F.when(gates[a], F.col(held)).otherwise(F.lit("")))
             before = set(out.columns)
             scored = model.transform(out)
             added = [c for c in scored.columns if c not in before]
             out = (scored.withColumn(f"logits_{a}", F.when(gates[a], vector_to_array(F.col(self.raw_col))))
                    .drop(*added))
-        if alias_input:
-            out = out.drop(self.input_col)
+        out = out.drop(self.input_col)
+        if self.input_col == text_col or text_col not in out.columns:
+            out = out.withColumn(text_col, F.col(held))
+        out = out.drop(held)
         for a in ASPECTS:
             label = (label_from_logits(f"logits_{a}", self.threshold) if a in self.models
                      else F.lit("Neutral"))

@@ -3,14 +3,15 @@
 Everything here is a narrow projection: one pass over each review, no join, no
 shuffle. Two engines find the keywords in the lower-cased text:
 
-* ``automaton`` (default when available) -- one Aho-Corasick pass per review
-  in an Arrow-batched pandas UDF (:mod:`.matcher`), giving the substring gates
-  and all whole-word hits at once;
+* ``automaton`` (default) -- one Aho-Corasick pass per review in an
+  Arrow-batched pandas UDF (:mod:`.matcher`), giving the substring gates and all
+  whole-word hits at once; needs ``pyahocorasick`` on the executors;
 * ``jvm`` -- built-in expressions only: word tokens hash-intersected with the
   keyword set, a ``contains`` chain per aspect for the gate, and a regex for
   the few multi-token keywords.
 
-Both give the same ``_gate_mask`` and ``_hits`` columns.
+Both give the same ``_gate_mask`` and ``_hits`` columns. The engine is the
+caller's choice and never changes by itself.
 """
 
 from __future__ import annotations
@@ -31,8 +32,7 @@ PRESENT = "_present"
 GATE_MASK = "_gate_mask"
 
 
-def default_engine() -> str:
-    return "automaton" if matcher.automaton_available() else "jvm"
+DEFAULT_ENGINE = "automaton"
 
 
 def gate_columns(low=LOW, lexicon="api") -> dict[str, Column]:
@@ -51,13 +51,13 @@ def with_text_features(df: DataFrame, text_col: str = "reviews", keywords: list[
     """Add ``_low`` (lower-cased text), ``_gate_mask`` (substring gate per
     aspect, bit i = ``ASPECTS[i]``), ``_hits`` (whole-word keyword hits) and,
     with ``vocab``, ``_present`` (distinct vocabulary words, for the linear scorer)."""
-    engine = engine or default_engine()
+    engine = engine or DEFAULT_ENGINE
     kws = dedupe(list(keywords if keywords is not None else all_keywords()) + list(vocab or []))
     lex = get_lexicon(gate_lexicon)
     out = df.withColumn(LOW, T.lower(text_col))
     if engine == "automaton":
         gate_kws = [reduce_for_substring(lex.get(a, [])) for a in ASPECTS]
-        out = (out.withColumn("_scan", matcher.scan_column(F.col(LOW), gate_kws, kws))
+        out = (out.withColumn("_scan", matcher.scan_column(df.sparkSession, F.col(LOW), gate_kws, kws))
                   .withColumn(GATE_MASK, F.col("_scan.gate_mask"))
                   .withColumn(HITS, F.col("_scan.hits")).drop("_scan"))
     elif engine == "jvm":

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import all_keywords
 from ..operators import masking, rollup, scoring, spam, tagging
 from ..session import staging_path
+from ..sources.reviews import write_results_csv
 
 
 def drop_null_reviews(reviews: DataFrame, text_col: str = "reviews") -> DataFrame:
@@ -65,7 +66,8 @@ class Analysis:
 
 def analyze(reviews: DataFrame, scorer=None, text_col: str = "reviews", batch: str = "batch",
             neutral: str = "drop") -> Analysis:
-    """All outputs of one run, as lazy DataFrames."""
+    """All outputs of one run. The gate runs when this is called (its phases
+    are materialised); the frames after it are lazy."""
     nn = drop_null_reviews(reviews, text_col)
     gate = spam.spam_gate(nn, text_col, batch, estimate="undecided")
     passed = spam.drop_spam_batches(nn, gate, batch, gate_materialized=True)
@@ -99,7 +101,6 @@ def run_and_write(spark: SparkSession, reviews: DataFrame, out_dir: str, scorer=
     paths["aspect_rollup"] = f"{out_dir}/aspect_rollup"
     rollup.aspect_rollup(scored, (batch,)).write.mode("overwrite").parquet(paths["aspect_rollup"])
     paths["sentiment_results"] = f"{out_dir}/sentiment_results"
-    (masking.export_frame(masking.masked_rows(scored, text_col, keys=(batch, "review_id")))
-     .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .csv(paths["sentiment_results"]))
+    write_results_csv(masking.export_frame(masking.masked_rows(scored, text_col, keys=(batch, "review_id"))),
+                      paths["sentiment_results"])
     return paths

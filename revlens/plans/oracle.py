@@ -14,6 +14,7 @@ from ..functions.lexicons import (API_LEXICON, APP_LEXICON, ASPECTS, JSON_LEXICO
 from ..operators.scoring import DEFAULT_BIAS, LinearScorer
 from ..operators.spam import DEFAULT_NUM_HASHES, MERSENNE_31, hash_params
 from .derived import reviews_sql, sql_str
+from .queries import ODD_NAMES
 
 W = r"[^\p{L}\p{N}_]"
 WORDS_RE2 = r"[^\p{L}\p{N}_]+"
@@ -144,14 +145,15 @@ def weight_values() -> str:
     return f"w(aspect, token, wn, wu, wp) AS (VALUES {', '.join(rows)})"
 
 
-def scoring_ctes(src: str) -> str:
+def scoring_ctes(src: str, max_tokens: int | None = None) -> str:
     b0, b1, b2 = DEFAULT_BIAS
     gates = ", ".join(f"{gate_expr(a)} AS g_{a}" for a in ASPECTS)
     on = " OR ".join(f"(a.aspect = {sql_str(a)} AND s.g_{a})" for a in ASPECTS)
+    words = f"list_filter(words, lambda x: x <> '')[1:{max_tokens}]" if max_tokens else "words"
     return f"""sc AS (SELECT review_id, batch, reviews, low, words, {gates} FROM {src}),
 gated AS (SELECT s.review_id, s.batch, a.aspect_ord, a.aspect FROM sc s JOIN asp a ON {on}),
 {weight_values()},
-pt AS (SELECT DISTINCT review_id, t AS token FROM (SELECT review_id, unnest(words) AS t FROM sc)),
+pt AS (SELECT DISTINCT review_id, t AS token FROM (SELECT review_id, unnest({words}) AS t FROM sc)),
 wsum AS (SELECT pt.review_id, w.aspect, sum(w.wn) AS sn, sum(w.wu) AS su, sum(w.wp) AS sp
          FROM pt JOIN w ON pt.token = w.token GROUP BY pt.review_id, w.aspect),
 lg AS (SELECT g.review_id, g.batch, g.aspect_ord, g.aspect,
@@ -164,10 +166,10 @@ lab AS (SELECT *, CASE WHEN conf < 0.3 THEN 'Neutral' WHEN logit_neg = mx THEN '
                        WHEN logit_neu = mx THEN 'Neutral' ELSE 'Positive' END AS sentiment FROM lg3)"""
 
 
-def rollup_sql(neutral: str = "drop", by_batch: bool = True) -> str:
+def rollup_sql(neutral: str = "drop", by_batch: bool = True, src: str = "clean") -> str:
     neu = "count_if(l.sentiment = 'Neutral')" if neutral == "count" else "0::BIGINT"
     if by_batch:
-        frame = "SELECT b.batch, a.aspect_ord, a.aspect FROM (SELECT DISTINCT batch FROM clean) b CROSS JOIN asp a"
+        frame = f"SELECT b.batch, a.aspect_ord, a.aspect FROM (SELECT DISTINCT batch FROM {src}) b CROSS JOIN asp a"
         keys, join = "f.batch, ", "c.batch = f.batch AND "
         grp = "l.batch, "
     else:
@@ -175,7 +177,7 @@ def rollup_sql(neutral: str = "drop", by_batch: bool = True) -> str:
         keys, join, grp = "", "", ""
     return f"""WITH {base_ctes()},
 {gate_ctes('nn')},
-{scoring_ctes('clean')},
+{scoring_ctes(src)},
 cnt AS (SELECT {grp}l.aspect, count_if(l.sentiment = 'Positive') AS n_pos, {neu} AS n_neu,
                count_if(l.sentiment = 'Negative') AS n_neg FROM lab l GROUP BY {grp}l.aspect),
 fr AS ({frame}),
@@ -192,9 +194,9 @@ ps AS (SELECT * EXCLUDE (m), CASE WHEN "Negative" = m AND "Positive" < m AND "Ne
        FROM pm)"""
 
 
-def q_rollup(neutral="drop", by_batch=True) -> str:
+def q_rollup(neutral="drop", by_batch=True, src="clean") -> str:
     b = "batch, " if by_batch else ""
-    return rollup_sql(neutral, by_batch) + f"""
+    return rollup_sql(neutral, by_batch, src) + f"""
 SELECT {b}aspect_ord, "Aspect", "Positive", "Neutral", "Negative", signed_pct::VARCHAR AS "Sentiment", signed_pct FROM ps"""
 
 
@@ -252,8 +254,8 @@ SELECT review_id, aspect_ord::INTEGER AS aspect_ord, aspect, logit_neg, logit_ne
 SELECT n.review_id, {cols}, count(l.review_id)::INTEGER AS n_gated, 6 AS n_keys
 FROM nn n LEFT JOIN lab l ON n.review_id = l.review_id GROUP BY n.review_id"""
 
-    q["logits_to_label"] = """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS l0, embedding[2]::DOUBLE AS l1,
-                         embedding[3]::DOUBLE AS l2 FROM embeddings),
+    third = ", ".join(f"list_sum(list_filter(embedding::DOUBLE[], lambda x, i: (i - 1) % 3 = {c})) AS l{c}" for c in range(3))
+    q["logits_to_label"] = f"""WITH e AS (SELECT vec_id, {third} FROM embeddings),
 e2 AS (SELECT *, greatest(l0, l1, l2) AS mx FROM e),
 e3 AS (SELECT *, 1.0 / (exp(l0 - mx) + exp(l1 - mx) + exp(l2 - mx)) AS conf FROM e2)
 SELECT vec_id, CASE WHEN conf < 0.3 THEN 'Neutral' WHEN l0 = mx THEN 'Negative' WHEN l1 = mx THEN 'Neutral'
@@ -267,7 +269,7 @@ SELECT batch, aspect_ord, "Aspect", n_pos, n_neu, n_neg FROM cc"""
     q["chart_feed"] = rollup_sql("drop", True) + """
 SELECT batch, aspect_ord, "Aspect", signed_pct AS value,
        CASE WHEN signed_pct >= 0 THEN 'green' ELSE 'red' END AS color,
-       printf('%.1f', round_even(signed_pct, 1)) AS label,
+       printf('%.1f', signed_pct) AS label,
        CASE WHEN signed_pct >= 0 THEN 'left' ELSE 'right' END AS align,
        signed_pct + CASE WHEN signed_pct >= 0 THEN 0.01 ELSE -0.01 END AS label_x FROM ps"""
 
@@ -283,15 +285,19 @@ SELECT l.review_id, l.aspect_ord::INTEGER AS aspect_ord, s.reviews AS "Reviews",
 FROM lab l JOIN sc s ON s.review_id = l.review_id
 JOIN fk ON fk.review_id = l.review_id AND fk.aspect = l.aspect"""
 
-    svals = ", ".join(f"CASE WHEN n.review_id % 7 = 3 THEN NULL ELSE "
-                      f"coalesce(max(CASE WHEN l.aspect = {sql_str(a)} THEN l.sentiment END), '') END AS s_{a}"
-                      for a in ASPECTS)
+    svals = ", ".join(f"coalesce(max(CASE WHEN l.aspect = {sql_str(a)} THEN l.sentiment END), '') AS s_{a}" for a in ASPECTS)
+    # What the odd literals hold, in their order: number of entries, and the
+    # string values under the fixed aspect keys.
+    odd_size = "CASE nth WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 0 END"
+    odd_vals = ", ".join((f"CASE WHEN nth = 2 THEN 'x: None}}' END AS s_{a}" if a == "cost" else f"NULL::VARCHAR AS s_{a}") for a in ASPECTS)
     q["parse_literals"] = f"""WITH {base}, {score_nn}, {tag_m},
-mt AS (SELECT review_id, count(*) AS c FROM m GROUP BY review_id)
-SELECT n.review_id, coalesce(max(mt.c), 0)::INTEGER AS n_aspects,
-       (CASE WHEN n.review_id % 7 = 3 THEN 0 ELSE 6 END)::INTEGER AS n_sentiments, {svals}
+mt AS (SELECT review_id, count(*) AS c FROM m GROUP BY review_id),
+odd AS (SELECT review_id, (abs(review_id) // 7) % 4 AS nth FROM nn WHERE abs(review_id) % 7 = 3)
+SELECT n.review_id, coalesce(max(mt.c), 0)::INTEGER AS n_aspects, 6::INTEGER AS n_sentiments, {svals}
 FROM nn n LEFT JOIN lab l ON n.review_id = l.review_id LEFT JOIN mt ON mt.review_id = n.review_id
-GROUP BY n.review_id"""
+GROUP BY n.review_id
+UNION ALL
+SELECT -1000000000000 - review_id, 0::INTEGER, ({odd_size})::INTEGER, {odd_vals} FROM odd"""
 
     q["payload_explode"] = f"""WITH {base}
 SELECT batch AS hospital_name, floor(review_id / {REVIEWS_LIMIT_APP})::BIGINT AS chunk,
@@ -304,8 +310,36 @@ FROM (SELECT batch, review_id, row_number() OVER (PARTITION BY batch ORDER BY re
 WHERE rk <= {REVIEWS_LIMIT_APP}"""
 
     q["request_url"] = """SELECT page_id, replace(url_encode(url), '%2F', '/') AS url_key FROM pages"""
+    names = "[" + ", ".join(sql_str(x) for x in ODD_NAMES) + "]"
+    q["request_name"] = f"""WITH n AS (SELECT doc_id, {names}[doc_id % {len(ODD_NAMES)} + 1] || ' ' || source AS hospital_name FROM documents)
+SELECT doc_id, hospital_name, replace(url_encode(hospital_name), '%2F', '/') AS query_key FROM n"""
 
     na = ", ".join(sql_str(t) for t in NA_TOKENS)
-    q["na_normalise"] = f"""SELECT role, count(*) AS n_rows, count(CASE WHEN text NOT IN ({na}) THEN text END) AS n_text
-FROM conversations GROUP BY role"""
+    cells = f"""cells AS (SELECT conv_id, turn, role, CASE WHEN (conv_id * 31 + turn) % 5 = 0
+                     THEN [{na}][((conv_id * 31 + turn) // 5) % {len(NA_TOKENS)} + 1] ELSE text END AS text FROM conversations)"""
+    q["na_normalise"] = f"""WITH {cells} SELECT role, count(*) AS n_rows, count(CASE WHEN text NOT IN ({na}) THEN text END) AS n_text
+FROM cells GROUP BY role"""
+    q["nan_cells"] = f"""WITH {cells} SELECT conv_id, turn, CASE WHEN text IS NULL OR text IN ({na}) THEN 'nan' ELSE text END AS text FROM cells"""
+
+    q["payload_files"] = f"""WITH {base} SELECT batch AS hospital_name, 'Author ' || review_id::VARCHAR AS author, reviews FROM nn"""
+    q["csv_roundtrip"] = f"""WITH {base} SELECT review_id, batch, CASE WHEN abs(review_id) % 11 = 5 THEN NULL ELSE reviews END AS reviews FROM reviews"""
+    q["masked_export"] = f"""SELECT "Aspect", "Sentiment", count(*) AS n_rows, sum(length("Reviews"))::BIGINT AS review_chars,
+       sum(length("Formatted Review"))::BIGINT AS masked_chars FROM ({q["masked_rows"]}) GROUP BY 1, 2"""
+    q["template_jaccard"] = f"""WITH {base},
+t AS (SELECT review_id, list_distinct(list_filter(regexp_split_to_array(reviews, '{WS_RE2}'), lambda x: x <> '')) AS a,
+             list_distinct(list_filter(regexp_split_to_array(substring(reviews, 1, 40), '{WS_RE2}'), lambda x: x <> '')) AS b FROM nn)
+SELECT review_id, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE
+       len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS jaccard FROM t"""
+    short = scoring_ctes("nn", max_tokens=64)
+    q["sentiment_truncated"] = f"""WITH {base}, {short}
+SELECT review_id, aspect, logit_neg, logit_neu, logit_pos, sentiment FROM lab"""
+    by_length = ", ".join(
+        f"CASE WHEN NOT {gate_expr(a)} THEN '' ELSE "
+        + (f"(['Negative', 'Neutral', 'Positive'])[(length(reviews) + {k}) % 3 + 1]" if k < 2 else "'Neutral'") + f" END AS {a}"
+        for k, a in enumerate(ASPECTS))
+    q["model_labels"] = f"""WITH {base} SELECT review_id, {by_length} FROM nn"""
+    labels = ", ".join(f"coalesce(max(CASE WHEN l.aspect = {sql_str(a)} THEN l.sentiment END), '') AS {a}" for a in ASPECTS)
+    q["stream_predict"] = f"""WITH {base}, {score_nn}
+SELECT n.review_id, {labels} FROM nn n LEFT JOIN lab l ON n.review_id = l.review_id GROUP BY n.review_id"""
+    q["stream_rollup"] = q_rollup("drop", True, src="nn")
     return q

@@ -2,7 +2,8 @@
 
 Every query reads the driver tables (through the derived ``reviews`` view or
 directly) over whole tables and whole texts; each takes ``(spark, sf_dir)`` and
-returns a lazy DataFrame. Column names match the DuckDB twins in
+returns a DataFrame (queries behind the spam gate, files or streams run those
+steps when called). Column names match the DuckDB twins in
 :mod:`revlens.plans.oracle`.
 """
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import ASPECTS, JSON_LEXICON, NA_TOKENS, REVIEWS_LIMIT_APP, dedupe
 from ..operators import masking, rollup, scoring, spam, tagging
-from ..sources import payload
+from ..session import staging_path
+from ..sources import payload, reviews
+from ..streaming import stream
 from . import flow
 from .derived import load_table, reviews_view
 
@@ -123,9 +126,15 @@ def q_sentiment_map(spark, sf_dir):
                      F.size("sentiment").alias("n_keys"))
 
 
+def _every_third(c: int):
+    return lambda x, i: i % 3 == c
+
+
 def q_logits_to_label(spark, sf_dir):
     emb = load_table(spark, sf_dir, "embeddings")
-    lg = F.slice("embedding", 1, 3).cast("array<double>")
+    # All components count: the three logits are the sums of every third one.
+    e = F.col("embedding").cast("array<double>")
+    lg = F.array(*[F.aggregate(F.filter(e, _every_third(c)), F.lit(0.0), lambda a, x: a + x) for c in range(3)])
     return emb.select("vec_id", scoring.label_from_logits(lg).alias("label"),
                       F.round(scoring.confidence(lg), 6).alias("confidence"))
 
@@ -163,20 +172,27 @@ def q_masked_rows(spark, sf_dir):
     return masking.masked_rows(sc, keys=("review_id",))
 
 
+# Literals that are broken, not a dict, or hold values that are not strings.
+ODD_LITERALS = ["oops", "['doctor']", "{'doctor': None, 'cost': 'x: None}'}", "{1: 'a', 'staff': True}"]
+
+
 def q_parse_literals(spark, sf_dir):
     """TXT-8/9, PRJ-7: reviews annotated the way the staging CSV stores them
-    (Python literals), parsed back. Every seventh review carries a broken
-    sentiment literal, which must parse to an empty map."""
+    (Python literals), parsed back. For every seventh review there is one more
+    row (negative id) whose sentiment literal is an odd one."""
     sc = flow.score_reviews(_nn(spark, sf_dir))
     sc = sc.withColumn("_tags", tagging.tag_structs(tagging.HITS, "json"))
     lit_aspects = T.list_literal(F.transform("_tags", lambda s: s["aspect"]))
-    lit_sent = F.when(F.col("review_id") % 7 == 3, F.lit("oops")).otherwise(
-        T.map_literal(ASPECTS, [F.col(a) for a in ASPECTS]))
-    parsed = sc.select("review_id", lit_aspects.alias("aspects_literal"), lit_sent.alias("sentiment_literal"))
+    good = sc.select("review_id", lit_aspects.alias("aspects_literal"),
+                     T.map_literal(ASPECTS, [F.col(a) for a in ASPECTS]).alias("sentiment_literal"))
+    nth = F.pmod(F.floor(F.abs("review_id") / 7), F.lit(len(ODD_LITERALS))).cast("int")
+    odd = (_nn(spark, sf_dir).where(F.abs("review_id") % 7 == 3)
+           .select((F.lit(-10**12) - F.col("review_id")).alias("review_id"), F.lit("[oops").alias("aspects_literal"),
+                   F.get(F.array(*[F.lit(x) for x in ODD_LITERALS]), nth).alias("sentiment_literal")))
     m = T.parse_map_literal("sentiment_literal")
-    return parsed.select("review_id", F.size(T.parse_list_literal("aspects_literal")).alias("n_aspects"),
-                         F.size(m).alias("n_sentiments"),
-                         *[F.try_element_at(m, F.lit(a)).alias(f"s_{a}") for a in ASPECTS])
+    return good.unionByName(odd).select(
+        "review_id", F.size(T.parse_list_literal("aspects_literal")).alias("n_aspects"), F.size(m).alias("n_sentiments"),
+        *[F.try_element_at(m, F.lit(a)).alias(f"s_{a}") for a in ASPECTS])
 
 
 # --- sources / keys ---------------------------------------------------------
@@ -192,6 +208,90 @@ def q_payload_explode(spark, sf_dir):
                       F.col("reviews").alias("reviews"))
 
 
+def q_payload_files(spark, sf_dir):
+    """SRC-4/5, SNK: payload files landed in the shared folder, several payloads
+    per file, and read back with the reader."""
+    path = staging_path(spark, "payloads")
+    payload.write_payloads(payload.build_payload_json(_nn(spark, sf_dir)).coalesce(4), path)
+    return payload.read_review_payloads(spark, path, strict=True).select("hospital_name", "author", "reviews")
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """SRC-1, SNK-2, PRJ-3: reviews (some cells NA tokens) written as result CSV
+    and read back with the reader."""
+    path = staging_path(spark, "csv")
+    rows = reviews_view(spark, sf_dir).select("review_id", "batch", F.when(_odd_cell(), _na_token()).otherwise(F.col("reviews")).alias("Reviews"))
+    reviews.write_results_csv(rows, path)
+    back = reviews.read_reviews_csv(spark, path)
+    return back.select(F.col("review_id").cast("bigint").alias("review_id"), "batch", F.col("Reviews").alias("reviews"))
+
+
+def _odd_cell():
+    return F.abs("review_id") % 11 == 5
+
+
+def _na_token():
+    nth = F.pmod(F.floor(F.abs("review_id") / 11), F.lit(len(NA_TOKENS))).cast("int")
+    return F.get(F.array(*[F.lit(t) for t in NA_TOKENS]), nth)
+
+
+def q_masked_export(spark, sf_dir):
+    """PRJ-9, SNK-2: the masked export written as CSV and read back, counted
+    per aspect and sentiment with the lengths of its texts."""
+    path = staging_path(spark, "export")
+    reviews.write_results_csv(masking.export_frame(q_masked_rows(spark, sf_dir)), path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return (back.groupBy("Aspect", "Sentiment")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("Reviews")).alias("review_chars"),
+                 F.sum(F.length("`Formatted Review`")).alias("masked_chars")))
+
+
+def q_template_jaccard(spark, sf_dir):
+    """AGG-3: every review's tokens against those of the review before its
+    document's text, i.e. of its own first 40 characters."""
+    head = T.ws_tokens(F.substring("reviews", 1, 40))
+    return _nn(spark, sf_dir).select("review_id", F.round(T.jaccard(T.ws_tokens("reviews"), head), 9).alias("jaccard"))
+
+
+def q_sentiment_truncated(spark, sf_dir):
+    """SCR-3: the scorer sees the first 64 words only."""
+    sc = flow.score_reviews(_nn(spark, sf_dir), scoring.LinearScorer(max_tokens=64), keep_features=False)
+    return scoring.sentiment_long(sc).select("review_id", "aspect", F.col("logits")[0].alias("logit_neg"),
+                                             F.col("logits")[1].alias("logit_neu"), F.col("logits")[2].alias("logit_pos"), "sentiment")
+
+
+def length_models() -> dict:
+    """Models for two aspects, by text length; the other aspects have none."""
+    return {a: (lambda texts, k=k: [[float((len(t) + k) % 3 == c) for c in range(3)] for t in texts])
+            for k, a in enumerate(ASPECTS[:2])}
+
+
+def q_model_labels(spark, sf_dir):
+    """SCR-2, SCR-4: a model scorer that lacks models for some aspects."""
+    sc = flow.score_reviews(_nn(spark, sf_dir), scoring.ModelScorer(length_models), keep_features=False)
+    return sc.select("review_id", *ASPECTS)
+
+
+def _landed(spark, sf_dir) -> str:
+    path = staging_path(spark, "stream-source")
+    _nn(spark, sf_dir).select("review_id", "batch", "reviews").write.json(path)
+    return path
+
+
+def q_stream_predict(spark, sf_dir):
+    """STR-1: landed files through the prediction stream, sink read back."""
+    sink = staging_path(spark, "stream-predict")
+    stream.start_prediction_query(spark, _landed(spark, sf_dir), sink, available_now=True).awaitTermination()
+    return spark.read.parquet(sink).select("review_id", *ASPECTS)
+
+
+def q_stream_rollup(spark, sf_dir):
+    """STR-2: the running rollup after the stream has seen all files."""
+    table = staging_path(spark, "stream-rollup")
+    stream.start_rollup_query(spark, _landed(spark, sf_dir), table, available_now=True).awaitTermination()
+    return stream.current_rollup(spark, table)
+
+
 def q_review_limit(spark, sf_dir):
     """SRT-3: the first 100 reviews per hospital (provider limit)."""
     w = Window.partitionBy("batch").orderBy("review_id")
@@ -204,14 +304,37 @@ def q_request_url(spark, sf_dir):
     return pages.select("page_id", T.url_key("url").alias("url_key"))
 
 
+# Hospital names with everything that percent-encoding treats differently.
+ODD_NAMES = ["St. Mary's Hospital", "A+ Care", "50% Clinic", "Clínica São José", "a~b*c", "x/y z", "日本 病院", "R&D; (north)"]
+
+
+def q_request_name(spark, sf_dir):
+    """PRJ-12: query keys of hospital names with spaces, accents and marks."""
+    docs = load_table(spark, sf_dir, "documents")
+    name = F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in ODD_NAMES]), F.pmod("doc_id", F.lit(len(ODD_NAMES))).cast("int")), "source")
+    return payload.request_key(docs.select("doc_id", name.alias("hospital_name"))).select("doc_id", "hospital_name", "query_key")
+
+
+def _cells(spark, sf_dir):
+    """Conversation texts with every fifth row's cell an NA token."""
+    conv = load_table(spark, sf_dir, "conversations")
+    at = F.col("conv_id") * 31 + F.col("turn")
+    token = F.get(F.array(*[F.lit(t) for t in NA_TOKENS]), F.pmod(F.floor(at / 5), F.lit(len(NA_TOKENS))).cast("int"))
+    return conv.select("conv_id", "turn", "role", F.when(at % 5 == 0, token).otherwise(F.col("text")).alias("text"))
+
+
 def q_na_normalise(spark, sf_dir):
     """PRJ-2/3: pandas NA tokens become NULL; count what survives per role."""
-    conv = load_table(spark, sf_dir, "conversations")
-    t = T.normalise_na("text", NA_TOKENS)
-    return (conv.select("role", t.alias("text"))
+    return (_cells(spark, sf_dir).select("role", T.normalise_na("text", NA_TOKENS).alias("text"))
             .groupBy("role").agg(F.count(F.lit(1)).alias("n_rows"), F.count("text").alias("n_text")))
 
 
+def q_nan_cells(spark, sf_dir):
+    """PRJ-4: NULL cells kept as the text ``nan``."""
+    cells = _cells(spark, sf_dir).withColumn("text", T.normalise_na("text", NA_TOKENS))
+    return reviews.stringify(cells, "text", keep_nulls_as_nan=True).select("conv_id", "turn", "text")
+
+
 QUERIES = {
     "aspect_gate_substring": q_aspect_gate_substring,
     "aspect_tags": q_aspect_tags,
@@ -238,5 +361,15 @@ QUERIES = {
     "payload_explode": q_payload_explode,
     "review_limit": q_review_limit,
     "request_url": q_request_url,
+    "request_name": q_request_name,
+    "payload_files": q_payload_files,
+    "csv_roundtrip": q_csv_roundtrip,
+    "masked_export": q_masked_export,
+    "template_jaccard": q_template_jaccard,
+    "sentiment_truncated": q_sentiment_truncated,
+    "model_labels": q_model_labels,
+    "stream_predict": q_stream_predict,
+    "stream_rollup": q_stream_rollup,
+    "nan_cells": q_nan_cells,
     "na_normalise": q_na_normalise,
 }

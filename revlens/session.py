@@ -24,6 +24,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.session.timeZone": "UTC",
 }
+# Spark's own defaults where they differ from ours.
+_SPARK_DEFAULTS = {"spark.sql.execution.arrow.pyspark.enabled": "false"}
 # Settings that only take effect when this process launches Spark itself
 # (local runs, tests); a cluster session keeps its own.
 LAUNCH_DEFAULTS = {
@@ -46,13 +48,18 @@ def get_spark(master: str | None = None, app: str = "revlens", shuffle_partition
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    launched_conf = spark.sparkContext.getConf()
+    context = _has_context(spark)
+    launched = dict(spark.sparkContext.getConf().getAll()) if context else {}
     for k, v in DEFAULTS.items():
-        if not launched_conf.contains(k) and k not in (extra or {}):
+        if k in launched or k in (extra or {}):
+            continue
+        # A value that differs from Spark's own default was set at run time.
+        if launching or not spark.conf.isModifiable(k) or spark.conf.get(k, None) in (None, _SPARK_DEFAULTS.get(k)):
             spark.conf.set(k, v)
     if shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    spark.sparkContext.setLogLevel("ERROR")
+    if context:
+        spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 

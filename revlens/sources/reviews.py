@@ -21,6 +21,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import text as T
 from ..functions.lexicons import NA_TOKENS, get_lexicon, lexicon_rows
+from ..session import spread
 
 # Functions here run inside Python workers; ship this module's code with the
 # task (pickled by value) so executors need no installed copy of the package.
@@ -32,7 +33,7 @@ REQUIRED = "Reviews"
 def require_reviews(df: DataFrame, column: str = REQUIRED) -> DataFrame:
     """PRJ-1: plan-time check that the review column exists."""
     if column not in df.columns:
-        raise ValueError(f"The uploaded file must contain a '{column}' column.")
+        raise ValueError(f"no column named '{column}' in the review file")
     return df
 
 
@@ -43,15 +44,20 @@ def normalise_na_columns(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
 
 
 def with_review_id(df: DataFrame, key: str = "review_id") -> DataFrame:
-    """A stable per-row id without a global shuffle or a single-partition window."""
+    """A unique per-row id without a global shuffle or a single-partition
+    window. It depends on the input splits: write the frame (``write_staging``)
+    before reading it more than once."""
     return df.withColumn(key, F.monotonically_increasing_id())
 
 
 def read_reviews_csv(spark: SparkSession, path: str, na_tokens=NA_TOKENS) -> DataFrame:
-    """SRC-1: header CSV, quoted newlines and doubled quotes, all strings."""
+    """SRC-1: header CSV, quoted newlines and doubled quotes, all strings. A
+    file with quoted newlines is one scan task, so its rows are spread over the
+    cluster before any text work."""
     df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
           .option("escape", '"').option("inferSchema", False).csv(path))
-    return require_reviews(normalise_na_columns(df, na_tokens) if na_tokens else df)
+    df = spread(require_reviews(df))
+    return normalise_na_columns(df, na_tokens) if na_tokens else df
 
 
 # --- XLSX -------------------------------------------------------------------
@@ -105,23 +111,33 @@ def parse_xlsx_first_sheet(data: bytes) -> list[list[str | None]]:
         return rows
 
 
-def read_reviews_xlsx(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def _header(rows: list[list[str | None]]) -> list[str]:
+    return [h if h is not None else "" for h in rows[0]] if rows else []
+
+
+def read_reviews_xlsx(spark: SparkSession, path: str, columns: list[str] | None = None,
+                      na_tokens=NA_TOKENS, required: str = REQUIRED) -> DataFrame:
     """SRC-2: many workbooks read in parallel (``binaryFile`` + ``mapInPandas``);
-    the first row of the first sheet is the header. ``columns`` fixes the output
-    schema (default: the header row of one workbook)."""
-    files = spark.read.format("binaryFile").load(path)
+    the first row of a workbook's first sheet is its header. The output has
+    every column that any workbook has (``columns`` fixes it instead); a
+    workbook without the required column is an error. NA tokens are NULL, as in
+    CSV files."""
+    files = spread(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+    def headers(batches):
+        import pandas as pd
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "header": [_header(parse_xlsx_first_sheet(bytes(c))) for c in pdf["content"]]})
+
     if columns is None:
-        def headers(batches):
-            import pandas as pd
-            for pdf in batches:
-                yield pd.DataFrame({"header": [[h if h is not None else "" for h in
-                                                (parse_xlsx_first_sheet(bytes(c)) or [[]])[0]]
-                                               for c in pdf["content"]]})
-        # Only the header row (a few names) reaches the driver, never a workbook.
-        first = files.select("content").limit(1).mapInPandas(headers, "header array<string>").collect()
-        if not first:
-            raise ValueError(f"no workbook under {path}")
-        columns = list(first[0][0])
+        # Distinct column names over all workbooks, in order of first
+        # appearance by position, then name: bounded by the widest layouts.
+        names = (files.mapInPandas(headers, "path string, header array<string>")
+                 .select(F.posexplode("header").alias("at", "name")).where("name <> ''")
+                 .groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect())
+        if not names:
+            raise ValueError(f"no workbook with a header under {path}")
+        columns = [r["name"] for r in names]
     cols = list(columns)
     schema = Ty.StructType([Ty.StructField("source_file", Ty.StringType())] +
                            [Ty.StructField(c, Ty.StringType()) for c in cols])
@@ -129,18 +145,19 @@ def read_reviews_xlsx(spark: SparkSession, path: str, columns: list[str] | None
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            out = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 rows = parse_xlsx_first_sheet(bytes(content))
-                if not rows:
-                    continue
-                header = rows[0]
-                idx = {h: i for i, h in enumerate(header)}
-                for r in rows[1:]:
-                    out.append([p] + [r[idx[c]] if c in idx and idx[c] < len(r) else None for c in cols])
-            yield pd.DataFrame(out, columns=["source_file"] + cols)
+                header = _header(rows)
+                if required not in header:
+                    raise ValueError(f"no column named '{required}' in {p}")
+                idx = {h: i for i, h in reversed(list(enumerate(header)))}
+                yield pd.DataFrame([[p] + [r[idx[c]] if c in idx and idx[c] < len(r) else None for c in cols]
+                                    for r in rows[1:]], columns=["source_file"] + cols)
 
-    return require_reviews(files.select("path", "content").mapInPandas(run, schema))
+    out = require_reviews(files.mapInPandas(run, schema), required)
+    if not na_tokens:
+        return out
+    return out.select("source_file", *[T.normalise_na(F.col(f"`{c}`"), na_tokens).alias(c) for c in cols])
 
 
 def read_reviews(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -150,7 +167,7 @@ def read_reviews(spark: SparkSession, path: str, fmt: str | None = None) -> Data
         return read_reviews_csv(spark, path)
     if kind == "xlsx":
         return read_reviews_xlsx(spark, path)
-    raise ValueError("Unsupported file format.")
+    raise ValueError(f"cannot tell the format of {path!r}: expected .csv or .xlsx")
 
 
 def reviews_from_list(spark: SparkSession, reviews: list[str | None], batch: str | None = None) -> DataFrame:
@@ -188,5 +205,7 @@ def write_staging(df: DataFrame, path: str) -> None:
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
-    """SNK-2: header CSV with doubled-quote escaping."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """SNK-2: header CSV with doubled-quote escaping. Spark's writer trims cells
+    unless told not to."""
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

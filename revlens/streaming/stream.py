@@ -14,6 +14,8 @@ by the number of distinct batches (hospitals), not by time.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -66,34 +68,53 @@ def rollup_from_counters(counters: DataFrame, group_cols=("batch",)) -> DataFram
                       "Sentiment", "signed_pct")
 
 
+def _checkpoint(spark: SparkSession, kind: str, source: str, sink: str, given: str | None) -> str:
+    """A folder of its own for every (source, sink) pair under the shared
+    checkpoint folder, so that no query picks up another one's offsets."""
+    name = hashlib.sha256(f"{source}\n{sink}".encode()).hexdigest()[:24]
+    return given or f"{checkpoint_dir(spark).rstrip('/')}/streams/{kind}-{name}"
+
+
 def start_prediction_query(spark: SparkSession, source: str, sink: str, fmt: str = "json",
                            checkpoint: str | None = None, available_now: bool = False, scorer=None):
-    """Run STR-1 into a parquet sink (append). The checkpoint lives in the
-    shared checkpoint folder unless given."""
-    ckpt = checkpoint or checkpoint_dir(spark).rstrip("/") + "/streams/predict"
+    """Run STR-1 into a parquet sink (append). Unless given, the checkpoint is
+    derived from source and sink."""
     out = prediction_stream(read_review_stream(spark, source, fmt), scorer)
     w = (out.drop("sentiment").writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", ckpt).outputMode("append"))
+         .option("checkpointLocation", _checkpoint(spark, "predict", source, sink, checkpoint)).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def start_rollup_query(spark: SparkSession, source: str, table: str, fmt: str = "json",
                        checkpoint: str | None = None, available_now: bool = False, scorer=None):
-    """Run STR-2: counters in streaming state, each micro-batch's full counter
-    table handed to ``foreachBatch`` and written as a table (overwrite)."""
-    ckpt = checkpoint or checkpoint_dir(spark).rstrip("/") + "/streams/rollup"
-    scored = prediction_stream(read_review_stream(spark, source, fmt), scorer)
-    counters = rollup_counter_stream(scored)
+    """Run STR-2: counters in streaming state; each micro-batch writes only the
+    groups it changed, under ``table/epoch=<n>`` (rewritten if the batch is
+    repeated). :func:`current_counters` and :func:`current_rollup` read the
+    newest counters of every group."""
+    counters = rollup_counter_stream(prediction_stream(read_review_stream(spark, source, fmt), scorer))
 
     def publish(df: DataFrame, epoch_id: int) -> None:
-        rollup_from_counters(df).write.mode("overwrite").parquet(table)
+        df.write.mode("overwrite").parquet(f"{table}/epoch={epoch_id}")
 
-    w = (counters.writeStream.outputMode("complete").option("checkpointLocation", ckpt)
-         .foreachBatch(publish))
+    w = (counters.writeStream.outputMode("update")
+         .option("checkpointLocation", _checkpoint(spark, "rollup", source, table, checkpoint)).foreachBatch(publish))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def current_counters(spark: SparkSession, table: str, group_cols=("batch",)) -> DataFrame:
+    """Newest counters of every group (counters only grow, the last epoch wins)."""
+    df = spark.read.parquet(table)
+    counts = [c for c in df.columns if c not in (*group_cols, "epoch")]
+    newest = df.groupBy(*group_cols).agg(F.max_by(F.struct(*counts), "epoch").alias("_c"))
+    return newest.select(*group_cols, *[F.col("_c")[c].alias(c) for c in counts])
+
+
+def current_rollup(spark: SparkSession, table: str, group_cols=("batch",)) -> DataFrame:
+    """The rollup table as of the newest micro-batch."""
+    return rollup_from_counters(current_counters(spark, table, group_cols), group_cols)
+
+
 __all__ = ["read_review_stream", "prediction_stream", "rollup_counter_stream", "rollup_from_counters",
-           "start_prediction_query", "start_rollup_query", "scoring"]
+           "start_prediction_query", "start_rollup_query", "current_counters", "current_rollup", "scoring"]

@@ -149,3 +149,25 @@ def test_url_key(spark):
     samples = ["a/b~c*d+e", "St. Mary's Hospital, Pune", "Hôpital & Clinic #1?x=1", "100% ok"]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     assert [r[0] for r in df.select(T.url_key("s")).collect()] == [quote(s) for s in samples]
+
+
+def test_one_decimal_is_python_format(spark):
+    from revlens.operators.rollup import one_decimal
+
+    values = [s * k / 2000 * 100 for k in range(2001) for s in (1, -1)] + [a / b * 100 for b in range(1, 60) for a in range(b)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", one_decimal("v").alias("s"))
+    assert all(r.s == format(r.v, ".1f") or (r.v == 0 and r.s == "0.0") for r in df.collect())
+
+
+def test_map_literals(spark):
+    import ast
+
+    from revlens.functions import text as T
+
+    literals = ["{'a': None, 'b': 'x'}", "{'x: None}': 'y', 'k': 'v: None}'}", "{1: 'a', 'b': True, 'c': 2.5}",
+                '{"a": "it\'s", \'b\': \'q"q\'}', "['a']", "{}", "{'a': 'it\\'s'}", "{'p': 'a, b: c', 'q': ''}"]
+    df = spark.createDataFrame([(x,) for x in literals + ["oops"]], "x string").select("x", T.parse_map_literal("x").alias("m"))
+    for r in df.collect():
+        want = {} if r.x == "oops" else ast.literal_eval(r.x)
+        want = {str(k): v if isinstance(v, str) else None for k, v in want.items()} if isinstance(want, dict) else {}
+        assert r.m == want

@@ -1,7 +1,7 @@
 """Differential and property tests: Spark expressions vs plain-Python
 restatements written from the spec, on random and fixture text."""
 import random
-import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from revlens.functions.lexicons import (API_LEXICON, APP_LEXICON, ASPECTS, JSON_LEXICON,
                                         all_keywords, reduce_for_substring)
 from revlens.operators import masking, spam, tagging
-from revlens.operators.matcher import KeywordScanner, is_word_char
+from revlens.operators import matcher
+from revlens.operators.matcher import KeywordScanner
 from revlens.plans import flow
 
 from conftest import frame
@@ -30,6 +31,10 @@ def rand_text(rng, n):
     return "".join(out)
 
 
+def is_word_char(ch):
+    return ch == "_" or unicodedata.category(ch)[0] in ("L", "N")
+
+
 def py_word_hit(low, kw):
     # whole-word occurrence: neighbours are not word characters
     start = low.find(kw)
@@ -198,12 +203,24 @@ def test_partition_invariance(spark, texts):
     assert a == b
 
 
-def test_scanner_boundaries():
-    sc = KeywordScanner([["rs"]], ["rs", "wi-fi", "doc"])
+def test_scanner_boundaries(spark):
+    sc = KeywordScanner([["rs"]], ["rs", "wi-fi", "doc"], matcher.word_class(spark))
     assert sc.scan("nurses") == (1, [])
     assert sc.scan("rs,wi-fi") == (1, ["rs", "wi-fi"])
     assert sc.scan("édoc doc_x doc") == (0, ["doc"])
-    assert re.fullmatch(r"\w", "é") and is_word_char("é") and not is_word_char("-")
+
+
+def test_both_engines_agree_on_every_code_point(spark):
+    """A keyword next to each code point: hit or no hit, the same in both."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(k, "".join(f"{chr(c)}icu{chr(c)} " if c != 32 else "icu " for c in points[k:k + 1]))
+                                for k in range(0, len(points), 1) if points[k] < 0x3000 or points[k] % 37 == 0 or
+                                0x1E000 <= points[k] < 0x1F000], "review_id long, reviews string")
+    hits = {}
+    for engine in ("automaton", "jvm"):
+        out = tagging.with_text_features(df, "reviews", ["icu"], engine=engine)
+        hits[engine] = {r.review_id: sorted(r._hits) for r in out.select("review_id", tagging.HITS).collect()}
+    assert hits["automaton"] == hits["jvm"]
 
 
 _set_lists = st.lists(st.lists(st.sampled_from(list("abcdef")), max_size=5), min_size=1, max_size=12)

@@ -14,11 +14,10 @@ def test_csv_roundtrip_quotes_newlines_na(spark, tmp_path):
     p = tmp_path / "up.csv"
     p.write_text('Reviews,Other\n"He said ""hi""\nthen left",x\nNA,y\n"plain",\n', encoding="utf-8")
     df = src.read_reviews(spark, str(p))
-    rows = df.collect()
-    assert rows[0]["Reviews"] == 'He said "hi"\nthen left'
-    assert rows[1]["Reviews"] is None and rows[2]["Other"] is None
+    rows = {r["Other"]: r["Reviews"] for r in df.collect()}
+    assert rows == {"x": 'He said "hi"\nthen left', "y": None, None: "plain"}
     assert src.stringify(df).count() == 2
-    assert [r[0] for r in src.stringify(df, keep_nulls_as_nan=True).select("Reviews").collect()][1] == "nan"
+    assert "nan" in [r[0] for r in src.stringify(df, keep_nulls_as_nan=True).select("Reviews").collect()]
 
 
 def test_missing_reviews_column(spark, tmp_path):
@@ -70,26 +69,75 @@ def test_payload_files(spark, tmp_path):
         {"author_title": "A", "review_text": "good"}, {"author_title": "B"}]}]}))
     (d / "Empty.json").write_text(json.dumps({"data": []}))
     (d / "None.json").write_text(json.dumps({"status": "x"}))
-    out = payload.read_review_payloads(spark, str(d)).orderBy("pos").collect()
-    assert [(r["hospital_name"], r["pos"], r["author"], r["reviews"]) for r in out] == \
-        [("St Mary", 0, "A", "good"), ("St Mary", 1, "B", None)]
-    api = payload.read_review_payloads(spark, str(d), api_variant=True).orderBy("pos").collect()
-    assert [r["reviews"] for r in api] == ["good", ""]
-    e = tmp_path / "empty"
-    e.mkdir()
-    (e / "x.json").write_text(json.dumps({"data": []}))
-    with pytest.raises(LookupError):
-        payload.read_review_payloads(spark, str(e), strict=True)
+    for layout in payload.LAYOUTS:
+        out = payload.read_review_payloads(spark, str(d), layout).orderBy("pos").collect()
+        assert [(r["hospital_name"], r["pos"], r["author"], r["reviews"]) for r in out] == \
+            [("St Mary", 0, "A", "good"), ("St Mary", 1, "B", None)]
+        api = payload.read_review_payloads(spark, str(d), layout, api_variant=True).orderBy("pos").collect()
+        assert [r["reviews"] for r in api] == ["good", ""]
+    # One empty payload among others is an error when asked for.
+    with pytest.raises(Exception, match="holds no data"):
+        payload.read_review_payloads(spark, str(d), strict=True).collect()
+
+
+def test_payload_null_and_missing_text(spark, tmp_path):
+    (tmp_path / "h.json").write_text(json.dumps({"data": [{"reviews_data": [
+        {"review_text": None, "rating": 5, "extra": {"a": [1]}}, {"author_title": "x"}, {"review_text": "t"}]}]}))
+    out = payload.read_review_payloads(spark, str(tmp_path), api_variant=True).orderBy("pos").collect()
+    assert [r["reviews"] for r in out] == [None, "", "t"]
+
+
+def test_payload_hospital_names(spark, tmp_path):
+    names = ["A+ Care", "50% Clinic", "Cl%C3%ADnica", "St Mary", "100%"]
+    for n in names:
+        (tmp_path / f"{n}.json").write_text(json.dumps({"data": [{"reviews_data": [{"review_text": n}]}]}))
+    got = {r["reviews"]: r["hospital_name"] for r in payload.read_review_payloads(spark, str(tmp_path)).collect()}
+    assert got == {n: n for n in names} | {"Cl%C3%ADnica": "Clínica"}
+
+
+def test_payload_trailing_content_is_an_error(spark, tmp_path):
+    one = json.dumps({"data": [{"reviews_data": [{"review_text": "a"}]}]})
+    (tmp_path / "two.json").write_text(one + "\n" + one + "\n\n")
+    assert payload.read_review_payloads(spark, str(tmp_path)).count() == 2
+    with pytest.raises(Exception):
+        payload.read_review_payloads(spark, str(tmp_path), "file").collect()
+    (tmp_path / "two.json").write_text(one + " " + one)
+    for layout in payload.LAYOUTS:
+        with pytest.raises(Exception):
+            payload.read_review_payloads(spark, str(tmp_path), layout).collect()
+    with pytest.raises(ValueError):
+        payload.read_review_payloads(spark, str(tmp_path), "auto")
 
 
 def test_payload_build_roundtrip(spark, tmp_path):
-    rv = src.reviews_from_list(spark, [f"review {i}" for i in range(250)], batch="H")
+    rv = src.reviews_from_list(spark, [f"review {i}" for i in range(250)], batch="H+ 5%")
     body = payload.build_payload_json(rv)
     assert body.count() == 3
     path = str(tmp_path / "landed")
-    payload.write_payloads(body, path)
-    back = spark.read.schema(payload.PAYLOAD_SCHEMA).json(path)
-    assert payload.explode_payload(back.select(F.struct("data").alias("payload"))).count() == 250
+    payload.write_payloads(body.coalesce(1), path)  # several payloads in one file
+    back = payload.read_review_payloads(spark, path).collect()
+    assert sorted(r["reviews"] for r in back) == sorted(f"review {i}" for i in range(250))
+    assert {r["hospital_name"] for r in back} == {"H+ 5%"}
+
+
+def test_xlsx_different_headers_and_na(spark, tmp_path):
+    d = tmp_path / "books"
+    d.mkdir()
+    make_xlsx(d / "a.xlsx", [["Reviews", "Author"], ["NA", "A"], ["Rude staff", "n/a"]])
+    make_xlsx(d / "b.xlsx", [["Ward", "Reviews"], ["W1", "Cheap"]])
+    df = src.read_reviews_xlsx(spark, str(d))
+    assert set(df.columns) == {"source_file", "Reviews", "Author", "Ward"}
+    got = sorted(((r["Reviews"], r["Author"], r["Ward"]) for r in df.collect()), key=str)
+    assert got == sorted([(None, "A", None), ("Rude staff", None, None), ("Cheap", None, "W1")], key=str)
+    make_xlsx(d / "c.xlsx", [["Text"], ["no such column"]])
+    with pytest.raises(Exception, match="Reviews"):
+        src.read_reviews_xlsx(spark, str(d)).collect()
+
+
+def test_csv_keeps_outer_white_space(spark, tmp_path):
+    df = spark.createDataFrame([(" lead", "trail \n")], "Reviews string, Other string")
+    src.write_results_csv(df, str(tmp_path / "w"))
+    assert tuple(src.read_reviews_csv(spark, str(tmp_path / "w")).first()) == (" lead", "trail \n")
 
 
 def test_list_source_and_lexicon(spark, tmp_path):

@@ -42,7 +42,7 @@ def test_rollup_stream_equals_batch(spark, tmp_path):
     table = str(tmp_path / "rollup")
     q = stream.start_rollup_query(spark, src, table, checkpoint=str(tmp_path / "ck2"), available_now=True)
     q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.read.parquet(table).collect())
+    got = sorted(tuple(r) for r in stream.current_rollup(spark, table).collect())
     df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
     scored = flow.score_reviews(flow.drop_null_reviews(df), keep_features=False)
     exp = sorted(tuple(r) for r in rollup.aspect_rollup(scored).collect())
@@ -104,3 +104,64 @@ def test_pipeline_scorer_matches_model_predictions(spark):
             else:
                 assert got[rid][a] == "Neutral"
     assert "text" not in flow.score_reviews(df, scorer, keep_features=False).columns
+
+
+def test_rollup_stream_upserts_changed_groups(spark, tmp_path):
+    """Every trigger writes the groups it changed; readers see the newest."""
+    src = tmp_path / "grow"
+    src.mkdir()
+    table = str(tmp_path / "rollup2")
+    seen = []
+    for n, rows in enumerate([[(0, "a", "The nurses were kind"), (1, "b", "The doctor was rude")],
+                              [(2, "a", "Rude nurses")]]):
+        (src / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("review_id", "batch", "reviews"), r))) for r in rows))
+        seen += rows
+        stream.start_rollup_query(spark, str(src), table, available_now=True).awaitTermination(120)
+    last = spark.read.parquet(table)
+    newest = last.agg({"epoch": "max"}).first()[0]
+    assert {r.batch for r in last.where(f"epoch = {newest}").collect()} == {"a"}
+    scored = flow.score_reviews(spark.createDataFrame(seen, "review_id long, batch string, reviews string"), keep_features=False)
+    assert (sorted(map(tuple, stream.current_rollup(spark, table).collect()))
+            == sorted(map(tuple, rollup.aspect_rollup(scored).collect())))
+
+
+def test_streams_have_checkpoints_of_their_own(spark):
+    a = stream._checkpoint(spark, "predict", "s1", "t", None)
+    assert a != stream._checkpoint(spark, "predict", "s2", "t", None) != stream._checkpoint(spark, "rollup", "s2", "t", None)
+    assert stream._checkpoint(spark, "predict", "s", "t", "given") == "given"
+
+
+def test_models_load_once_per_worker(spark, tmp_path):
+    from revlens.functions.lexicons import ASPECTS
+    from revlens.operators import scoring
+
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return {a: (lambda texts: [[0.0, 0.0, float(len(texts) <= scoring.MODEL_BATCH)] for _ in texts]) for a in ASPECTS}
+
+    df = spark.createDataFrame([(i, "b", "The doctor was kind") for i in range(640)], "review_id long, batch string, reviews string")
+    out = flow.score_reviews(df.repartition(32, "review_id"), scoring.ModelScorer(load), keep_features=False)
+    assert {r.doctor for r in out.select("doctor").collect()} == {"Positive"}
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids)) <= 32
+
+
+def test_large_weight_table_is_joined(spark, monkeypatch):
+    from revlens.functions.lexicons import ASPECTS
+    from revlens.operators import scoring
+
+    df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(TEXTS + TEXTS[:2])], "review_id long, batch string, reviews string")
+    df = flow.drop_null_reviews(df)
+    for words in (None, 4):
+        cols = ["review_id", *ASPECTS, *[f"logits_{a}" for a in ASPECTS]]
+        small = flow.score_reviews(df, scoring.LinearScorer(max_tokens=words), keep_features=False).select(*cols)
+        want = sorted(map(str, small.collect()))
+        monkeypatch.setattr(scoring, "MAX_LITERAL_WEIGHTS", 3)
+        large = flow.score_reviews(df, scoring.LinearScorer(max_tokens=words), keep_features=False).select(*cols)
+        assert sorted(map(str, large.collect())) == want
+        monkeypatch.undo()
