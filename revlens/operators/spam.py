@@ -23,14 +23,21 @@ all n(n-1)/2 pairs; we never materialise those pairs. Instead:
   P[min h(A) = min h(B)] = J(A,B), so the mean over pairs equals
   E_h[Σ_buckets C(c,2)] / C(n,2) where buckets group the batch by min-hash.
   K hashes ``(a_k·x + b_k) mod (2^31-1)`` over a 32-bit md5 prefix of the
-  token; per review one aggregate computes all K minima, per batch one count
-  per (k, min-hash) bucket. Unbiased; standard error about 1/sqrt(K) per pair,
-  far less for the batch mean.
+  token; per distinct set one aggregate computes all K minima, per batch one
+  count per (k, min-hash) bucket. Every hash gives one unbiased estimate of the
+  batch mean; all pairs share the hashes, so the error of the mean does not
+  shrink with the batch, only with K. It is measured and reported as
+  ``jaccard_se``, the standard deviation over the hashes divided by sqrt(K).
+
+All rungs work on the batch's *distinct* token sets with their multiplicities,
+which are written once: the text is tokenised once, and copies -- what a spam
+batch consists of -- cost nothing beyond the first grouping.
 
 The gate decision is exact whenever a rung decides it (TTR above the
 threshold; a rounded lower bound >= 0.8; a rounded upper bound < 0.8) and
-falls back to the estimate (clamped into the tightest [L, U]) only in
-between. ``decided_by`` names the rung.
+falls back to the estimate (``OPEN_HASHES`` hashes, clamped into the tightest
+[L, U]) only in between. ``decided_by`` names the rung; ``undecided`` marks
+estimated batches whose interval of two standard errors holds the threshold.
 
 Exclusion of flagged batches (JON-6) is an anti join whose broadcast side is
 materialised and measured first (see :func:`drop_spam_batches`).
@@ -45,10 +52,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import JACCARD_THRESHOLD, TTR_THRESHOLD
-from ..session import materialize
+from ..session import materialize, staging_path
 
 MERSENNE_31 = (1 << 31) - 1
 DEFAULT_NUM_HASHES = 64
+# Hashes for batches that only an estimate can decide.
+OPEN_HASHES = 256
 HASH_SEED = 20240607
 
 
@@ -73,13 +82,21 @@ def review_token_stats(reviews: DataFrame, text_col: str = "reviews", keys=("bat
 
 
 def set_groups(stats: DataFrame, batch: str = "batch") -> DataFrame:
-    """Reviews grouped by identical token set: ``batch, n_distinct, m`` (how
-    many reviews share the set) and ``ttr_sum``. Sets are keyed by an md5
-    digest of the sorted set. This one aggregate feeds the mean TTR and both
-    Jaccard bounds, so the text is tokenised once."""
+    """Reviews grouped by identical token set: ``batch, _set, n_distinct,
+    token_set, m`` (how many reviews share the set) and ``ttr_sum``. Sets are
+    keyed by an md5 digest of the sorted set. Everything the gate needs is
+    derived from these rows."""
     key = F.md5(F.array_join(F.array_sort("token_set"), " "))
     return (stats.groupBy(batch, key.alias("_set"), "n_distinct")
-            .agg(F.count(F.lit(1)).alias("m"), F.sum("ttr").alias("ttr_sum")))
+            .agg(F.first("token_set").alias("token_set"), F.count(F.lit(1)).alias("m"), F.sum("ttr").alias("ttr_sum")))
+
+
+def _weighted(stats: DataFrame) -> DataFrame:
+    """Rows with a multiplicity ``m`` and a key ``_set``: distinct sets as they
+    are, single reviews with m = 1."""
+    if "m" in stats.columns:
+        return stats
+    return stats.withColumn("m", F.lit(1).cast("bigint")).withColumn("_set", F.col("review_id").cast("string"))
 
 
 def batch_ttr(stats: DataFrame, batch: str = "batch") -> DataFrame:
@@ -156,12 +173,12 @@ def jaccard_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
 
 
 def _postings(stats: DataFrame, batch: str) -> DataFrame:
-    """``(batch, n_distinct, tok)``: one row per distinct token of a review.
+    """``(batch, _set, n_distinct, m, tok)``: one row per token of a set.
 
     explode_outer + an explicit filter above the generator: a plain explode
     makes Catalyst infer ``size(token_set) > 0`` and push it, tokenisation
     included, below the input exchange into the scan task."""
-    return (stats.select(batch, "n_distinct", F.explode_outer("token_set").alias("tok"))
+    return (_weighted(stats).select(batch, "_set", "n_distinct", "m", F.explode_outer("token_set").alias("tok"))
             .where(F.col("tok").isNotNull()))
 
 
@@ -181,14 +198,14 @@ def pair_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
 
     Both are tight when intersections are uniform (e.g. copies that differ
     by one token). Returns ``batch, n, pair_lo, pair_hi``."""
-    h = _postings(stats, batch).groupBy(batch, "tok", "n_distinct").agg(F.count(F.lit(1)).alias("c"))
+    h = _postings(stats, batch).groupBy(batch, "tok", "n_distinct").agg(F.sum("m").alias("c"))
     w = Window.partitionBy(batch, "tok").orderBy("n_distinct").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("_smaller", F.coalesce(F.sum("c").over(w), F.lit(0)))
     size = F.col("n_distinct").cast("double")
     per_size = h.groupBy(batch, "n_distinct").agg(
         F.sum(_pairs("c")).alias("w_s"),
         F.sum(_dbl("c") * F.col("_smaller") / size).alias("x_s"))
-    sizes = stats.groupBy(batch, "n_distinct").agg(F.count(F.lit(1)).alias("n_s"))
+    sizes = _weighted(stats).groupBy(batch, "n_distinct").agg(F.sum("m").alias("n_s"))
     p_s = _pairs("n_s")
     ibar = F.col("w_s") / p_s
     lo_part = F.when((p_s > 0) & (size > 0), p_s * ibar / (F.lit(2.0) * size - ibar)).otherwise(F.lit(0.0))
@@ -202,39 +219,41 @@ def pair_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
                       F.when(pairs > 0, F.col("hi_num") / pairs).otherwise(F.lit(0.0)).alias("pair_hi"))
 
 
-def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch",
-                       key: str = "review_id") -> DataFrame:
-    """Per review: ``mh_0 .. mh_{K-1}`` min-hashes of the distinct token set
-    (reviews with no tokens produce no row)."""
+def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:
+    """Per token set: ``m`` and ``mh_0 .. mh_{K-1}``, the min-hashes of its
+    tokens (empty sets produce no row). A set's postings lie in one partition,
+    so the partial aggregate leaves one row per set for the exchange."""
     params = hash_params(num_hashes)
-    # explode_outer + an explicit filter above the generator: a plain explode
-    # makes Catalyst infer ``size(token_set) > 0`` and push it, tokenisation
-    # included, below the input exchange into the scan task.
-    post = (stats.select(batch, key, F.explode_outer("token_set").alias("tok"))
-            .where(F.col("tok").isNotNull())
-            .select(batch, key, (token_hash32("tok") % F.lit(MERSENNE_31)).alias("x")))
+    post = _postings(stats, batch).select(batch, "_set", "m", (token_hash32("tok") % F.lit(MERSENNE_31)).alias("x"))
     # one SQL expression per hash (a, b < 2^31 and x < 2^31: the product fits a BIGINT)
     aggs = [F.expr(f"min(({a} * x + {b}) % {MERSENNE_31})").alias(f"mh_{i}") for i, (a, b) in enumerate(params)]
-    return post.groupBy(batch, key).agg(*aggs)
+    return post.groupBy(batch, "_set").agg(F.first("m").alias("m"), *aggs)
 
 
-def _collisions(sig: DataFrame, num_hashes: int, batch: str = "batch") -> DataFrame:
-    """Σ_k Σ_buckets C(c,2): pairs of reviews whose min-hash agrees, summed over hashes."""
-    stacked = sig.select(batch, F.posexplode(F.array(*[F.col(f"mh_{i}") for i in range(num_hashes)]))
-                         .alias("k", "mh"))
-    return (stacked.groupBy(batch, "k", "mh").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy(batch).agg(F.sum(_pairs("c")).alias("coll")))
+def _per_hash(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
+    """Per batch and hash: Σ_buckets C(c,2), pairs whose min-hash agrees. Each
+    partition sums its buckets before the exchange; a bucket is one (hash,
+    min-hash) value of a batch."""
+    sig = minhash_signatures(stats, num_hashes, batch)
+    stacked = sig.select(batch, "m", F.posexplode(F.array(*[F.col(f"mh_{i}") for i in range(num_hashes)])).alias("k", "mh"))
+    return (stacked.groupBy(batch, "k", "mh").agg(F.sum("m").alias("c"))
+            .groupBy(batch, "k").agg(F.sum(_pairs("c")).alias("coll")))
 
 
 def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:
     """AGG-4b: MinHash estimate of the mean pairwise Jaccard per batch
-    (``jaccard_est``, unrounded) with the batch size ``n``."""
-    coll = _collisions_of(stats, num_hashes, batch)
-    n = stats.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
+    (``jaccard_est``, unrounded), its standard error ``jaccard_se`` and the
+    batch size ``n``."""
+    n = _weighted(stats).groupBy(batch).agg(F.sum("m").alias("n"))
+    per = _per_hash(stats, num_hashes, batch).groupBy(batch).agg(
+        F.sum("coll").alias("_s"), F.coalesce(F.stddev_samp("coll"), F.lit(0.0)).alias("_sd"))
     pairs = _pairs(F.col("n"))
-    return (_join_batch(n, coll, batch, "left")
-            .select(batch, "n", F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes))
-                    .otherwise(F.lit(0.0)).alias("jaccard_est")))
+
+    def share(c, by):
+        return F.when(pairs > 0, F.coalesce(F.col(c), F.lit(0.0)) / (pairs * F.lit(float(by)))).otherwise(F.lit(0.0))
+
+    return _join_batch(n, per, batch, "left").select(
+        batch, "n", share("_s", num_hashes).alias("jaccard_est"), share("_sd", num_hashes ** 0.5).alias("jaccard_se"))
 
 
 # Largest key set shipped to every task as a broadcast (the flagged / open
@@ -276,70 +295,69 @@ def _tighten(base: DataFrame, pb: DataFrame, batch: str, jaccard_threshold: floa
         .otherwise(F.col("decided_by"))).drop("pair_lo", "pair_hi")
 
 
-def _collisions_of(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
-    return _collisions(minhash_signatures(stats, num_hashes, batch), num_hashes, batch)
+def _only(sets: DataFrame, batches: DataFrame, batch: str, small: bool) -> DataFrame:
+    return _join_batch(sets, batches, batch, "left_semi", broadcast=small)
 
 
 def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch",
               ttr_threshold: float = TTR_THRESHOLD, jaccard_threshold: float = JACCARD_THRESHOLD,
-              num_hashes: int = DEFAULT_NUM_HASHES, estimate: str = "all") -> DataFrame:
-    """AGG-5: one row per batch -- ``n, avg_ttr, avg_jaccard, jaccard_lo,
-    jaccard_hi, is_spam, decided_by``.
-
-    Decision ladder, the same in both modes: TTR; identical-set lower bound;
-    size-histogram upper bound; token-frequency pair bounds
-    (``pair_lower_bound`` / ``pair_upper_bound``); only then the MinHash
-    estimate, clamped into the tightest exact bounds.
-
-    ``estimate='all'`` computes every bound and the estimate for every batch
-    (for reporting), as one lazy plan. ``'undecided'`` is the production path,
-    in phases: the first bounds (one row per batch) are materialised; only the
-    reviews of batches they leave open are tokenised again for the pair
-    bounds, and only those still open after that for MinHash (each phase is
-    skipped when no batch is left); the result is materialised, so callers
-    can size and reuse it without recomputing. ``avg_jaccard`` is then NULL for batches
-    that were not estimated, and the pair bounds tighten ``jaccard_lo`` /
-    ``jaccard_hi`` only where they were computed."""
-    if estimate not in ("all", "undecided"):
-        raise ValueError("estimate must be 'all' or 'undecided'")
-    stats = review_token_stats(reviews, text_col, keys=(batch, "review_id"))
-    base = _decide(batch_bounds(stats, batch), ttr_threshold, jaccard_threshold)
-    pairs = _pairs(F.col("n"))
-    if estimate == "all":
-        base = _tighten(base, pair_bounds(stats, batch), batch, jaccard_threshold)
-        out = _join_batch(base, _collisions_of(stats, num_hashes, batch), batch, "left")
-        est = F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes)).otherwise(F.lit(0.0))
+              num_hashes: int = DEFAULT_NUM_HASHES, open_hashes: int = OPEN_HASHES,
+              report: bool = True, all_bounds: bool = False) -> DataFrame:
+    """AGG-5: one row per batch -- ``n, avg_ttr, avg_jaccard, jaccard_se,
+    jaccard_lo, jaccard_hi, is_spam, decided_by, undecided``.
+
+    Decision ladder: TTR; identical-set lower bound; size-histogram upper
+    bound; token-frequency pair bounds (``pair_lower_bound`` /
+    ``pair_upper_bound``); only then the MinHash estimate with ``open_hashes``
+    hashes, clamped into the tightest exact bounds.
+
+    The distinct token sets are written once; the first bounds (one row per
+    batch) are materialised, pair bounds run only on the sets of batches they
+    leave open, the long estimate only on what is still open then (a phase is
+    skipped when no batch is left). With ``report`` the settled batches get
+    their ``avg_jaccard`` from ``num_hashes`` hashes (NULL without); it changes
+    no decision. ``all_bounds`` computes the pair bounds for every batch. The
+    result is materialised, so callers can size and reuse it."""
+    spark = reviews.sparkSession
+    path = staging_path(spark, "token-sets")
+    set_groups(review_token_stats(reviews, text_col, keys=(batch, "review_id")), batch).write.parquet(path)
+    sets = spark.read.parquet(path)
+    base = materialize(_decide(bounds_from_sets(sets, batch), ttr_threshold, jaccard_threshold))
+
+    def still_open():
+        return _broadcast_if_small(base.where(F.col("decided_by") == "estimate").select(batch), batch)
+
+    keys, n_open, small = still_open()
+    if n_open or all_bounds:
+        some = sets if all_bounds else _only(sets, keys, batch, small)
+        base = materialize(_tighten(base, pair_bounds(some, batch), batch, jaccard_threshold))
+        keys, n_open, small = still_open()
+    parts = []
+    if n_open:
+        parts.append(jaccard_estimate(_only(sets, keys, batch, small), open_hashes, batch))
+    if report:
+        rest = _join_batch(sets, keys, batch, "left_anti", broadcast=small) if n_open else sets
+        parts.append(jaccard_estimate(rest, num_hashes, batch))
+    if parts:
+        est = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        out = _join_batch(base, est.drop("n"), batch, "left")
     else:
-        base = materialize(base)
-        open_batches, n_open, small = _broadcast_if_small(
-            base.where(F.col("decided_by") == "estimate").select(batch), batch)
-        if n_open > 0:
-            # phase 2: exact pair bounds for the open batches only
-            in2 = review_token_stats(_join_batch(reviews, open_batches, batch, "left_semi", broadcast=small), text_col,
-                                     keys=(batch, "review_id"))
-            base = materialize(_tighten(base, pair_bounds(in2, batch), batch, jaccard_threshold))
-            open_batches, n_open, small = _broadcast_if_small(
-                base.where(F.col("decided_by") == "estimate").select(batch), batch)
-        if n_open == 0:
-            out = base.withColumn("coll", F.lit(None).cast("double"))
-        else:
-            # phase 3: MinHash only where no exact bound settles the batch
-            est_in = review_token_stats(_join_batch(reviews, open_batches, batch, "left_semi", broadcast=small),
-                                        text_col,
-                                        keys=(batch, "review_id"))
-            out = materialize(_join_batch(base, _collisions_of(est_in, num_hashes, batch), batch, "left"))
-        est = F.when(F.col("decided_by") == "estimate",
-                     F.when(pairs > 0, F.coalesce(F.col("coll"), F.lit(0.0)) / (pairs * num_hashes))
-                     .otherwise(F.lit(0.0)))
-    # the estimate is clamped into the exact bounds (NULL stays NULL)
+        out = base.withColumn("jaccard_est", F.lit(None).cast("double")).withColumn("jaccard_se", F.lit(None).cast("double"))
+    # the estimate is clamped into the exact bounds (NULL stays NULL); bounds
+    # that meet are the mean itself
+    est, exact = F.col("jaccard_est"), F.col("jaccard_hi") - F.col("jaccard_lo") < 1e-12
     clamped = F.when(est.isNotNull(), F.least(F.greatest(est, F.col("jaccard_lo")), F.col("jaccard_hi")))
-    out = out.withColumn("avg_jaccard", F.round(clamped, 3))
+    out = (out.withColumn("avg_jaccard", F.round(clamped, 3))
+           .withColumn("jaccard_se", F.when(exact & est.isNotNull(), F.lit(0.0)).otherwise(F.round("jaccard_se", 4))))
     is_spam = (F.when(F.col("decided_by") == "ttr", F.lit(False))
                .when(F.col("decided_by").isin("lower_bound", "pair_lower_bound"), F.lit(True))
                .when(F.col("decided_by").isin("upper_bound", "pair_upper_bound"), F.lit(False))
                .otherwise(F.col("avg_jaccard") >= F.lit(jaccard_threshold)))
-    return out.select(batch, "n", "avg_ttr", "avg_jaccard", F.round("jaccard_lo", 6).alias("jaccard_lo"),
-                      F.round("jaccard_hi", 6).alias("jaccard_hi"), is_spam.alias("is_spam"), "decided_by")
+    unsure = (F.col("decided_by") == "estimate") & (F.abs(F.col("avg_jaccard") - F.lit(jaccard_threshold)) <= 2 * F.col("jaccard_se"))
+    return materialize(out.select(
+        batch, "n", "avg_ttr", "avg_jaccard", "jaccard_se", F.round("jaccard_lo", 6).alias("jaccard_lo"),
+        F.round("jaccard_hi", 6).alias("jaccard_hi"), is_spam.alias("is_spam"), "decided_by",
+        F.coalesce(unsure, F.lit(False)).alias("undecided")))
 
 
 def drop_spam_batches(reviews: DataFrame, gate: DataFrame, batch: str = "batch",

@@ -9,7 +9,10 @@ for word (see :func:`reviews_sql`):
   **whole** text;
 * every Spanish document additionally yields one row of the seeded batch
   ``spam``: one token repeated ten times plus ``hospital``; every tenth such row
-  also carries the document's ``source`` as an extra token.
+  also carries the document's ``source`` as an extra token;
+* every French document yields one short row in each of the seeded batches
+  ``SEEDS``, whose repetitive texts (picked by ``doc_id``) are settled by
+  different rungs of the spam gate.
 
 The view grows linearly with ``documents``.
 """
@@ -56,6 +59,24 @@ SPAM_TEXT = " ".join(["great"] * 10 + ["hospital"])
 SPAM_LANG = "es"
 
 
+SEED_LANG = "fr"
+
+
+def _five(tokens: str) -> str:
+    """Every token five times: a type-token ratio of 0.2."""
+    return " ".join(t for t in tokens.split() for _ in range(5))
+
+
+# Batch -> texts; document d gets text number d modulo their count.
+SEEDS = {
+    "seed_same": [_five("a")],                                               # equal sets: lower bound
+    "seed_size": [_five("a"), _five("a b c d e f g h i j")],                 # sizes 1 and 10: upper bound
+    "seed_split": [_five("a"), _five("b")],                                  # pair upper bound
+    "seed_near": [_five(f"a b c d e f g h i v{k}") for k in range(10)],      # pair lower bound
+    "seed_open": [_five("c f g h")] * 7 + [_five("c g h")] * 2 + [_five("c f h")],  # only the estimate
+}
+
+
 def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -68,6 +89,9 @@ def templates_values_sql() -> str:
 def reviews_sql() -> str:
     """CTE text (DuckDB) producing ``reviews(review_id, batch, reviews)``."""
     n = len(TEMPLATES)
+    seeds = " UNION ALL ".join(
+        f"SELECT -{k + 2}0000000000 - d.doc_id, '{b}', [{', '.join(sql_str(t) for t in ts)}][d.doc_id % {len(ts)} + 1] "
+        f"FROM documents d WHERE d.lang = '{SEED_LANG}'" for k, (b, ts) in enumerate(SEEDS.items()))
     return f"""{templates_values_sql()},
 reviews AS (
   SELECT d.doc_id AS review_id, d.source AS batch, t.t_text || ' ' || d.text AS reviews
@@ -76,6 +100,7 @@ reviews AS (
   SELECT -1 - d.doc_id AS review_id, '{SPAM_BATCH}' AS batch,
          '{SPAM_TEXT}' || CASE WHEN d.doc_id % 10 = 0 THEN ' ' || d.source ELSE '' END AS reviews
   FROM documents d WHERE d.lang = '{SPAM_LANG}'
+  UNION ALL {seeds}
 )"""
 
 
@@ -103,4 +128,8 @@ def reviews_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit(SPAM_TEXT),
                              F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(" "), F.col("source")))
                              .otherwise(F.lit(""))).alias("reviews")))
-    return spread(base.unionByName(spam), "review_id")
+    seeds = F.array(*[F.struct((F.lit(-(k + 2) * 10**10) - F.col("doc_id")).alias("review_id"), F.lit(b).alias("batch"),
+                               F.get(F.array(*[F.lit(t) for t in ts]), F.pmod("doc_id", F.lit(len(ts))).cast("int")).alias("reviews"))
+                      for k, (b, ts) in enumerate(SEEDS.items())])
+    seeded = docs.where(F.col("lang") == SEED_LANG).select(F.inline(seeds))
+    return spread(base.unionByName(spam).unionByName(seeded), "review_id")

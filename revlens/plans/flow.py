@@ -36,7 +36,9 @@ def score_reviews(reviews: DataFrame, scorer=None, text_col: str = "reviews", ke
     ``keep_features``) ``_low`` / ``_hits`` for tagging and masking."""
     scorer = scorer or scoring.LinearScorer()
     vocab = scorer.vocab if isinstance(scorer, scoring.LinearScorer) and not scorer.max_tokens else None
-    feats = tagging.with_text_features(reviews, text_col, all_keywords(), vocab, engine=engine)
+    # Only keywords that something downstream reads: tags and masks when the
+    # features are kept, else just the scorer's vocabulary and the gates.
+    feats = tagging.with_text_features(reviews, text_col, all_keywords() if keep_features else [], vocab, engine=engine)
     gates = tagging.gates_from_mask()
     if isinstance(scorer, (scoring.ModelScorer, scoring.PipelineScorer)):
         out = scorer.apply(feats, gates, text_col)
@@ -48,11 +50,10 @@ def score_reviews(reviews: DataFrame, scorer=None, text_col: str = "reviews", ke
     return out
 
 
-def clean_reviews(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch",
-                  num_hashes: int = spam.DEFAULT_NUM_HASHES) -> DataFrame:
+def clean_reviews(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch") -> DataFrame:
     """Non-null reviews of the batches that pass the spam gate."""
     nn = drop_null_reviews(reviews, text_col)
-    gate = spam.spam_gate(nn, text_col, batch, num_hashes=num_hashes, estimate="undecided")
+    gate = spam.spam_gate(nn, text_col, batch, report=False)
     return spam.drop_spam_batches(nn, gate, batch, gate_materialized=True)
 
 
@@ -69,7 +70,7 @@ def analyze(reviews: DataFrame, scorer=None, text_col: str = "reviews", batch: s
     """All outputs of one run. The gate runs when this is called (its phases
     are materialised); the frames after it are lazy."""
     nn = drop_null_reviews(reviews, text_col)
-    gate = spam.spam_gate(nn, text_col, batch, estimate="undecided")
+    gate = spam.spam_gate(nn, text_col, batch)
     passed = spam.drop_spam_batches(nn, gate, batch, gate_materialized=True)
     scored = score_reviews(passed, scorer, text_col)
     return Analysis(gate=gate, scored=scored,
@@ -79,17 +80,15 @@ def analyze(reviews: DataFrame, scorer=None, text_col: str = "reviews", batch: s
 
 def run_and_write(spark: SparkSession, reviews: DataFrame, out_dir: str, scorer=None,
                   text_col: str = "reviews", batch: str = "batch",
-                  gate_estimate: str = "undecided") -> dict[str, str]:
+                  all_bounds: bool = False) -> dict[str, str]:
     """Materialise a full run. The scored reviews are written once (a table in
     the shared checkpoint folder cuts the lineage and survives lost executors);
     rollup and masked rows are then derived from that table.
 
-    ``gate_estimate='undecided'`` (default) runs the phased gate: later rungs
-    only for batches still open. ``'all'`` also reports every rung and the
-    MinHash estimate for every batch, at the cost of a token-level pass over
-    all of them; the decisions are the same."""
+    ``all_bounds`` also computes the pair bounds of batches that the first
+    bounds settle; the decisions are the same."""
     nn = drop_null_reviews(reviews, text_col)
-    gate = spam.spam_gate(nn, text_col, batch, estimate=gate_estimate)
+    gate = spam.spam_gate(nn, text_col, batch, all_bounds=all_bounds)
     gate_path = f"{out_dir}/batch_spam"
     gate.write.mode("overwrite").parquet(gate_path)
     gate = spark.read.parquet(gate_path)

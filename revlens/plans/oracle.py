@@ -12,7 +12,7 @@ from __future__ import annotations
 from ..functions.lexicons import (API_LEXICON, APP_LEXICON, ASPECTS, JSON_LEXICON, NA_TOKENS,
                                   REVIEWS_LIMIT_APP, dedupe, is_word_keyword)
 from ..operators.scoring import DEFAULT_BIAS, LinearScorer
-from ..operators.spam import DEFAULT_NUM_HASHES, MERSENNE_31, hash_params
+from ..operators.spam import DEFAULT_NUM_HASHES, MERSENNE_31, OPEN_HASHES, hash_params
 from .derived import reviews_sql, sql_str
 from .queries import ODD_NAMES
 
@@ -56,7 +56,18 @@ nn AS (SELECT review_id, batch, reviews, lower(reviews) AS low,
 asp(aspect_ord, aspect) AS (VALUES {', '.join(f'({i}, {sql_str(a)})' for i, a in enumerate(ASPECTS))})"""
 
 
+def estimate_cte(name: str, sig: str, batches: str, k: int) -> str:
+    """Mean over the hashes of the share of agreeing pairs, and its error."""
+    return f"""{name} AS (SELECT b.batch, b.n,
+           CASE WHEN b.n > 1 THEN coalesce(sum(x.coll), 0) / (b.n * (b.n - 1) / 2 * {k}) ELSE 0.0 END AS jaccard_est,
+           CASE WHEN b.n > 1 THEN coalesce(stddev_samp(x.coll), 0) / (b.n * (b.n - 1) / 2 * sqrt({k})) ELSE 0.0 END AS jaccard_se
+        FROM {batches} b LEFT JOIN (
+           SELECT batch, k, sum(c * (c - 1) / 2) AS coll FROM (SELECT batch, k, mh, count(*) AS c FROM {sig} GROUP BY batch, k, mh)
+           GROUP BY batch, k) x ON b.batch IS NOT DISTINCT FROM x.batch GROUP BY b.batch, b.n)"""
+
+
 def gate_ctes(src: str = "nn") -> str:
+    hpo = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(OPEN_HASHES)))
     hp = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(DEFAULT_NUM_HASHES)))
     p = MERSENNE_31
     return f"""st AS (SELECT review_id, batch, len(tok)::INTEGER AS n_tokens, list_distinct(tok) AS tset,
@@ -82,12 +93,7 @@ post AS (SELECT batch, review_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {p} A
          FROM (SELECT batch, review_id, unnest(tset) AS t FROM st)),
 sig AS (SELECT post.batch, post.review_id, hp.k, min((hp.a * post.x + hp.b) % {p}) AS mh
         FROM post CROSS JOIN hp GROUP BY post.batch, post.review_id, hp.k),
-coll AS (SELECT batch, sum(c * (c - 1) / 2) AS coll
-         FROM (SELECT batch, k, mh, count(*) AS c FROM sig GROUP BY batch, k, mh) GROUP BY batch),
-est AS (SELECT bt.batch, bt.n,
-           CASE WHEN bt.n * (bt.n - 1) / 2 > 0 THEN coalesce(coll.coll, 0) / (bt.n * (bt.n - 1) / 2 * {DEFAULT_NUM_HASHES})
-                ELSE 0.0 END AS jaccard_est
-        FROM bt LEFT JOIN coll ON bt.batch IS NOT DISTINCT FROM coll.batch),
+{estimate_cte("est", "sig", "bt", DEFAULT_NUM_HASHES)},
 ph AS (SELECT batch, t, s, count(*) AS c
        FROM (SELECT batch, n_distinct AS s, unnest(tset) AS t FROM st) GROUP BY batch, t, s),
 ph2 AS (SELECT batch, t, s, c, coalesce(sum(c) OVER (PARTITION BY batch, t ORDER BY s
@@ -109,22 +115,29 @@ tb AS (SELECT b.batch, b.jaccard_lo AS lo1, b.jaccard_hi AS hi1,
               greatest(b.jaccard_lo, coalesce(p.pair_lo, b.jaccard_lo)) AS jaccard_lo,
               least(b.jaccard_hi, coalesce(p.pair_hi, b.jaccard_hi)) AS jaccard_hi
        FROM bounds b LEFT JOIN pair p ON b.batch IS NOT DISTINCT FROM p.batch),
-gate0 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.lo1, b.hi1, b.jaccard_lo, b.jaccard_hi, e.jaccard_est,
+gate00 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.lo1, b.hi1, b.jaccard_lo, b.jaccard_hi,
              CASE WHEN bt.avg_ttr > 0.2 THEN 'ttr' WHEN round(b.lo1, 3) >= 0.8 THEN 'lower_bound'
                   WHEN round(b.hi1, 3) < 0.8 THEN 'upper_bound'
                   WHEN round(b.jaccard_lo, 3) >= 0.8 THEN 'pair_lower_bound'
-                  WHEN round(b.jaccard_hi, 3) < 0.8 THEN 'pair_upper_bound' ELSE 'estimate' END AS decided_by,
-             round(least(greatest(e.jaccard_est, b.jaccard_lo), b.jaccard_hi), 3) AS avg_jaccard
-          FROM bt JOIN tb b ON bt.batch IS NOT DISTINCT FROM b.batch JOIN est e ON bt.batch IS NOT DISTINCT FROM e.batch),
+                  WHEN round(b.jaccard_hi, 3) < 0.8 THEN 'pair_upper_bound' ELSE 'estimate' END AS decided_by
+          FROM bt JOIN tb b ON bt.batch IS NOT DISTINCT FROM b.batch),
+hpo(k, a, b) AS (VALUES {hpo}),
+openb AS (SELECT batch, n FROM gate00 WHERE decided_by = 'estimate'),
+sigo AS (SELECT post.batch, post.review_id, hpo.k, min((hpo.a * post.x + hpo.b) % {p}) AS mh
+         FROM post JOIN openb ON post.batch IS NOT DISTINCT FROM openb.batch CROSS JOIN hpo GROUP BY post.batch, post.review_id, hpo.k),
+{estimate_cte("esto", "sigo", "openb", OPEN_HASHES)},
+gate0 AS (SELECT g.*, CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN lo1 ELSE g.jaccard_lo END AS lo,
+                 CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN hi1 ELSE g.jaccard_hi END AS hi,
+                 coalesce(eo.jaccard_est, e.jaccard_est) AS est_, coalesce(eo.jaccard_se, e.jaccard_se) AS se_
+          FROM gate00 g JOIN est e ON g.batch IS NOT DISTINCT FROM e.batch
+          LEFT JOIN esto eo ON g.batch IS NOT DISTINCT FROM eo.batch),
+gate1 AS (SELECT *, round(least(greatest(est_, lo), hi), 3) AS avg_jaccard,
+                 CASE WHEN hi - lo < 1e-12 THEN 0.0 ELSE round(se_, 4) END AS jaccard_se FROM gate0),
 gate AS (SELECT *, CASE WHEN decided_by = 'ttr' THEN false
                         WHEN decided_by IN ('lower_bound', 'pair_lower_bound') THEN true
                         WHEN decided_by IN ('upper_bound', 'pair_upper_bound') THEN false
-                        ELSE avg_jaccard >= 0.8 END AS is_spam FROM gate0),
-gate_prod AS (SELECT batch, n, avg_ttr, is_spam, decided_by,
-                     CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN lo1 ELSE jaccard_lo END AS jaccard_lo,
-                     CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN hi1 ELSE jaccard_hi END AS jaccard_hi,
-                     CASE WHEN decided_by = 'estimate' THEN avg_jaccard END AS avg_jaccard
-              FROM gate),
+                        ELSE avg_jaccard >= 0.8 END AS is_spam,
+                decided_by = 'estimate' AND abs(avg_jaccard - 0.8) <= 2 * jaccard_se AS undecided FROM gate1),
 clean AS (SELECT * FROM {src} r
           WHERE NOT EXISTS (SELECT 1 FROM gate g WHERE g.is_spam AND g.batch IS NOT DISTINCT FROM r.batch))"""
 
@@ -235,12 +248,27 @@ SELECT batch, n, avg_ttr FROM bt"""
     q["batch_jaccard_bounds"] = f"""WITH {base}, {gate}
 SELECT batch, n, round(jaccard_lo, 6) AS jaccard_lo, round(jaccard_hi, 6) AS jaccard_hi FROM bounds"""
     q["batch_jaccard_estimate"] = f"""WITH {base}, {gate}
-SELECT batch, n, round(jaccard_est, 6) AS jaccard_est FROM est"""
+SELECT batch, n, round(jaccard_est, 6) AS jaccard_est, round(jaccard_se, 6) AS jaccard_se FROM est"""
     q["batch_jaccard_pair_bounds"] = f"""WITH {base}, {gate}
 SELECT batch, n, round(pair_lo, 6) AS pair_lo, round(pair_hi, 6) AS pair_hi FROM pair"""
     q["spam_gate"] = f"""WITH {base}, {gate}
-SELECT batch, n, avg_ttr, avg_jaccard, round(jaccard_lo, 6) AS jaccard_lo, round(jaccard_hi, 6) AS jaccard_hi,
-       is_spam, decided_by FROM gate_prod"""
+SELECT batch, n, avg_ttr, avg_jaccard, jaccard_se, round(lo, 6) AS jaccard_lo, round(hi, 6) AS jaccard_hi,
+       is_spam, decided_by, undecided FROM gate"""
+    # The rule itself: mean type-token ratio, and mean over all pairs of reviews.
+    q["spam_gate_exact"] = f"""WITH {base},
+st AS (SELECT review_id, batch, tok, list_distinct(tok) AS s FROM (SELECT review_id, batch,
+       list_filter(regexp_split_to_array(reviews, '{WS_RE2}'), lambda x: x <> '') AS tok FROM nn)),
+t AS (SELECT batch, count(*) AS n, coalesce(round(avg(CASE WHEN len(tok) > 0 THEN len(s) / len(tok) ELSE 0.0 END), 3), 0.0) AS avg_ttr
+      FROM st GROUP BY batch),
+w AS (SELECT batch, s, count(*) AS m, min(review_id) AS id FROM st
+      WHERE batch IN (SELECT batch FROM t WHERE avg_ttr <= 0.2) GROUP BY batch, s),
+pr AS (SELECT a.batch, a.m * b.m AS m, CASE WHEN len(a.s) + len(b.s) = 0 THEN 0.0 ELSE len(list_intersect(a.s, b.s))
+              / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END AS jac
+       FROM w a JOIN w b ON a.batch = b.batch AND a.id < b.id
+       UNION ALL SELECT batch, m * (m - 1) / 2, CASE WHEN len(s) > 0 THEN 1.0 ELSE 0.0 END FROM w),
+j AS (SELECT batch, sum(m * jac) / sum(m) AS mean FROM pr WHERE m > 0 GROUP BY batch)
+SELECT t.batch, t.n, t.avg_ttr, t.avg_ttr <= 0.2 AND coalesce(round(j.mean, 3), 0) >= 0.8 AS is_spam
+FROM t LEFT JOIN j ON t.batch = j.batch"""
     q["clean_reviews"] = f"""WITH {base}, {gate}
 SELECT review_id, batch, length(reviews)::INTEGER AS n_chars FROM clean"""
 

@@ -91,7 +91,7 @@ def q_batch_jaccard_bounds(spark, sf_dir):
 
 def q_batch_jaccard_estimate(spark, sf_dir):
     e = spam.jaccard_estimate(spam.review_token_stats(_nn(spark, sf_dir)))
-    return e.select("batch", "n", F.round("jaccard_est", 6).alias("jaccard_est"))
+    return e.select("batch", "n", F.round("jaccard_est", 6).alias("jaccard_est"), F.round("jaccard_se", 6).alias("jaccard_se"))
 
 
 def q_batch_jaccard_pair_bounds(spark, sf_dir):
@@ -101,7 +101,13 @@ def q_batch_jaccard_pair_bounds(spark, sf_dir):
 
 def q_spam_gate(spark, sf_dir):
     """AGG-5 as the pipeline runs it: later rungs only for batches still open."""
-    return spam.spam_gate(_nn(spark, sf_dir), estimate="undecided")
+    return spam.spam_gate(_nn(spark, sf_dir))
+
+
+def q_spam_gate_exact(spark, sf_dir):
+    """The gate's verdicts; the twin applies the rule to the exact mean over
+    all pairs."""
+    return spam.spam_gate(_nn(spark, sf_dir), report=False).select("batch", "n", "avg_ttr", "is_spam")
 
 
 def q_clean_reviews(spark, sf_dir):
@@ -347,6 +353,7 @@ QUERIES = {
     "batch_jaccard_estimate": q_batch_jaccard_estimate,
     "batch_jaccard_pair_bounds": q_batch_jaccard_pair_bounds,
     "spam_gate": q_spam_gate,
+    "spam_gate_exact": q_spam_gate_exact,
     "clean_reviews": q_clean_reviews,
     "sentiment_long": q_sentiment_long,
     "sentiment_map": q_sentiment_map,

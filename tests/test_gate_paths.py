@@ -18,16 +18,16 @@ def test_uniform_intersections_settled_by_pair_bound(spark):
     # bound 2*C(5,2)/C(10,2) = 0.444 and size bound 1 leave it open; the
     # token-frequency bound is exact here (0.444) and settles it.
     rows = ["a a a a a"] * 5 + ["b b b b b"] * 5
-    g = spam.spam_gate(frame(spark, rows, batch="o"), estimate="undecided").collect()[0]
+    g = spam.spam_gate(frame(spark, rows, batch="o")).collect()[0]
     assert g["decided_by"] == "pair_upper_bound" and g["is_spam"] is False
-    assert g["jaccard_hi"] == round(20 / 45, 6) and g["avg_jaccard"] is None
+    assert g["jaccard_hi"] == round(20 / 45, 6) and abs(g["avg_jaccard"] - 0.444) < 0.13
 
 
 def test_open_batch_goes_through_estimate(spark):
     # Exact mean 0.861; best exact bounds 0.509 .. 0.869 -> only MinHash decides.
     sets = ["c f g h"] * 7 + ["c g h"] * 2 + ["c f h"]
     rows = [_rep(x) for x in sets]
-    g = spam.spam_gate(frame(spark, rows, batch="o"), estimate="undecided").collect()[0]
+    g = spam.spam_gate(frame(spark, rows, batch="o")).collect()[0]
     assert g["decided_by"] == "estimate"
     # avg_jaccard is rounded to 3 decimals, the bounds to 6
     assert g["jaccard_lo"] - 5e-4 <= g["avg_jaccard"] <= g["jaccard_hi"] + 5e-4
@@ -35,12 +35,50 @@ def test_open_batch_goes_through_estimate(spark):
     assert g["is_spam"] == (g["avg_jaccard"] >= 0.8)
 
 
-def test_undecided_leaves_decided_batches_unestimated(spark):
+def test_every_batch_reports_a_mean(spark):
     rows = ["great " * 10 + "hospital"] * 9 + ["great " * 10 + "hospital extra"]
     df = frame(spark, rows, batch="s").unionByName(frame(spark, ["a b c", "d e f"], batch="t"))
-    got = {r["batch"]: r for r in spam.spam_gate(df, estimate="undecided").collect()}
-    assert got["s"]["decided_by"] == "lower_bound" and got["s"]["is_spam"] and got["s"]["avg_jaccard"] is None
+    got = {r["batch"]: r for r in spam.spam_gate(df).collect()}
+    assert got["s"]["decided_by"] == "lower_bound" and got["s"]["is_spam"]
     assert got["t"]["decided_by"] == "ttr" and not got["t"]["is_spam"]
+    for r in got.values():
+        assert r["avg_jaccard"] is not None and r["jaccard_se"] >= 0 and not r["undecided"]
+    short = {r["batch"]: r for r in spam.spam_gate(df, report=False).collect()}
+    assert all(short[b]["is_spam"] == got[b]["is_spam"] and short[b]["avg_jaccard"] is None for b in got)
+
+
+def test_standard_error_covers_the_exact_mean(spark):
+    """Half {a,b,c,d}, half {a,b,c}: the error does not shrink with the batch,
+    and the reported one says so."""
+    for n in (30, 120):
+        rows = [_rep("a b c d")] * (n // 2) + [_rep("a b c")] * (n // 2)
+        stats = spam.review_token_stats(frame(spark, rows, batch="h"))
+        exact = (2 * (n // 2) * (n // 2 - 1) / 2 + 0.75 * (n // 2) ** 2) / (n * (n - 1) / 2)
+        r = spam.jaccard_estimate(spam.set_groups(stats), 64).collect()[0]
+        assert abs(r["jaccard_est"] - exact) <= 4 * r["jaccard_se"] and 0.01 < r["jaccard_se"] < 0.06
+        one_by_one = spam.jaccard_estimate(stats, 64).collect()[0]
+        assert abs(one_by_one["jaccard_est"] - r["jaccard_est"]) < 1e-9
+
+
+def test_close_calls_are_marked(spark):
+    # Exact mean 0.827 +- a standard error: inside two errors of 0.8 or not,
+    # as the reported numbers say.
+    rows = [_rep("a b c d")] * 5 + [_rep("a b c")] * 5
+    g = spam.spam_gate(frame(spark, rows, batch="c")).collect()[0]
+    if g["decided_by"] == "estimate":
+        assert g["undecided"] == (abs(g["avg_jaccard"] - 0.8) <= 2 * g["jaccard_se"])
+
+
+def test_seeded_batches_land_on_their_rungs(spark):
+    from revlens.plans.derived import SEEDS
+
+    df = None
+    for k, (b, texts) in enumerate(SEEDS.items()):
+        f = frame(spark, [texts[i % len(texts)] for i in range(40)], batch=b).selectExpr(f"review_id + {1000 * k} AS review_id", "batch", "reviews")
+        df = f if df is None else df.unionByName(f)
+    got = {r["batch"]: r["decided_by"] for r in spam.spam_gate(df).collect()}
+    assert got == {"seed_same": "lower_bound", "seed_size": "upper_bound", "seed_split": "pair_upper_bound",
+                   "seed_near": "pair_lower_bound", "seed_open": "estimate"}
 
 
 def _mixed(spark):
@@ -52,7 +90,7 @@ def _mixed(spark):
 
 def test_drop_spam_batches_broadcasts_small_list(spark):
     df = _mixed(spark)
-    out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"))
+    out = spam.drop_spam_batches(df, spam.spam_gate(df))
     assert sorted(r["review_id"] for r in out.collect()) == [100, 101, 102]
     plan = _plan(out)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
@@ -60,7 +98,7 @@ def test_drop_spam_batches_broadcasts_small_list(spark):
 
 def test_drop_spam_batches_nothing_flagged_no_join(spark):
     df = frame(spark, ["a b c", "d e f", "g h"], batch="t")
-    out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"))
+    out = spam.drop_spam_batches(df, spam.spam_gate(df))
     assert out.count() == 3
     assert "Join" not in _plan(out)
 
@@ -71,7 +109,7 @@ def test_drop_spam_batches_shuffle_fallback(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         df = _mixed(spark)
-        out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"))
+        out = spam.drop_spam_batches(df, spam.spam_gate(df))
         assert sorted(r["review_id"] for r in out.collect()) == [100, 101, 102]
         assert "BroadcastHashJoin" not in _plan(out)
     finally:
@@ -90,8 +128,8 @@ def test_both_modes_share_the_decision_ladder(spark):
     for b, rows in fixtures.items():
         f = frame(spark, rows, batch=b)
         df = f if df is None else df.unionByName(f)
-    und = {r["batch"]: r for r in spam.spam_gate(df, estimate="undecided").collect()}
-    alls = {r["batch"]: r for r in spam.spam_gate(df, estimate="all").collect()}
+    und = {r["batch"]: r for r in spam.spam_gate(df).collect()}
+    alls = {r["batch"]: r for r in spam.spam_gate(df, all_bounds=True).collect()}
     for b in fixtures:
         assert und[b]["decided_by"] == alls[b]["decided_by"]
         assert und[b]["is_spam"] == alls[b]["is_spam"]
@@ -118,7 +156,7 @@ def test_flagged_null_batch_is_dropped(spark):
     rows = [(i, None, spam_text) for i in range(1, 5)] + [(10, "b", "the nurses were kind"),
                                                           (11, "b", "doctor was rude")]
     df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
-    out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"), gate_materialized=True)
+    out = spam.drop_spam_batches(df, spam.spam_gate(df), gate_materialized=True)
     assert sorted(r["review_id"] for r in out.collect()) == [10, 11]
     assert "BroadcastHashJoin" in _plan(out)
 
@@ -127,13 +165,13 @@ def test_null_batch_goes_down_the_same_ladder(spark):
     rows_u = [(i, None, r) for i, r in enumerate(["a a a a a"] * 5 + ["b b b b b"] * 5)]
     rows_o = [(100 + i, "o", _rep(x)) for i, x in enumerate(["c f g h"] * 7 + ["c g h"] * 2 + ["c f h"])]
     df = spark.createDataFrame(rows_u + rows_o, "review_id long, batch string, reviews string")
-    for mode in ("undecided", "all"):
-        got = {r["batch"]: r for r in spam.spam_gate(df, estimate=mode).collect()}
+    for mode in (False, True):
+        got = {r["batch"]: r for r in spam.spam_gate(df, all_bounds=mode).collect()}
         assert got[None]["decided_by"] == "pair_upper_bound" and got[None]["n"] == 10
         assert got["o"]["decided_by"] == "estimate" and abs(got["o"]["avg_jaccard"] - 0.861) < 0.08
     # the same open batch under a NULL key gets the same estimate
     df_null = spark.createDataFrame([(i, None, r) for i, _, r in rows_o], "review_id long, batch string, reviews string")
-    g = spam.spam_gate(df_null, estimate="undecided").collect()[0]
+    g = spam.spam_gate(df_null).collect()[0]
     assert g["decided_by"] == "estimate" and g["avg_jaccard"] == got["o"]["avg_jaccard"]
 
 
@@ -142,7 +180,7 @@ def test_explicit_broadcast_without_auto_broadcast(spark):
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         df = _mixed(spark)
-        out = spam.drop_spam_batches(df, spam.spam_gate(df, estimate="undecided"), gate_materialized=True)
+        out = spam.drop_spam_batches(df, spam.spam_gate(df), gate_materialized=True)
         assert sorted(r["review_id"] for r in out.collect()) == [100, 101, 102]
         assert "BroadcastHashJoin" in _plan(out)
     finally:

@@ -79,20 +79,21 @@ def test_batch_jaccard_small(spark):
     assert one["avg_jaccard"] == 0.0 and one["n"] == 1
 
 
-def _gate_on(spark, ttr, jac):
-    # Construct a batch directly from per-batch numbers through the decision rule.
-    df = spark.createDataFrame([("b", ttr, jac, jac, jac)],
-                               "batch string, avg_ttr double, jaccard_lo double, jaccard_hi double, est double")
-    lo3, hi3 = F.round("jaccard_lo", 3), F.round("jaccard_hi", 3)
-    dec = (F.when(F.col("avg_ttr") > 0.2, F.lit(False)).when(lo3 >= 0.8, F.lit(True))
-           .when(hi3 < 0.8, F.lit(False)).otherwise(F.round("est", 3) >= 0.8))
-    return df.select(dec).collect()[0][0]
-
-
 def test_gate_thresholds_inclusive(spark):
-    assert _gate_on(spark, 0.2, 0.8)
-    assert not _gate_on(spark, 0.201, 0.8)
-    assert not _gate_on(spark, 0.2, 0.799)
+    """Both thresholds hold at equality, through the gate itself."""
+    same = [" ".join(["a"] * 5)] * 6                       # TTR 0.2, mean Jaccard 1
+    above = [" ".join(["a"] * 4)] * 6                      # TTR 0.25
+    # 10 reviews, 9 equal and one apart: mean Jaccard 36/45 = 0.8 exactly.
+    at = [" ".join(["a"] * 5)] * 9 + [" ".join(["b"] * 5)]
+    # 8 equal and two apart: 28/45, below.
+    below = [" ".join(["a"] * 5)] * 8 + [" ".join(["b"] * 5), " ".join(["c"] * 5)]
+    got = {}
+    for name, rows in {"same": same, "above": above, "at": at, "below": below}.items():
+        got[name] = spam.spam_gate(frame(spark, rows, batch=name)).collect()[0]
+    assert got["same"]["is_spam"] and got["same"]["avg_ttr"] == 0.2 and got["same"]["avg_jaccard"] == 1.0
+    assert not got["above"]["is_spam"] and got["above"]["decided_by"] == "ttr"
+    assert got["at"]["is_spam"] and got["at"]["decided_by"] == "lower_bound"
+    assert not got["below"]["is_spam"]
 
 
 def test_spam_batch_flagged(spark):

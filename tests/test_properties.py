@@ -186,8 +186,8 @@ def test_pair_bounds_vs_brute_force(spark):
 def test_gate_decisions_consistent(spark):
     rows = ["great " * 10 + "hospital"] * 20 + ["some other review text entirely different words"]
     df = spark.createDataFrame([(i, "s", r) for i, r in enumerate(rows)], "review_id long, batch string, reviews string")
-    g_all = spam.spam_gate(df, estimate="all").collect()[0]
-    g_und = spam.spam_gate(df, estimate="undecided").collect()[0]
+    g_all = spam.spam_gate(df, all_bounds=True).collect()[0]
+    g_und = spam.spam_gate(df).collect()[0]
     assert g_all["is_spam"] == g_und["is_spam"]
     exact = exact_mean_jaccard(rows)
     # the gate reports bounds rounded to 6 decimals
@@ -250,6 +250,6 @@ def test_gate_partition_invariance(spark):
             toks = [t for t in base if rng.random() < 0.8] * 5
             rows.append((b * 100 + i, f"b{b}", " ".join(toks)))
     df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
-    a = sorted(map(tuple, spam.spam_gate(df.repartition(1), estimate="all").collect()))
-    b = sorted(map(tuple, spam.spam_gate(df.repartition(7), estimate="all").collect()))
+    a = sorted(map(tuple, spam.spam_gate(df.repartition(1), all_bounds=True).collect()))
+    b = sorted(map(tuple, spam.spam_gate(df.repartition(7), all_bounds=True).collect()))
     assert a == b
