@@ -62,6 +62,7 @@ class Model:
                 piece = self.sp.id_to_piece(i)
                 self.score[piece], self.id[piece] = self.sp.get_score(i), i
         self.longest = max(map(len, self.score))
+        self.text_of: list[bytes] | None = None
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.merge = lru_cache(1 << 18)(self._merge)
         self.fits = lru_cache(1 << 18)(lambda a, b: self.merge(a + b) == (a, b))
@@ -84,6 +85,19 @@ class Model:
     def is_piece(self, s: str) -> bool:
         return len(s) == 1 or (s in self.score and self.merge(s) == (s,))
 
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids: the pieces' bytes joined, marks as spaces, without the
+        mark that the normaliser puts before a text. Controls have no text."""
+        if self.text_of is None:
+            self.text_of = [b""] * self.sp.get_piece_size()
+            for piece, i in self.id.items():
+                self.text_of[i] = piece.replace(MARK, " ").encode()
+            for b, i in enumerate(self.bytes):
+                self.text_of[i] = bytes([b])
+        table = self.text_of
+        out = b"".join([table[i] for i in ids.tolist()])
+        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+
     def ids(self, piece: str) -> list[int]:
         if piece in self.id:
             return [self.id[piece]]
@@ -125,27 +139,22 @@ def states(m: Model, text: str, cut: int) -> list[tuple[int, int]]:
 
 def _paths(m: Model, text: str, first: tuple[int, int], stop: int) -> dict:
     """Pieces reachable from ``first`` (each with its predecessor) up to those
-    that reach ``stop``. Whole atoms in between are settled at once."""
+    that reach ``stop``. All whole atoms before the one that holds ``stop`` are
+    one step: what is inside them does not depend on what is around."""
     back: dict[tuple[int, int], tuple | None] = {first: None}
+    last = _atom_start(text, stop - 1)
     todo = [first]
     while todo:
         s, e = todo.pop()
         if e >= stop:
             continue
         border = e == 0 or s == e or (text[e] == MARK and text[e - 1] != MARK)
-        end = _atom_end(text, e if border else _atom_start(text, e))
-        if border and end < stop:
-            # A whole atom: its pieces do not depend on what is around it.
-            at, prev = e, (s, e)
-            for piece in m.merge(text[e:end]) if end - e <= 64 else _long(m, text[e:end]):
-                node = (at, at + len(piece))
-                if node in back:
-                    break
-                back[node] = prev
-                prev, at = node, at + len(piece)
-            else:
-                todo.append(prev)
+        if border and last > e:
+            if (e, last) not in back:
+                back[e, last] = (s, e)
+                todo.append((e, last))
             continue
+        end = _atom_end(text, e if border else _atom_start(text, e))
         before = None if border else text[s:e]
         for x in range(e + 1, min(end, e + m.longest) + 1):
             node = (e, x)
@@ -155,24 +164,14 @@ def _paths(m: Model, text: str, first: tuple[int, int], stop: int) -> dict:
     return back
 
 
-def _long(m: Model, atom: str) -> list[str]:
-    """Pieces of a long atom by the library."""
-    body = atom[1:] if atom[0] == MARK else atom
-    out = m.sp.encode(body.replace(MARK, " "), out_type=str)
-    if atom[0] != MARK:  # the library puts a mark before its input
-        return list(m._merge(atom))
-    pieces, held = [], b""
-    for p in out:
-        if re.fullmatch("<0x[0-9A-F]{2}>", p):
-            held += bytes([int(p[3:5], 16)])
-            try:
-                pieces.append(held.decode("utf-8"))
-                held = b""
-            except UnicodeDecodeError:
-                pass
-        else:
-            pieces.append(p)
-    return pieces
+def _span_ids(m: Model, span: str) -> list[int]:
+    """Ids of a piece, or of a run of whole atoms (by the library, which puts a
+    mark of its own before its input)."""
+    if span in m.id or len(span) == 1:
+        return m.ids(span)
+    if span[0] == MARK:
+        return m.sp.encode(span[1:].replace(MARK, " "))
+    return [x for piece in m.merge(span) for x in m.ids(piece)]
 
 
 def transfer(m: Model, text: str, left: int, right: int) -> tuple[int, int, np.ndarray]:
@@ -226,7 +225,7 @@ def backtrace(m: Model, text: str, left: int, right: int, i: int, j: int) -> lis
     while node != first:
         spans.append(node)
         node = seen[node]
-    return [x for s, e in reversed(spans) for x in m.ids(text[s:e])]
+    return [x for s, e in reversed(spans) for x in _span_ids(m, text[s:e])]
 
 
 def chunks(m: Model, text: str, size: int = CHUNK):
@@ -332,7 +331,7 @@ def decode(encoded: DataFrame, model_path: str | None = None, keep: list[str] |
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
-        sp = model(path).sp
-        return pd.Series([sp.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], dtype=object)
+        m = model(path)
+        return pd.Series([m.decode(np.frombuffer(x, "<u4")) for x in ids], dtype=object)
 
     return encoded.select("doc_id", *(keep or []), text_of("ids").alias("text"))
