@@ -122,6 +122,13 @@ def mask_first(low, kw) -> Column:
     return F.when(col(kw).isNotNull(), F.regexp_replace(col(low), pattern, F.lit("$1\\$T\\$")))
 
 
+def mask_at(low, kw, place) -> Column:
+    """TXT-5 when the keyword's place (from 0) is known: no pattern, no search."""
+    x, p = col(low), col(place)
+    return F.when(col(kw).isNotNull(), F.concat(F.substring(x, F.lit(1), p), F.lit("$T$"),
+                                                F.substring(x, p + F.length(col(kw)) + 1, F.length(x))))
+
+
 def url_key(c) -> Column:
     """PRJ-12: percent-encode like Python ``urllib.parse.quote(s)`` (``/`` kept).
 

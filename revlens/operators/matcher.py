@@ -10,7 +10,8 @@ one pass, so this operator runs as an Arrow-batched pandas UDF over the
 * ``gate_mask`` -- bit *i* set iff an ``api`` keyword of ``ASPECTS[i]`` is a
   substring;
 * ``hits`` -- distinct keywords found as whole words (word character =
-  letter, digit or ``_``, the same class as the JVM and SQL forms).
+  letter, digit or ``_``, the same class as the JVM and SQL forms);
+* ``at`` -- where each of them first occurs (code points from 0).
 
 Word characters are what the JVM's regex engine takes for ``[\\p{L}\\p{N}_]``:
 the class is read from the session once (:func:`word_class`) and travels with
@@ -38,7 +39,8 @@ from ..functions import text as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCAN_TYPE = Ty.StructType([Ty.StructField("gate_mask", Ty.IntegerType(), False),
-                           Ty.StructField("hits", Ty.ArrayType(Ty.StringType(), False), False)])
+                           Ty.StructField("hits", Ty.ArrayType(Ty.StringType(), False), False),
+                           Ty.StructField("at", Ty.ArrayType(Ty.IntegerType(), False), False)])
 
 
 _CLASSES: dict[str, bytes] = {}
@@ -80,9 +82,9 @@ class KeywordScanner:
         self.automaton.make_automaton()
         self.full_mask = (1 << len(gate_keywords)) - 1
 
-    def scan(self, text: str) -> tuple[int, list[str]]:
+    def scan(self, text: str) -> tuple[int, list[str], list[int]]:
         mask = 0
-        hits: dict[str, None] = {}
+        hits: dict[str, int] = {}
         n = len(text)
         cls = self.word_class
         for end, (kw, kmask, want_word) in self.automaton.iter(text):
@@ -91,8 +93,8 @@ class KeywordScanner:
                 start = end - len(kw) + 1
                 if (start == 0 or not cls[ord(text[start - 1])]) and \
                         (end + 1 >= n or not cls[ord(text[end + 1])]):
-                    hits[kw] = None
-        return mask, list(hits)
+                    hits[kw] = start
+        return mask, list(hits), list(hits.values())
 
 
 def scan_column(spark: SparkSession, low: Column, gate_keywords: list[list[str]], word_keywords: list[str]) -> Column:
@@ -105,15 +107,8 @@ def scan_column(spark: SparkSession, low: Column, gate_keywords: list[list[str]]
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = KeywordScanner(gate_keywords, word_keywords, classes)
         for texts in batches:
-            masks, hits = [], []
-            for t in texts:
-                if t is None or (isinstance(t, float)):
-                    masks.append(0)
-                    hits.append([])
-                else:
-                    m, h = scanner.scan(t)
-                    masks.append(m)
-                    hits.append(h)
-            yield pd.DataFrame({"gate_mask": pd.Series(masks, dtype="int32"), "hits": hits})
+            found = [(0, [], []) if t is None or isinstance(t, float) else scanner.scan(t) for t in texts]
+            masks, hits, at = zip(*found) if found else ((), (), ())
+            yield pd.DataFrame({"gate_mask": pd.Series(masks, dtype="int32"), "hits": list(hits), "at": list(at)})
 
     return scan(low)

@@ -28,6 +28,8 @@ from . import matcher
 LOW = "_low"
 WORDS = "_words"
 HITS = "_hits"
+# Where each hit first occurs; only the automaton gives it.
+HITS_AT = "_hits_at"
 PRESENT = "_present"
 GATE_MASK = "_gate_mask"
 
@@ -59,7 +61,8 @@ def with_text_features(df: DataFrame, text_col: str = "reviews", keywords: list[
         gate_kws = [reduce_for_substring(lex.get(a, [])) for a in ASPECTS]
         out = (out.withColumn("_scan", matcher.scan_column(df.sparkSession, F.col(LOW), gate_kws, kws))
                   .withColumn(GATE_MASK, F.col("_scan.gate_mask"))
-                  .withColumn(HITS, F.col("_scan.hits")).drop("_scan"))
+                  .withColumn(HITS, F.col("_scan.hits"))
+                  .withColumn(HITS_AT, F.col("_scan.at")).drop("_scan"))
     elif engine == "jvm":
         gates = gate_columns(LOW, lex)
         mask = sum(F.when(gates[a], F.lit(1 << i)).otherwise(F.lit(0)) for i, a in enumerate(ASPECTS))
@@ -101,7 +104,7 @@ def tag_aspects(df: DataFrame, text_col: str = "reviews", lexicon="json") -> Dat
     out = with_text_features(df, text_col, kws).withColumn("_tags", tag_structs(HITS, lex))
     return (out.withColumn("Aspects", F.transform("_tags", lambda s: s["aspect"]))
                .withColumn("Matched Keywords", F.transform("_tags", lambda s: s["keyword"]))
-               .drop("_tags", LOW, HITS, GATE_MASK))
+               .drop("_tags", LOW, HITS, HITS_AT, GATE_MASK))
 
 
 def distinct_aspects(hits=HITS, lexicon="json") -> Column:
@@ -117,6 +120,9 @@ def first_keyword(aspect: str, hits=HITS, lexicon="app") -> Column:
     return T.first_in_order(dedupe(get_lexicon(lexicon).get(aspect, [])), hits)
 
 
-def mask_column(aspect: str, low=LOW, hits=HITS, lexicon="app") -> Column:
-    """TXT-5: masked lower-cased review for one aspect; NULL if no keyword matched."""
-    return T.mask_first(low, first_keyword(aspect, hits, lexicon))
+def mask_column(aspect: str, low=LOW, hits=HITS, lexicon="app", at: str | None = None) -> Column:
+    """TXT-5: masked lower-cased review for one aspect; NULL if no keyword
+    matched. With ``at`` (first places of the hits) the text is cut there; without
+    it the place is searched with a pattern."""
+    kw = first_keyword(aspect, hits, lexicon)
+    return T.mask_first(low, kw) if at is None else T.mask_at(low, kw, F.get(T.col(at), F.array_position(T.col(hits), kw).cast("int") - 1))

@@ -46,7 +46,7 @@ def score_reviews(reviews: DataFrame, scorer=None, text_col: str = "reviews", ke
         out = scorer.apply(feats, gates)
     out = out.withColumn("sentiment", scoring.sentiment_map()).drop(tagging.GATE_MASK)
     if not keep_features:
-        out = out.drop(tagging.LOW, tagging.HITS)
+        out = out.drop(tagging.LOW, tagging.HITS, tagging.HITS_AT)
     return out
 
 

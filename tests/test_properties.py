@@ -205,9 +205,9 @@ def test_partition_invariance(spark, texts):
 
 def test_scanner_boundaries(spark):
     sc = KeywordScanner([["rs"]], ["rs", "wi-fi", "doc"], matcher.word_class(spark))
-    assert sc.scan("nurses") == (1, [])
-    assert sc.scan("rs,wi-fi") == (1, ["rs", "wi-fi"])
-    assert sc.scan("édoc doc_x doc") == (0, ["doc"])
+    assert sc.scan("nurses") == (1, [], [])
+    assert sc.scan("rs,wi-fi") == (1, ["rs", "wi-fi"], [0, 3])
+    assert sc.scan("édoc doc_x doc doc") == (0, ["doc"], [11])
 
 
 def test_both_engines_agree_on_every_code_point(spark):
