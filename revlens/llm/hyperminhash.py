@@ -1,33 +1,35 @@
 """Near-duplicate detection with HyperMinHash.
 
 A document's set is its distinct word shingles (``Rule``: five words and a
-similarity of 0.8 unless told otherwise; words are split at ASCII white space, A-Z
-folded to a-z). Sketch: every shingle hash falls into one of ``REGISTERS`` buckets; a bucket keeps, of its smallest hash,
-the number of leading zeros (6 bits) and the next ``MANTISSA`` bits. Empty
-buckets of short documents copy a full one chosen by a fixed random order, so a
-register of two documents agrees with probability equal to their Jaccard
-similarity (plus the known chance of equal compressed registers).
+similarity of 0.8 unless told otherwise; words are split at ASCII white space,
+A-Z folded to a-z). Sketch: every shingle hash falls into one of ``REGISTERS``
+buckets; a bucket keeps, of its smallest hash, the number of leading zeros
+(6 bits) and the next ``MANTISSA`` bits. Empty buckets of short documents copy a
+full one chosen by a fixed random order, so a register of two documents agrees
+with probability equal to their Jaccard similarity (plus the known chance of
+equal compressed registers).
 
 1. Documents with equal sets are one class; its smallest doc_id stands for it.
-2. ``Rule.band`` registers at a time are hashed to a band key. Classes that share a
-   key are linked to the smallest class of that key; connected components of
+2. ``Rule.band`` registers at a time are hashed to a band key. Classes that share
+   a key are linked to the smallest class of that key; connected components of
    these links contain every candidate pair, and no pair is listed.
 3. Inside each such group pairs are compared: registers first, with the
    collision-corrected estimate, then the full shingle sets with
-   100 * intersection >= percent * union. Groups of more than ``BLOCK`` classes are
-   split over tasks: each block compares its own members and all members with
+   100 * intersection >= percent * union. Groups of more than ``BLOCK`` classes
+   are split over tasks: each block compares its own members and all members with
    a few pivots; classes that are not connected to the group's largest
    component after that are compared with every block, using what distinguishes
    each set from the first pivot instead of the whole set (the intersection
-   follows exactly from those differences).
+   follows exactly from those differences). That last step is quadratic in the
+   loose classes of one group, in blocks over all tasks; nothing is capped.
 4. Connected components of the confirmed links are the result.
 
 The bands miss a pair at the threshold itself with a probability below 1e-6
 (25 bands of 5 registers at 0.85, 32 bands of 4 registers at 0.8).
 
 Defined results: null and empty texts and texts without words have an empty set
-and link with nothing; fewer words than a shingle has are one shingle; rows with a null
-doc_id take no part (component_id null, kept); rows that repeat a doc_id are
+and link with nothing; fewer words than a shingle has are one shingle; rows with
+a null doc_id take no part (component_id null, kept); rows that repeat a doc_id are
 one document, all of its texts are in its component; an empty table gives no
 rows; texts are read whole.
 """
