@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding, giant documents by a max-plus scan.
 
 Ids equal those of the sentencepiece library for the whole text. Texts of up to
-``GIANT`` characters are encoded by the library in one piece. A longer text is
-cut into chunks that are encoded on different tasks:
+``GIANT`` characters are encoded by the library atom by atom (an atom: spaces and
+what follows them), each distinct atom once per worker. A longer text is cut into
+chunks that are encoded on different tasks:
 
 * A segmentation is a path through pieces; the encoding is the one path on which
   every two neighbouring pieces stay as they are when their joined string is
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, safe_text, staged
-from .tokens import runs, vocabulary_path, worker_cache
+from .tokens import MAX_PARTS, Encoder, runs, vocabulary_path, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 GIANT = 1 << 15
@@ -63,6 +64,7 @@ class Model:
                 self.score[piece], self.id[piece] = self.sp.get_score(i), i
         self.longest = max(map(len, self.score))
         self.text_of: list[bytes] | None = None
+        self.encoder = PieceEncoder(self.sp)
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.merge = lru_cache(1 << 18)(self._merge)
         self.fits = lru_cache(1 << 18)(lambda a, b: self.merge(a + b) == (a, b))
@@ -104,6 +106,32 @@ class Model:
         return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
 
+class PieceEncoder(Encoder):
+    """Whole-text ids by the library through the table of known parts. A part
+    is an atom: spaces (marks once normalised) and what follows them; the space
+    put before every text is the mark that the normaliser adds."""
+
+    before = b" "
+
+    def __init__(self, sp, max_parts: int = MAX_PARTS):
+        self.sp = sp
+        self._setup(True, max_parts)
+
+    def is_break(self, buf: np.ndarray) -> np.ndarray:
+        return buf == 32
+
+    def needs_library(self, text: str) -> bool:
+        return not text or MARK in text  # a mark in the text itself counts as a space
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.sp.encode(text), np.uint32)
+
+    def _encode_parts(self, raws: list[bytes]) -> list[np.ndarray]:
+        parts = [r[1:].decode("utf-8", "surrogatepass") for r in raws]
+        lone = np.array([self.sp.piece_to_id(MARK)], np.uint32)  # one space at the end of a text
+        return [np.array(x, np.uint32) if p else lone for p, x in zip(parts, self.sp.encode(parts, num_threads=1))]
+
+
 def model(path: str) -> Model:
     cache = worker_cache()
     if ("sentencepiece", path) not in cache:
@@ -254,10 +282,9 @@ def encode(docs: DataFrame, model_path: str | None = None, giant: int = GIANT, c
 
     @F.pandas_udf("binary")
     def whole(text: pd.Series) -> pd.Series:
-        sp = model(path).sp
-        out: list = []
+        enc, out = model(path).encoder, []
         for run in runs(text):
-            out += [np.array(x, "<u4").tobytes() for x in sp.encode([text.iloc[i] for i in run], num_threads=1)]
+            out += [x.astype("<u4").tobytes() for x in enc.encode([text.iloc[i] for i in run])]
         return pd.Series(out, dtype=object)
 
     small = rows.where(F.length("text") <= giant).select("doc_id", F.lit(1).alias("n_chunks"), whole("text").alias("ids"))

@@ -95,9 +95,7 @@ class Encoder:
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep_space = keep_space
-        self.max_parts = max_parts
-        self.table = _Table()
+        self._setup(keep_space, max_parts)
         # Bytes that a token stands for: both vocabularies write one character
         # per byte, the word-end mark apart.
         vocab = self.plain.get_vocab(with_added_tokens=False)
@@ -105,6 +103,21 @@ class Encoder:
         for token, i in vocab.items():
             self.token_bytes[i] = len(token.removesuffix("</w>"))
 
+    def _setup(self, keep_space: bool, max_parts: int) -> None:
+        self.keep_space = keep_space
+        self.max_parts = max_parts
+        self.table = _Table()
+
+    # What a subclass may change: how a text is prepared, which bytes part it,
+    # and which texts only the library can take.
+    before = b""
+
+    def is_break(self, buf: np.ndarray) -> np.ndarray:
+        return is_space(buf)
+
+    def needs_library(self, text: str) -> bool:
+        return self.keep_space and not text.isascii() and EXOTIC_SPACE.search(text) is not None
+
     def whole(self, text: str) -> np.ndarray:
         """A text's ids straight from the library."""
         return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -145,12 +158,12 @@ class Encoder:
         out: list = [None] * len(texts)
         todo = []
         for i, t in enumerate(texts):
-            if self.keep_space and not t.isascii() and EXOTIC_SPACE.search(t):
+            if self.needs_library(t):
                 out[i] = self.whole(t)
             else:
                 todo.append(i)
         if todo:
-            for i, ids in zip(todo, self._batch(utf8([texts[i] for i in todo]))):
+            for i, ids in zip(todo, self._batch([self.before + x for x in utf8([texts[i] for i in todo])])):
                 out[i] = ids
         return out
 
@@ -162,7 +175,7 @@ class Encoder:
         if not blob:
             return [np.zeros(0, np.uint32) for _ in enc]
         buf = np.frombuffer(blob, np.uint8)
-        ws = is_space(buf)
+        ws = self.is_break(buf)
         edge = np.zeros(len(buf) + 1, bool)
         edge[begins] = True
         edge = edge[:-1]

@@ -153,6 +153,20 @@ def test_scan_equals_library(pieces, text, size):
         assert sentencepiece_scan.encode_scan(pieces, text, size) == pieces.sp.encode(text)
 
 
+def test_piece_encoder_equals_library(pieces, texts, odd):
+    enc = sentencepiece_scan.PieceEncoder(pieces.sp, max_parts=500)
+    alphabet = st.sampled_from(list("abe  \n\té日😀▁\x00.´̈"))
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(alphabet, max_size=30), max_size=4))
+    def check(xs):
+        assert [x.tolist() for x in enc.encode(xs)] == [pieces.sp.encode(x) for x in xs]
+
+    check()
+    xs = list(texts.values())[:80] + [r.text or "" for r in odd.select("text").collect()]
+    assert [x.tolist() for x in enc.encode(xs)] == pieces.sp.encode(xs)
+
+
 def test_scan_operators():
     inf = -np.inf  # no path
     mats = [np.array([[0.0, inf]]), np.array([[inf, 0.0], [0.0, 0.0]]), np.array([[0.0], [inf]])]
