@@ -68,6 +68,22 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: its Python
+    worker stays, and later tasks of other operators share the executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
 def safe_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

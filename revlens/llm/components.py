@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 GATHER_LINKS = 500_000
 MAX_ROUNDS = 60
@@ -45,6 +45,8 @@ def _forest(batches):
     for k in range(0, len(nodes), 100_000):
         some = nodes[k:k + 100_000]
         yield pd.DataFrame({"a": np.array(some, np.int64), "b": np.array([find(x) for x in some], np.int64)})
+    parent.clear()
+    release()
 
 
 def _largest_star(links: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, is_space, mix, safe_text, slices, small_side, staged, utf8, word_hashes
+from .common import bound_batches, cut, mix, release, safe_text, slices, small_side, staged, utf8, word_hashes
 from .components import components
 
 @dataclass(frozen=True)
@@ -172,6 +172,7 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
                 h2 = [int(np.bitwise_xor.reduce(mix(s ^ _U(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0 for s in sets]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64),
                                 "h1": h1, "h2": h2, "bands": [next(keys) if len(s) else None for s in sets]})
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), safe_text().alias("text")).mapInPandas(
         task, "doc_id long, n long, h1 long, h2 long, bands array<bigint>")
@@ -191,6 +192,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
             pdf["shingles"] = [s.tobytes() for s in sets]
             pdf["regs"] = [registers(s).tobytes() if len(s) else b"" for s in sets]
             yield pdf[["grp", "size", "degree", "doc_id", "n", "shingles", "regs"]].rename(columns={"doc_id": "rep"})
+        release()
 
     return texts.select("grp", "size", "degree", "doc_id", "text").mapInPandas(
         task, "grp long, size long, degree long, rep long, n long, shingles binary, regs binary")

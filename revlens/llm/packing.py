@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, safe_text
+from .common import bound_batches, release, safe_text
 from .tokens import encoder, runs, vocabulary_path
 
 END_ID = 2
@@ -164,5 +164,6 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
         for found in pool.close(0):
             emit(found)
         yield frame()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), safe_text().alias("text")).mapInPandas(task, SCHEMA)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, mix, safe_text, slices, utf8, word_hashes
+from .common import bound_batches, held_out, mix, release, safe_text, slices, utf8, word_hashes
 
 # Documented bound of the training sample, per class. Which labelled rows enter
 # depends on a hash of doc_id only.
@@ -205,7 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         pdf = pdf.sort_values("doc_id")
         if pdf["y"].nunique() < 2:
             return pd.DataFrame({"model": pd.Series([], dtype=object)})
-        return pd.DataFrame({"model": [_dump(train(list(pdf["text"]), pdf["y"].to_numpy(), base))]})
+        blob = _dump(train(list(pdf["text"]), pdf["y"].to_numpy(), base))
+        release()
+        return pd.DataFrame({"model": [blob]})
 
     got = sample.withColumn("model", F.lit("m")).groupBy("model").applyInPandas(one, "model binary").collect()  # one row of bounded size
     return _load(got[0]["model"]) if got else None

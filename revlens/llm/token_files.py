@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staging_path
-from .common import bound_batches, cut, safe_text, small_side
+from .common import bound_batches, cut, release, safe_text, small_side
 from .tokens import encoder, runs, vocabulary_path
 
 END_ID = 2
@@ -179,6 +179,7 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
                 yield pd.DataFrame(rows, columns=["shard", "segment", "doc_ids", "sizes", "total", "blob"])
         if ids:
             yield pd.DataFrame([flush()], columns=["shard", "segment", "doc_ids", "sizes", "total", "blob"])
+        release()
 
     (docs.select(F.col("doc_id").cast("long"), safe_text().alias("text"))
      .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -25,8 +25,8 @@ from .common import _powers, is_space, mix, utf8
 # White space in Unicode's sense that is not ASCII: a text with such
 # characters is encoded whole where white space belongs to a part.
 EXOTIC_SPACE = re.compile("[\x85\xa0  -     　]")
-MAX_PARTS = 3_000_000
-BATCH_CHARS = 2 << 20
+MAX_PARTS = 1_000_000
+BATCH_CHARS = 1 << 20
 _JOIN = 256
 _SPACES = b" \t\n\r\x0b\x0c"
 

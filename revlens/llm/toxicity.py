@@ -38,12 +38,12 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, safe_text
+from .common import bound_batches, held_out, release, safe_text
 from .quality import labelled_sample
 
 MAX_TRAIN_ROWS = 2500
 WINDOW = 64
-MEMBERS = 5
+MEMBERS = 4
 LEVEL = 5
 MIN_MATCH = 5
 BASE_BYTES = 98304
@@ -216,6 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         w = [windows(t) for t in pdf["text"]]
         y = pdf["y"].to_numpy()
         model = train_member([x for x, v in zip(w, y) if v == 1], [x for x, v in zip(w, y) if v == 0], seed)
+        del w, pdf
+        release()
         return pd.DataFrame({"member": [seed], "model": [pickle.dumps(model)]})
 
     fitted = (sample.withColumn("member", F.explode(F.array(*[F.lit(k) for k in range(MEMBERS)])))
@@ -259,6 +261,8 @@ def score(docs: DataFrame, model: dict | None, default_score: float = 0.0, thres
             comp = compressors_of(m["members"])
             for text in batches:
                 yield pd.Series(probability(m, batch_statistics(m["members"], comp, text)), dtype="float64")
+            del comp
+            release()
 
         s = toxicity_score(safe_text())
     return (docs.select("doc_id", held_out().alias("held_out"), s.alias("score"), *extra)
