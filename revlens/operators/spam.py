@@ -56,6 +56,8 @@ from ..session import materialize, staging_path
 
 MERSENNE_31 = (1 << 31) - 1
 DEFAULT_NUM_HASHES = 64
+# Hashes computed by one aggregate.
+FAMILY = 64
 # Hashes for batches that only an estimate can decide.
 OPEN_HASHES = 256
 HASH_SEED = 20240607
@@ -223,11 +225,27 @@ def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, b
     """Per token set: ``m`` and ``mh_0 .. mh_{K-1}``, the min-hashes of its
     tokens (empty sets produce no row). A set's postings lie in one partition,
     so the partial aggregate leaves one row per set for the exchange."""
+    # Hashes come in families of FAMILY: one expression per member (a, b and
+    # x < 2^31, so the product fits a BIGINT) whatever their number, and one row
+    # per set and family. Hash k is member k % FAMILY of family k // FAMILY.
     params = hash_params(num_hashes)
+    groups = [params[k:k + FAMILY] for k in range(0, num_hashes, FAMILY)]
+    width = len(groups[0])
+    if any(len(g) != width for g in groups):
+        raise ValueError(f"more than {FAMILY} hashes must be a multiple of it")
     post = _postings(stats, batch).select(batch, "_set", "m", (token_hash32("tok") % F.lit(MERSENNE_31)).alias("x"))
-    # one SQL expression per hash (a, b < 2^31 and x < 2^31: the product fits a BIGINT)
-    aggs = [F.expr(f"min(({a} * x + {b}) % {MERSENNE_31})").alias(f"mh_{i}") for i, (a, b) in enumerate(params)]
-    return post.groupBy(batch, "_set").agg(F.first("m").alias("m"), *aggs)
+    if len(groups) == 1:
+        post = post.withColumn("family", F.lit(0))
+    else:
+        post = post.withColumn("family", F.explode(F.array(*[F.lit(f) for f in range(len(groups))])))
+
+    def pick(i: int, c: int) -> str:
+        if len(groups) == 1:
+            return str(groups[0][i][c])
+        return "CASE family " + " ".join(f"WHEN {f} THEN {g[i][c]}L" for f, g in enumerate(groups)) + " END"
+
+    aggs = [F.expr(f"min((({pick(i, 0)}) * x + ({pick(i, 1)})) % {MERSENNE_31})").alias(f"mh_{i}") for i in range(width)]
+    return post.groupBy(batch, "_set", "family").agg(F.first("m").alias("m"), *aggs)
 
 
 def _per_hash(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
@@ -235,7 +253,9 @@ def _per_hash(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
     partition sums its buckets before the exchange; a bucket is one (hash,
     min-hash) value of a batch."""
     sig = minhash_signatures(stats, num_hashes, batch)
-    stacked = sig.select(batch, "m", F.posexplode(F.array(*[F.col(f"mh_{i}") for i in range(num_hashes)])).alias("k", "mh"))
+    width = min(num_hashes, FAMILY)
+    stacked = (sig.select(batch, "m", "family", F.posexplode(F.array(*[F.col(f"mh_{i}") for i in range(width)])).alias("i", "mh"))
+               .withColumn("k", F.col("family") * width + F.col("i")))
     return (stacked.groupBy(batch, "k", "mh").agg(F.sum("m").alias("c"))
             .groupBy(batch, "k").agg(F.sum(_pairs("c")).alias("coll")))
 
