@@ -1,18 +1,23 @@
 """License scan as an exact set-similarity join, in DataFrame functions only.
 
-Text blocks (lines) are joined with license notices: a block matches a notice
-when it holds at least ``CONTAINMENT`` of the notice's distinct words. The join
-is exact and never looks at pairs without a shared rare word:
-
-* words are ordered by their frequency over all blocks of the table (only words
-  of notices are counted), rarest first;
+Texts are joined with license notices: a text holds a notice when a stretch of
+at most ``SPREAD`` times the notice's length in consecutive words, over line
+ends, holds at least ``CONTAINMENT`` of the notice's distinct words. The blocks
+of the join are windows of two stretches that start one stretch apart, so that
+every stretch lies in one window; a text that as a whole lacks the words of all
+notices of a length is not cut for it. The join is exact and never looks at
+pairs without a shared rare word:
+
+* words are ordered by the number of texts that hold them (only words of
+  notices are counted), rarest first;
 * prefix filter: a notice of n words that needs k of them is indexed under its
   n - k + 1 rarest words only; a matching block has at least one of these;
 * length filter: the block has at least k words;
 * positional filter: when the first shared word is the notice's p-th and the
   q-th of the block's notice words, at most min(n - p, |block| - q) words can be
   shared, which must reach k;
-* what is left is verified on the full word sets.
+* what is left is verified on the full word sets of the block, then of each
+  stretch in it.
 
 The base scan is the same join at containment 1 with the whole text as block,
 its verification being that the phrase's words stand consecutively.
@@ -58,6 +63,8 @@ NOTICES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 CONTAINMENT = 0.9
+# A notice's words stand within this many times its length.
+SPREAD = 2
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,15 +78,36 @@ def _strings(xs) -> Column:
     return F.array(*[F.lit(x) for x in xs])
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """The lines of every text: doc_id, block, words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(safe_text(), "\n")).alias("block", "line"))
-    return lines.select("doc_id", "block", words_of(F.col("line")).alias("words"))
+def stretch_of(notice: str) -> int:
+    return SPREAD * len(notice.split())
+
+
+def need_of(notice: str, containment: float) -> int:
+    return math.ceil(containment * len(set(notice.split())) - 1e-9)
+
+
+def blocks(table: DataFrame, notices, containment: float) -> DataFrame:
+    """The windows of every text that may hold a notice: doc_id, stretch, block
+    (number of the window), words. One set of windows for each length of the
+    notices whose words the whole text holds."""
+    vocabulary = sorted({w for t, _ in notices for w in t.split()})
+    table = table.select("doc_id", "words", F.array_intersect(_strings(vocabulary), "words").alias("known"))
+    held = {}
+    for t, _ in notices:
+        enough = F.size(F.array_intersect("known", _strings(sorted(set(t.split()))))) >= need_of(t, containment)
+        held[stretch_of(t)] = held.get(stretch_of(t), F.lit(False)) | enough
+    wanted = F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in sorted(held.items())]))
+    # Outer generators: Catalyst infers a filter for the others and pushes it,
+    # with the tokenisation, into the scan.
+    table = table.select("doc_id", "words", F.explode_outer(wanted).alias("stretch")).where("stretch is not null")
+    windows = F.expr("transform(sequence(0, greatest(cast(ceil(size(words) / stretch) as int) - 2, 0)),"
+                     " i -> slice(words, i * stretch + 1, 2 * stretch))")
+    return table.select("doc_id", "stretch", F.posexplode_outer(windows).alias("block", "words"))
 
 
 def word_order(table: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary by the number of blocks that hold a word, rarest first.
-    Counts cover all blocks; at most one row per notice word is collected."""
+    """The vocabulary by the number of texts that hold a word, rarest first.
+    Counts cover all texts; at most one row per notice word is collected."""
     counted = (table.select(F.explode(F.array_intersect(_strings(vocabulary), "words")).alias("word"))
                .groupBy("word").count().collect())
     df = {r["word"]: r["count"] for r in counted}
@@ -87,32 +115,37 @@ def word_order(table: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def notice_matches(docs: DataFrame, notices=None, containment: float = CONTAINMENT) -> DataFrame:
-    """Every (doc_id, block, notice, label, overlap, containment) at or above
-    the threshold; ``notices`` is a list of (words, label)."""
+    """Every (doc_id, stretch, block, notice, label, overlap, containment) at or
+    above the threshold, overlap being that of the block's best stretch;
+    ``notices`` is a list of (words, label)."""
     spark = docs.sparkSession
     notices = NOTICES if notices is None else notices
-    table = blocks(docs)
-    order = word_order(table, sorted({w for t, _ in notices for w in t.split()}))
+    texts = docs.select("doc_id", words_of(safe_text()).alias("words"))
+    order = word_order(texts, sorted({w for t, _ in notices for w in t.split()}))
     rank = {w: i for i, w in enumerate(order)}
     index = []
     for k, (text, label) in enumerate(notices):
         ws = sorted(set(text.split()), key=rank.get)
-        need = math.ceil(containment * len(ws) - 1e-9)
-        index += [(w, k, label, p, need, ws) for p, w in enumerate(ws[:len(ws) - need + 1])]
-    schema = "word string, notice int, label string, p int, need int, notice_words array<string>"
+        need = need_of(text, containment)
+        index += [(w, stretch_of(text), k, label, p, need, ws) for p, w in enumerate(ws[:len(ws) - need + 1])]
+    schema = "word string, stretch int, notice int, label string, p int, need int, notice_words array<string>"
     indexed = F.broadcast(spark.createDataFrame(index, schema))  # a few rows per notice
     prefix_words = sorted({r[0] for r in index}, key=rank.get)
     # The block's notice words in global order: array_intersect keeps the
     # order of its first argument.
-    held = table.select("doc_id", "block", F.size("words").alias("n"), F.array_intersect(_strings(order), "words").alias("known"))
+    held = blocks(texts, notices, containment).select(
+        "doc_id", "stretch", "block", "words", F.array_intersect(_strings(order), "words").alias("known"))
     probes = held.withColumn("word", F.explode(F.array_intersect("known", _strings(prefix_words))))
-    pairs = probes.join(indexed, "word").where("n >= need")
+    pairs = probes.join(indexed, ["word", "stretch"]).where(F.size("words") >= F.col("need"))
     q = F.array_position("known", F.col("word")) - 1
     pairs = pairs.withColumn("reach", F.least(F.size("notice_words") - F.col("p"), F.size("known") - q))
-    pairs = pairs.where("reach >= need").withColumn("overlap", F.size(F.array_intersect("notice_words", "known")))
+    pairs = pairs.where("reach >= need").where(F.size(F.array_intersect("notice_words", "known")) >= F.col("need"))
+    best = F.expr("array_max(transform(sequence(1, greatest(size(words) - stretch + 1, 1)),"
+                  " i -> size(array_intersect(notice_words, slice(words, i, stretch)))))")
+    pairs = pairs.withColumn("overlap", best)
     # A pair may be found under several prefix words; all rows are equal.
     return (pairs.where("overlap >= need")
-            .groupBy("doc_id", "block", "notice", "label")
+            .groupBy("doc_id", "stretch", "block", "notice", "label")
             .agg(F.max("overlap").alias("overlap"), F.max(F.col("overlap") / F.size("notice_words")).alias("containment")))
 
 

@@ -131,3 +131,39 @@ def test_license_scan_agrees_with_sql(spark, documents, texts):
     rel = con.sql(ORACLE_SQL["op10_licenses"])
     want = sorted(map(str, rel.fetchall()))
     assert sorted(map(str, (tuple(r) for r in licenses.scan(documents).select(*rel.columns).collect()))) == want
+
+
+def brute_notices(t):
+    w, found = words(t), {}
+    for text, label in licenses.NOTICES:
+        need, n = set(text.split()), licenses.SPREAD * len(text.split())
+        have = max(len(need & set(w[k:k + n])) for k in range(max(len(w) - n, 0) + 1))
+        if have >= licenses.CONTAINMENT * len(need) - 1e-9:
+            found[label] = max(found.get(label, 0), have / len(need))
+    return found
+
+
+def test_notices_over_lines_and_scattered_words(spark):
+    rng = random.Random(4)
+    rows = []
+    for text, _ in licenses.NOTICES:
+        ws = text.split()
+        for cut in (1, len(ws) // 2, len(ws) - 1):  # wrapped, at any place of the text
+            before = " ".join(rng.choices(["filler", "the", "of"], k=rng.randrange(120)))
+            rows.append(before + " " + " ".join(ws[:cut]) + "\n * " + " ".join(ws[cut:]) + "\n" + before)
+        rows.append("\n".join(ws))  # one word a line
+        for gap in (1, 2, 40):  # scattered over one line
+            rows.append(" ".join(w + " filler" * gap for w in ws))
+    for _ in range(60):
+        a, b = rng.choice(licenses.NOTICES)[0].split(), rng.choice(licenses.NOTICES)[0].split()
+        rows.append(" ".join(rng.choice(a + b + ["x", "\n"]) for _ in range(rng.randrange(150))))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = collections.defaultdict(dict)
+    for r in licenses.notice_matches(df).collect():
+        got[r.doc_id][r.label] = max(got[r.doc_id].get(r.label, 0), r.containment)
+    want = {i: f for i, f in enumerate(map(brute_notices, rows)) if f}
+    assert dict(got) == want
+    step = 7
+    for k, (_, label) in enumerate(licenses.NOTICES):
+        assert all(label in want[k * step + j] for j in range(4))
+        assert label not in want.get(k * step + 6, {})
