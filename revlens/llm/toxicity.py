@@ -43,7 +43,7 @@ from .quality import labelled_sample
 
 MAX_TRAIN_ROWS = 2500
 WINDOW = 64
-MEMBERS = 4
+MEMBERS = 5
 LEVEL = 5
 MIN_MATCH = 5
 BASE_BYTES = 98304

@@ -37,6 +37,11 @@ def test_toxicity_held_out_accuracy(larger):
     assert accuracy(out, labels, "toxic") > 0.8
 
 
+def test_toxicity_trains_five_pairs(spark, documents, labels):
+    model = toxicity.fit(documents, labels)
+    assert len(model["members"]) == 5 and len(model["w"]) == 5 * 6 + 1
+
+
 def test_held_out_labels_are_not_used(spark, documents, labels):
     """Flipping held-out labels changes nothing."""
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality"))
