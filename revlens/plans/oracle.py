@@ -13,7 +13,7 @@ from ..functions.lexicons import (API_LEXICON, APP_LEXICON, ASPECTS, JSON_LEXICO
                                   REVIEWS_LIMIT_APP, dedupe, is_word_keyword)
 from ..operators.scoring import DEFAULT_BIAS, LinearScorer
 from ..operators.spam import DEFAULT_NUM_HASHES, MERSENNE_31, OPEN_HASHES, hash_params
-from .derived import reviews_sql, sql_str
+from .derived import TEMPLATES, reviews_sql, sql_str
 from .queries import ODD_NAMES
 
 W = r"[^\p{L}\p{N}_]"
@@ -356,6 +356,12 @@ FROM cells GROUP BY role"""
     q["template_jaccard"] = f"""WITH {base},
 t AS (SELECT review_id, list_distinct(list_filter(regexp_split_to_array(reviews, '{WS_RE2}'), lambda x: x <> '')) AS a,
              list_distinct(list_filter(regexp_split_to_array(substring(reviews, 1, 40), '{WS_RE2}'), lambda x: x <> '')) AS b FROM nn)
+SELECT review_id, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE
+       len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS jaccard FROM t"""
+    q["template_jaccard_whole"] = f"""WITH {base},
+t AS (SELECT review_id, list_distinct(list_filter(regexp_split_to_array(reviews, '{WS_RE2}'), lambda x: x <> '')) AS a,
+             list_distinct(list_filter(regexp_split_to_array(t_text, '{WS_RE2}'), lambda x: x <> '')) AS b
+      FROM nn JOIN templates ON t_id = review_id % {len(TEMPLATES)} WHERE review_id >= 0)
 SELECT review_id, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE
        len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS jaccard FROM t"""
     short = scoring_ctes("nn", max_tokens=64)

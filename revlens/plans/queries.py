@@ -19,7 +19,7 @@ from ..session import staging_path
 from ..sources import payload, reviews
 from ..streaming import stream
 from . import flow
-from .derived import load_table, reviews_view
+from .derived import TEMPLATES, load_table, reviews_view, templates_df
 
 
 def _nn(spark, sf_dir) -> DataFrame:
@@ -253,12 +253,20 @@ def q_masked_export(spark, sf_dir):
 
 
 def q_template_jaccard(spark, sf_dir):
-    """AGG-3: every review's tokens against those of the review before its
-    document's text, i.e. of its own first 40 characters."""
+    """AGG-3: every review's tokens against those of its own first 40
+    characters; whole templates are compared in ``template_jaccard_whole``."""
     head = T.ws_tokens(F.substring("reviews", 1, 40))
     return _nn(spark, sf_dir).select("review_id", F.round(T.jaccard(T.ws_tokens("reviews"), head), 9).alias("jaccard"))
 
 
+def q_template_jaccard_whole(spark, sf_dir):
+    """AGG-3: every review of a document against the whole template that it
+    begins with (the seeded batches have no template)."""
+    rows = (_nn(spark, sf_dir).where("review_id >= 0")
+            .join(F.broadcast(templates_df(spark)), F.col("t_id") == F.col("review_id") % len(TEMPLATES)))
+    return rows.select("review_id", F.round(T.jaccard(T.ws_tokens("reviews"), T.ws_tokens("t_text")), 9).alias("jaccard"))
+
+
 def q_sentiment_truncated(spark, sf_dir):
     """SCR-3: the scorer sees the first 64 words only."""
     sc = flow.score_reviews(_nn(spark, sf_dir), scoring.LinearScorer(max_tokens=64), keep_features=False)
@@ -373,6 +381,7 @@ QUERIES = {
     "csv_roundtrip": q_csv_roundtrip,
     "masked_export": q_masked_export,
     "template_jaccard": q_template_jaccard,
+    "template_jaccard_whole": q_template_jaccard_whole,
     "sentiment_truncated": q_sentiment_truncated,
     "model_labels": q_model_labels,
     "stream_predict": q_stream_predict,

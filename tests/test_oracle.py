@@ -50,3 +50,18 @@ def test_every_query_of_the_plans_has_a_twin():
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "Sentiment" in df.columns
+
+
+@pytest.mark.skipif(not os.path.isdir(SF0001), reason="driver test data not present")
+def test_template_jaccard_takes_the_whole_template(spark):
+    """ASCII documents, so that Python's split is the tokeniser's."""
+    from revlens.plans.derived import TEMPLATES, load_table
+
+    got = {r.review_id: r.jaccard for r in E.queries()["template_jaccard_whole"](spark, SF0001).collect()}
+    docs = [r for r in load_table(spark, SF0001, "documents").select("doc_id", "text").collect() if r.text is not None]
+    assert set(got) == {r.doc_id for r in docs}
+    for r in docs:
+        if r.text.isascii():
+            t = TEMPLATES[r.doc_id % len(TEMPLATES)]
+            a, b = set(f"{t} {r.text}".split()), set(t.split())
+            assert abs(got[r.doc_id] - (len(a & b) / len(a | b) if a | b else 0)) < 1e-8
