@@ -218,7 +218,7 @@ def q_payload_files(spark, sf_dir):
     """SRC-4/5, SNK: payload files landed in the shared folder, several payloads
     per file, and read back with the reader."""
     path = staging_path(spark, "payloads")
-    payload.write_payloads(payload.build_payload_json(_nn(spark, sf_dir)).coalesce(4), path)
+    payload.write_payloads(payload.build_payload_json(_nn(spark, sf_dir)), path)
     return payload.read_review_payloads(spark, path, strict=True).select("hospital_name", "author", "reviews")
 
 

@@ -220,3 +220,22 @@ def test_usage_flows(spark, tmp_path):
     # E3: batch predict over a list of texts
     got = scoring.predict(src.reviews_from_list(spark, ["The nurses were kind", "rs"])).collect()
     assert got[0]["staff"] != "" and got[1]["staff"] == "" and got[1]["cost"] != ""
+
+
+def test_payload_files_are_written_by_all_partitions(spark, monkeypatch):
+    from revlens.plans import queries
+    from conftest import SF0001
+
+    parts = []
+    write = payload.write_payloads
+    monkeypatch.setattr(payload, "write_payloads", lambda df, path: (parts.append(df.rdd.getNumPartitions()), write(df, path)))
+    held = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        queries.q_payload_files(spark, SF0001)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts == [9]
