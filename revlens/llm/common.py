@@ -88,6 +88,27 @@ def safe_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def exact_ids(col: str = "doc_id") -> list:
+    """An id as two columns without nulls: (col, no_id). pandas would turn a
+    nullable long column into floats, which changes ids above 2**53 and how an
+    id is written; :func:`ids_of` puts them together again."""
+    i = F.col(col).cast("long")
+    return [F.coalesce(i, F.lit(0)).alias(col), i.isNull().alias("no_id")]
+
+
+def ids_of(pdf, col: str = "doc_id") -> list:
+    """Python ints, None for null."""
+    return [None if no else i for i, no in zip(pdf[col].tolist(), pdf["no_id"].tolist())]
+
+
+def id_column(ids: list):
+    """Exact nullable longs for a result column."""
+    import pandas as pd
+
+    none = np.array([i is None for i in ids], bool)
+    return pd.arrays.IntegerArray(np.array([0 if i is None else i for i in ids], np.int64), none)
+
+
 def held_out(col: str = "doc_id"):
     """Rows never used to fit: crc32 of the id as text, modulo 4, is 2. A null
     id has no remainder and counts as held out."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hyperminhash, licenses, merkle, packing, quality, sentencepiece_scan, token_files, toxicity
+from . import (chat, exact_dedup, hyperminhash, licenses, merkle, packing, prefix_trie, quality, sentencepiece_scan, spelling, substrings,
+               token_files, toxicity)
 from .common import load, safe_text
 
 
@@ -60,6 +61,19 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(load(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark, sf_dir):
+    return (substrings.substring_dedup(load(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.group_variants(spelling.vocabulary(load(spark, sf_dir, "documents"), noise=31))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_chat_format, op3_exact_dedup, op4_toxicity, op5_packing, op6_fingerprints, op7_token_files,
-    op8_near_dedup, op9_sentencepiece, op10_licenses)}
+    op8_near_dedup, op9_sentencepiece, op10_licenses, op11_substring_dedup, op12_spelling, op13_prefix_trie)}
