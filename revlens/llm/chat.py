@@ -14,8 +14,10 @@ so no text can produce a control id and no merge crosses a border. The loss
 mask is 1 on assistant texts: +1 where such a text starts, -1 where it ends, and
 a running sum over the positions.
 
-Turns are encoded in the tasks that read them; only then are they brought
-together by conversation and streamed in order.
+Turns are encoded in the tasks that read them, then streamed in the order of
+their conversation, one row a turn with running offsets; digests are folded over
+the same stream. No conversation is held as a whole, so its length is not bounded
+by memory (one task streams it).
 
 Defined results: a null text or role is empty; turns are ordered by turn (null
 first), then role, then text; repeated rows are turns of their own; rows with a
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, exact_ids, id_column, ids_of
 from .tokens import encoder, runs, vocabulary_path, worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -135,8 +137,9 @@ def read_text(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """conv_id, n_turns, formatted (text), ids (little-endian unsigned 32-bit),
-    loss_mask (one byte per id)."""
+    """One row per turn: conv_id, n (from 0), formatted (text), ids (little-endian
+    unsigned 32-bit), loss_mask (one byte per id), char_start and token_start
+    (where the turn begins in its conversation)."""
     spark = conversations.sparkSession
     bound_batches(spark)
     path = vocabulary or vocabulary_path(VOCABULARY)
@@ -155,61 +158,74 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
             yield pdf
 
     def build(batches):
-        held, rows = None, []
-
-        def done():
-            text = "".join(turn_text(r, t) for r, t, _, _ in held[1])
-            ids, mask = assemble([(r, np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) for r, _, a, b in held[1]])
-            rows.append((held[0], len(held[1]), text, ids.astype("<u4").tobytes(), mask.tobytes()))
-
-        def frame():
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "formatted", "ids", "loss_mask"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            rows.clear()
-            return out
-
+        held, n, chars, tokens = None, 0, 0, 0
         for pdf in batches:
-            for conv, role, text, a, b in zip(pdf["conv_id"], pdf["role"], pdf["text"], pdf["role_ids"], pdf["ids"]):
-                conv = None if pd.isna(conv) else int(conv)
-                if held is None or held[0] != conv:
-                    if held is not None:
-                        done()
-                    held = (conv, [])
-                held[1].append((role, text, a, b))
-            if rows:
-                yield frame()
-        if held is not None:
-            done()
-            yield frame()
+            convs, rows = ids_of(pdf, "conv_id"), []
+            for conv, no, role, text, a, b in zip(convs, *(pdf[c].tolist() for c in ("no_id", "role", "text", "role_ids", "ids"))):
+                if held != (no, conv):
+                    held, n, chars, tokens = (no, conv), 0, 0, 0
+                shown = turn_text(role, text)
+                ids, mask = assemble([(role, np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"))])
+                rows.append((n, shown, ids.astype("<u4").tobytes(), mask.tobytes(), chars, tokens))
+                n, chars, tokens = n + 1, chars + len(shown), tokens + len(ids)
+            out = pd.DataFrame(rows, columns=["n", "formatted", "ids", "loss_mask", "char_start", "token_start"])
+            out.insert(0, "conv_id", id_column(convs))
+            yield out
 
     empty = F.lit("")
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+    turns = conversations.select(*exact_ids("conv_id"), F.col("turn").cast("long").isNotNull().alias("has_turn"),
+                                 F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"),
                                  F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (turns.mapInPandas(encode, "conv_id long, turn long, role string, text string, role_ids binary, ids binary")
-            .repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-            .mapInPandas(build, "conv_id long, n_turns long, formatted string, ids binary, loss_mask binary"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = ["no_id", "conv_id"]
+    return (turns.mapInPandas(encode, "conv_id long, no_id boolean, has_turn boolean, turn long, role string, text string, role_ids binary, ids binary")
+            .repartition(parts, *at).sortWithinPartitions(*at, "has_turn", "turn", "role", "text")
+            .mapInPandas(build, "conv_id long, n long, formatted string, ids binary, loss_mask binary, char_start long, token_start long"))
 
 
 def digests(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """What can be read back from formatted conversations, as digests."""
-    bound_batches(formatted.sparkSession)
+    """What can be read back from formatted conversations, as digests that are
+    folded over the turns in order."""
+    spark = formatted.sparkSession
+    bound_batches(spark)
     path = vocabulary or vocabulary_path(VOCABULARY)
+    cols = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def task(batches):
+        held, n, all_, loss, loss_chars, chars = None, 0, sha256(), sha256(), 0, 0
+
+        def row():
+            return n, all_.hexdigest(), loss_chars, loss.hexdigest(), chars
+
+        def frame(convs, rows):
+            out = pd.DataFrame(rows, columns=cols)
+            out.insert(0, "conv_id", id_column(convs))
+            return out
+
         for pdf in batches:
-            rows = []
-            for conv, text, ids, mask in zip(pdf["conv_id"], pdf["formatted"], pdf["ids"], pdf["loss_mask"]):
-                turns, loss = read_tokens(np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8), path)
-                if read_text(text) != turns:
+            convs, rows = [], []
+            for conv, no, shown, ids, mask in zip(ids_of(pdf, "conv_id"), *(pdf[c].tolist() for c in ("no_id", "formatted", "ids", "loss_mask"))):
+                if held != (no, conv):
+                    if held is not None:
+                        convs.append(held[1])
+                        rows.append(row())
+                    held, n, all_, loss, loss_chars, chars = (no, conv), 0, sha256(), sha256(), 0, 0
+                turns, learned = read_tokens(np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8), path)
+                if read_text(shown) != turns:
                     raise ValueError(f"text and ids of conversation {conv} differ")
-                all_ = "".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")
-                loss = "".join(loss)
-                rows.append((conv, len(turns), sha256(all_).hexdigest(), len(loss),
-                             sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            yield out
+                for role, text in turns:
+                    all_.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                for text in learned:
+                    loss.update(text.encode("utf-8", "surrogatepass"))
+                    loss_chars += len(text)
+                n, chars = n + len(turns), chars + len(shown)
+            if rows:
+                yield frame(convs, rows)
+        if held is not None:
+            yield frame([held[1]], [row()])
 
-    return formatted.select("conv_id", "formatted", "ids", "loss_mask").mapInPandas(
-        task, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = ["no_id", "conv_id"]
+    return (formatted.select(*exact_ids("conv_id"), "n", "formatted", "ids", "loss_mask").repartition(parts, *at)
+            .sortWithinPartitions(*at, "n").drop("n")
+            .mapInPandas(task, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"))

@@ -61,11 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits(df: DataFrame, row_bytes: int) -> bool:
+    """Whether the counted rows of a materialised table fit BROADCAST_BYTES."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit BROADCAST_BYTES,
     else ``df`` as it is (the join then shuffles and AQE splits skewed keys).
     Call it on a materialised table: counting is a job of its own."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(df, row_bytes) else df
 
 
 def release() -> None:

@@ -2,15 +2,14 @@
 
 1. Every partition contracts its own links to a forest (union by smallest
    node), so repeated and redundant links never leave their task.
-2. If what is left is small (counted: at most ``GATHER_LINKS`` links of 16
-   bytes), one task contracts it the same way.
-3. Otherwise alternating star contraction: every round joins links to the
-   smallest neighbour of their endpoint, first for larger neighbours, then for
-   smaller ones, until nothing changes. Links stay distributed, a node with very
-   many links is only ever reduced by ``min``, and the number of rounds grows
-   with the logarithm of the longest chain.
-
-Both ways give the same result.
+2. What is left is dealt by the larger end of each link to as many tasks as it
+   fills (``LINKS_PER_TASK`` links each) and contracted again.
+3. Alternating star contraction: every round joins links to the smallest
+   neighbour of their endpoint, first for larger neighbours, then for smaller
+   ones, and contracts inside partitions, until nothing changes. Links stay
+   distributed, a node with very many links is only ever reduced by ``min``, and
+   the number of rounds grows with the logarithm of the longest chain. A forest
+   made by a single task has nothing left to join, so no round follows it.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, release
 
-GATHER_LINKS = 500_000
+LINKS_PER_TASK = 50_000
 MAX_ROUNDS = 60
 
 
@@ -70,7 +69,7 @@ def _state(links: DataFrame):
 def _contract(links: DataFrame) -> DataFrame:
     state = _state(links)
     for _ in range(MAX_ROUNDS):
-        links = cut(_smallest_star(_largest_star(links)))
+        links = cut(_smallest_star(_largest_star(links)).select("a", "b").mapInPandas(_forest, "a long, b long"))
         new = _state(links)
         if new == state:
             return links
@@ -84,9 +83,10 @@ def components(links: DataFrame) -> DataFrame:
     no rows. The result is materialised."""
     schema = "a long, b long"
     links = cut(links.select("a", "b").mapInPandas(_forest, schema))
-    if links.count() <= GATHER_LINKS:
-        links = cut(links.coalesce(1).mapInPandas(_forest, schema))
-    else:
+    tasks = -(-links.count() // LINKS_PER_TASK)
+    if tasks:
+        links = cut(links.repartition(tasks, "a").mapInPandas(_forest, schema))
+    if tasks > 1:
         links = _contract(links)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,10 +10,11 @@ steps, each a grouping of narrow rows:
 3. SHA-256 of the whole normalised text, only for rows whose (length, prefix
    hash) survived.
 
-Texts never travel: lists of surviving keys go to the scan (broadcast when
-their counted size is bounded, else a shuffle join on the key), and only
-(doc_id, digest) rows are grouped. A group of copies of any size costs one row
-per task after partial aggregation.
+Texts never travel: a list of surviving keys goes to the scan when its counted
+size can be broadcast; a longer one does not (the list of surviving lengths, or if
+need be every row, is digested instead), and only (doc_id, digest) rows are
+grouped. A group of copies of any size costs one row per task after partial
+aggregation; rows without a digest take no part in a join.
 
 Defined results: a null text equals the empty text; of equal texts the smallest
 doc_id stays, null ids count as largest; rows that repeat the smallest id with
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, safe_text, small_side
+from .common import cut, fits, safe_text, small_side, staged
 
 PREFIX = 256
 
@@ -41,42 +42,57 @@ def exact_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, then the
     ``keep`` columns of the input."""
     extra = [F.col(c).alias(f"x_{i}") for i, c in enumerate(keep or [])]
-    rows = docs.select("doc_id", normalised(safe_text()).alias("norm"), *extra)
-    rows = rows.withColumn("n", F.length("norm"))
-
-    lengths = cut(rows.groupBy("n").count().where("count > 1").select("n"))
+    names = [f"x_{i}" for i in range(len(extra))]
+    rows = docs.select("doc_id", normalised(safe_text()).alias("norm"), *extra).withColumn("n", F.length("norm"))
     prefix = F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix")
-    pairs = cut(rows.select("n", prefix).join(small_side(lengths, 32), "n", "left_semi")
+
+    # Lengths and prefix hashes are written once; both groupings read them.
+    keys = staged(rows.select("n", prefix), "dedup-keys")
+    lengths = cut(keys.groupBy("n").count().where("count > 1").select("n"))
+    pairs = cut(keys.join(small_side(lengths, 32), "n", "left_semi")
                 .groupBy("n", "prefix").count().where("count > 1").select("n", "prefix", F.lit(True).alias("alive")))
 
     # The digest is evaluated only where the keys survived; all other rows are
-    # already known to be the only ones of their kind.
-    keyed = (rows.withColumn("prefix", prefix).join(small_side(pairs, 48), ["n", "prefix"], "left")
-             .select("doc_id", F.when(F.col("alive"), F.sha2(F.col("norm"), 256)).alias("digest"),
-                     *[F.col(f"x_{i}") for i in range(len(extra))]))
-    groups = (keyed.where(F.col("digest").isNotNull()).groupBy("digest")
-              .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    # One row per group of copies; materialised so that the join below shuffles
-    # both sides and a hot group is split by AQE (or not shuffled at all).
-    groups = small_side(cut(groups), 120)
+    # already known to be the only ones of their kind. Keys too many to broadcast
+    # are not joined, which would shuffle texts: lengths decide then, or nothing.
+    alive = rows.withColumn("prefix", prefix)
+    if fits(pairs, 48):
+        alive = alive.join(F.broadcast(pairs), ["n", "prefix"], "left")
+    elif fits(lengths, 32):
+        alive = alive.join(F.broadcast(lengths.withColumn("alive", F.lit(True))), "n", "left")
+    else:
+        alive = alive.withColumn("alive", F.lit(True))
+    keyed = staged(alive.select("doc_id", F.when(F.col("alive"), F.sha2(F.col("norm"), 256)).alias("digest"), *names), "dedup-digests")
+    # Rows without a digest are settled and take no part in the joins.
+    single = keyed.where("digest is null").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), *names)
+    some = keyed.where("digest is not null")
+    groups = cut(some.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     copied = F.col("size").isNotNull()
-    out = keyed.join(groups, "digest", "left")
-    return out.select(
+    found = some.join(small_side(groups, 120), "digest", "left").select(
         "doc_id", F.when(copied, F.col("first_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.when(copied, F.col("doc_id").eqNullSafe(F.col("first_id"))).otherwise(True).alias("kept"),
-        *[F.col(f"x_{i}").alias(c) for i, c in enumerate(keep or [])])
+        F.when(copied, F.col("doc_id").eqNullSafe(F.col("first_id"))).otherwise(True).alias("kept"), *names)
+    return single.unionByName(found).select(
+        "doc_id", "keep_id", "group_size", "kept", *[F.col(x).alias(c) for x, c in zip(names, keep or [])])
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with one row of each group of equal texts. Only
-    if a kept id occurs more than once are its repeated rows reduced to one
-    per (id, normalised text)."""
+    """``docs`` (all columns) with one row of each group of equal texts. Where
+    ids are unique, only the list of dropped ids meets the rows (broadcast, or a
+    shuffle by id, which has no hot values, beyond the bound); else rows get
+    numbers of their own, written with them."""
     cols = docs.columns
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", "text")
-    kept = exact_dedup(named, keep=["row"]).where("kept").select("doc_id", "row")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        kept = (kept.withColumn("norm", normalised(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
-                .dropDuplicates(["doc_id", "norm"]))
-    return kept.select("row.*")
+    if not repeated:
+        gone = cut(exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone")))
+        return docs.join(small_side(gone, 16), docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    named = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", "text",
+                               F.monotonically_increasing_id().alias("number")), "dedup-rows")
+    result = exact_dedup(named, keep=["number"]).where("group_size > 1")
+    digest = named.select("number", F.sha2(normalised(safe_text()), 256).alias("digest"))
+    # One row number per group of copies: the first among the smallest id's rows.
+    copies = staged(result.join(digest, "number"), "dedup-copies")
+    first = cut(copies.where("kept").groupBy("digest").agg(F.min("number").alias("first")))
+    gone = cut(copies.join(small_side(first, 80), "digest").where("number <> first").select("number"))
+    return named.join(small_side(gone, 16), "number", "left_anti").select("row.*")

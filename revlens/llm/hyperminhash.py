@@ -13,10 +13,11 @@ equal compressed registers).
 2. ``Rule.band`` registers at a time are hashed to a band key. Classes that share
    a key are linked to the smallest class of that key; connected components of
    these links contain every candidate pair, and no pair is listed.
-3. Inside each such group pairs are compared: registers first, with the
-   collision-corrected estimate, then the full shingle sets with
-   100 * intersection >= percent * union. Groups of more than ``BLOCK`` classes
-   are split over tasks: each block compares its own members and all members with
+3. Inside each such group links are confirmed on the full shingle sets, with
+   100 * intersection >= percent * union, in the order of the registers' collision-
+   corrected estimates: the likeliest pairs come first, and a pair whose ends are
+   connected by then needs no look. No pair is left out for its estimate. Groups of
+   more than ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles are split over tasks: each block compares its own members and all members with
    a few pivots; classes that are not connected to the group's largest
    component after that are compared with every block, using what distinguishes
    each set from the first pivot instead of the whole set (the intersection
@@ -30,8 +31,9 @@ The bands miss a pair at the threshold itself with a probability below 1e-6
 Defined results: null and empty texts and texts without words have an empty set
 and link with nothing; fewer words than a shingle has are one shingle; rows with
 a null doc_id take no part (component_id null, kept); rows that repeat a doc_id are
-one document, all of its texts are in its component; an empty table gives no
-rows; texts are read whole.
+one document, and all of its texts are in its component; ``drop_near_copies`` drops
+texts, so there a text stays unless another text like it does; an empty table
+gives no rows; texts are read whole.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, mix, release, safe_text, slices, small_side, staged, utf8, word_hashes
+from .common import (bound_batches, cut, exact_ids, id_column, ids_of, mix, release, safe_text, slices, small_side, staged, utf8,
+                     word_hashes)
 from .components import components
 
 @dataclass(frozen=True)
@@ -66,10 +69,9 @@ MANTISSA = 10
 # Chance that two registers with different minima are stored alike, for the
 # estimate; with 10 mantissa bits it is small whatever the set sizes.
 COLLISION = 0.17 / (1 << MANTISSA) * 6
-# A pair is confirmed on full sets unless its estimate is more than five
-# standard deviations of the sketch below the threshold.
-SLACK = 0.16
 BLOCK = 1024
+# Shingles (8 bytes each) of one block.
+BLOCK_SHINGLES = 2 << 20
 PIVOTS = 4
 _U = np.uint64
 
@@ -170,17 +172,17 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
             with np.errstate(over="ignore"):
                 h1 = [int(s.sum(dtype=_U).view(np.int64)) if len(s) else 0 for s in sets]
                 h2 = [int(np.bitwise_xor.reduce(mix(s ^ _U(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0 for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64),
+            yield pd.DataFrame({"doc_id": id_column(ids_of(pdf)), "n": np.array([len(s) for s in sets], np.int64),
                                 "h1": h1, "h2": h2, "bands": [next(keys) if len(s) else None for s in sets]})
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), safe_text().alias("text")).mapInPandas(
+    return docs.select(*exact_ids(), safe_text().alias("text")).mapInPandas(
         task, "doc_id long, n long, h1 long, h2 long, bands array<bigint>")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """Shingle sets and registers of the wanted documents: (grp, size, degree,
-    rep, n, shingles, regs). ``wanted(doc_id, h1, h2, ...)`` is materialised."""
+    """Shingle sets and registers of the wanted documents: (grp, blocks, degree,
+    rep, n, shingles, regs). ``wanted(doc_id, grp, blocks, degree)`` is materialised."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), safe_text().alias("text")).join(small_side(wanted, 64), "doc_id")
 
@@ -191,11 +193,11 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
             pdf["n"] = [len(s) for s in sets]
             pdf["shingles"] = [s.tobytes() for s in sets]
             pdf["regs"] = [registers(s).tobytes() if len(s) else b"" for s in sets]
-            yield pdf[["grp", "size", "degree", "doc_id", "n", "shingles", "regs"]].rename(columns={"doc_id": "rep"})
+            yield pdf[["grp", "blocks", "degree", "doc_id", "n", "shingles", "regs"]].rename(columns={"doc_id": "rep"})
         release()
 
-    return texts.select("grp", "size", "degree", "doc_id", "text").mapInPandas(
-        task, "grp long, size long, degree long, rep long, n long, shingles binary, regs binary")
+    return texts.select("grp", "blocks", "degree", "doc_id", "text").mapInPandas(
+        task, "grp long, blocks int, degree long, rep long, n long, shingles binary, regs binary")
 
 
 # --------------------------------------------------------------------------
@@ -257,13 +259,19 @@ def links_within(sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list
     n = np.array([len(s) for s in sets])
     uni, out = _Union(len(sets)), []
     if len(sets) <= 48:
-        est = estimate(regs, regs) >= percent / 100 - SLACK
-        for i in range(len(sets)):
-            for j in np.flatnonzero(est[i, i + 1:]) + i + 1:
-                j = int(j)
-                if uni.find(i) != uni.find(j) and near(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j], percent):
-                    uni.join(i, j)
-                    out.append((i, j))
+        est = np.triu(estimate(regs, regs) + 2, 1)
+        left = len(sets) - 1
+        for at in np.argsort(-est, axis=None, kind="stable")[:len(sets) * left // 2]:
+            i, j = divmod(int(at), len(sets))
+            # The smaller set can't hold the intersection it would take.
+            if 100 * min(n[i], n[j]) < percent * max(n[i], n[j]) or uni.find(i) == uni.find(j):
+                continue
+            if near(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j], percent):
+                uni.join(i, j)
+                out.append((i, j))
+                left -= 1
+                if not left:
+                    break
         return out
     inter = intersections(sets, sets)
     hit = near(inter, n[:, None], n[None, :], percent)
@@ -320,9 +328,10 @@ def _block_links(percent, batches):
         rows = []
         uni = _Union(len(sets))
         for p in pivots:
-            likely = members[estimate(regs[p][None], regs[members])[0] >= percent / 100 - SLACK]
-            for i in likely:
-                if near(np.isin(sets[i], sets[p], assume_unique=True).sum(), n[i], n[p], percent) and uni.join(int(p), int(i)):
+            # Only sizes that could reach the threshold; likeliest first.
+            fit = 100 * np.minimum(n[members], n[p]) >= percent * np.maximum(n[members], n[p])
+            for i in members[np.argsort(-estimate(regs[p][None], regs[members])[0], kind="stable")]:
+                if fit[np.searchsorted(members, i)] and uni.find(int(p)) != uni.find(int(i)) and near(np.isin(sets[i], sets[p], assume_unique=True).sum(), n[i], n[p], percent) and uni.join(int(p), int(i)):
                     rows.append(("link", grp, block, int(rep[i]), int(rep[p]), 0, 0, 0, b""))
         own = [sets[i] for i in members]
         for i, j in links_within(own, regs[members], percent):
@@ -362,12 +371,16 @@ def _cross_links(percent, batches):
             yield pd.DataFrame(rows, columns=["a", "b"])
 
 
+def _block_count(classes, shingles):
+    return F.ceil(F.greatest(classes / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def _large_group_links(large: DataFrame, rule: Rule) -> DataFrame | None:
-    """Confirmed links of groups of more than BLOCK classes (materialised)."""
+    """Confirmed links of groups of more than one block (materialised)."""
     spark = large.sparkSession
     if not large.limit(1).count():
         return None
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.col("blocks")
     members = large.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("pivot", F.lit(False))
     # The most central classes: those that share band keys with most others.
     top = (large.groupBy("grp").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("rep")))
@@ -386,12 +399,12 @@ def _large_group_links(large: DataFrame, rule: Rule) -> DataFrame | None:
     roots = components(links)
     delta = (first.where("kind = 'delta'").join(roots, F.col("a") == F.col("node"), "left")
              .withColumn("root", F.coalesce("root", "a")).drop("node", "b", "kind"))
-    sizes = delta.groupBy("grp", "root").count()
+    sizes = delta.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("delta") / 8).alias("shingles"))
     main = cut(sizes.groupBy("grp").agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"),
-                                        F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks")))
+                                        _block_count(F.sum("count"), F.sum("shingles")).alias("blocks")))
     delta = staged(delta.join(small_side(main, 40), "grp").withColumn("loose", F.col("root") != F.col("main")), "near-deltas")
     loose = delta.where("loose")
-    chunks = cut(loose.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")))
+    chunks = cut(loose.groupBy("grp").agg(_block_count(F.count(F.lit(1)), F.sum(F.length("delta") / 8)).alias("chunks")))
     if not chunks.limit(1).count():
         return links
     few = small_side(chunks, 32)
@@ -408,23 +421,26 @@ def _large_group_links(large: DataFrame, rule: Rule) -> DataFrame | None:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, root) over class representatives with at least one link.
-    ``classes(rep, bands)`` is materialised, one row per distinct set."""
+    """Confirmed links (a, b) that span the components of class representatives.
+    ``classes(rep, n, bands)`` is materialised, one row per distinct set."""
     spark = docs.sparkSession
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = staged(keys.join(small_side(staged(buckets, "near-buckets"), 40), "key").select("rep", "least", "c"), "near-stars")
     groups = components(met.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    # Classes of one document (it repeats with other texts) are one node here.
+    info = classes.groupBy("rep").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"))
+    members = staged(groups.join(info, F.col("node") == F.col("rep")).select("node", "root", "n", "sets"), "near-members")
+    size = members.groupBy("root").agg(_block_count(F.sum("sets"), F.sum("n")).alias("blocks"))
     degree = met.groupBy("rep").agg(F.sum("c").alias("degree"))
-    wanted = cut(groups.join(size, "root").join(degree, F.col("node") == F.col("rep"))
-                 .select(F.col("node").alias("doc_id"), F.col("root").alias("grp"), "size", "degree"))
+    wanted = cut(members.join(size, "root").join(degree, F.col("node") == F.col("rep"))
+                 .select(F.col("node").alias("doc_id"), F.col("root").alias("grp"), "blocks", "degree"))
     sets = staged(candidate_sets(docs, wanted, rule), "near-sets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = (sets.where(F.col("size") <= BLOCK).repartition(parts, "grp").sortWithinPartitions("grp", "rep")
+    small = (sets.where("blocks <= 1").repartition(parts, "grp").sortWithinPartitions("grp", "rep")
              .mapInPandas(partial(_small_links, rule.percent), "a long, b long"))
-    large = _large_group_links(sets.where(F.col("size") > BLOCK), rule)
-    return components(small if large is None else small.unionByName(large))
+    large = _large_group_links(sets.where("blocks > 1"), rule)
+    return small if large is None else small.unionByName(large)
 
 
 def near_dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -433,7 +449,14 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     usable = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = staged(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
                                                          F.count(F.lit(1)).alias("c")), "near-classes")
-    found = cut(link_classes(docs, classes.select("rep", "bands"), rule))
+    links = link_classes(docs, classes.select("rep", "n", "bands"), rule)
+    # A document that repeats with other texts joins their classes.
+    kind = F.struct("n", "h1", "h2")
+    several = cut(usable.groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo <> hi").select("doc_id"))
+    if several.limit(1).count():
+        own = usable.join(small_side(several, 16), "doc_id", "left_semi").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"])
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    found = cut(components(links))
     # Only classes whose documents are not all their own representative.
     named = (classes.join(found, F.col("rep") == F.col("node"), "left")
              .select("n", "h1", "h2", "c", "rep", F.coalesce("root", "rep").alias("component_id"))
@@ -445,9 +468,22 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``docs`` (all columns) with one document of each component; rows that
-    repeat a kept id stay one row each."""
-    result = staged(near_dedup(docs, rule), "near-result")
-    dropped = cut(result.where("not kept").select("doc_id").distinct())
-    kept = docs.join(small_side(dropped, 16), docs["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
-    return kept
+    """``docs`` (all columns) with one row of each component of texts: the one of
+    the smallest doc_id. Rows without words or without a doc_id stay."""
+    cols = docs.columns
+    repeated = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+                   .groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        dropped = cut(near_dedup(docs, rule).where("not kept").select(F.col("doc_id").alias("gone")))
+        return docs.join(small_side(dropped, 16), docs["doc_id"].cast("long") == dropped["gone"], "left_anti")
+    # Ids that repeat don't name a row: rows get numbers of their own, written
+    # with them, and a component's row is chosen by doc_id.
+    named = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("doc_id").cast("long").alias("id"), "text",
+                               F.monotonically_increasing_id().alias("number")), "near-rows")
+    rows = named.where("id is not null").select(F.col("number").alias("doc_id"), "text")
+    found = staged(near_dedup(rows, rule).where("n_shingles > 0").select(F.col("doc_id").alias("number"), "component_id"), "near-result")
+    held = found.join(named.select("number", "id"), "number")
+    first = cut(held.groupBy("component_id").agg(F.min(F.struct("id", "number")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+                .select("component_id", F.col("f.number").alias("first")))
+    gone = cut(found.join(small_side(first, 32), "component_id").where("number <> first").select("number"))
+    return named.join(small_side(gone, 16), "number", "left_anti").select("row.*")

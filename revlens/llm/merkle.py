@@ -3,8 +3,8 @@
 A text is cut into paragraphs (lines); paragraphs are grouped into sections
 that end at a blank line or at a paragraph whose hash says so (about every
 eighth), so an edit moves no border far from it. The leaves below a paragraph
-are its sentences (cut after 40 characters at most). Every inner node hashes
-its children; the root is the hash of the sections.
+are its sentences (cut after 40 characters at most). A paragraph node hashes its
+text, a section its paragraphs' hashes, and the root its sections' hashes.
 
 The fingerprint is the tree written as text:
 
@@ -22,7 +22,6 @@ table gives no rows.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from hashlib import blake2b, sha256
 
@@ -30,12 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, safe_text
+from .common import bound_batches, id_column, ids_of, safe_text
+from .substrings import dealt
 
 _PARAGRAPH = re.compile(r"[^\n]*\n|[^\n]+")
 _SENTENCE = re.compile(r"[^.!?\n]{1,40}[.!?\n]*|[.!?\n]+")
 # A paragraph whose hash starts with one of these ends its section.
 _BORDER = frozenset("01")
+RANGE_CHARS = 8_000_000
 
 
 def _hash(data: bytes, size: int) -> str:
@@ -135,68 +136,60 @@ def edited_text(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+def compare_with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
-    Documents follow each other by descending doc_id (null ids last, equal ids
-    by text), the first follows the last. Ids are cut into ranges; every range
-    is one task that streams through its sorted documents, and the first
-    document of the next range travels along as a guest. Only range borders and
-    one id per range reach the driver.
+    Documents follow each other by descending doc_id (null ids last), the first
+    follows the last; rows with equal ids stand in an order given by their texts.
+    The table is dealt into ranges of about ``range_chars`` characters in that
+    order (an id that fills ranges alone is spread over several); a task streams
+    through the sorted documents of its ranges, and the first document of the next
+    range travels along as a guest. One row per range reaches the driver.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    probs = [k / n for k in range(1, n)]
-    borders = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", probs, 0.25 / n))) if n > 1 else []
+    rows, n = dealt(docs, range_chars)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # Ranges count up with the ids, null ids being the last ranges.
+    heads = rows.groupBy("shard").agg(F.max(F.struct("doc_id", "hash")).alias("h"), F.first("no_id").alias("no_id")).collect()
+    order = [r["shard"] for r in sorted(heads, key=lambda r: (r["no_id"], -r["shard"]))]
+    head = {r["shard"]: (r["h"]["doc_id"], r["h"]["hash"]) for r in heads}
+    host = {k: order[i - 1] for i, k in enumerate(order)}  # takes k's first document as guest
 
     @F.pandas_udf("int")
-    def range_of(i: pd.Series) -> pd.Series:
-        return i.map(lambda x: 0 if pd.isna(x) else bisect_left(borders, x)).astype("int32")
-
-    # Largest id of every range (null for a range of null ids only).
-    tops = {r["k"]: r["top"] for r in ids.select(range_of("doc_id").alias("k"), "doc_id").groupBy("k")
-            .agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    host = {tops[k]: order[i - 1] for i, k in enumerate(order)}  # the range before k takes k's first as guest
-
-    @F.pandas_udf("array<int>")
-    def places(i: pd.Series) -> pd.Series:
-        out = []
-        for x in i:
-            x = None if pd.isna(x) else int(x)
-            own = 0 if x is None else bisect_left(borders, x)
-            out.append([2 * own] + ([2 * host[x] + 1] if x in host else []))
-        return pd.Series(out)
-
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), safe_text().alias("text"))
-            .select(F.explode(places("doc_id")).alias("place"), "doc_id", "text")
-            .select(F.floor(F.col("place") / 2).cast("int").alias("k"), (F.col("place") % 2 == 1).alias("guest"), "doc_id", "text"))
-    rows = rows.repartition(n, "k").sortWithinPartitions("k", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    def guest_of(shard: pd.Series, doc_id: pd.Series, hash_: pd.Series) -> pd.Series:
+        return pd.Series([host[k] if head[k] == (i, h) else -1 for k, i, h in zip(shard.tolist(), doc_id.tolist(), hash_.tolist())], dtype="int32")
+
+    rows = rows.withColumn("host", guest_of("shard", "doc_id", "hash"))
+    places = F.expr("array_compact(array(named_struct('k', shard, 'guest', false), if(host >= 0, named_struct('k', host, 'guest', true), null)))")
+    rows = rows.select(F.inline(places), "doc_id", "no_id", "hash", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
+    rows = (rows.repartition(parts, "k").sortWithinPartitions("k", "guest", F.col("doc_id").desc(), F.col("hash").desc(), "text")
+            .select("k", "guest", "doc_id", "no_id", "text"))
 
     def task(batches):
         held = None  # (k, doc_id, text, fingerprint)
 
-        def pair(doc, text, mine, other, theirs):
+        def pair(text, mine, other, theirs):
             edited = edited_text(text, other)
             fp = fingerprint(edited)
-            return (doc, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mine, fp,
+            return (len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mine, fp,
                     likeness(mine, fp), likeness(mine, theirs))
 
-        cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        cols = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         for pdf in batches:
-            out = []
-            for k, guest, doc, text in zip(pdf["k"], pdf["guest"], pdf["doc_id"], pdf["text"]):
+            ids, out = [], []
+            for k, guest, doc, text in zip(pdf["k"].tolist(), pdf["guest"].tolist(), ids_of(pdf), pdf["text"].tolist()):
                 if guest and (held is None or held[0] != k):
                     continue  # only the first guest of a range counts
                 fp = fingerprint(text)
                 if held is not None and held[0] == k:
-                    out.append(pair(held[1], held[2], held[3], text, fp))
-                held = None if guest else (k, None if pd.isna(doc) else int(doc), text, fp)
+                    ids.append(held[1])
+                    out.append(pair(held[2], held[3], text, fp))
+                held = None if guest else (k, doc, text, fp)
             if out:
                 frame = pd.DataFrame(out, columns=cols)
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                frame.insert(0, "doc_id", id_column(ids))
                 yield frame
 
     return rows.mapInPandas(task, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "

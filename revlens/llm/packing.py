@@ -11,11 +11,13 @@ other document stays whole. Pieces are packed by best-two-fit:
   the tightest pair first; this repeats while it helps.
 
 Packing runs inside each scan task over a pool of unpacked pieces that is
-refilled as sequences are closed, so neither text nor ids are shuffled, memory
-is bounded by the pool, and a lost task packs its own split again. Only when a
-split ends are pieces packed from a shrinking pool; that costs about one
-sequence per task. Lengths present in the pool are one bit set, so finding a
-fitting piece or pair is a few integer operations.
+refilled as sequences are closed, so memory is bounded by the pool and a lost
+task packs its own split again. Only when a split ends are pieces packed from a
+shrinking pool; the sequences that stay underfilled then (less than ``FULL`` of
+their length) are written apart and packed again together, in as many tasks as
+they fill pools, so a table in many small parts loses no sequence per part. Only
+their pieces are shuffled. Lengths present in the pool are one bit set, so finding
+a fitting piece or pair is a few integer operations.
 
 Defined results: a null or empty text is a document of the end id alone;
 repeated rows are packed one by one; an empty table gives no rows; a null
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, safe_text
+from .common import bound_batches, exact_ids, id_column, ids_of, release, safe_text, staged
 from .tokens import encoder, runs, vocabulary_path
 
 END_ID = 2
@@ -41,7 +43,30 @@ VOCABULARY = "byte_bpe_50k.json"
 # Unpacked pieces kept at hand: sequences are closed above POOL_HIGH pieces
 # until POOL_LOW are left.
 POOL_HIGH, POOL_LOW = 6000, 4000
+FULL = 0.98
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+# Sequence ids of the second packing are above those of any scan task.
+SECOND = 1 << 62
+
+
+class _Rows:
+    """Result rows of a task; sequences get consecutive ids from ``first``."""
+
+    def __init__(self, first: int):
+        self.sequence, self.rows = first, []
+
+    def emit(self, found, tail: bool = False) -> None:
+        at = 0
+        for n, (doc, piece, start, ids) in found:
+            self.rows.append((doc, piece, start, n, ids, self.sequence, at, tail))
+            at += n
+        self.sequence += 1
+
+    def frame(self) -> pd.DataFrame:
+        out = pd.DataFrame(self.rows, columns=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset", "tail"])
+        out["doc_id"] = id_column([r[0] for r in self.rows])
+        self.rows.clear()
+        return out
 
 
 class BestTwoFit:
@@ -114,56 +139,59 @@ def cut_points(n: int, length: int = LENGTH) -> list[int]:
     return [0, *range(first, n, length)]
 
 
+def _again(batches, length: int):
+    """Packs the pieces of underfilled sequences anew."""
+    ctx = TaskContext.get()
+    out, pool = _Rows(SECOND + ((ctx.partitionId() if ctx else 0) << 33)), BestTwoFit(length)
+    for pdf in batches:
+        for doc, piece, start, n, ids in zip(ids_of(pdf), *(pdf[c].tolist() for c in ("piece", "start", "length", "ids"))):
+            pool.add(n, (doc, piece, start, ids))
+        if pool.size > POOL_HIGH:
+            for found in pool.close(POOL_LOW):
+                out.emit(found)
+            yield out.frame().drop(columns="tail")
+    for found in pool.close(0):
+        out.emit(found)
+    yield out.frame().drop(columns="tail")
+
+
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian
-    unsigned 32-bit), sequence_id, offset. ``docs`` should be a table scan or
-    another input whose row order does not change between task attempts."""
+    unsigned 32-bit), sequence_id, offset. The first packing is written."""
     bound_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path(VOCABULARY)
 
     def task(batches):
         enc = encoder(path, keep_space=True)
         ctx = TaskContext.get()
-        sequence = (ctx.partitionId() if ctx else 0) << 33
-        pool = BestTwoFit(length)
-        rows: list[tuple] = []
-
-        def emit(found):
-            nonlocal sequence
-            at = 0
-            for n, (doc, piece, start, ids) in found:
-                rows.append((doc, piece, start, n, ids, sequence, at))
-                at += n
-            sequence += 1
-
-        def frame():
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            rows.clear()
-            return out
-
+        out, pool = _Rows((ctx.partitionId() if ctx else 0) << 33), BestTwoFit(length)
         for pdf in batches:
-            docs_, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            docs_, texts = ids_of(pdf), pdf["text"].tolist()
             for run in runs(texts):
                 for i, ids in zip(run, enc.encode([texts[j] for j in run])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     blob, n = ids.tobytes(), len(ids)
                     starts = cut_points(n, length)
-                    doc = None if pd.isna(docs_[i]) else int(docs_[i])
                     for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
-                        item = (doc, k, a, blob[4 * a:4 * b])
+                        item = (docs_[i], k, a, blob[4 * a:4 * b])
                         if b - a == length:
-                            emit([(length, item)])
+                            out.emit([(length, item)])
                         else:
                             pool.add(b - a, item)
                 if pool.size > POOL_HIGH:
                     for found in pool.close(POOL_LOW):
-                        emit(found)
-                if rows:
-                    yield frame()
+                        out.emit(found)
+                if out.rows:
+                    yield out.frame()
         for found in pool.close(0):
-            emit(found)
-        yield frame()
+            out.emit(found, sum(n for n, _ in found) < FULL * length)
+        yield out.frame()
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), safe_text().alias("text")).mapInPandas(task, SCHEMA)
+    first = staged(docs.select(*exact_ids(), safe_text().alias("text")).mapInPandas(task, SCHEMA + ", tail boolean"), "packing")
+    tail = first.where("tail")
+    tasks = max(1, tail.count() // POOL_HIGH)
+    second = (tail.select(*exact_ids(), "piece", "start", "length", "ids")
+              .repartition(tasks, F.xxhash64("ids", "doc_id")).sortWithinPartitions("doc_id", "piece", "start", "ids")
+              .mapInPandas(lambda batches: _again(batches, length), SCHEMA))
+    return first.where("not tail").drop("tail").unionByName(second)

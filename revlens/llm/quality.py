@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, mix, release, safe_text, slices, utf8, word_hashes
+from .common import bound_batches, held_out, mix, release, safe_text, slices, staged, utf8, word_hashes
 
 # Documented bound of the training sample, per class. Which labelled rows enter
 # depends on a hash of doc_id only.
@@ -177,12 +177,15 @@ def _load(blob: bytes) -> dict:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[DataFrame, float | None]:
-    """At most ``max_rows`` labelled, not held-out documents of each class, by
-    a hash of doc_id, as (doc_id, text, y); and the share of label 1 among all
-    usable labels (None if a class is missing)."""
+    """At most ``max_rows`` labelled, not held-out documents of ``docs`` of each
+    class, by a hash of doc_id, as (doc_id, text, y); and the share of label 1
+    among all usable labels of ``docs`` (None if a class is missing). Labels of
+    documents that are not in ``docs`` take no part."""
     lab = (labels.select("doc_id", F.col(label).cast("int").alias("y"))
            .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
            .groupBy("doc_id").agg(F.min("y").alias("y")))
+    # Narrow rows, read three times below.
+    lab = staged(lab.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
     row = lab.agg(F.count("y").alias("n"), F.sum("y").alias("ones")).first()
     n, ones = row["n"], row["ones"] or 0
     if not n or ones in (0, n):

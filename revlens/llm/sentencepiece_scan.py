@@ -293,19 +293,18 @@ def encode(docs: DataFrame, model_path: str | None = None, giant: int = GIANT, c
     def split(batches):
         m = model(path)
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                # A name of its own for the row: ids may repeat or be null.
-                key = hash_of(text) + ("" if pd.isna(doc) else str(doc))
+            for key, text in zip(pdf["key"], pdf["text"]):
                 for k, t, a, b in chunks(m, m.sp.normalize(text), chunk):
-                    yield pd.DataFrame({"key": [key], "doc_id": pd.array([None if pd.isna(doc) else int(doc)], "Int64"),
-                                        "k": [k], "part": [t], "a": [a], "b": [b]})
+                    yield pd.DataFrame({"key": [key], "k": [k], "part": [t], "a": [a], "b": [b]})
 
     # Repeated rows have equal ids: each distinct (doc_id, text) is scanned once
     # and comes back as often as it occurs.
-    large = large.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    # The row's key is made once and travels with it; ids stay on this side.
+    key = F.concat(F.md5("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    large = large.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", key)
     large = staged(large, "giant-texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = staged(large.select("doc_id", "text").mapInPandas(split, "key string, doc_id long, k int, part string, a int, b int")
+    parts = staged(large.select("key", "text").mapInPandas(split, "key string, k int, part string, a int, b int")
                    .repartition(n, "key", "k"), "giant-chunks")
 
     def matrices(batches):
@@ -327,30 +326,23 @@ def encode(docs: DataFrame, model_path: str | None = None, giant: int = GIANT, c
     def trace(batches):
         m = model(path)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "doc_id": pdf["doc_id"].astype("Int64"), "k": pdf["k"], "ids": [
+            yield pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "ids": [
                 np.array(backtrace(m, *x), "<u4").tobytes()
                 for x in zip(pdf["part"], pdf["a"], pdf["b"], pdf["i"], pdf["j"])]})
 
-    traced = (parts.join(picked, ["key", "k"]).select("key", "doc_id", "k", "part", "a", "b", "i", "j")
-              .mapInPandas(trace, "key string, doc_id long, k int, ids binary"))
+    traced = (parts.join(picked, ["key", "k"]).select("key", "k", "part", "a", "b", "i", "j")
+              .mapInPandas(trace, "key string, k int, ids binary"))
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n_chunks": [len(pdf)], "ids": [b"".join(pdf["ids"])]})
 
     scanned = traced.groupBy("key").applyInPandas(together, "key string, n_chunks int, ids binary")
-    named = large.select("doc_id", "copies", F.concat(F.md5("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
-    big = (scanned.join(named, "key").withColumn("copy", F.explode(F.expr("sequence(1, int(copies))")))
+    big = (scanned.join(large.select("key", "doc_id", "copies"), "key").withColumn("copy", F.explode(F.expr("sequence(1, int(copies))")))
            .select("doc_id", "n_chunks", "ids"))
     return small.unionByName(big)
 
 
-def hash_of(text: str) -> str:
-    from hashlib import md5
-
-    return md5(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 def decode(encoded: DataFrame, model_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the ``keep`` columns and the decoded text."""
     bound_batches(encoded.sparkSession)

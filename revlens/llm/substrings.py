@@ -79,7 +79,7 @@ def window_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [h[a:a + max(k - width + 1, 0)] for a, k in zip(start.tolist(), size.tolist())]
 
 
-def _dealt(docs: DataFrame, shard_chars: int) -> tuple[DataFrame, int]:
+def dealt(docs: DataFrame, shard_chars: int) -> tuple[DataFrame, int]:
     """(shard, rank, doc_id, no_id, text) and the number of shards."""
     spark = docs.sparkSession
     rows = docs.select(*exact_ids(), safe_text().alias("text"))
@@ -270,7 +270,7 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW, shard_chars: int = SHA
     one space)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows, shards = _dealt(docs, shard_chars)
+    rows, shards = dealt(docs, shard_chars)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # As many hash ranges as shards: a range holds as many hashes as a shard.
     bits = max(shards - 1, 0).bit_length()

@@ -13,13 +13,15 @@ The bit width of a block is chosen so that a ``PERCENTILE`` share of its
 differences fits; what is larger keeps its low bits in place and its high bits
 in the exception list. The index lets a reader decode any block alone.
 
-Segments are rows of a Parquet folder (shard, segment, doc_ids, sizes, blob):
+Segments are rows of a Parquet folder (shard, segment, doc_ids, no_ids, sizes, blob;
+a null id is 0 with no_id set):
 Spark's writers commit them on any store, and a lost task writes its shard
 again. Only per-shard totals (one row per shard) are gathered to number ids
 across shards.
 
 Defined results: a null or empty text is a document of the end id alone;
-repeated doc_ids keep a place each (their order among themselves is by text);
+repeated doc_ids keep a place each (in an order by their texts' hashes, so that
+the rows of one id can fill several shards);
 null ids come first; an empty table gives no rows; a segment holds whole
 documents, so a document longer than ``SEGMENT_IDS`` makes a longer segment.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staging_path
-from .common import bound_batches, cut, release, safe_text, small_side
+from .common import bound_batches, cut, exact_ids, id_column, release, safe_text, small_side
 from .tokens import encoder, runs, vocabulary_path
 
 END_ID = 2
@@ -42,7 +44,7 @@ BLOCK = 128
 PERCENTILE = 0.95
 SEGMENT_IDS = 1 << 17
 MAGIC = b"PFB1"
-FILE_SCHEMA = "shard int, segment int, doc_ids array<bigint>, sizes array<int>, total long, blob binary"
+FILE_SCHEMA = "shard int, segment int, doc_ids array<bigint>, no_ids array<boolean>, sizes array<int>, total long, blob binary"
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -151,38 +153,40 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
         enc = encoder(vocab, keep_space=False)
         ctx = TaskContext.get()
         shard, segment = ctx.partitionId() if ctx else 0, 0
-        ids, doc_ids, sizes, held = [], [], [], 0
+        ids, doc_ids, no_ids, sizes, held = [], [], [], [], 0
+        cols = ["shard", "segment", "doc_ids", "no_ids", "sizes", "total", "blob"]
 
         def flush():
             nonlocal held, segment
             flat = np.concatenate(ids)
-            row = (shard, segment, list(doc_ids), list(sizes), held, encode_segment(flat))
+            row = (shard, segment, list(doc_ids), list(no_ids), list(sizes), held, encode_segment(flat))
             segment += 1
             held = 0
-            for x in (ids, doc_ids, sizes):
+            for x in (ids, doc_ids, no_ids, sizes):
                 x.clear()
             return row
 
         for pdf in batches:
-            docs_, texts, rows = pdf["doc_id"].tolist(), pdf["text"].tolist(), []
+            docs_, without, texts, rows = pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"].tolist(), []
             for run in runs(texts):
                 for i, got in zip(run, enc.encode([texts[j] for j in run])):
                     got = np.append(got, np.uint32(end_id))
-                    doc = None if pd.isna(docs_[i]) else int(docs_[i])
                     ids.append(got)
-                    doc_ids.append(doc)
+                    doc_ids.append(docs_[i])
+                    no_ids.append(without[i])
                     sizes.append(len(got))
                     held += len(got)
                     if held >= SEGMENT_IDS:
                         rows.append(flush())
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "segment", "doc_ids", "sizes", "total", "blob"])
+                yield pd.DataFrame(rows, columns=cols)
         if ids:
-            yield pd.DataFrame([flush()], columns=["shard", "segment", "doc_ids", "sizes", "total", "blob"])
+            yield pd.DataFrame([flush()], columns=cols)
         release()
 
-    (docs.select(F.col("doc_id").cast("long"), safe_text().alias("text"))
-     .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("no_id").desc(), "doc_id", "hash", "text"]  # null ids first
+    (docs.select(*exact_ids(), safe_text().alias("text")).withColumn("hash", F.xxhash64("text"))
+     .repartitionByRange(n, *order[:3]).sortWithinPartitions(*order).select("doc_id", "no_id", "text")
      .mapInPandas(task, FILE_SCHEMA).write.parquet(path))
     return path
 
@@ -203,14 +207,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def task(batches):
         for pdf in batches:
-            for base, docs_, sizes, blob in zip(pdf["base"], pdf["doc_ids"], pdf["sizes"], pdf["blob"]):
+            for base, docs_, without, sizes, blob in zip(pdf["base"], pdf["doc_ids"], pdf["no_ids"], pdf["sizes"], pdf["blob"]):
                 flat = decode_segment(blob).astype("<u4").tobytes()
                 n = np.asarray(sizes, np.int64)
                 end = np.cumsum(n)
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs_], "Int64"),
+                    "doc_id": id_column([None if no else int(d) for d, no in zip(docs_, without)]),
                     "start": int(base) + end - n, "n_tokens": n,
                     "ids": [flat[4 * a:4 * b] for a, b in zip((end - n).tolist(), end.tolist())]})
 
-    return placed.select("base", "doc_ids", "sizes", "blob").mapInPandas(
+    return placed.select("base", "doc_ids", "no_ids", "sizes", "blob").mapInPandas(
         task, "doc_id bigint, start long, n_tokens long, ids binary")

@@ -19,7 +19,11 @@ the ordinary windows, each in a task of its own, and their statistics are used
 together.
 
 Training reads a bounded sample of labelled rows (``MAX_TRAIN_ROWS`` per class,
-chosen by a hash of doc_id). Scoring compresses every window of every text.
+chosen by a hash of doc_id among the labelled rows of the table at hand). Members
+and logistic layer are fitted on the same rows: layers calibrated on rows that the
+members had not seen kept fewer toxic documents out (README). A dictionary is
+trained on at most ``MAX_WINDOWS`` ordinary windows, and on none below 8 bytes (the
+library takes no shorter samples). Scoring compresses every window of every text.
 
 Defined results: a null or empty text gets the calibrated score of a text in
 which nothing stands out; without usable labels of both kinds every score is
@@ -54,6 +58,8 @@ LOW, HIGH = -10, 14
 # Ordinary documents whose windows are compared in training (a part of the
 # sample; the rest only feeds the dictionaries).
 CONTRAST_DOCS = 1500
+# Ordinary windows that one dictionary is trained on, drawn from the sample.
+MAX_WINDOWS = 80_000
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -129,9 +135,9 @@ def train_member(toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: in
     order = rng.permutation(len(plain))
     half = [plain[i] for i in order[:len(order) // 2]]
     rest = [plain[i] for i in order[len(order) // 2:]]
-    base = _dictionary(half[:80000], BASE_BYTES)
+    base = _dictionary(half[:MAX_WINDOWS], BASE_BYTES)
     contrast = [ordinary[i] for i in rng.permutation(len(ordinary))[:CONTRAST_DOCS]]
-    theirs = rest[:80000]
+    theirs = rest[:MAX_WINDOWS]
     table = np.zeros(HIGH - LOW + 1)
     front_t = front_o = b""
     for size in ROUNDS:
@@ -203,9 +209,9 @@ def probability(cal: dict, stats: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
-    """Members are trained side by side, one task each, on three quarters of
-    the bounded sample; the logistic layer is calibrated on all of it, one task
-    per part of the sample. None without labels of both kinds."""
+    """Members are trained side by side, one task each, on the bounded sample;
+    the logistic layer is calibrated on the same rows, in tasks that share them.
+    None without labels of both kinds."""
     sample, base = labelled_sample(docs, labels, label, max_rows)
     if base is None:
         return None

@@ -41,6 +41,18 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, score double, kept boolean, n int, label string")
 
 
+@pytest.fixture(scope="session")
+def mixed(spark):
+    """Ids that floats can't hold beside nulls, ids that repeat with other texts,
+    and giant texts, all in one partition and so in one batch."""
+    big = 2**53
+    giant = " ".join(f"word{k % 97} and{k}" for k in range(6000))
+    rows = [(big + 1, "one two three four five six"), (None, "nobody's text"), (big + 3, "one two three four five six"), (1, giant),
+            (None, giant), (3, giant + " end"), (4, "short"), (big + 1, giant), (big + 1, "another text of the same id"), (None, None),
+            (-big - 1, "below"), (-big - 3, ""), (4, "short"), (4, "three four five six seven eight")]
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.limit(0)

@@ -42,6 +42,22 @@ def test_toxicity_trains_five_pairs(spark, documents, labels):
     assert len(model["members"]) == 5 and len(model["w"]) == 5 * 6 + 1
 
 
+def test_labels_of_absent_documents_take_no_part(spark, documents, labels):
+    """A stage before may have removed documents: the sample and the class share
+    come from what is left, so removed positives don't silence the classifier."""
+    lab = labels.where("toxic in (0, 1)")
+    first = (lab.where("toxic = 1").select("doc_id", F.xxhash64("doc_id").alias("h")).join(documents.select("doc_id"), "doc_id")
+             .orderBy("h").limit(3).select("doc_id"))
+    left = documents.join(first, "doc_id", "left_anti")
+    sample, share = quality.labelled_sample(left, lab, "toxic", 3)
+    got = sample.collect()
+    assert {r.y for r in got} == {0, 1} and sum(r.y for r in got) == 3
+    usable = left.join(lab, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    assert share == pytest.approx(usable.agg(F.avg("toxic")).first()[0])
+    ids = {r.doc_id for r in left.select("doc_id").collect()}
+    assert {r.doc_id for r in got} <= ids
+
+
 def test_held_out_labels_are_not_used(spark, documents, labels):
     """Flipping held-out labels changes nothing."""
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality"))

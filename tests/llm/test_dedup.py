@@ -44,6 +44,25 @@ def test_drop_copies_keeps_one_row(odd):
     assert len(kept) == len(set(kept)) == len({norm(r.text) for r in odd.select("text").collect()})
 
 
+@pytest.mark.parametrize("bound", [0, 40])
+def test_exact_dedup_above_the_broadcast_bound(odd, documents, texts, monkeypatch, bound):
+    """Lists too long to broadcast: same result, and no text in any exchange."""
+    from revlens.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+    groups = collections.defaultdict(list)
+    for i, t in texts.items():
+        groups[norm(t)].append(i)
+    out = E.exact_dedup(documents)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in out.collect()} == {(i, min(g), len(g)) for g in groups.values() for i in g}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "norm" not in plan  # only written keys and digests are joined
+    assert E.exact_dedup(odd).count() == odd.count()
+    kept = [norm(r.text) for r in E.drop_copies(odd).collect()]
+    assert len(kept) == len(set(kept)) == len({norm(r.text) for r in odd.select("text").collect()})
+    assert {r.doc_id for r in E.drop_copies(documents).collect()} == {min(g) for g in groups.values()}
+
+
 def test_survivors_only_are_hashed(spark):
     """Rows that share length but not prefix are settled without a digest."""
     df = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "abcd"), (4, "abc")], "doc_id long, text string")
@@ -121,6 +140,40 @@ def test_near_dedup_odd_rows(odd, none):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 9, 10, 11, 12]
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "red green blue cyan pink gray teal")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (2**53 + 1, c), (None, a), (5, ""), (2**53 + 1, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = H.near_dedup(df).collect()
+    # 5 has the texts of 3 and of 7: one component.
+    assert sorted(((r.doc_id, r.component_id) for r in out if r.doc_id and r.n_shingles)) == [
+        (3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (2**53 + 1, 9), (2**53 + 1, 9)]
+    left = sorted((str(r.doc_id), r.text) for r in H.drop_near_copies(df).collect())
+    # Texts are dropped only where another one stays.
+    assert left == sorted([("3", a), ("5", b), ("5", ""), ("9", c), ("None", a)])
+    assert sorted(r.text for r in H.drop_near_copies(spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")).collect()) == [a, b]
+
+
+def test_groups_are_bounded_by_shingles(spark, clustered, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK_SHINGLES", 800)
+    rule = H.Rule(3, 85, 5)
+    out = H.near_dedup(spark.createDataFrame(clustered, "doc_id long, text string"), rule).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute(clustered, 3, 85)
+
+
+def test_no_link_is_left_to_the_estimate(monkeypatch):
+    """Pairs at the threshold are confirmed whatever their registers say."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pool = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    a, b = pool[:90], np.concatenate([pool[:85], pool[200:205]])  # 85 of 95 and more
+    sets = [np.sort(a), np.sort(b)]
+    regs = np.array([H.registers(s) for s in sets])
+    monkeypatch.setattr(H, "estimate", lambda x, y: np.zeros((len(x), len(y)), np.float32))
+    assert H.links_within(sets, regs, 85) == [(0, 1)] and H.links_within(sets, regs, 90) == []
+
+
 def test_intersections_and_registers():
     import numpy as np
 
@@ -138,9 +191,9 @@ def test_intersections_and_registers():
     assert abs(est - 3000 / 4000) < 0.15
 
 
-@pytest.mark.parametrize("gather", [0, 500_000])
-def test_components_of_chain_and_star(spark, monkeypatch, gather):
-    monkeypatch.setattr(C, "GATHER_LINKS", gather)
+@pytest.mark.parametrize("per_task", [7, 50_000])
+def test_components_of_chain_and_star(spark, monkeypatch, per_task):
+    monkeypatch.setattr(C, "LINKS_PER_TASK", per_task)
     links = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = {r.node: r.root for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(31)} | {100 + k: 100 for k in range(40)}

@@ -59,5 +59,5 @@ def test_packing_stage(stages):
 def test_registered():
     q = __spark_entry__.queries()
     names = [n for n in q if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert q["pipeline"] is P.run

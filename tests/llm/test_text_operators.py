@@ -31,8 +31,8 @@ def test_format_conversations(spark):
     text = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", text, 1), (-7, 1, "assistant", text, 1), (1, 2, "assistant", "second", 1), (1, 1, "assistant", None, 1),
             (1, 0, "system", "sys ###", 1), (1, None, "user", "early", 1), (2, 0, None, "x", 1), (2, 0, "tool: a", "y", 1),
-            (2, 0, "tool: a", "y", 1), (None, 0, "assistant", "nobody", 1), (3, 0, "assistant", "w " * 30_000, 1)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")
+            (2, 0, "tool: a", "y", 1), (None, 0, "assistant", "nobody", 1), (2**53 + 1, 0, "user", "big", 1), (2**53 + 3, 0, "user", "big", 1), (3, 0, "assistant", "w " * 30_000, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int").coalesce(1)
     out = {r.conv_id: r for r in chat.digests(chat.format_conversations(df)).collect()}
     groups = collections.defaultdict(list)
     for c, t, role, x, _ in rows:
@@ -53,8 +53,9 @@ def test_token_masks_cover_assistant_texts(spark):
     from tokenizers import Tokenizer
 
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "there ### x")], "conv_id long, turn long, role string, text string")
-    r = chat.format_conversations(df).first()
-    ids, mask = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.loss_mask, np.uint8)
+    rows = sorted(chat.format_conversations(df).collect(), key=lambda r: r.n)
+    assert [(r.char_start, r.token_start) for r in rows] == [(0, 0), (len(rows[0].formatted), len(rows[0].ids) // 4)]
+    ids, mask = np.frombuffer(b"".join(r.ids for r in rows), "<u4"), np.frombuffer(b"".join(r.loss_mask for r in rows), np.uint8)
     t = Tokenizer.from_file(vocabulary_path(chat.VOCABULARY))
     assert ids[mask == 1].tolist() == t.encode(chat.escape("there ### x"), add_special_tokens=False).ids
     assert (ids >= chat.FIRST_RESERVED).sum() == 4 and len(ids) == len(mask)
@@ -72,22 +73,25 @@ def test_fingerprints_follow_the_text():
     assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint(None)) == 1
 
 
-def expected_neighbours(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    for k, (i, t) in enumerate(order):
-        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+def expected_neighbours(df, range_chars):
+    """Rows of one id stand by range and by the hash of their text, downwards."""
+    rows = [(r.doc_id, r.text, r.shard, r.hash, r.no_id) for r in
+            merkle.dealt(df, range_chars)[0].withColumn("hash", F.xxhash64("text")).collect()]
+    order = sorted(rows, key=lambda r: (r[4], -r[0], -r[2], -r[3]))
+    for k, (i, t, _, _, no) in enumerate(order):
+        i, nxt = None if no else i, order[(k + 1) % len(order)][1]
         edited = t[:len(t) - len(t) // 2] + nxt[:len(t) // 2]
         f, g = merkle.fingerprint(t), merkle.fingerprint(edited)
         yield (str(i), len(t), sha(edited), f, g, merkle.likeness(f, g), merkle.likeness(f, merkle.fingerprint(nxt)))
 
 
-@pytest.mark.parametrize("partitions", [1, 4])
-def test_compare_with_next(documents, odd, none, texts, partitions):
-    for df in (documents, odd, odd.where("doc_id = 7")):
-        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        got = sorted((str(r.doc_id), *r[1:]) for r in merkle.compare_with_next(df, partitions).collect())
-        assert got == sorted(expected_neighbours(rows))
-    assert merkle.compare_with_next(none, partitions).count() == 0
+@pytest.mark.parametrize("range_chars", [8_000_000, 20_000])
+def test_compare_with_next(spark, documents, odd, mixed, none, texts, range_chars):
+    one_id = spark.createDataFrame([(5, f"text {k} " * (k % 40)) for k in range(300)] + [(2, "two"), (9, "nine")], "doc_id long, text string")
+    for df in (documents, odd, mixed, one_id, odd.where("doc_id = 7")):
+        got = sorted((str(r.doc_id), *r[1:]) for r in merkle.compare_with_next(df, range_chars).collect())
+        assert len(got) == df.count() and got == sorted(expected_neighbours(df, range_chars))
+    assert merkle.compare_with_next(none, range_chars).count() == 0
 
 
 def words(t):

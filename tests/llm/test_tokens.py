@@ -141,6 +141,42 @@ def test_token_files_odd_rows(spark, odd, none, monkeypatch):
     assert token_files.read(spark, token_files.write(none)).count() == 0
 
 
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:])))
+
+
+def test_ids_stay_exact(spark, mixed):
+    """Nulls beside ids above 2**53 in one batch: every row comes back once, as it was."""
+    rows = [(r.doc_id, r.text) for r in mixed.collect()]
+    lib = library("byte_bpe_50k.json")
+    check_packing(packing.pack(mixed, length=64).collect(), rows, lib, 64)
+    lib = library("word_bpe_49k.json")
+    back = token_files.read(spark, token_files.write(mixed, partitions=3)).collect()
+    assert by_id((r.doc_id, bytes(r.ids)) for r in back) == by_id((i, np.array(lib(t) + [2], "<u4").tobytes()) for i, t in rows)
+    at = 0
+    order = sorted(back, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    for r in order:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_scan_keeps_every_row(pieces, mixed):
+    rows = [(r.doc_id, r.text) for r in mixed.collect()]
+    got = sentencepiece_scan.encode(mixed, chunk=4096).collect()
+    assert by_id((r.doc_id, bytes(r.ids)) for r in got) == by_id((i, np.array(pieces.sp.encode(t or ""), "<u4").tobytes()) for i, t in rows)
+    assert sum(r.n_chunks > 1 for r in got) == 4
+
+
+def test_packing_many_small_parts(spark, documents):
+    """Tails of many tasks are packed together: close to the lower bound."""
+    lib = library("byte_bpe_50k.json")
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(120)
+    n, total = check_packing(packing.pack(df).collect(), rows, lib, 1024)
+    assert n <= -(-total // 1024) * 1.01 + 2
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return sentencepiece_scan.Model(vocabulary_path(sentencepiece_scan.MODEL))
