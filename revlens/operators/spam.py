@@ -23,21 +23,27 @@ all n(n-1)/2 pairs; we never materialise those pairs. Instead:
   P[min h(A) = min h(B)] = J(A,B), so the mean over pairs equals
   E_h[Σ_buckets C(c,2)] / C(n,2) where buckets group the batch by min-hash.
   K hashes ``(a_k·x + b_k) mod (2^31-1)`` over a 32-bit md5 prefix of the
-  token; per distinct set one aggregate computes all K minima, per batch one
-  count per (k, min-hash) bucket. Every hash gives one unbiased estimate of the
-  batch mean; all pairs share the hashes, so the error of the mean does not
-  shrink with the batch, only with K. It is measured and reported as
-  ``jaccard_se``, the standard deviation over the hashes divided by sqrt(K).
-
-All rungs work on the batch's *distinct* token sets with their multiplicities,
-which are written once: the text is tokenised once, and copies -- what a spam
-batch consists of -- cost nothing beyond the first grouping.
-
-The gate decision is exact whenever a rung decides it (TTR above the
-threshold; a rounded lower bound >= 0.8; a rounded upper bound < 0.8) and
-falls back to the estimate (``OPEN_HASHES`` hashes, clamped into the tightest
-[L, U]) only in between. ``decided_by`` names the rung; ``undecided`` marks
-estimated batches whose interval of two standard errors holds the threshold.
+  token. A review's K minima come from its own token array in one pass, so
+  nothing is exploded or shuffled for them; they are counted in ``CELLS`` cells
+  per hash (chance meetings of different minima in a cell are subtracted), so a
+  batch sends at most K * CELLS counters per task however many reviews it has.
+  Every hash gives one unbiased estimate of the batch mean; all pairs share the
+  hashes, so the error of the mean does not shrink with the batch, only with K.
+  It is measured and reported as ``jaccard_se``, the standard deviation over the
+  hashes divided by sqrt(K).
+
+The first three rungs read one narrow row per distinct token set and batch (a
+digest, its size, its multiplicity); token sets are never shuffled. Texts of the
+batches still open then are tokenised again.
+
+The gate decision is exact whenever a rung decides it (TTR above the threshold; a
+rounded lower bound >= 0.8; a rounded upper bound < 0.8). What is left goes
+through a sequential test (:func:`sequential_estimate`): a look adds a family of
+``FAMILY`` independent hashes for the batches still open and settles those whose
+interval no longer holds the threshold; the admitted error ``ALPHA`` is spent in
+equal parts over the ``LOOKS`` looks. ``decided_by`` names the rung; a batch that
+the last look leaves open is ``undecided``; ``n_hashes`` and ``error`` (bound of the
+probability that the verdict is wrong; 0 for exact rungs) are reported.
 
 Exclusion of flagged batches (JON-6) is an anti join whose broadcast side is
 materialised and measured first (see :func:`drop_spam_batches`).
@@ -46,7 +52,10 @@ materialised and measured first (see :func:`drop_spam_batches`).
 from __future__ import annotations
 
 import random
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +65,15 @@ from ..session import materialize, staging_path
 
 MERSENNE_31 = (1 << 31) - 1
 DEFAULT_NUM_HASHES = 64
-# Hashes computed by one aggregate.
+# Hashes that one look of the sequential test adds, looks, and the probability
+# of a wrong verdict that all looks together may spend.
 FAMILY = 64
-# Hashes for batches that only an estimate can decide.
-OPEN_HASHES = 256
+LOOKS = 8
+ALPHA = 0.01
+# Cells that the minima of one hash are counted in.
+CELLS = 4096
+# Token hashes that are put through the hashes together.
+CHUNK = 1 << 18
 HASH_SEED = 20240607
 
 
@@ -83,13 +97,21 @@ def review_token_stats(reviews: DataFrame, text_col: str = "reviews", keys=("bat
                         .otherwise(F.lit(0.0))))
 
 
+def _set_key():
+    return F.md5(F.array_join(F.array_sort("token_set"), " "))
+
+
+def set_keys(stats: DataFrame, batch: str = "batch") -> DataFrame:
+    """Reviews grouped by identical token set, the sets themselves left out:
+    ``batch, _set`` (md5 of the sorted set), ``n_distinct, m`` (how many reviews
+    share the set) and ``ttr_sum``. The bounds need no more."""
+    return (stats.select(batch, _set_key().alias("_set"), "n_distinct", "ttr").groupBy(batch, "_set", "n_distinct")
+            .agg(F.count(F.lit(1)).alias("m"), F.sum("ttr").alias("ttr_sum")))
+
+
 def set_groups(stats: DataFrame, batch: str = "batch") -> DataFrame:
-    """Reviews grouped by identical token set: ``batch, _set, n_distinct,
-    token_set, m`` (how many reviews share the set) and ``ttr_sum``. Sets are
-    keyed by an md5 digest of the sorted set. Everything the gate needs is
-    derived from these rows."""
-    key = F.md5(F.array_join(F.array_sort("token_set"), " "))
-    return (stats.groupBy(batch, key.alias("_set"), "n_distinct")
+    """:func:`set_keys` with the ``token_set`` of every group."""
+    return (stats.groupBy(batch, _set_key().alias("_set"), "n_distinct")
             .agg(F.first("token_set").alias("token_set"), F.count(F.lit(1)).alias("m"), F.sum("ttr").alias("ttr_sum")))
 
 
@@ -146,7 +168,7 @@ def batch_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
     token count), never over its reviews. (Empty sets are zeroed by a
     condition, not a filter: Catalyst would push a filter on the derived size,
     with the whole tokenisation, below the input exchange.)"""
-    return bounds_from_sets(set_groups(stats, batch), batch)
+    return bounds_from_sets(set_keys(stats, batch), batch)
 
 
 def bounds_from_sets(sets: DataFrame, batch: str = "batch") -> DataFrame:
@@ -221,43 +243,66 @@ def pair_bounds(stats: DataFrame, batch: str = "batch") -> DataFrame:
                       F.when(pairs > 0, F.col("hi_num") / pairs).otherwise(F.lit(0.0)).alias("pair_hi"))
 
 
-def minhash_signatures(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:
-    """Per token set: ``m`` and ``mh_0 .. mh_{K-1}``, the min-hashes of its
-    tokens (empty sets produce no row). A set's postings lie in one partition,
-    so the partial aggregate leaves one row per set for the exchange."""
-    # Hashes come in families of FAMILY: one expression per member (a, b and
-    # x < 2^31, so the product fits a BIGINT) whatever their number, and one row
-    # per set and family. Hash k is member k % FAMILY of family k // FAMILY.
-    params = hash_params(num_hashes)
-    groups = [params[k:k + FAMILY] for k in range(0, num_hashes, FAMILY)]
-    width = len(groups[0])
-    if any(len(g) != width for g in groups):
-        raise ValueError(f"more than {FAMILY} hashes must be a multiple of it")
-    post = _postings(stats, batch).select(batch, "_set", "m", (token_hash32("tok") % F.lit(MERSENNE_31)).alias("x"))
-    if len(groups) == 1:
-        post = post.withColumn("family", F.lit(0))
-    else:
-        post = post.withColumn("family", F.explode(F.array(*[F.lit(f) for f in range(len(groups))])))
-
-    def pick(i: int, c: int) -> str:
-        if len(groups) == 1:
-            return str(groups[0][i][c])
-        return "CASE family " + " ".join(f"WHEN {f} THEN {g[i][c]}L" for f, g in enumerate(groups)) + " END"
-
-    aggs = [F.expr(f"min((({pick(i, 0)}) * x + ({pick(i, 1)})) % {MERSENNE_31})").alias(f"mh_{i}") for i in range(width)]
-    return post.groupBy(batch, "_set", "family").agg(F.first("m").alias("m"), *aggs)
+def minhash_cells(first: int, count: int):
+    """Column function: an array of token hashes (below 2^31 - 1) to the cells of
+    its minima under hashes ``first .. first + count - 1``; NULL for an empty set."""
+    params = hash_params(first + count)[first:]
+    p, n_cells, chunk = MERSENNE_31, CELLS, CHUNK
+
+    @F.pandas_udf("array<int>")
+    def cells(hashes: pd.Series) -> pd.Series:
+        out: list = [None] * len(hashes)
+        some, held = [], 0
+
+        def flush():
+            starts = np.cumsum([0] + [len(x) for _, x in some[:-1]])
+            flat = np.concatenate([x for _, x in some]).astype(np.int64)
+            # a, b and x are below 2^31, so the product fits 64 bits.
+            least = np.stack([np.minimum.reduceat((a * flat + b) % p, starts) for a, b in params], 1) % n_cells
+            for (i, _), row in zip(some, least.astype(np.int32)):
+                out[i] = row
+            some.clear()
+
+        for i, x in enumerate(hashes):
+            if x is not None and len(x):
+                some.append((i, x))
+                held += len(x)
+                if held >= chunk:
+                    flush()
+                    held = 0
+        if some:
+            flush()
+        return pd.Series(out, dtype=object)
+
+    return cells
+
+
+def _per_hash(stats: DataFrame, first: int, count: int, batch: str) -> DataFrame:
+    """Per batch and hash ``k``: ``coll``, the pairs whose min-hash agrees. Each
+    partition counts its cells before the exchange. Of pairs with other minima
+    one in CELLS meets by chance; with c reviews in a cell and h in all,
+    (Σ C(c,2) - C(h,2) / CELLS) / (1 - 1 / CELLS) is free of them."""
+    hashes = F.transform("token_set", lambda t: token_hash32(t) % F.lit(MERSENNE_31))
+    rows = _weighted(stats).select(batch, "m", hashes.alias("x")).select(batch, "m", minhash_cells(first, count)("x").alias("cells"))
+    # explode_outer and a filter above it: see _postings
+    stacked = (rows.select(batch, "m", F.posexplode_outer("cells").alias("i", "cell")).where(F.col("i").isNotNull())
+               .withColumn("k", F.col("i") + F.lit(first)))
+    met = (stacked.groupBy(batch, "k", "cell").agg(F.sum("m").alias("c"))
+           .groupBy(batch, "k").agg(F.sum(_pairs("c")).alias("met"), F.sum("c").alias("held")))
+    chance = F.lit(1.0 / CELLS)
+    return met.select(batch, "k", ((F.col("met") - _pairs("held") * chance) / (F.lit(1.0) - chance)).alias("coll"))
+
+
+def _mean_over_hashes(n: DataFrame, per: DataFrame, num_hashes: int, batch: str, *keep: str) -> DataFrame:
+    """``batch, n, keep, jaccard_est, jaccard_se`` from the pairs per hash."""
+    per = per.groupBy(batch).agg(F.sum("coll").alias("_s"), F.coalesce(F.stddev_samp("coll"), F.lit(0.0)).alias("_sd"))
+    pairs = _pairs(F.col("n"))
 
+    def share(c, by):
+        return F.when(pairs > 0, F.coalesce(F.col(c), F.lit(0.0)) / (pairs * F.lit(float(by)))).otherwise(F.lit(0.0))
 
-def _per_hash(stats: DataFrame, num_hashes: int, batch: str) -> DataFrame:
-    """Per batch and hash: Σ_buckets C(c,2), pairs whose min-hash agrees. Each
-    partition sums its buckets before the exchange; a bucket is one (hash,
-    min-hash) value of a batch."""
-    sig = minhash_signatures(stats, num_hashes, batch)
-    width = min(num_hashes, FAMILY)
-    stacked = (sig.select(batch, "m", "family", F.posexplode(F.array(*[F.col(f"mh_{i}") for i in range(width)])).alias("i", "mh"))
-               .withColumn("k", F.col("family") * width + F.col("i")))
-    return (stacked.groupBy(batch, "k", "mh").agg(F.sum("m").alias("c"))
-            .groupBy(batch, "k").agg(F.sum(_pairs("c")).alias("coll")))
+    return _join_batch(n, per, batch, "left").select(
+        batch, "n", *keep, share("_s", num_hashes).alias("jaccard_est"), share("_sd", num_hashes ** 0.5).alias("jaccard_se"))
 
 
 def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, batch: str = "batch") -> DataFrame:
@@ -265,15 +310,46 @@ def jaccard_estimate(stats: DataFrame, num_hashes: int = DEFAULT_NUM_HASHES, bat
     (``jaccard_est``, unrounded), its standard error ``jaccard_se`` and the
     batch size ``n``."""
     n = _weighted(stats).groupBy(batch).agg(F.sum("m").alias("n"))
-    per = _per_hash(stats, num_hashes, batch).groupBy(batch).agg(
-        F.sum("coll").alias("_s"), F.coalesce(F.stddev_samp("coll"), F.lit(0.0)).alias("_sd"))
-    pairs = _pairs(F.col("n"))
-
-    def share(c, by):
-        return F.when(pairs > 0, F.coalesce(F.col(c), F.lit(0.0)) / (pairs * F.lit(float(by)))).otherwise(F.lit(0.0))
-
-    return _join_batch(n, per, batch, "left").select(
-        batch, "n", share("_s", num_hashes).alias("jaccard_est"), share("_sd", num_hashes ** 0.5).alias("jaccard_se"))
+    return _mean_over_hashes(n, _per_hash(stats, 0, num_hashes, batch), num_hashes, batch)
+
+
+def look_z(alpha: float = ALPHA, looks: int = LOOKS) -> float:
+    """Half width, in standard errors, of the interval of one look."""
+    return NormalDist().inv_cdf(1 - alpha / (2 * looks))
+
+
+def sequential_estimate(stats: DataFrame, open_: DataFrame, batch: str = "batch", threshold: float = JACCARD_THRESHOLD,
+                        looks: int = LOOKS, alpha: float = ALPHA) -> DataFrame:
+    """Verdicts by estimate for ``open_`` (materialised: batch, n, jaccard_lo,
+    jaccard_hi); ``stats`` are the token sets of these batches.
+
+    Look l adds hashes 64(l-1) .. 64l-1 for the batches not settled yet and takes
+    the mean over all hashes so far, held inside the exact bounds. A batch is
+    settled when the threshold (0.0005 below the nominal one: the mean is rounded
+    to three decimals first) lies more than ``look_z`` standard errors away. With
+    equal parts of ``alpha`` for every look, the chance of a wrong verdict over all
+    looks is at most ``alpha``. Returns batch, jaccard_est, jaccard_se, n_hashes,
+    undecided and error; materialised."""
+    z, edge = look_z(alpha, looks), threshold - 0.0005
+    per, done = None, None
+    for look in range(looks):
+        keys, _, small = _broadcast_if_small(open_.select(batch), batch)
+        now = materialize(_per_hash(_only(stats, keys, batch, small), look * FAMILY, FAMILY, batch))  # FAMILY rows a batch
+        per = now if per is None else materialize(per.unionByName(now))
+        k = (look + 1) * FAMILY
+        est = _mean_over_hashes(open_, per, k, batch, "jaccard_lo", "jaccard_hi")
+        est = est.withColumn("jaccard_est", F.least(F.greatest("jaccard_est", "jaccard_lo"), F.col("jaccard_hi")))
+        off = F.abs(F.col("jaccard_est") - F.lit(edge))
+        est = materialize(est.withColumn("undecided", ~(off > F.lit(z) * F.col("jaccard_se"))).withColumn("n_hashes", F.lit(k)).withColumn(
+            "error", F.when(F.col("undecided"), F.pow("jaccard_se", F.lit(2.0)) / (F.pow("jaccard_se", F.lit(2.0)) + off * off))
+            .otherwise(F.lit(alpha * (look + 1) / looks))))
+        last = look == looks - 1
+        found = (est if last else est.where("not undecided")).drop("n", "jaccard_lo", "jaccard_hi")
+        done = found if done is None else done.unionByName(found)
+        open_ = est.where("undecided").select(batch, "n", "jaccard_lo", "jaccard_hi")
+        if last or not open_.limit(1).count():
+            break
+    return materialize(done)
 
 
 # Largest key set shipped to every task as a broadcast (the flagged / open
@@ -321,48 +397,52 @@ def _only(sets: DataFrame, batches: DataFrame, batch: str, small: bool) -> DataF
 
 def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch",
               ttr_threshold: float = TTR_THRESHOLD, jaccard_threshold: float = JACCARD_THRESHOLD,
-              num_hashes: int = DEFAULT_NUM_HASHES, open_hashes: int = OPEN_HASHES,
+              num_hashes: int = DEFAULT_NUM_HASHES, looks: int = LOOKS, alpha: float = ALPHA,
               report: bool = True, all_bounds: bool = False) -> DataFrame:
     """AGG-5: one row per batch -- ``n, avg_ttr, avg_jaccard, jaccard_se,
-    jaccard_lo, jaccard_hi, is_spam, decided_by, undecided``.
+    jaccard_lo, jaccard_hi, is_spam, decided_by, undecided, n_hashes, error``.
 
     Decision ladder: TTR; identical-set lower bound; size-histogram upper
     bound; token-frequency pair bounds (``pair_lower_bound`` /
-    ``pair_upper_bound``); only then the MinHash estimate with ``open_hashes``
-    hashes, clamped into the tightest exact bounds.
-
-    The distinct token sets are written once; the first bounds (one row per
-    batch) are materialised, pair bounds run only on the sets of batches they
-    leave open, the long estimate only on what is still open then (a phase is
-    skipped when no batch is left). With ``report`` the settled batches get
-    their ``avg_jaccard`` from ``num_hashes`` hashes (NULL without); it changes
-    no decision. ``all_bounds`` computes the pair bounds for every batch. The
-    result is materialised, so callers can size and reuse it."""
+    ``pair_upper_bound``); only then the sequential MinHash test, held inside the
+    tightest exact bounds.
+
+    The first bounds come from one narrow aggregate and are materialised. Token
+    sets are written (not shuffled) only for the batches these leave open; pair
+    bounds and looks read them. A phase is skipped when no batch is left. With
+    ``report`` the settled batches get their ``avg_jaccard`` from ``num_hashes``
+    hashes (NULL without); it changes no decision. ``all_bounds`` computes the pair
+    bounds for every batch. The result is materialised, so callers can size and
+    reuse it."""
     spark = reviews.sparkSession
-    path = staging_path(spark, "token-sets")
-    set_groups(review_token_stats(reviews, text_col, keys=(batch, "review_id")), batch).write.parquet(path)
-    sets = spark.read.parquet(path)
-    base = materialize(_decide(bounds_from_sets(sets, batch), ttr_threshold, jaccard_threshold))
+    stats = review_token_stats(reviews, text_col, keys=(batch, "review_id"))
+    base = materialize(_decide(bounds_from_sets(set_keys(stats, batch), batch), ttr_threshold, jaccard_threshold))
 
     def still_open():
         return _broadcast_if_small(base.where(F.col("decided_by") == "estimate").select(batch), batch)
 
     keys, n_open, small = still_open()
+    if n_open:
+        path = staging_path(spark, "open-token-sets")
+        _only(stats, keys, batch, small).select(batch, "review_id", "n_distinct", "token_set").write.parquet(path)
+        open_sets = spark.read.parquet(path)
     if n_open or all_bounds:
-        some = sets if all_bounds else _only(sets, keys, batch, small)
-        base = materialize(_tighten(base, pair_bounds(some, batch), batch, jaccard_threshold))
+        base = materialize(_tighten(base, pair_bounds(stats if all_bounds else open_sets, batch), batch, jaccard_threshold))
         keys, n_open, small = still_open()
     parts = []
     if n_open:
-        parts.append(jaccard_estimate(_only(sets, keys, batch, small), open_hashes, batch))
+        left = base.where(F.col("decided_by") == "estimate").select(batch, "n", "jaccard_lo", "jaccard_hi")
+        parts.append(sequential_estimate(open_sets, left, batch, jaccard_threshold, looks, alpha))
     if report:
-        rest = _join_batch(sets, keys, batch, "left_anti", broadcast=small) if n_open else sets
-        parts.append(jaccard_estimate(rest, num_hashes, batch))
+        rest = _join_batch(stats, keys, batch, "left_anti", broadcast=small) if n_open else stats
+        parts.append(jaccard_estimate(rest, num_hashes, batch).drop("n").withColumn("undecided", F.lit(False))
+                     .withColumn("n_hashes", F.lit(num_hashes)).withColumn("error", F.lit(0.0)))
     if parts:
         est = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        out = _join_batch(base, est.drop("n"), batch, "left")
+        out = _join_batch(base, est, batch, "left")
     else:
-        out = base.withColumn("jaccard_est", F.lit(None).cast("double")).withColumn("jaccard_se", F.lit(None).cast("double"))
+        out = (base.withColumn("jaccard_est", F.lit(None).cast("double")).withColumn("jaccard_se", F.lit(None).cast("double"))
+               .withColumn("undecided", F.lit(False)).withColumn("n_hashes", F.lit(0)).withColumn("error", F.lit(0.0)))
     # the estimate is clamped into the exact bounds (NULL stays NULL); bounds
     # that meet are the mean itself
     est, exact = F.col("jaccard_est"), F.col("jaccard_hi") - F.col("jaccard_lo") < 1e-12
@@ -373,11 +453,11 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
                .when(F.col("decided_by").isin("lower_bound", "pair_lower_bound"), F.lit(True))
                .when(F.col("decided_by").isin("upper_bound", "pair_upper_bound"), F.lit(False))
                .otherwise(F.col("avg_jaccard") >= F.lit(jaccard_threshold)))
-    unsure = (F.col("decided_by") == "estimate") & (F.abs(F.col("avg_jaccard") - F.lit(jaccard_threshold)) <= 2 * F.col("jaccard_se"))
     return materialize(out.select(
         batch, "n", "avg_ttr", "avg_jaccard", "jaccard_se", F.round("jaccard_lo", 6).alias("jaccard_lo"),
         F.round("jaccard_hi", 6).alias("jaccard_hi"), is_spam.alias("is_spam"), "decided_by",
-        F.coalesce(unsure, F.lit(False)).alias("undecided")))
+        F.coalesce("undecided", F.lit(False)).alias("undecided"), F.coalesce("n_hashes", F.lit(0)).alias("n_hashes"),
+        F.round(F.coalesce("error", F.lit(0.0)), 6).alias("error")))
 
 
 def drop_spam_batches(reviews: DataFrame, gate: DataFrame, batch: str = "batch",

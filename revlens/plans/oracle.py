@@ -12,7 +12,7 @@ from __future__ import annotations
 from ..functions.lexicons import (API_LEXICON, APP_LEXICON, ASPECTS, JSON_LEXICON, NA_TOKENS,
                                   REVIEWS_LIMIT_APP, dedupe, is_word_keyword)
 from ..operators.scoring import DEFAULT_BIAS, LinearScorer
-from ..operators.spam import DEFAULT_NUM_HASHES, MERSENNE_31, OPEN_HASHES, hash_params
+from ..operators.spam import ALPHA, CELLS, DEFAULT_NUM_HASHES, FAMILY, LOOKS, MERSENNE_31, hash_params, look_z
 from .derived import TEMPLATES, reviews_sql, sql_str
 from .queries import ODD_NAMES
 
@@ -56,18 +56,22 @@ nn AS (SELECT review_id, batch, reviews, lower(reviews) AS low,
 asp(aspect_ord, aspect) AS (VALUES {', '.join(f'({i}, {sql_str(a)})' for i, a in enumerate(ASPECTS))})"""
 
 
+def per_hash(sig: str) -> str:
+    """Pairs that agree per batch and hash, without those that only share a cell."""
+    return f"""SELECT batch, k, (sum(c * (c - 1) / 2) - sum(c) * (sum(c) - 1) / 2 / {CELLS}) / (1 - 1.0 / {CELLS}) AS coll
+           FROM (SELECT batch, k, mh % {CELLS} AS cell, count(*)::DOUBLE AS c FROM {sig} GROUP BY batch, k, cell) GROUP BY batch, k"""
+
+
 def estimate_cte(name: str, sig: str, batches: str, k: int) -> str:
     """Mean over the hashes of the share of agreeing pairs, and its error."""
     return f"""{name} AS (SELECT b.batch, b.n,
            CASE WHEN b.n > 1 THEN coalesce(sum(x.coll), 0) / (b.n * (b.n - 1) / 2 * {k}) ELSE 0.0 END AS jaccard_est,
            CASE WHEN b.n > 1 THEN coalesce(stddev_samp(x.coll), 0) / (b.n * (b.n - 1) / 2 * sqrt({k})) ELSE 0.0 END AS jaccard_se
-        FROM {batches} b LEFT JOIN (
-           SELECT batch, k, sum(c * (c - 1) / 2) AS coll FROM (SELECT batch, k, mh, count(*) AS c FROM {sig} GROUP BY batch, k, mh)
-           GROUP BY batch, k) x ON b.batch IS NOT DISTINCT FROM x.batch GROUP BY b.batch, b.n)"""
+        FROM {batches} b LEFT JOIN ({per_hash(sig)}) x ON b.batch IS NOT DISTINCT FROM x.batch GROUP BY b.batch, b.n)"""
 
 
 def gate_ctes(src: str = "nn") -> str:
-    hpo = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(OPEN_HASHES)))
+    hpo = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(FAMILY * LOOKS)))
     hp = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(DEFAULT_NUM_HASHES)))
     p = MERSENNE_31
     return f"""st AS (SELECT review_id, batch, len(tok)::INTEGER AS n_tokens, list_distinct(tok) AS tset,
@@ -122,13 +126,24 @@ gate00 AS (SELECT bt.batch, bt.n, bt.avg_ttr, b.lo1, b.hi1, b.jaccard_lo, b.jacc
                   WHEN round(b.jaccard_hi, 3) < 0.8 THEN 'pair_upper_bound' ELSE 'estimate' END AS decided_by
           FROM bt JOIN tb b ON bt.batch IS NOT DISTINCT FROM b.batch),
 hpo(k, a, b) AS (VALUES {hpo}),
-openb AS (SELECT batch, n FROM gate00 WHERE decided_by = 'estimate'),
+openb AS (SELECT batch, n, jaccard_lo, jaccard_hi FROM gate00 WHERE decided_by = 'estimate'),
 sigo AS (SELECT post.batch, post.review_id, hpo.k, min((hpo.a * post.x + hpo.b) % {p}) AS mh
          FROM post JOIN openb ON post.batch IS NOT DISTINCT FROM openb.batch CROSS JOIN hpo GROUP BY post.batch, post.review_id, hpo.k),
-{estimate_cte("esto", "sigo", "openb", OPEN_HASHES)},
+ph_open AS ({per_hash("sigo")}),
+look AS (SELECT b.batch, l.l, least(greatest(sum(x.coll) / (b.n * (b.n - 1) / 2 * {FAMILY} * l.l), any_value(b.jaccard_lo)), any_value(b.jaccard_hi)) AS est,
+                stddev_samp(x.coll) / (b.n * (b.n - 1) / 2 * sqrt({FAMILY} * l.l)) AS se
+         FROM openb b CROSS JOIN (SELECT unnest(range(1, {LOOKS + 1})) AS l) l
+         JOIN ph_open x ON b.batch IS NOT DISTINCT FROM x.batch AND x.k < {FAMILY} * l.l GROUP BY b.batch, b.n, l.l),
+tested AS (SELECT *, NOT abs(est - 0.7995) > {look_z()} * se AS undecided FROM look),
+stopped AS (SELECT batch, min(CASE WHEN NOT undecided OR l = {LOOKS} THEN l END) AS l FROM tested GROUP BY batch),
+esto AS (SELECT t.batch, t.est AS jaccard_est, t.se AS jaccard_se, t.undecided, ({FAMILY} * t.l)::INTEGER AS n_hashes,
+                CASE WHEN t.undecided THEN se * se / (se * se + (est - 0.7995) * (est - 0.7995)) ELSE {ALPHA} * t.l / {LOOKS} END AS error
+         FROM tested t JOIN stopped s ON t.batch IS NOT DISTINCT FROM s.batch AND t.l = s.l),
 gate0 AS (SELECT g.*, CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN lo1 ELSE g.jaccard_lo END AS lo,
                  CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN hi1 ELSE g.jaccard_hi END AS hi,
-                 coalesce(eo.jaccard_est, e.jaccard_est) AS est_, coalesce(eo.jaccard_se, e.jaccard_se) AS se_
+                 coalesce(eo.jaccard_est, e.jaccard_est) AS est_, coalesce(eo.jaccard_se, e.jaccard_se) AS se_,
+                 coalesce(eo.undecided, false) AS undecided, coalesce(eo.n_hashes, {DEFAULT_NUM_HASHES})::INTEGER AS n_hashes,
+                 round(coalesce(eo.error, 0.0), 6) AS error
           FROM gate00 g JOIN est e ON g.batch IS NOT DISTINCT FROM e.batch
           LEFT JOIN esto eo ON g.batch IS NOT DISTINCT FROM eo.batch),
 gate1 AS (SELECT *, round(least(greatest(est_, lo), hi), 3) AS avg_jaccard,
@@ -136,8 +151,7 @@ gate1 AS (SELECT *, round(least(greatest(est_, lo), hi), 3) AS avg_jaccard,
 gate AS (SELECT *, CASE WHEN decided_by = 'ttr' THEN false
                         WHEN decided_by IN ('lower_bound', 'pair_lower_bound') THEN true
                         WHEN decided_by IN ('upper_bound', 'pair_upper_bound') THEN false
-                        ELSE avg_jaccard >= 0.8 END AS is_spam,
-                decided_by = 'estimate' AND abs(avg_jaccard - 0.8) <= 2 * jaccard_se AS undecided FROM gate1),
+                        ELSE avg_jaccard >= 0.8 END AS is_spam FROM gate1),
 clean AS (SELECT * FROM {src} r
           WHERE NOT EXISTS (SELECT 1 FROM gate g WHERE g.is_spam AND g.batch IS NOT DISTINCT FROM r.batch))"""
 
@@ -253,7 +267,7 @@ SELECT batch, n, round(jaccard_est, 6) AS jaccard_est, round(jaccard_se, 6) AS j
 SELECT batch, n, round(pair_lo, 6) AS pair_lo, round(pair_hi, 6) AS pair_hi FROM pair"""
     q["spam_gate"] = f"""WITH {base}, {gate}
 SELECT batch, n, avg_ttr, avg_jaccard, jaccard_se, round(lo, 6) AS jaccard_lo, round(hi, 6) AS jaccard_hi,
-       is_spam, decided_by, undecided FROM gate"""
+       is_spam, decided_by, undecided, n_hashes, error FROM gate"""
     # The rule itself: mean type-token ratio, and mean over all pairs of reviews.
     q["spam_gate_exact"] = f"""WITH {base},
 st AS (SELECT review_id, batch, tok, list_distinct(tok) AS s FROM (SELECT review_id, batch,
@@ -353,11 +367,6 @@ FROM cells GROUP BY role"""
     q["csv_roundtrip"] = f"""WITH {base} SELECT review_id, batch, CASE WHEN abs(review_id) % 11 = 5 THEN NULL ELSE reviews END AS reviews FROM reviews"""
     q["masked_export"] = f"""SELECT "Aspect", "Sentiment", count(*) AS n_rows, sum(length("Reviews"))::BIGINT AS review_chars,
        sum(length("Formatted Review"))::BIGINT AS masked_chars FROM ({q["masked_rows"]}) GROUP BY 1, 2"""
-    q["template_jaccard"] = f"""WITH {base},
-t AS (SELECT review_id, list_distinct(list_filter(regexp_split_to_array(reviews, '{WS_RE2}'), lambda x: x <> '')) AS a,
-             list_distinct(list_filter(regexp_split_to_array(substring(reviews, 1, 40), '{WS_RE2}'), lambda x: x <> '')) AS b FROM nn)
-SELECT review_id, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE
-       len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS jaccard FROM t"""
     q["template_jaccard_whole"] = f"""WITH {base},
 t AS (SELECT review_id, list_distinct(list_filter(regexp_split_to_array(reviews, '{WS_RE2}'), lambda x: x <> '')) AS a,
              list_distinct(list_filter(regexp_split_to_array(t_text, '{WS_RE2}'), lambda x: x <> '')) AS b

@@ -252,13 +252,6 @@ def q_masked_export(spark, sf_dir):
                  F.sum(F.length("`Formatted Review`")).alias("masked_chars")))
 
 
-def q_template_jaccard(spark, sf_dir):
-    """AGG-3: every review's tokens against those of its own first 40
-    characters; whole templates are compared in ``template_jaccard_whole``."""
-    head = T.ws_tokens(F.substring("reviews", 1, 40))
-    return _nn(spark, sf_dir).select("review_id", F.round(T.jaccard(T.ws_tokens("reviews"), head), 9).alias("jaccard"))
-
-
 def q_template_jaccard_whole(spark, sf_dir):
     """AGG-3: every review of a document against the whole template that it
     begins with (the seeded batches have no template)."""
@@ -380,7 +373,6 @@ QUERIES = {
     "payload_files": q_payload_files,
     "csv_roundtrip": q_csv_roundtrip,
     "masked_export": q_masked_export,
-    "template_jaccard": q_template_jaccard,
     "template_jaccard_whole": q_template_jaccard_whole,
     "sentiment_truncated": q_sentiment_truncated,
     "model_labels": q_model_labels,

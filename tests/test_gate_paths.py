@@ -1,5 +1,7 @@
 """The spam gate's production path: bounds first, MinHash only for open
 batches, and the flagged-batch anti join with a checked broadcast."""
+import random
+
 from revlens.operators import spam
 
 from conftest import frame
@@ -60,13 +62,66 @@ def test_standard_error_covers_the_exact_mean(spark):
         assert abs(one_by_one["jaccard_est"] - r["jaccard_est"]) < 1e-9
 
 
-def test_close_calls_are_marked(spark):
-    # Exact mean 0.827 +- a standard error: inside two errors of 0.8 or not,
-    # as the reported numbers say.
-    rows = [_rep("a b c d")] * 5 + [_rep("a b c")] * 5
-    g = spam.spam_gate(frame(spark, rows, batch="c")).collect()[0]
-    if g["decided_by"] == "estimate":
-        assert g["undecided"] == (abs(g["avg_jaccard"] - 0.8) <= 2 * g["jaccard_se"])
+def exact_mean(rows):
+    sets = [frozenset(r.split()) for r in rows]
+    pairs = [(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+    return sum(len(a & b) / len(a | b) if a | b else 0.0 for a, b in pairs) / len(pairs)
+
+
+def test_sequential_verdicts_against_all_pairs(spark):
+    """Batches that no bound settles: the looks end with the verdict of the exact
+    mean, or the batch is undecided and says how sure it is."""
+    rng = random.Random(5)
+    batches = {f"b{k}": [_rep(" ".join(rng.sample("abcdef", rng.choice([4, 5, 5, 6])))) for _ in range(24)] for k in range(6)}
+    batches["far"] = [_rep("c f g h")] * 14 + [_rep("c g h")] * 2
+    batches["close"] = [_rep("a b c d")] * 7 + [_rep("a b c")] * 5  # 0.867
+    batches["edge"] = [_rep("a b c d")] * 10 + [_rep("a b d")] * 6 + [_rep("a b")] * 2
+    df = spark.createDataFrame([(1000 * i + k, b, r) for i, (b, rows) in enumerate(batches.items()) for k, r in enumerate(rows)],
+                               "review_id long, batch string, reviews string")
+    seen = set()
+    for g in spam.spam_gate(df, report=False).collect():
+        mean = exact_mean(batches[g["batch"]])
+        seen.add(g["decided_by"])
+        assert g["jaccard_lo"] - 1e-6 <= mean <= g["jaccard_hi"] + 1e-6
+        if g["decided_by"] != "estimate":
+            assert g["is_spam"] == (round(mean, 3) >= 0.8) and (g["n_hashes"], g["error"], g["undecided"]) == (0, 0.0, False)
+            continue
+        assert g["n_hashes"] % spam.FAMILY == 0 and 0 < g["n_hashes"] <= spam.FAMILY * spam.LOOKS
+        assert abs(g["avg_jaccard"] - mean) <= 4 * g["jaccard_se"] + 1e-3
+        if g["undecided"]:
+            assert g["n_hashes"] == spam.FAMILY * spam.LOOKS and abs(mean - 0.8) < 8 * g["jaccard_se"] + 1e-3
+            assert 0 < g["error"] <= 1
+        else:
+            assert g["is_spam"] == (round(mean, 3) >= 0.8) and g["error"] <= spam.ALPHA
+    assert "estimate" in seen
+
+
+def test_looks_add_hashes_only_where_needed(spark):
+    """One clear batch and one at the threshold: only the second gets all looks."""
+    clear = [_rep("c f g h")] * 7 + [_rep("c g h")] * 2 + [_rep("c f h")]
+    edge = [_rep("a b c d")] * 4 + [_rep("a b c")] * 4 + [_rep("a b d")]
+    rows = [(k, "clear", r) for k, r in enumerate(clear)] + [(100 + k, "edge", r) for k, r in enumerate(edge)]
+    df = spark.createDataFrame(rows, "review_id long, batch string, reviews string")
+    stats = spam.review_token_stats(df)
+    mean = exact_mean(edge)
+    open_ = spark.createDataFrame([("clear", 10, 0.0, 1.0), ("edge", 9, 0.0, 1.0)], "batch string, n long, jaccard_lo double, jaccard_hi double")
+    got = {r["batch"]: r for r in spam.sequential_estimate(stats, open_, threshold=mean + 0.0005).collect()}
+    assert got["edge"]["undecided"] and got["edge"]["n_hashes"] == spam.FAMILY * spam.LOOKS and got["edge"]["error"] > 0.1
+    assert not got["clear"]["undecided"] and got["clear"]["n_hashes"] < spam.FAMILY * spam.LOOKS
+    # The first look is the plain estimate with as many hashes.
+    one = {r["batch"]: r for r in spam.sequential_estimate(stats, open_, looks=1).collect()}
+    plain = {r["batch"]: r for r in spam.jaccard_estimate(stats, spam.FAMILY).collect()}
+    assert all(abs(one[b]["jaccard_est"] - plain[b]["jaccard_est"]) < 1e-9 for b in one)
+
+
+def test_token_sets_stay_out_of_exchanges(spark):
+    """Bounds shuffle digests; signatures come from a review's own array."""
+    stats = spam.review_token_stats(frame(spark, ["a b c", "a b", "d"], batch="x"))
+    for df in (spam.bounds_from_sets(spam.set_keys(stats)), spam.jaccard_estimate(stats)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.split("\n") if "Exchange" in x]
+        assert exchanges and not any("token_set" in x for x in exchanges)
+        assert "first(token_set" not in plan
 
 
 def test_seeded_batches_land_on_their_rungs(spark):
