@@ -38,8 +38,8 @@ batches still open then are tokenised again.
 
 The gate decision is exact whenever a rung decides it (TTR above the threshold; a
 rounded lower bound >= 0.8; a rounded upper bound < 0.8). What is left goes
-through a sequential test (:func:`sequential_estimate`): a look adds a family of
-``FAMILY`` independent hashes for the batches still open and settles those whose
+through a sequential test (:func:`sequential_estimate`): every look doubles the
+number of independent hashes for the batches still open and settles those whose
 interval no longer holds the threshold; the admitted error ``ALPHA`` is spent in
 equal parts over the ``LOOKS`` looks. ``decided_by`` names the rung; a batch that
 the last look leaves open is ``undecided``; ``n_hashes`` and ``error`` (bound of the
@@ -65,10 +65,10 @@ from ..session import materialize, staging_path
 
 MERSENNE_31 = (1 << 31) - 1
 DEFAULT_NUM_HASHES = 64
-# Hashes that one look of the sequential test adds, looks, and the probability
-# of a wrong verdict that all looks together may spend.
+# Hashes of the sequential test's first look (every further look doubles them),
+# looks, and the probability of a wrong verdict that all looks together may spend.
 FAMILY = 64
-LOOKS = 8
+LOOKS = 4
 ALPHA = 0.01
 # Cells that the minima of one hash are counted in.
 CELLS = 4096
@@ -277,22 +277,30 @@ def minhash_cells(first: int, count: int):
     return cells
 
 
-def _per_hash(stats: DataFrame, first: int, count: int, batch: str) -> DataFrame:
-    """Per batch and hash ``k``: ``coll``, the pairs whose min-hash agrees. Each
-    partition counts its cells before the exchange. Of pairs with other minima
-    one in CELLS meets by chance; with c reviews in a cell and h in all,
-    (Σ C(c,2) - C(h,2) / CELLS) / (1 - 1 / CELLS) is free of them."""
+def cell_counts(stats: DataFrame, first: int, count: int, batch: str = "batch") -> DataFrame:
+    """``batch, k, cell, c``: reviews whose minimum under hash k lies in a cell.
+    Each partition counts its cells before the exchange; counts add up."""
     hashes = F.transform("token_set", lambda t: token_hash32(t) % F.lit(MERSENNE_31))
     rows = _weighted(stats).select(batch, "m", hashes.alias("x")).select(batch, "m", minhash_cells(first, count)("x").alias("cells"))
     # explode_outer and a filter above it: see _postings
     stacked = (rows.select(batch, "m", F.posexplode_outer("cells").alias("i", "cell")).where(F.col("i").isNotNull())
                .withColumn("k", F.col("i") + F.lit(first)))
-    met = (stacked.groupBy(batch, "k", "cell").agg(F.sum("m").alias("c"))
-           .groupBy(batch, "k").agg(F.sum(_pairs("c")).alias("met"), F.sum("c").alias("held")))
+    return stacked.groupBy(batch, "k", "cell").agg(F.sum("m").alias("c"))
+
+
+def pairs_per_hash(cells: DataFrame, batch: str = "batch") -> DataFrame:
+    """Per batch and hash ``k``: ``coll``, the pairs whose min-hash agrees. Of
+    pairs with other minima one in CELLS meets by chance; with c reviews in a
+    cell and h in all, (Σ C(c,2) - C(h,2) / CELLS) / (1 - 1 / CELLS) is free of them."""
+    met = cells.groupBy(batch, "k").agg(F.sum(_pairs("c")).alias("met"), F.sum("c").alias("held"))
     chance = F.lit(1.0 / CELLS)
     return met.select(batch, "k", ((F.col("met") - _pairs("held") * chance) / (F.lit(1.0) - chance)).alias("coll"))
 
 
+def _per_hash(stats: DataFrame, first: int, count: int, batch: str) -> DataFrame:
+    return pairs_per_hash(cell_counts(stats, first, count, batch), batch)
+
+
 def _mean_over_hashes(n: DataFrame, per: DataFrame, num_hashes: int, batch: str, *keep: str) -> DataFrame:
     """``batch, n, keep, jaccard_est, jaccard_se`` from the pairs per hash."""
     per = per.groupBy(batch).agg(F.sum("coll").alias("_s"), F.coalesce(F.stddev_samp("coll"), F.lit(0.0)).alias("_sd"))
@@ -323,20 +331,22 @@ def sequential_estimate(stats: DataFrame, open_: DataFrame, batch: str = "batch"
     """Verdicts by estimate for ``open_`` (materialised: batch, n, jaccard_lo,
     jaccard_hi); ``stats`` are the token sets of these batches.
 
-    Look l adds hashes 64(l-1) .. 64l-1 for the batches not settled yet and takes
-    the mean over all hashes so far, held inside the exact bounds. A batch is
+    The first look takes FAMILY hashes, every further one adds as many as there
+    were, for the batches not settled yet; the mean is over all hashes so far, held
+    inside the exact bounds. A batch is
     settled when the threshold (0.0005 below the nominal one: the mean is rounded
     to three decimals first) lies more than ``look_z`` standard errors away. With
     equal parts of ``alpha`` for every look, the chance of a wrong verdict over all
     looks is at most ``alpha``. Returns batch, jaccard_est, jaccard_se, n_hashes,
-    undecided and error; materialised."""
+    undecided and error of materialised looks."""
     z, edge = look_z(alpha, looks), threshold - 0.0005
-    per, done = None, None
+    per, done, k = None, None, 0
+    keys, n_open, small = _broadcast_if_small(open_.select(batch), batch)
     for look in range(looks):
-        keys, _, small = _broadcast_if_small(open_.select(batch), batch)
-        now = materialize(_per_hash(_only(stats, keys, batch, small), look * FAMILY, FAMILY, batch))  # FAMILY rows a batch
-        per = now if per is None else materialize(per.unionByName(now))
-        k = (look + 1) * FAMILY
+        add = max(k, FAMILY)
+        now = materialize(_per_hash(_only(stats, keys, batch, small), k, add, batch))  # one row a batch and hash
+        per = now if per is None else per.unionByName(now)
+        k += add
         est = _mean_over_hashes(open_, per, k, batch, "jaccard_lo", "jaccard_hi")
         est = est.withColumn("jaccard_est", F.least(F.greatest("jaccard_est", "jaccard_lo"), F.col("jaccard_hi")))
         off = F.abs(F.col("jaccard_est") - F.lit(edge))
@@ -347,9 +357,11 @@ def sequential_estimate(stats: DataFrame, open_: DataFrame, batch: str = "batch"
         found = (est if last else est.where("not undecided")).drop("n", "jaccard_lo", "jaccard_hi")
         done = found if done is None else done.unionByName(found)
         open_ = est.where("undecided").select(batch, "n", "jaccard_lo", "jaccard_hi")
-        if last or not open_.limit(1).count():
+        if not last:
+            keys, n_open, small = _broadcast_if_small(open_.select(batch), batch)
+        if last or not n_open:
             break
-    return materialize(done)
+    return done
 
 
 # Largest key set shipped to every task as a broadcast (the flagged / open
@@ -395,6 +407,20 @@ def _only(sets: DataFrame, batches: DataFrame, batch: str, small: bool) -> DataF
     return _join_batch(sets, batches, batch, "left_semi", broadcast=small)
 
 
+# Batch names that are written into a filter, which reaches the scan; more are joined.
+MAX_IN_LIST = 1000
+
+
+def _of_batches(reviews: DataFrame, keys: DataFrame, n: int, batch: str, small: bool) -> DataFrame:
+    """The reviews of the listed batches (``n`` rows, materialised): a few names
+    become a pushed-down filter, so only these batches are read again."""
+    if n > MAX_IN_LIST:
+        return _only(reviews, keys, batch, small)
+    names = [r[0] for r in keys.collect()]
+    cond = F.col(batch).isin([x for x in names if x is not None])
+    return reviews.where(cond | F.col(batch).isNull() if None in names else cond)
+
+
 def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch",
               ttr_threshold: float = TTR_THRESHOLD, jaccard_threshold: float = JACCARD_THRESHOLD,
               num_hashes: int = DEFAULT_NUM_HASHES, looks: int = LOOKS, alpha: float = ALPHA,
@@ -424,7 +450,8 @@ def spam_gate(reviews: DataFrame, text_col: str = "reviews", batch: str = "batch
     keys, n_open, small = still_open()
     if n_open:
         path = staging_path(spark, "open-token-sets")
-        _only(stats, keys, batch, small).select(batch, "review_id", "n_distinct", "token_set").write.parquet(path)
+        again = review_token_stats(_of_batches(reviews, keys, n_open, batch, small), text_col, keys=(batch, "review_id"))
+        again.select(batch, "review_id", "n_distinct", "token_set").write.parquet(path)
         open_sets = spark.read.parquet(path)
     if n_open or all_bounds:
         base = materialize(_tighten(base, pair_bounds(stats if all_bounds else open_sets, batch), batch, jaccard_threshold))

@@ -71,7 +71,7 @@ def estimate_cte(name: str, sig: str, batches: str, k: int) -> str:
 
 
 def gate_ctes(src: str = "nn") -> str:
-    hpo = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(FAMILY * LOOKS)))
+    hpo = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(FAMILY << (LOOKS - 1))))
     hp = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_params(DEFAULT_NUM_HASHES)))
     p = MERSENNE_31
     return f"""st AS (SELECT review_id, batch, len(tok)::INTEGER AS n_tokens, list_distinct(tok) AS tset,
@@ -130,13 +130,13 @@ openb AS (SELECT batch, n, jaccard_lo, jaccard_hi FROM gate00 WHERE decided_by =
 sigo AS (SELECT post.batch, post.review_id, hpo.k, min((hpo.a * post.x + hpo.b) % {p}) AS mh
          FROM post JOIN openb ON post.batch IS NOT DISTINCT FROM openb.batch CROSS JOIN hpo GROUP BY post.batch, post.review_id, hpo.k),
 ph_open AS ({per_hash("sigo")}),
-look AS (SELECT b.batch, l.l, least(greatest(sum(x.coll) / (b.n * (b.n - 1) / 2 * {FAMILY} * l.l), any_value(b.jaccard_lo)), any_value(b.jaccard_hi)) AS est,
-                stddev_samp(x.coll) / (b.n * (b.n - 1) / 2 * sqrt({FAMILY} * l.l)) AS se
-         FROM openb b CROSS JOIN (SELECT unnest(range(1, {LOOKS + 1})) AS l) l
-         JOIN ph_open x ON b.batch IS NOT DISTINCT FROM x.batch AND x.k < {FAMILY} * l.l GROUP BY b.batch, b.n, l.l),
+look AS (SELECT b.batch, l.l, least(greatest(sum(x.coll) / (b.n * (b.n - 1) / 2 * l.k), any_value(b.jaccard_lo)), any_value(b.jaccard_hi)) AS est,
+                stddev_samp(x.coll) / (b.n * (b.n - 1) / 2 * sqrt(l.k)) AS se, l.k
+         FROM openb b CROSS JOIN (VALUES {", ".join(f"({l + 1}, {FAMILY << l})" for l in range(LOOKS))}) l(l, k)
+         JOIN ph_open x ON b.batch IS NOT DISTINCT FROM x.batch AND x.k < l.k GROUP BY b.batch, b.n, l.l, l.k),
 tested AS (SELECT *, NOT abs(est - 0.7995) > {look_z()} * se AS undecided FROM look),
 stopped AS (SELECT batch, min(CASE WHEN NOT undecided OR l = {LOOKS} THEN l END) AS l FROM tested GROUP BY batch),
-esto AS (SELECT t.batch, t.est AS jaccard_est, t.se AS jaccard_se, t.undecided, ({FAMILY} * t.l)::INTEGER AS n_hashes,
+esto AS (SELECT t.batch, t.est AS jaccard_est, t.se AS jaccard_se, t.undecided, t.k::INTEGER AS n_hashes,
                 CASE WHEN t.undecided THEN se * se / (se * se + (est - 0.7995) * (est - 0.7995)) ELSE {ALPHA} * t.l / {LOOKS} END AS error
          FROM tested t JOIN stopped s ON t.batch IS NOT DISTINCT FROM s.batch AND t.l = s.l),
 gate0 AS (SELECT g.*, CASE WHEN decided_by IN ('ttr', 'lower_bound', 'upper_bound') THEN lo1 ELSE g.jaccard_lo END AS lo,
@@ -384,5 +384,13 @@ SELECT review_id, aspect, logit_neg, logit_neu, logit_pos, sentiment FROM lab"""
     labels = ", ".join(f"coalesce(max(CASE WHEN l.aspect = {sql_str(a)} THEN l.sentiment END), '') AS {a}" for a in ASPECTS)
     q["stream_predict"] = f"""WITH {base}, {score_nn}
 SELECT n.review_id, {labels} FROM nn n LEFT JOIN lab l ON n.review_id = l.review_id GROUP BY n.review_id"""
+    q["stream_gate"] = f"""WITH {base}, {gate},
+one AS (SELECT g.batch, g.n, g.avg_ttr, least(greatest(e.jaccard_est, g.lo1), g.hi1) AS est, e.jaccard_se AS se,
+               CASE WHEN g.avg_ttr > 0.2 THEN 'ttr' WHEN round(g.lo1, 3) >= 0.8 THEN 'lower_bound'
+                    WHEN round(g.hi1, 3) < 0.8 THEN 'upper_bound' ELSE 'estimate' END AS decided_by
+        FROM gate00 g JOIN est e ON g.batch IS NOT DISTINCT FROM e.batch)
+SELECT batch, n, avg_ttr, round(est, 3) AS avg_jaccard, round(se, 4) AS jaccard_se,
+       decided_by = 'lower_bound' OR (decided_by = 'estimate' AND round(est, 3) >= 0.8) AS is_spam, decided_by,
+       decided_by = 'estimate' AND abs(est - 0.7995) <= {look_z(looks=1)} * se AS undecided FROM one"""
     q["stream_rollup"] = q_rollup("drop", True, src="nn")
     return q

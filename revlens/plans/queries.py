@@ -17,7 +17,7 @@ from ..functions.lexicons import ASPECTS, JSON_LEXICON, NA_TOKENS, REVIEWS_LIMIT
 from ..operators import masking, rollup, scoring, spam, tagging
 from ..session import staging_path
 from ..sources import payload, reviews
-from ..streaming import stream
+from ..streaming import gate, stream
 from . import flow
 from .derived import TEMPLATES, load_table, reviews_view, templates_df
 
@@ -299,6 +299,14 @@ def q_stream_rollup(spark, sf_dir):
     return stream.current_rollup(spark, table)
 
 
+def q_stream_gate(spark, sf_dir):
+    """AGG-1..5 on the stream: the gate's state after the stream has seen all
+    files, a few files a micro-batch."""
+    table = staging_path(spark, "stream-gate")
+    stream.start_gate_query(spark, _landed(spark, sf_dir), table, available_now=True, max_files_per_trigger=8).awaitTermination()
+    return gate.current_gate(spark, table)
+
+
 def q_review_limit(spark, sf_dir):
     """SRT-3: the first 100 reviews per hospital (provider limit)."""
     w = Window.partitionBy("batch").orderBy("review_id")
@@ -378,6 +386,7 @@ QUERIES = {
     "model_labels": q_model_labels,
     "stream_predict": q_stream_predict,
     "stream_rollup": q_stream_rollup,
+    "stream_gate": q_stream_gate,
     "nan_cells": q_nan_cells,
     "na_normalise": q_na_normalise,
 }

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from ..functions.lexicons import ASPECTS
+from ..functions.lexicons import ASPECTS, NA_TOKENS
 from ..operators import rollup, scoring
 from ..plans import flow
+from ..functions import text as T
 from ..session import checkpoint_dir
+from . import deltas, gate
 
 REVIEW_SCHEMA = Ty.StructType([Ty.StructField("review_id", Ty.LongType()),
                                Ty.StructField("batch", Ty.StringType()),
@@ -36,7 +38,9 @@ def read_review_stream(spark: SparkSession, path: str, fmt: str = "json", schema
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        return r.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        # As the batch reader: the header must name the columns, NA tokens are NULL.
+        df = r.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+        return df.select(*[T.normalise_na(F.col(c), NA_TOKENS).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
     return r.json(path)
 
 
@@ -89,13 +93,13 @@ def start_prediction_query(spark: SparkSession, source: str, sink: str, fmt: str
 def start_rollup_query(spark: SparkSession, source: str, table: str, fmt: str = "json",
                        checkpoint: str | None = None, available_now: bool = False, scorer=None):
     """Run STR-2: counters in streaming state; each micro-batch writes only the
-    groups it changed, under ``table/epoch=<n>`` (rewritten if the batch is
-    repeated). :func:`current_counters` and :func:`current_rollup` read the
-    newest counters of every group."""
+    groups it changed into a table of deltas with compaction (``deltas``).
+    :func:`current_counters` and :func:`current_rollup` read the newest counters
+    of every group."""
     counters = rollup_counter_stream(prediction_stream(read_review_stream(spark, source, fmt), scorer))
 
     def publish(df: DataFrame, epoch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{table}/epoch={epoch_id}")
+        deltas.publish(df, table, epoch_id, deltas.newest_wins(("batch",)))
 
     w = (counters.writeStream.outputMode("update")
          .option("checkpointLocation", _checkpoint(spark, "rollup", source, table, checkpoint)).foreachBatch(publish))
@@ -105,10 +109,17 @@ def start_rollup_query(spark: SparkSession, source: str, table: str, fmt: str =
 
 def current_counters(spark: SparkSession, table: str, group_cols=("batch",)) -> DataFrame:
     """Newest counters of every group (counters only grow, the last epoch wins)."""
-    df = spark.read.parquet(table)
-    counts = [c for c in df.columns if c not in (*group_cols, "epoch")]
-    newest = df.groupBy(*group_cols).agg(F.max_by(F.struct(*counts), "epoch").alias("_c"))
-    return newest.select(*group_cols, *[F.col("_c")[c].alias(c) for c in counts])
+    return deltas.read(spark, table, deltas.newest_wins(tuple(group_cols))).drop("epoch")
+
+
+def start_gate_query(spark: SparkSession, source: str, table: str, fmt: str = "json", checkpoint: str | None = None,
+                     available_now: bool = False, max_files_per_trigger: int | None = None):
+    """Run the spam gate over landed files: every micro-batch adds its counters to
+    ``table``; :func:`gate.current_gate` gives the verdicts."""
+    w = (read_review_stream(spark, source, fmt, max_files_per_trigger=max_files_per_trigger).writeStream
+         .option("checkpointLocation", _checkpoint(spark, "gate", source, table, checkpoint)).foreachBatch(gate.publish(table)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
 def current_rollup(spark: SparkSession, table: str, group_cols=("batch",)) -> DataFrame:
@@ -117,4 +128,4 @@ def current_rollup(spark: SparkSession, table: str, group_cols=("batch",)) -> Da
 
 
 __all__ = ["read_review_stream", "prediction_stream", "rollup_counter_stream", "rollup_from_counters",
-           "start_prediction_query", "start_rollup_query", "current_counters", "current_rollup", "scoring"]
+           "start_prediction_query", "start_rollup_query", "start_gate_query", "current_counters", "current_rollup", "scoring"]
