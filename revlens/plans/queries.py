@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import ASPECTS, JSON_LEXICON, NA_TOKENS, REVIEWS_LIMIT_APP, dedupe
-from ..operators import masking, rollup, scoring, spam, tagging
+from ..operators import lexicon_join, masking, positions, rollup, scoring, spam, tagging
 from ..session import staging_path
 from ..sources import payload, reviews
 from ..streaming import gate, stream
@@ -232,6 +232,41 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select(F.col("review_id").cast("bigint").alias("review_id"), "batch", F.col("Reviews").alias("reviews"))
 
 
+def q_xlsx_roundtrip(spark, sf_dir):
+    """SRC-2, PRJ-3: every document as a review in workbooks of a hundred (texts,
+    truth values, NA tokens), written and read back with the workbook reader."""
+    path = staging_path(spark, "workbooks")
+    docs = load_table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("Id"), (F.col("doc_id") % 3 == 0).alias("Urgent"),
+        F.when(F.col("doc_id") % 13 == 4, F.lit("n/a")).otherwise(F.col("text")).alias("Reviews"))
+    reviews.write_workbooks(docs, path, ["Id", "Reviews", "Urgent"], key="doc_id")
+    back = reviews.workbook_rows(spark.read.parquet(path))
+    return back.select(F.col("Id").cast("bigint").alias("doc_id"), "Urgent", F.col("Reviews").alias("reviews"), "source_file")
+
+
+def _data_lexicon(spark, sf_dir) -> DataFrame:
+    """A lexicon that grows with the tables: every word of the benchmark's texts
+    and the first two words of every document."""
+    words = lexicon_join.words_of("text")
+    bench = load_table(spark, sf_dir, "benchmark").select(F.explode(words).alias("keyword")).select(F.lit("benchmark").alias("aspect"), "keyword")
+    opening = load_table(spark, sf_dir, "documents").select(F.lit("opening").alias("aspect"), F.array_join(F.slice(words, 1, 2), " ").alias("keyword"))
+    return bench.unionByName(opening).where("keyword <> ''").distinct()
+
+
+def q_lexicon_hits(spark, sf_dir):
+    """SRC-6, JON-1: reviews that hold each keyword of a lexicon given as data."""
+    hits = lexicon_join.match(_nn(spark, sf_dir), _data_lexicon(spark, sf_dir))
+    return hits.groupBy("aspect", "keyword").agg(F.count(F.lit(1)).alias("n_reviews"))
+
+
+def q_attach_by_position(spark, sf_dir):
+    """JON-4, SRC-8: lengths attached to the reviews by their position alone."""
+    rows = _nn(spark, sf_dir)
+    left = positions.with_position(rows.select("review_id", "batch"), "review_id")
+    right = positions.with_position(rows.select("review_id", F.length("reviews").alias("n_chars")), "review_id").drop("review_id")
+    return positions.attach(left, right).select("position", "review_id", "batch", "n_chars")
+
+
 def _odd_cell():
     return F.abs("review_id") % 11 == 5
 
@@ -380,6 +415,9 @@ QUERIES = {
     "request_name": q_request_name,
     "payload_files": q_payload_files,
     "csv_roundtrip": q_csv_roundtrip,
+    "xlsx_roundtrip": q_xlsx_roundtrip,
+    "lexicon_hits": q_lexicon_hits,
+    "attach_by_position": q_attach_by_position,
     "masked_export": q_masked_export,
     "template_jaccard_whole": q_template_jaccard_whole,
     "sentiment_truncated": q_sentiment_truncated,

@@ -12,6 +12,7 @@ import io
 import json
 import re
 import zipfile
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 from pyspark import cloudpickle
@@ -74,60 +75,149 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def parse_xlsx_first_sheet(data: bytes) -> list[list[str | None]]:
-    """Rows of the first worksheet as strings (stdlib only)."""
+_M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
+# Number formats of dates and times that need no definition.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _plain(el) -> str:
+    """Text of a string item: its own and its runs', not their phonetic readings."""
+    out = ""
+    for child in el:
+        if child.tag == _M + "t":
+            out += child.text or ""
+        elif child.tag == _M + "r":
+            out += "".join(t.text or "" for t in child.findall(_M + "t"))
+    return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), out)
+
+
+def _date_styles(z: zipfile.ZipFile) -> list[bool]:
+    """For every cell style: whether it shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {f.get("numFmtId"): f.get("formatCode", "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
+
+    def shows_date(i: str) -> bool:
+        code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(i, ""))
+        return int(i) in _DATE_FORMATS or bool(re.search("[dmyhs]", code, re.I)) and "general" not in code.lower()
+
+    return [shows_date(x.get("numFmtId", "0")) for x in root.findall("m:cellXfs/m:xf", _NS)]
+
+
+def _date_text(value: str, from_1904: bool) -> str:
+    start = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+    at = start + timedelta(milliseconds=round(float(value) * 86_400_000))
+    return at.isoformat(sep=" ", timespec="milliseconds" if at.microsecond else "seconds")
+
+
+def iter_xlsx_first_sheet(data: bytes):
+    """Rows of the first worksheet as strings, one after the other (stdlib only).
+    Truth values read True and False, dates as ISO text; a cell without a
+    reference follows the one before it."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            for si in root.findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+            shared = [_plain(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        dates = _date_styles(z)
         wb = ET.fromstring(z.read("xl/workbook.xml"))
-        first = wb.find("m:sheets/m:sheet", _NS)
-        rid = first.get(f"{{{_R_NS}}}id")
+        info = wb.find("m:workbookPr", _NS)
+        from_1904 = info is not None and info.get("date1904") in ("1", "true")
+        rid = wb.find("m:sheets/m:sheet", _NS).get(f"{{{_R_NS}}}id")
         target = "worksheets/sheet1.xml"
         if "xl/_rels/workbook.xml.rels" in z.namelist():
-            rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-            for r in rels:
+            for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")):
                 if r.get("Id") == rid:
                     target = r.get("Target").lstrip("/")
                     target = target[3:] if target.startswith("xl/") else target
-        sheet = ET.fromstring(z.read("xl/" + target))
-        rows = []
-        for row in sheet.iter(f"{{{_NS['m']}}}row"):
-            vals: dict[int, str | None] = {}
-            for c in row.findall("m:c", _NS):
-                t = c.get("t")
-                v = c.find("m:v", _NS)
-                if t == "s" and v is not None:
-                    val = shared[int(v.text)]
-                elif t == "inlineStr":
-                    val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-                else:
-                    val = v.text if v is not None else None
-                vals[_col_index(c.get("r"))] = val
-            width = max(vals) + 1 if vals else 0
-            rows.append([vals.get(i) for i in range(width)])
-        return rows
+
+        def value(c) -> str | None:
+            t, v = c.get("t"), c.find(_M + "v")
+            if t == "inlineStr":
+                inner = c.find(_M + "is")
+                return _plain(inner) if inner is not None else None
+            if v is None or v.text is None:
+                return None
+            if t == "s":
+                return shared[int(v.text)]
+            if t == "b":
+                return "True" if v.text == "1" else "False"
+            style = int(c.get("s", "0"))
+            if t in (None, "n") and style < len(dates) and dates[style]:
+                return _date_text(v.text, from_1904)
+            return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), v.text) if t == "str" else v.text
+
+        with z.open("xl/" + target) as sheet:
+            for _, row in ET.iterparse(sheet):
+                if row.tag != _M + "row":
+                    continue
+                vals: dict[int, str | None] = {}
+                at = -1
+                for c in row.findall(_M + "c"):
+                    at = _col_index(c.get("r")) if c.get("r") else at + 1
+                    vals[at] = value(c)
+                yield [vals.get(i) for i in range(max(vals) + 1 if vals else 0)]
+                row.clear()
+
+
+def parse_xlsx_first_sheet(data: bytes) -> list[list[str | None]]:
+    return list(iter_xlsx_first_sheet(data))
+
+
+def _written(text: str) -> str:
+    """A text as workbooks store it: XML, control characters as _xHHHH_."""
+    text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", text)
+    text = re.sub("[\x00-\x08\x0b\x0c\x0d\x0e-\x1f\ufffe\uffff]", lambda m: f"_x{ord(m[0]):04X}_", text)
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def workbook_bytes(rows: list[list]) -> bytes:
+    """A workbook with one sheet of inline strings and truth values."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{_written(str(v))}</t></is></c>'
+
+    sheet = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{_R_NS}"><sheets><sheet name="Reviews" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+    return out.getvalue()
 
 
 def _header(rows: list[list[str | None]]) -> list[str]:
     return [h if h is not None else "" for h in rows[0]] if rows else []
 
 
+# Rows of a workbook that are handed on together.
+XLSX_ROWS = 1000
+
+
 def read_reviews_xlsx(spark: SparkSession, path: str, columns: list[str] | None = None,
                       na_tokens=NA_TOKENS, required: str = REQUIRED) -> DataFrame:
-    """SRC-2: many workbooks read in parallel (``binaryFile`` + ``mapInPandas``);
-    the first row of a workbook's first sheet is its header. The output has
-    every column that any workbook has (``columns`` fixes it instead); a
-    workbook without the required column is an error. NA tokens are NULL, as in
-    CSV files."""
+    """SRC-2: the workbooks of a folder (see :func:`workbook_rows`)."""
     files = spread(spark.read.format("binaryFile").load(path).select("path", "content"))
+    return workbook_rows(files, columns, na_tokens, required)
+
+
+def workbook_rows(files: DataFrame, columns: list[str] | None = None, na_tokens=NA_TOKENS, required: str = REQUIRED) -> DataFrame:
+    """SRC-2: many workbooks read in parallel, ``files`` being (path, content);
+    the first row of a workbook's first sheet is its header, the others are
+    streamed. The output has every column that any workbook has (``columns``
+    fixes it instead, and saves a pass over the headers); a workbook without the
+    required column is an error. NA tokens are NULL, as in CSV files."""
+    files = files.select("path", "content")
 
     def headers(batches):
         import pandas as pd
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "header": [_header(parse_xlsx_first_sheet(bytes(c))) for c in pdf["content"]]})
+            yield pd.DataFrame({"path": pdf["path"], "header": [_header([next(iter_xlsx_first_sheet(bytes(c)), [])]) for c in pdf["content"]]})
 
     if columns is None:
         # Distinct column names over all workbooks, in order of first
@@ -136,7 +226,7 @@ def read_reviews_xlsx(spark: SparkSession, path: str, columns: list[str] | None
                  .select(F.posexplode("header").alias("at", "name")).where("name <> ''")
                  .groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect())
         if not names:
-            raise ValueError(f"no workbook with a header under {path}")
+            raise ValueError("no workbook with a header")
         columns = [r["name"] for r in names]
     cols = list(columns)
     schema = Ty.StructType([Ty.StructField("source_file", Ty.StringType())] +
@@ -146,13 +236,18 @@ def read_reviews_xlsx(spark: SparkSession, path: str, columns: list[str] | None
         import pandas as pd
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
-                rows = parse_xlsx_first_sheet(bytes(content))
-                header = _header(rows)
+                rows = iter_xlsx_first_sheet(bytes(content))
+                header = _header([next(rows, [])])
                 if required not in header:
                     raise ValueError(f"no column named '{required}' in {p}")
                 idx = {h: i for i, h in reversed(list(enumerate(header)))}
-                yield pd.DataFrame([[p] + [r[idx[c]] if c in idx and idx[c] < len(r) else None for c in cols]
-                                    for r in rows[1:]], columns=["source_file"] + cols)
+                held = []
+                for r in rows:
+                    held.append([p] + [r[idx[c]] if c in idx and idx[c] < len(r) else None for c in cols])
+                    if len(held) >= XLSX_ROWS:
+                        yield pd.DataFrame(held, columns=["source_file"] + cols)
+                        held = []
+                yield pd.DataFrame(held, columns=["source_file"] + cols)
 
     out = require_reviews(files.mapInPandas(run, schema), required)
     if not na_tokens:
@@ -160,6 +255,21 @@ def read_reviews_xlsx(spark: SparkSession, path: str, columns: list[str] | None
     return out.select("source_file", *[T.normalise_na(F.col(f"`{c}`"), na_tokens).alias(c) for c in cols])
 
 
+def write_workbooks(rows: DataFrame, path: str, columns: list[str], per_workbook: int = 100, key: str = "review_id") -> None:
+    """Workbooks of ``columns`` (texts and truth values) as rows (path, content) of
+    a Parquet folder, rows with ``key`` k in workbook k // per_workbook: bounded
+    groups, and any store that Spark writes to."""
+    def build(pdf):
+        import pandas as pd
+        name = f"reviews-{pdf['_book'].iloc[0]}.xlsx"
+        pdf = pdf.sort_values(key)
+        table = [columns] + [[None if v is None else bool(v) if isinstance(v, bool) else v for v in r] for r in zip(*(pdf[c].tolist() for c in columns))]
+        return pd.DataFrame({"path": [name], "content": [workbook_bytes(table)]})
+
+    (rows.select(key, *[c for c in columns if c != key], F.floor(F.col(key) / per_workbook).alias("_book"))
+     .groupBy("_book").applyInPandas(build, "path string, content binary").write.mode("overwrite").parquet(path))
+
+
 def read_reviews(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """SRC-3: dispatch on the extension (``.csv`` / ``.xlsx``)."""
     kind = fmt or (path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path else "")

@@ -239,3 +239,33 @@ def test_payload_files_are_written_by_all_partitions(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert parts == [9]
+
+
+def test_xlsx_cells(tmp_path):
+    """Phonetic readings, cells without a reference, truth values, dates, escapes."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    p = tmp_path / "odd.xlsx"
+    with zipfile.ZipFile(p, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+                                      '<sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>病院</t><rPh sb="0" eb="2"><t>ビョウイン</t></rPh></si>'
+                                           '<si><r><t>two </t></r><r><t>runs</t></r></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/>'
+                                    '</numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml",
+                   f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c t="b"><v>1</v></c><c t="b"><v>0</v></c></row>'
+                   '<row><c s="1"><v>45000</v></c><c s="2"><v>45000.5</v></c><c s="3"><v>2.5</v></c><c r="F2"><v>7</v></c></row>'
+                   '<row><c t="inlineStr"><is><t>a_x000B_b _x005F_x0041_</t></is></c><c t="str"><v>x</v></c><c/></row></sheetData></worksheet>')
+    assert src.parse_xlsx_first_sheet(p.read_bytes()) == [
+        ["病院", "two runs", "True", "False"], ["2023-03-15 00:00:00", "2023-03-15 12:00:00", "2.5", None, None, "7"],
+        ["a\x0bb _x0041_", "x", None]]
+
+
+def test_workbook_bytes_round_trip(spark, tmp_path):
+    odd = ["a <b> & \"c\"", " lead", "tab\tnew\nline\r", "_x0041_ \x0b\x01", "日本", "", None]
+    rows = [(i, t, i % 2 == 0) for i, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "review_id long, Reviews string, Flag boolean")
+    src.write_workbooks(df, str(tmp_path / "w"), ["Reviews", "Flag"], per_workbook=3)
+    back = src.workbook_rows(spark.read.parquet(str(tmp_path / "w")), na_tokens=None).collect()
+    assert sorted((str(r.Reviews or ""), r.Flag) for r in back) == sorted((t or "", str(f)) for _, t, f in rows)
+    assert {r.source_file for r in back} == {"reviews-0.xlsx", "reviews-1.xlsx", "reviews-2.xlsx"}
