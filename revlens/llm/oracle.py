@@ -26,17 +26,19 @@ def _license_sql() -> str:
     places = lists[0]
     for x in lists[1:]:
         places = f"list_concat({places}, {x})"
-    notices = ", ".join("([" + ", ".join(f"'{w}'" for w in sorted(set(t.split()))) + f"], '{label}')" for t, label in L.NOTICES)
+    # Words of notices with what their notice needs: (notice, label, distinct words, needed, stretch, word).
+    notices = ", ".join(f"({k}, '{label}', {len(set(t.split()))}, {L.need_of(t, L.CONTAINMENT)}, {L.stretch_of(t)}, '{w}')"
+                        for k, (t, label) in enumerate(L.NOTICES) for w in sorted(set(t.split())))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 b AS (SELECT doc_id, {words.format('text')} AS w FROM d),
 p AS (SELECT doc_id, len(w) AS n_words, {places} AS places FROM b),
-notices(words, label) AS (VALUES {notices}),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-blocks AS (SELECT doc_id, list_distinct({words.format('line')}) AS w FROM lines),
-hits AS (SELECT doc_id, label, len(list_intersect(words, w)) / len(words) AS share
-         FROM blocks, notices WHERE len(list_intersect(words, w)) >= ceil({L.CONTAINMENT} * len(words) - 1e-9)),
-found AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS best FROM hits GROUP BY doc_id)
+notices(notice, label, size, need, stretch, word) AS (VALUES {notices}),
+spots AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM b),
+near AS (SELECT doc_id, label, size, need,
+                count(DISTINCT word) OVER (PARTITION BY doc_id, notice ORDER BY pos RANGE BETWEEN CURRENT ROW AND stretch - 1 FOLLOWING) AS overlap
+         FROM spots JOIN notices USING (word)),
+found AS (SELECT doc_id, list(DISTINCT label) AS found, max(overlap / size) AS best FROM near WHERE overlap >= need GROUP BY doc_id)
 SELECT p.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
        CAST(list_min(list_transform(places, lambda x: x.start)) AS BIGINT) AS first_word,
        CAST(list_max(list_transform(places, lambda x: x.start)) AS BIGINT) AS last_word,

@@ -171,3 +171,25 @@ def test_notices_over_lines_and_scattered_words(spark):
     for k, (_, label) in enumerate(licenses.NOTICES):
         assert all(label in want[k * step + j] for j in range(4))
         assert label not in want.get(k * step + 6, {})
+
+
+def test_license_twin_finds_wrapped_notices(spark):
+    """The SQL twin applies the operator's rule: stretches over line ends."""
+    rng = random.Random(8)
+    rows = []
+    for i, (text, _) in enumerate(licenses.NOTICES * 3):
+        w = text.split()
+        for _ in range(rng.randrange(3)):
+            w.insert(rng.randrange(len(w) + 1), "filler")
+        wrapped = "".join(x + rng.choice([" ", "\n", "\n * ", "  "]) for x in w)
+        rows.append((i, "words before " * rng.randrange(4) + wrapped + " and after"))
+    rows += [(1000, "released " + "x " * 40 + "under " + "x " * 40 + "the mit " + "x " * 40 + "license"), (1001, None), (1002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.sql(ORACLE_SQL["op10_licenses"])
+    cols = want.columns
+    got = [tuple(r) for r in licenses.scan(df).select(*cols).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
+    labels = {r[cols.index("doc_id")]: r[cols.index("labels")] for r in got}
+    assert all(labels[i] for i in range(len(licenses.NOTICES) * 3)) and labels[1000] == ""
