@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF0001
 
-TABLES = "documents embeddings pages conversations".split()
+TABLES = "documents benchmark embeddings pages conversations".split()
 
 
 def norm(v):
