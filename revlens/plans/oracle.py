@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from ..functions.lexicons import (API_LEXICON, APP_LEXICON, ASPECTS, JSON_LEXICON, NA_TOKENS,
                                   REVIEWS_LIMIT_APP, dedupe, is_word_keyword)
+from ..operators.fitted import VOCABULARY
 from ..operators.scoring import DEFAULT_BIAS, LinearScorer
 from ..operators.spam import ALPHA, CELLS, DEFAULT_NUM_HASHES, FAMILY, LOOKS, MERSENNE_31, hash_params, look_z
 from .derived import TEMPLATES, reviews_sql, sql_str
@@ -404,5 +405,28 @@ one AS (SELECT g.batch, g.n, g.avg_ttr, least(greatest(e.jaccard_est, g.lo1), g.
 SELECT batch, n, avg_ttr, round(est, 3) AS avg_jaccard, round(se, 4) AS jaccard_se,
        decided_by = 'lower_bound' OR (decided_by = 'estimate' AND round(est, 3) >= 0.8) AS is_spam, decided_by,
        decided_by = 'estimate' AND abs(est - 0.7995) <= {look_z(looks=1)} * se AS undecided FROM one"""
+    q["stream_review_limit"] = f"""WITH {base}
+SELECT batch, review_id, rk::INTEGER AS "rank", length(reviews)::INTEGER AS n_chars
+FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY review_id) AS rk FROM nn) WHERE rk <= {REVIEWS_LIMIT_APP}"""
+    q["ordered_export"] = f"""SELECT row_number() OVER (ORDER BY review_id, aspect_ord) - 1 AS "position",
+       "Reviews", "Aspect", "Formatted Review", "Sentiment" FROM ({q["masked_rows"]})"""
+    q["fitted_labels"] = f"""WITH {base}, {score_nn},
+tok AS (SELECT review_id, unnest(list_filter(words, lambda x: x <> '')) AS word FROM nn),
+vocab AS (SELECT word FROM tok GROUP BY word ORDER BY count(*) DESC, word LIMIT {VOCABULARY}),
+tf AS (SELECT review_id, word, count(*)::DOUBLE AS c FROM tok JOIN vocab USING (word) GROUP BY review_id, word),
+cls(k, cls) AS (VALUES (0, 'Negative'), (1, 'Neutral'), (2, 'Positive')),
+docs AS (SELECT a.aspect, cls.k, cls.cls, count(l.review_id) + 1 AS n FROM asp a CROSS JOIN cls
+         LEFT JOIN lab l ON l.aspect = a.aspect AND l.sentiment = cls.cls GROUP BY ALL),
+sums AS (SELECT l.aspect, l.sentiment AS cls, tf.word, sum(tf.c) AS s FROM lab l JOIN tf ON tf.review_id = l.review_id GROUP BY ALL),
+cell AS (SELECT d.aspect, d.k, v.word, ln(coalesce(s.s, 0) + 1) AS lw FROM docs d CROSS JOIN vocab v
+         LEFT JOIN sums s ON s.aspect = d.aspect AND s.cls = d.cls AND s.word = v.word),
+prior AS (SELECT d.aspect, d.k, ln(d.n + 1) - ln(sum(d.n) OVER (PARTITION BY d.aspect) + 3) AS lp,
+                 ln(coalesce((SELECT sum(s.s) FROM sums s WHERE s.aspect = d.aspect AND s.cls = d.cls), 0) + (SELECT count(*) FROM vocab)) AS ld FROM docs d),
+part AS (SELECT l.review_id, l.aspect, c.k, sum(tf.c * c.lw) AS lw, sum(tf.c) AS n
+         FROM lab l JOIN tf ON tf.review_id = l.review_id JOIN cell c ON c.aspect = l.aspect AND c.word = tf.word GROUP BY ALL),
+raw AS (SELECT l.review_id, l.aspect, p.k, p.lp + coalesce(t.lw - t.n * p.ld, 0) AS x FROM lab l JOIN prior p ON p.aspect = l.aspect
+        LEFT JOIN part t ON t.review_id = l.review_id AND t.aspect = l.aspect AND t.k = p.k)
+SELECT review_id, aspect, round(max(x) FILTER (k = 0), 3) AS log_neg, round(max(x) FILTER (k = 1), 3) AS log_neu,
+       round(max(x) FILTER (k = 2), 3) AS log_pos, (['Negative', 'Neutral', 'Positive'])[arg_max(k, x) + 1] AS sentiment FROM raw GROUP BY review_id, aspect"""
     q["stream_rollup"] = q_rollup("drop", True, src="nn")
     return q

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import ASPECTS, JSON_LEXICON, NA_TOKENS, REVIEWS_LIMIT_APP, dedupe
-from ..operators import lexicon_join, masking, positions, rollup, scoring, spam, tagging
+from ..operators import fitted, lexicon_join, masking, positions, rollup, scoring, spam, tagging
 from ..session import staging_path
-from ..sources import payload, reviews
+from ..sources import ordered, payload, reviews
 from ..streaming import gate, stream
 from . import flow
 from .derived import TEMPLATES, load_table, reviews_view, templates_df
@@ -314,6 +314,25 @@ def q_model_labels(spark, sf_dir):
     return sc.select("review_id", *ASPECTS)
 
 
+def q_fitted_labels(spark, sf_dir):
+    """SCR-2(b): naive Bayes per aspect, fitted on the linear scorer's labels of all
+    reviews, saved, loaded and applied to all reviews."""
+    rows = _nn(spark, sf_dir)
+    folder = staging_path(spark, "models")
+    fitted.save(fitted.fit(flow.score_reviews(rows, keep_features=False)), folder)
+    sc = flow.score_reviews(rows, scoring.PipelineScorer(fitted.load(spark, folder)), keep_features=False)
+    return scoring.sentiment_long(sc).select(
+        "review_id", "aspect", *[F.round(F.col("logits")[i], 3).alias(f"log_{c}") for i, c in enumerate(("neg", "neu", "pos"))], "sentiment")
+
+
+def q_ordered_export(spark, sf_dir):
+    """SNK-2, TXT-7: the masked export in the order of review and aspect over all
+    of its files, read back with every row's place."""
+    path = staging_path(spark, "ordered")
+    ordered.write_ordered_csv(q_masked_rows(spark, sf_dir), path, ["review_id", "aspect_ord"], masking.EXPORT_COLUMNS)
+    return ordered.read_ordered_csv(spark, path)
+
+
 def _landed(spark, sf_dir) -> str:
     path = staging_path(spark, "stream-source")
     _nn(spark, sf_dir).select("review_id", "batch", "reviews").write.json(path)
@@ -342,6 +361,14 @@ def q_stream_gate(spark, sf_dir):
     return gate.current_gate(spark, table)
 
 
+def q_stream_review_limit(spark, sf_dir):
+    """SRT-3 on the stream: the first reviews of every hospital after the stream
+    has seen all files, a few files a micro-batch."""
+    table = staging_path(spark, "stream-limit")
+    stream.start_limit_query(spark, _landed(spark, sf_dir), table, available_now=True, max_files_per_trigger=8).awaitTermination()
+    return stream.current_first(spark, table).select("batch", "review_id", "rank", F.length("reviews").alias("n_chars"))
+
+
 def q_review_limit(spark, sf_dir):
     """SRT-3: the first 100 reviews per hospital (provider limit)."""
     w = Window.partitionBy("batch").orderBy("review_id")
@@ -425,6 +452,9 @@ QUERIES = {
     "stream_predict": q_stream_predict,
     "stream_rollup": q_stream_rollup,
     "stream_gate": q_stream_gate,
+    "stream_review_limit": q_stream_review_limit,
+    "fitted_labels": q_fitted_labels,
+    "ordered_export": q_ordered_export,
     "nan_cells": q_nan_cells,
     "na_normalise": q_na_normalise,
 }

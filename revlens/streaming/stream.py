@@ -3,6 +3,8 @@
 * :func:`prediction_stream` -- STR-1: landed review files (JSON lines or CSV)
   -> the same stateless gate + scorer as the batch path -> append sink with a
   checkpoint. Exactly the batch transform, per micro-batch.
+* :func:`start_limit_query` -- SRT-3: the first reviews of every hospital, kept
+  in order and evicted by smaller ids that come later.
 * :func:`rollup_counter_stream` -- STR-2: running per-batch counters (six
   aspects x three classes) kept in streaming state; state size is
   batches x 18 longs. :func:`rollup_from_counters` turns the counters into the
@@ -16,11 +18,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from ..functions.lexicons import ASPECTS, NA_TOKENS
+from ..functions.lexicons import ASPECTS, NA_TOKENS, REVIEWS_LIMIT_APP
 from ..operators import rollup, scoring
 from ..plans import flow
 from ..functions import text as T
@@ -122,10 +124,45 @@ def start_gate_query(spark: SparkSession, source: str, table: str, fmt: str = "j
     return w.start()
 
 
+def _first(rows: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` smallest ids of every batch, one row an id (that of its newest
+    epoch, of equal ones the smallest). The rank comes first and is cut before the
+    exchange; repeats of an id share it and take no other id's place."""
+    values = [c for c in rows.columns if c not in ("batch", "review_id", "epoch")]
+    rank = F.dense_rank().over(Window.partitionBy("batch").orderBy("review_id"))
+    kept = rows.withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    best = F.min(F.struct((-F.col("epoch")).alias("_age"), *values)).alias("_v")
+    return kept.groupBy("batch", "review_id").agg(best).select(
+        "batch", "review_id", *[F.col("_v")[c].alias(c) for c in values], (-F.col("_v._age")).alias("epoch"))
+
+
+def start_limit_query(spark: SparkSession, source: str, table: str, fmt: str = "json", checkpoint: str | None = None,
+                      available_now: bool = False, max_files_per_trigger: int | None = None, limit: int = REVIEWS_LIMIT_APP):
+    """SRT-3 on the stream: ``table`` keeps the first ``limit`` reviews of every
+    batch by id, in whatever order they arrive. A micro-batch adds its own first
+    ones; compaction evicts what smaller ids have displaced, so the state holds at
+    most ``limit`` rows a batch in the base and in each delta. NULL reviews are
+    dropped; a NULL id is one id and comes first."""
+    def publish(df: DataFrame, epoch_id: int) -> None:
+        rows = _first(df.withColumn("epoch", F.lit(epoch_id).cast("long")), limit)
+        deltas.publish(rows.drop("epoch"), table, epoch_id, lambda r: _first(r, limit))
+
+    reviews = flow.drop_null_reviews(read_review_stream(spark, source, fmt, max_files_per_trigger=max_files_per_trigger))
+    w = reviews.writeStream.option("checkpointLocation", _checkpoint(spark, "limit", source, table, checkpoint)).foreachBatch(publish)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def current_first(spark: SparkSession, table: str, limit: int = REVIEWS_LIMIT_APP) -> DataFrame:
+    """The first reviews of every batch as of the newest micro-batch, ranked."""
+    rows = deltas.read(spark, table, lambda r: _first(r, limit)).drop("epoch")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("batch").orderBy("review_id")))
+
+
 def current_rollup(spark: SparkSession, table: str, group_cols=("batch",)) -> DataFrame:
     """The rollup table as of the newest micro-batch."""
     return rollup_from_counters(current_counters(spark, table, group_cols), group_cols)
 
 
 __all__ = ["read_review_stream", "prediction_stream", "rollup_counter_stream", "rollup_from_counters",
-           "start_prediction_query", "start_rollup_query", "start_gate_query", "current_counters", "current_rollup", "scoring"]
+           "start_prediction_query", "start_rollup_query", "start_gate_query", "start_limit_query", "current_first", "current_counters", "current_rollup", "scoring"]
