@@ -1,9 +1,9 @@
 """Models fitted per aspect (SCR-2(b)): a multinomial naive Bayes for each of them.
 
-The features are word counts over one vocabulary for all aspects, written once;
-every aspect's model is then fitted from that table (a sum per class, combined in
-the map tasks). Models are saved under a folder, one per aspect, as pipelines that
-take the text itself, and loaded for :class:`scoring.PipelineScorer`.
+Texts are split into words once; the features are word counts over one vocabulary
+for all aspects, written once, and every aspect's model is fitted from that table (a
+sum per class, combined in the map tasks). Models are saved under a folder, one per aspect, as pipelines that
+take the text itself; :func:`scorer` applies them with the words counted once.
 
 To the rows of each aspect comes one empty text per class, so that a class without
 rows keeps its place in the model. An aspect without rows gets no model (SCR-4).
@@ -11,13 +11,13 @@ rows keeps its place in the model. An aspect without rows gets no model (SCR-4).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import ASPECTS, SENTIMENT_LABELS
 from ..session import staging_path
-from . import lexicon_join
+from . import lexicon_join, scoring
 
 # Words of the vocabulary: the most frequent ones, ties in code-point order.
 VOCABULARY = 4096
@@ -26,16 +26,19 @@ INPUT, WORDS, FEATURES = "text", "_words", "_features"
 
 def vocabulary(rows: DataFrame, text_col: str = "reviews", size: int = VOCABULARY) -> list[str]:
     """The ``size`` most frequent words of all texts."""
-    words = rows.select(F.explode_outer(lexicon_join.words_of(text_col)).alias("word")).where("word is not null")
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return _most_frequent(rows, lexicon_join.words_of(text_col), size)
+
+
+def _most_frequent(rows: DataFrame, words: Column, size: int) -> list[str]:
+    found = rows.select(F.explode_outer(words).alias("word")).where("word is not null")
+    top = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
     return [r["word"] for r in top.collect()]  # at most ``size`` rows
 
 
-def _featurizer(vocab: list[str]) -> list:
-    from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
+def _splitter():
+    from pyspark.ml.feature import SQLTransformer
 
-    split = SQLTransformer(statement=f"SELECT *, filter(split(lower({INPUT}), r'{T.NON_WORD_RUN}'), w -> w <> '') AS {WORDS} FROM __THIS__")
-    return [split, CountVectorizerModel.from_vocabulary(vocab, inputCol=WORDS, outputCol=FEATURES)]
+    return SQLTransformer(statement=f"SELECT *, filter(split(lower({INPUT}), r'{T.NON_WORD_RUN}'), w -> w <> '') AS {WORDS} FROM __THIS__")
 
 
 def fit(labelled: DataFrame, text_col: str = "reviews", size: int = VOCABULARY, smoothing: float = 1.0) -> dict:
@@ -43,19 +46,20 @@ def fit(labelled: DataFrame, text_col: str = "reviews", size: int = VOCABULARY,
     an empty or NULL label or a NULL text is no training row."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import CountVectorizerModel
 
     spark = labelled.sparkSession
     rows = labelled.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias(INPUT), *ASPECTS)
-    path = staging_path(spark, "labelled")
-    rows.write.parquet(path)
+    path, splitter = staging_path(spark, "labelled"), _splitter()
+    splitter.transform(rows).select(WORDS, *ASPECTS).write.parquet(path)
     rows = spark.read.parquet(path)
-    vocab = vocabulary(rows, INPUT, size)
+    vocab = _most_frequent(rows, F.col(WORDS), size)
     if not vocab:
         return {}
-    stages = _featurizer(vocab)
+    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol=WORDS, outputCol=FEATURES)
     features = staging_path(spark, "features")
-    empty = spark.createDataFrame([("", *[k] * len(ASPECTS)) for k in SENTIMENT_LABELS], rows.schema)
-    PipelineModel(stages=stages).transform(rows.unionByName(empty)).select(INPUT, FEATURES, *ASPECTS).drop(INPUT).write.parquet(features)
+    empty = spark.createDataFrame([([], *[k] * len(ASPECTS)) for k in SENTIMENT_LABELS], rows.schema)
+    counter.transform(rows.unionByName(empty)).select(FEATURES, *ASPECTS).write.parquet(features)
     table = spark.read.parquet(features)
     seen = rows.agg(*[F.count_if(F.col(a) != F.lit("")).alias(a) for a in ASPECTS]).first()
     classes = F.array(*[F.lit(k) for k in SENTIMENT_LABELS])
@@ -64,7 +68,7 @@ def fit(labelled: DataFrame, text_col: str = "reviews", size: int = VOCABULARY,
     for a in ASPECTS:
         if seen[a]:
             train = table.select(FEATURES, (F.array_position(classes, F.col(a)) - 1).cast("double").alias("_label")).where("_label >= 0")
-            models[a] = PipelineModel(stages=[*stages, bayes.fit(train)])
+            models[a] = PipelineModel(stages=[splitter, counter, bayes.fit(train)])
     return models
 
 
@@ -84,3 +88,11 @@ def load(spark: SparkSession, folder: str) -> dict:
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             found[a] = PipelineModel.load(f"{folder}/{i}")
     return found
+
+
+def scorer(models: dict) -> scoring.PipelineScorer:
+    """A scorer of models fitted together: what they share runs once a review."""
+    from pyspark.ml import PipelineModel
+
+    shared = PipelineModel(stages=next(iter(models.values())).stages[:-1]) if models else None
+    return scoring.PipelineScorer({a: m.stages[-1] for a, m in models.items()}, input_col=INPUT, shared=shared)

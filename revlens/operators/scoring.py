@@ -23,6 +23,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from functools import reduce
 from typing import Callable, Iterator, Tuple
 
 import pandas as pd
@@ -280,11 +281,16 @@ class PipelineScorer:
     narrow chain, no join back and no shuffle; each model's own output
     columns are dropped again after its margins are taken. A model sees the
     text of its gated rows only (an empty text elsewhere). Aspects without a
-    model get ``Neutral`` (SCR-4); ungated aspects ``""``."""
+    model get ``Neutral`` (SCR-4); ungated aspects ``""``.
+
+    ``shared`` is a pipeline that all models begin with (a tokeniser, features):
+    it runs once on the text of the rows that any aspect gates, and the models
+    read what it adds."""
 
     def __init__(self, models: dict, input_col: str = "text", raw_col: str = "rawPrediction",
-                 threshold: float = CONFIDENCE_THRESHOLD):
+                 threshold: float = CONFIDENCE_THRESHOLD, shared=None):
         self.models = dict(models)
+        self.shared = shared
         self.input_col = input_col
         self.raw_col = raw_col
         self.threshold = threshold
@@ -296,18 +302,26 @@ class PipelineScorer:
         if self.input_col != text_col and self.input_col in df.columns:
             raise ValueError(f"input column {self.input_col!r} already exists")
         out = df.withColumn(held, F.col(text_col))
+        common = []
+        if self.shared is not None:
+            any_gate = reduce(lambda x, y: x | y, [F.coalesce(gates[a], F.lit(False)) for a in ASPECTS])
+            out = out.withColumn(self.input_col, F.when(any_gate, F.col(held)).otherwise(F.lit("")))
+            before = set(out.columns)
+            out = self.shared.transform(out)
+            common = [c for c in out.columns if c not in before]
         for a in ASPECTS:
             model = self.models.get(a)
             if model is None:
                 out = out.withColumn(f"logits_{a}", F.lit(None).cast("array<double>"))
                 continue
-            out = out.withColumn(self.input_col, F.when(gates[a], F.col(held)).otherwise(F.lit("")))
+            if self.shared is None:
+                out = out.withColumn(self.input_col, F.when(gates[a], F.col(held)).otherwise(F.lit("")))
             before = set(out.columns)
             scored = model.transform(out)
             added = [c for c in scored.columns if c not in before]
             out = (scored.withColumn(f"logits_{a}", F.when(gates[a], vector_to_array(F.col(self.raw_col))))
                    .drop(*added))
-        out = out.drop(self.input_col)
+        out = out.drop(self.input_col, *common)
         if self.input_col == text_col or text_col not in out.columns:
             out = out.withColumn(text_col, F.col(held))
         out = out.drop(held)

@@ -320,7 +320,7 @@ def q_fitted_labels(spark, sf_dir):
     rows = _nn(spark, sf_dir)
     folder = staging_path(spark, "models")
     fitted.save(fitted.fit(flow.score_reviews(rows, keep_features=False)), folder)
-    sc = flow.score_reviews(rows, scoring.PipelineScorer(fitted.load(spark, folder)), keep_features=False)
+    sc = flow.score_reviews(rows, fitted.scorer(fitted.load(spark, folder)), keep_features=False)
     return scoring.sentiment_long(sc).select(
         "review_id", "aspect", *[F.round(F.col("logits")[i], 3).alias(f"log_{c}") for i, c in enumerate(("neg", "neu", "pos"))], "sentiment")
 

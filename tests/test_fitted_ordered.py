@@ -79,3 +79,17 @@ def test_review_limit_on_a_stream(spark, tmp_path):
     stream.start_limit_query(spark, str(tmp_path / "in"), table, checkpoint=str(tmp_path / "ck"), available_now=True, max_files_per_trigger=1, limit=10).awaitTermination(300)
     got = [(r.batch, r.review_id, r["rank"], r.reviews) for r in stream.current_first(spark, table, 10).collect()]
     assert Counter(got) == Counter((b, i, i + 1, f"r{i}") for b in ("x", "y", None) for i in range(10))
+
+
+def test_shared_features_give_the_same_labels(spark):
+    """The scorer that counts words once against one that runs whole pipelines."""
+    from pyspark.sql import functions as F
+
+    from revlens.operators import scoring
+
+    models = fitted.fit(labelled(spark, ROWS))
+    df = spark.createDataFrame([(1, "kind, kind"), (2, "rude unseen"), (3, "")], "review_id long, reviews string")
+    gates = {a: F.col("review_id") != (2 if i else 3) for i, a in enumerate(ASPECTS)}
+    one, each = (s.apply(df, gates).select("review_id", "reviews", *ASPECTS, *[f"logits_{a}" for a in ASPECTS[:2]]) for s in (fitted.scorer(models), scoring.PipelineScorer(models)))
+    assert sorted(one.collect()) == sorted(each.collect())
+    assert {r[a] for r in fitted.scorer({}).apply(df, gates).collect() for a in ASPECTS} == {"", "Neutral"}
