@@ -329,7 +329,9 @@ def q_ordered_export(spark, sf_dir):
     """SNK-2, TXT-7: the masked export in the order of review and aspect over all
     of its files, read back with every row's place."""
     path = staging_path(spark, "ordered")
-    ordered.write_ordered_csv(q_masked_rows(spark, sf_dir), path, ["review_id", "aspect_ord"], masking.EXPORT_COLUMNS)
+    clean = _clean(spark, sf_dir).select("review_id", "reviews")
+    ordered.write_ordered_csv(clean, path, ["review_id"], masking.EXPORT_COLUMNS,
+                              expand=lambda rows: masking.masked_rows(flow.score_reviews(rows)))
     return ordered.read_ordered_csv(spark, path)
 
 

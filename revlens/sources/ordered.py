@@ -10,6 +10,8 @@ folder without one is not complete, whatever a failed job left in it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +25,21 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def write_ordered_csv(df: DataFrame, path: str, order: list[str], columns: list[str], parts: int | None = None) -> DataFrame:
+def write_ordered_csv(df: DataFrame, path: str, order: list[str], columns: list[str], parts: int | None = None,
+                      expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Write ``columns`` in the order of ``order`` and return the manifest. The rows
-    are staged first: finding the ranges reads them once more."""
+    are staged first: finding the ranges reads them once more. ``expand`` (narrow
+    steps only) makes the written rows of each sorted row, after the exchange, so
+    that what it repeats is neither staged nor exchanged."""
     spark = df.sparkSession
     staged = staging_path(spark, "export")
-    df.select(*dict.fromkeys([*order, *columns])).write.parquet(staged)
+    keep = dict.fromkeys([*order, *(df.columns if expand else columns)])
+    df.select(*[f"`{c}`" for c in keep]).write.parquet(staged)
     rows = spark.read.parquet(staged)
-    by = [F.col(f"`{c}`") for c in order] + [F.xxhash64(*[F.col(f"`{c}`") for c in columns])]
+    by = [F.col(f"`{c}`") for c in order] + [F.xxhash64(*[F.col(f"`{c}`") for c in keep])]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    write_results_csv(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(*[f"`{c}`" for c in columns]), path)
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    write_results_csv((expand(rows) if expand else rows).select(*[f"`{c}`" for c in columns]), path)
     counts = _files(spark, path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
     # a row per file
     first = counts.withColumn("first_row", F.sum("n_rows").over(Window.orderBy("file")) - F.col("n_rows"))

@@ -65,6 +65,14 @@ def test_ordered_files(spark, tmp_path, hot):
     assert ordered.read_ordered_csv(spark, empty).count() == 0
 
 
+def test_rows_made_after_the_exchange_keep_the_order(spark, tmp_path):
+    df = spark.createDataFrame([(i * 37 % 100,) for i in range(100)], "id long")
+    twice = lambda rows: rows.selectExpr("id", "inline(filter(array(struct('a' AS k), struct('b' AS k)), s -> id % 5 > 0))")
+    ordered.write_ordered_csv(df, str(tmp_path / "out"), ["id"], ["k", "id"], parts=5, expand=twice)
+    got = sorted((r.position, int(r.id), r.k) for r in ordered.read_ordered_csv(spark, str(tmp_path / "out")).collect())
+    assert got == [(n, i, k) for n, (i, k) in enumerate((i, k) for i in range(100) if i % 5 for k in "ab")]
+
+
 def test_review_limit_on_a_stream(spark, tmp_path):
     """Ids in any order, repeated in a file and over files, and repeated epochs."""
     rng = random.Random(5)
