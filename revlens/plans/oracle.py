@@ -369,13 +369,15 @@ FROM cells GROUP BY role"""
     q["xlsx_roundtrip"] = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE 'False' END AS "Urgent",
        CASE WHEN doc_id % 13 = 4 THEN NULL ELSE text END AS reviews, 'reviews-' || (doc_id // 100)::VARCHAR || '.xlsx' AS source_file FROM documents"""
     lex_words = f"list_filter(regexp_split_to_array(lower(text), '{WORDS_RE2}'), lambda x: x <> '')"
-    q["lexicon_hits"] = f"""WITH {base},
-lex AS (SELECT DISTINCT 'benchmark' AS aspect, unnest({lex_words}) AS keyword FROM benchmark
-        UNION SELECT 'opening', array_to_string(({lex_words})[1:2], ' ') FROM documents WHERE len({lex_words}) > 0),
+    data_lexicon = f"""lex AS (SELECT DISTINCT 'benchmark' AS aspect, unnest({lex_words}) AS keyword FROM benchmark
+        UNION SELECT 'opening', array_to_string(({lex_words})[1:2], ' ') FROM documents WHERE len({lex_words}) > 0)"""
+    q["lexicon_hits"] = f"""WITH {base}, {data_lexicon},
 w AS (SELECT review_id, list_filter(words, lambda x: x <> '') AS ws FROM nn),
 grams AS (SELECT DISTINCT review_id, unnest(ws) AS gram FROM w
           UNION SELECT review_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT review_id, ws, unnest(range(1, len(ws))) AS i FROM w))
 SELECT aspect, keyword, count(*) AS n_reviews FROM lex JOIN grams ON gram = keyword GROUP BY aspect, keyword"""
+    q["substring_hits"] = f"""WITH {base}, {data_lexicon}
+SELECT aspect, keyword, count(*) AS n_reviews FROM lex JOIN nn ON contains(low, keyword) GROUP BY aspect, keyword"""
     q["attach_by_position"] = f"""WITH {base}
 SELECT row_number() OVER (ORDER BY review_id) - 1 AS "position", review_id, batch, length(reviews)::INTEGER AS n_chars FROM nn"""
     q["masked_export"] = f"""SELECT "Aspect", "Sentiment", count(*) AS n_rows, sum(length("Reviews"))::BIGINT AS review_chars,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import ASPECTS, JSON_LEXICON, NA_TOKENS, REVIEWS_LIMIT_APP, dedupe
-from ..operators import fitted, lexicon_join, masking, positions, rollup, scoring, spam, tagging
+from ..operators import fitted, lexicon_join, masking, positions, rollup, scoring, spam, substring_join, tagging
 from ..session import staging_path
 from ..sources import ordered, payload, reviews
 from ..streaming import gate, stream
@@ -259,6 +259,13 @@ def q_lexicon_hits(spark, sf_dir):
     return hits.groupBy("aspect", "keyword").agg(F.count(F.lit(1)).alias("n_reviews"))
 
 
+def q_substring_hits(spark, sf_dir):
+    """SRC-6, JON-2: reviews that hold each keyword of a lexicon given as data
+    anywhere in their text, inside words too."""
+    hits = substring_join.match(_nn(spark, sf_dir), _data_lexicon(spark, sf_dir))
+    return hits.groupBy("aspect", "keyword").agg(F.count(F.lit(1)).alias("n_reviews"))
+
+
 def q_attach_by_position(spark, sf_dir):
     """JON-4, SRC-8: lengths attached to the reviews by their position alone."""
     rows = _nn(spark, sf_dir)
@@ -446,6 +453,7 @@ QUERIES = {
     "csv_roundtrip": q_csv_roundtrip,
     "xlsx_roundtrip": q_xlsx_roundtrip,
     "lexicon_hits": q_lexicon_hits,
+    "substring_hits": q_substring_hits,
     "attach_by_position": q_attach_by_position,
     "masked_export": q_masked_export,
     "template_jaccard_whole": q_template_jaccard_whole,

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from revlens.operators import lexicon_join, positions, spam
+from revlens.operators import lexicon_join, positions, spam, substring_join
 
 TEXTS = ["Great Wi-Fi, great room", "wi fi", "the air conditioning unit", "air. Conditioning!", "", None, "room service room service", "éÉ à"]
 LEXICON = [("a", "wi-fi"), ("a", "room"), ("b", "AIR conditioning"), ("b", "room service"), ("c", "É"), ("c", "éé"), ("d", "..."), ("d", "service room")]
@@ -34,6 +34,28 @@ def test_lexicon_as_data(spark, monkeypatch, bound):
     assert lexicon_join.match(texts.limit(0), lex).count() == 0
 
 
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_substrings_of_a_keyword_table(spark, monkeypatch, bound):
+    """Broadcast and salted shuffle against ``in``: keywords shorter and longer than
+    the run, of astral code points, at both ends of a text and over a piece's end."""
+    monkeypatch.setattr(spam, "MAX_BROADCAST_BYTES", bound)
+    monkeypatch.setattr(substring_join, "PIECE", 50)
+    rng = random.Random(bound)
+    texts = ["".join(rng.choice("abcé \U0001F600") for _ in range(rng.choice([0, 1, 5, 60, 400]))) for _ in range(60)] + ["", None, "ABC", texts_repeat := "ab" * 300]
+    pool = "".join(t for t in texts if t)
+    words = {pool[p:p + rng.randint(1, 30)] for p in rng.sample(range(len(pool)), 200)} | {texts_repeat, "", "zzzzzzz", "Abc", "abc"}
+    lexicon = [(k % 3, w) for k, w in enumerate(sorted(words))] + [(0, "a"), (0, "a"), (None, "b"), (1, None)]
+    df = spark.createDataFrame([(2**53 + 1 + i, t) for i, t in enumerate(texts)] + [(None, "null key abc")], "review_id long, reviews string").repartition(3)
+    lex = spark.createDataFrame(lexicon, "aspect int, keyword string")
+    got = sorted(map(repr, (tuple(r) for r in substring_join.match(df, lex).select("review_id", "aspect", "keyword").collect())))
+    rows = [(2**53 + 1 + i, t) for i, t in enumerate(texts) if t is not None] + [(None, "null key abc")]
+    assert got == sorted(repr((i, a, k)) for i, t in rows for a, k in set(lexicon) if k and k.lower() in t.lower())
+    assert substring_join.match(df, lex.limit(0)).count() == 0
+    assert substring_join.match(df.limit(0), lex).count() == 0
+    with pytest.raises(ValueError):
+        substring_join.match(df, lex.withColumnRenamed("aspect", "review_id"))
+
+
 def test_positions_are_dense(spark):
     rng = random.Random(1)
     ids = rng.sample(range(-10**15, 10**15), 500)
