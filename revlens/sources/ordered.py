@@ -10,14 +10,20 @@ folder without one is not complete, whatever a failed job left in it.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import staging_path
 from .reviews import write_results_csv
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MANIFEST = "_manifest"
 
 
@@ -49,11 +55,21 @@ def write_ordered_csv(df: DataFrame, path: str, order: list[str], columns: list[
 
 def read_ordered_csv(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
     """The rows with their dense place in the order. A file is read by one task
-    from its start, so its rows are numbered there; the manifest adds the files
-    before. A folder without manifest is an error."""
-    manifest = spark.read.parquet(f"{path}/{MANIFEST}")
-    rows = _files(spark, path).select("*", F.col("_metadata.file_name").alias("file"))
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("file").orderBy("_at")))
-    return (rows.join(manifest.drop("n_rows"), "file").withColumn(name, F.col("first_row") + F.col("_nth") - 1)
-            .drop("file", "_at", "_nth", "first_row"))
+    from its start, so its rows are numbered as they pass, without an exchange; the
+    manifest adds the files before. A folder without manifest is an error."""
+    manifest = spark.read.parquet(f"{path}/{MANIFEST}").select("file", "first_row")
+    rows = _files(spark, path).select("*", F.col("_metadata.file_name").alias("_file"))
+    numbered = rows.mapInArrow(_number, T.StructType([*rows.schema.fields, T.StructField("_nth", T.LongType())]))
+    return (numbered.join(manifest, F.col("_file") == F.col("file")).withColumn(name, F.col("first_row") + F.col("_nth"))
+            .drop("_file", "_nth", "file", "first_row"))
+
+
+def _number(batches):
+    """Adds each row's place in its file; the last column names the file."""
+    seen: dict[str, int] = {}
+    for batch in batches:
+        nth = []
+        for file in batch.column(batch.num_columns - 1).to_pylist():
+            seen[file] = seen.get(file, -1) + 1
+            nth.append(seen[file])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64())], [*batch.schema.names, "_nth"])
