@@ -32,11 +32,13 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ordered_csv(df: DataFrame, path: str, order: list[str], columns: list[str], parts: int | None = None,
-                      expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                      expand: Callable[[DataFrame], DataFrame] | None = None, compression: str = "gzip") -> DataFrame:
     """Write ``columns`` in the order of ``order`` and return the manifest. The rows
     are staged first: finding the ranges reads them once more. ``expand`` (narrow
     steps only) makes the written rows of each sorted row, after the exchange, so
-    that what it repeats is neither staged nor exchanged."""
+    that what it repeats is neither staged nor exchanged. Files are compressed, since
+    the rows of one text repeat it (``compression="none"``: plain text); a file with
+    line ends in its cells is read by one task either way."""
     spark = df.sparkSession
     staged = staging_path(spark, "export")
     keep = dict.fromkeys([*order, *(df.columns if expand else columns)])
@@ -45,7 +47,7 @@ def write_ordered_csv(df: DataFrame, path: str, order: list[str], columns: list[
     by = [F.col(f"`{c}`") for c in order] + [F.xxhash64(*[F.col(f"`{c}`") for c in keep])]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    write_results_csv((expand(rows) if expand else rows).select(*[f"`{c}`" for c in columns]), path)
+    write_results_csv((expand(rows) if expand else rows).select(*[f"`{c}`" for c in columns]), path, compression)
     counts = _files(spark, path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
     # a row per file
     first = counts.withColumn("first_row", F.sum("n_rows").over(Window.orderBy("file")) - F.col("n_rows"))

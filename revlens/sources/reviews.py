@@ -314,8 +314,8 @@ def write_staging(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_results_csv(df: DataFrame, path: str) -> None:
+def write_results_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """SNK-2: header CSV with doubled-quote escaping. Spark's writer trims cells
     unless told not to."""
-    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    (df.write.mode("overwrite").option("header", True).option("compression", compression).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

@@ -47,13 +47,13 @@ def test_nothing_to_fit(spark, tmp_path):
     assert fitted.vocabulary(rows, size=2) == ["a", "b"]
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_ordered_files(spark, tmp_path, hot):
+@pytest.mark.parametrize("hot,compression", [(False, "gzip"), (True, "none")])
+def test_ordered_files(spark, tmp_path, hot, compression):
     rng = random.Random(3)
     rows = [(None if i % 50 == 0 else 7 if hot else rng.randrange(-10**12, 10**12), f'te"xt,\n {i}') for i in range(400)]
     df = spark.createDataFrame(rows, "id long, t string").repartition(5)
     path = str(tmp_path / "out")
-    manifest = ordered.write_ordered_csv(df, path, ["id"], ["t", "id"], parts=6).orderBy("file").collect()
+    manifest = ordered.write_ordered_csv(df, path, ["id"], ["t", "id"], parts=6, compression=compression).orderBy("file").collect()
     assert sum(m.n_rows for m in manifest) == 400 and len(manifest) > 3  # equal ids are split
     assert [m.first_row for m in manifest] == [sum(x.n_rows for x in manifest[:i]) for i in range(len(manifest))]
     got = sorted(ordered.read_ordered_csv(spark, path).collect(), key=lambda r: r.position)
