@@ -241,3 +241,28 @@ def test_explicit_broadcast_without_auto_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_estimate_query_counts_whole_minima(spark, tmp_path):
+    """The registered estimate against minima taken in plain Python: no cells, no
+    correction for them."""
+    import hashlib
+    import statistics
+
+    from revlens.plans.derived import TEMPLATES
+    from revlens.plans.queries import QUERIES
+
+    rng = random.Random(11)
+    docs = [(i, "ab"[i % 2], "en", " ".join(rng.choice("pqrstuvwxyz") for _ in range(rng.randint(1, 12)))) for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["batch"]: r for r in QUERIES["batch_jaccard_estimate"](spark, str(tmp_path)).collect()}
+    for b in "ab":
+        sets = [set(f"{TEMPLATES[i % len(TEMPLATES)]} {t}".split()) for i, s, _, t in docs if s == b]
+        xs = [[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % spam.MERSENNE_31 for t in s] for s in sets]
+        pairs = len(xs) * (len(xs) - 1) / 2
+        shares = []
+        for a, c in spam.hash_params():
+            least = [min((a * x + c) % spam.MERSENNE_31 for x in s) for s in xs]
+            shares.append(sum(x == y for i, x in enumerate(least) for y in least[:i]) / pairs)
+        assert got[b]["n"] == len(xs) and abs(got[b]["jaccard_est"] - statistics.mean(shares)) < 2e-6
+        assert abs(got[b]["jaccard_se"] - statistics.stdev(shares) / len(shares) ** 0.5) < 2e-6
