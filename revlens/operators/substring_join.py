@@ -1,25 +1,30 @@
 """Substring matching with a keyword table (JON-2 for lexicons that are data).
 
-A q-gram index: every keyword is filed under one of its own runs of ``Q`` code points,
-the one that is rarest in the texts (a keyword of up to ``Q`` under itself). Texts are
-scanned once per run length that occurs; a place whose run is in the index gives a
-candidate row (hash of the run, the text around it as far as any keyword filed there
-reaches), candidates meet the index in an equi-join, and the keyword is compared with
-the text at its own place in that surrounding.
-
-What tasks hold does not grow with the lexicon: the scan looks runs up in a table of
-``SLOTS`` slots, rarity is estimated in ``RARITY`` counters (it only steers the choice,
-never the result). The index is broadcast when its counted size allows it, else both
-sides are shuffled by (run, salt).
+Texts are scanned for places where a keyword may stand, by the hash of the place's
+first code points for every length that a keyword has. The sum of all code points
+times the powers of an odd number, kept for every prefix of a stretch of text, gives
+the hash of any place in it by one subtraction and one product. A place is looked up
+in a table of ``SLOTS`` slots by its first ``Q`` code points, which says what lengths
+of keywords begin so, and then by its whole length in a bit filter of all keywords.
+What passes comes out once a text, as a string, and meets the lexicon in an equi-join
+on the keyword, so that the filter's errors drop out. Candidates are thus as many as
+matches but for the filter's rare errors, however many keywords share a run.
+
+What tasks hold does not grow with the lexicon beyond ``MOST_BITS`` bits of filter.
+The lexicon is broadcast when its counted size allows it, else both sides are
+shuffled by (keyword, salt). A text's matches leave its task once; only texts whose
+keys repeat go through a distinct.
 
 NULL texts and empty keywords match nothing; rows that repeat their keys are one text;
-lexicon rows that repeat are one row. Runs are told apart by 64-bit hashes.
+lexicon rows that repeat are one row. Keywords found in a text are told apart by
+64-bit hashes, those of more than ``LONG`` code points by Python's own.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,139 +34,222 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import bound_batches, materialize
 from . import spam
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Q = 6
 SLOTS = 1 << 20
-RARITY = 1 << 16
+# Bits of the filter for each keyword, and at most.
+KEYWORD_BITS = 64
+MOST_BITS = 1 << 28
+LONG = 64
 SALTS = 16
-PIECE = 1 << 18        # code points of a text that are hashed at a time
-ROWS = 20_000          # candidate rows of one output batch
-
-
-def runs(text: str, m: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``m`` code points, in order."""
-    c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    n = max(len(c) - m + 1, 0)
-    h = np.full(n, m, np.uint64)
-    for j in range(m):
-        h = (h ^ c[j:j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def _slot(h: np.ndarray, slots: int) -> np.ndarray:
-    return (h >> np.uint64(65 - slots.bit_length())).astype(np.int64)
-
-
-def pieces(text: str, m: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(place of the first run, hashes) of a whole text, ``PIECE`` runs at a time."""
-    for s in range(0, len(text), PIECE):
-        yield s, runs(text[s:s + PIECE + m - 1], m)
-
-
-def candidates(text: str, lengths: list[int], left: np.ndarray, right: np.ndarray) -> set[tuple[int, int, str]]:
-    """(hash, code points before the run, surrounding text), each once."""
-    out = set()
-    for m in lengths:
-        for s, h in pieces(text, m):
-            slot = _slot(h, SLOTS)
-            at = np.flatnonzero(right[slot])
-            lone = (left[slot[at]] == 0) & (right[slot[at]] == m)  # nothing around it is needed
-            at = np.concatenate([at[~lone], at[lone][np.unique(h[at[lone]], return_index=True)[1]]])
-            for p, k, b, e in zip((at + s).tolist(), h[at].view(np.int64).tolist(), left[slot[at]].tolist(), right[slot[at]].tolist()):
-                b = min(b, p)
-                out.add((k, b, text[p - b:p + e]))
-    return out
-
-
-def _rarity(texts: DataFrame, text_col: str) -> np.ndarray:
-    """Estimated occurrences of runs of ``Q``, by slot: at most RARITY rows a task."""
-    def count(batches):
-        total = np.zeros(RARITY, np.int64)
+PIECE = 1 << 18        # code points that are hashed together
+ODD, MIX, AGAIN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def _powers(odd: int, n: int) -> np.ndarray:
+    out = np.full(n, odd, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Hashes:
+    """Hashes of any places of a stretch of text."""
+
+    def __init__(self, text: str):
+        x = (np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)) * np.uint64(MIX)
+        x ^= x >> np.uint64(29)
+        power, self.back = _powers(ODD, len(x)), _powers(pow(ODD, -1, 1 << 64), len(x))
+        self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power, dtype=np.uint64)])
+
+    def of(self, at: np.ndarray | slice, length) -> np.ndarray:
+        """Of the places ``at`` of ``length`` code points; the length counts too."""
+        end = slice(at.start + length, at.stop + length) if isinstance(at, slice) else at + length
+        h = (self.upto[end] - self.upto[at]) * self.back[at] + np.asarray(length).astype(np.uint64) * np.uint64(AGAIN)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(MIX)
+        return h ^ (h >> np.uint64(29))
+
+
+def _top(h: np.ndarray, size: int, odd: int) -> np.ndarray:
+    return ((h * np.uint64(odd)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _stretches(texts: list[str], reach: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and texts that are hashed together, PIECE code points or one text;
+    with ``reach`` a longer one comes in pieces that overlap by so much."""
+    at, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        if at and size + len(t) > PIECE:
+            yield at, held
+            at, held, size = [], [], 0
+        if reach is not None and len(t) > PIECE:
+            for s in range(0, len(t), PIECE):
+                yield [i], [t[s:s + PIECE + reach]]
+        elif t:
+            at.append(i)
+            held.append(t)
+            size += len(t)
+    if at:
+        yield at, held
+
+
+def _once(keys: np.ndarray) -> np.ndarray:
+    """Places of one element of every value."""
+    out, rest, table = [], np.arange(len(keys)), np.empty(1 << 16, np.int64)
+    while len(rest):
+        slot = _top(keys[rest], len(table), AGAIN)
+        table[slot] = rest
+        won = table[slot]
+        out.append(rest[won == rest])
+        rest = rest[keys[won] != keys[rest]]
+    return np.concatenate(out) if out else rest
+
+
+class Filter:
+    """What every task knows of the lexicon."""
+
+    def __init__(self, lengths: list[int], keywords: int):
+        self.short = [n for n in lengths if n < Q]
+        self.long = [n for n in lengths if n >= Q]
+        self.reach = max(lengths, default=1) - 1
+        self.bits = min(MOST_BITS, max(1 << 16, 1 << (KEYWORD_BITS * keywords - 1).bit_length()))
+
+    def rows(self, batches, column: int):
+        """(kind, word, bits) of the lexicon's keywords: kind 0 the filter, kind 1 the slots."""
+        kinds = {n: i % 64 for i, n in enumerate(self.long)}
         for batch in batches:
-            for text in batch.column(0):
-                for _, h in pieces(text.as_py() or "", Q):
-                    s, n = np.unique(_slot(h, RARITY), return_counts=True)
-                    total[s] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
-
-    rows = texts.select(text_col).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(RARITY, np.int64)
-    for slot, n in rows:
-        out[slot] = n
-    return out
-
-
-def index(lexicon: DataFrame, rarity: np.ndarray | None) -> DataFrame:
-    """The lexicon's rows with ``_gram`` and ``_offset``, the run that each keyword
-    (``_low``) is filed under and its place in the keyword; materialised."""
-    def file(batches):
+            for _, held in _stretches(batch.column(column).to_pylist()):
+                n = np.array([len(t) for t in held])
+                at = np.cumsum(n) - n
+                h, begin = Hashes("".join(held)), n >= Q
+                whole, first = h.of(at, n), h.of(at[begin], Q)
+                place = np.concatenate([_top(whole, self.bits, ODD), _top(whole, self.bits, AGAIN)])
+                kind = np.array([kinds[k] for k in n[begin].tolist()], np.uint64)
+                bits = np.concatenate([np.uint64(1) << (place % 64).astype(np.uint64), np.uint64(1) << kind]).view(np.int64)
+                word = np.concatenate([place // 64, _top(first, SLOTS, ODD)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([0, 1], [len(place), len(kind)]), pa.int32()), pa.array(word, pa.int32()), pa.array(bits, pa.int64())],
+                    ["kind", "word", "bits"])
+
+    def fill(self, rows: pa.Table) -> None:
+        self.words, self.slots = np.zeros(self.bits // 64, np.uint64), np.zeros(SLOTS, np.uint64)
+        kind, word, bits = (c.to_numpy() for c in rows.columns)
+        for k, into in enumerate((self.words, self.slots)):
+            into[word[kind == k]] = bits[kind == k].view(np.uint64)
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes that the filter holds."""
+        octets = self.words.astype("<u8", copy=False).view(np.uint8)
+
+        def held(p):
+            return np.flatnonzero((octets[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+
+        ok = held(_top(h, self.bits, ODD))
+        return ok[held(_top(h[ok], self.bits, AGAIN))]
+
+    def places(self, h: Hashes, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, hashes) where a keyword may stand; ``left`` are the code
+        points from a place to its text's end."""
+        n = len(left)
+        for m in self.short:
+            whole = h.of(slice(0, max(n - m + 1, 0)), m)
+            at = self.passes(whole)
+            at = at[left[at] >= m]
+            yield m, at, whole[at]
+        if not self.long:
+            return
+        slots = self.slots[_top(h.of(slice(0, max(n - Q + 1, 0)), Q), SLOTS, ODD)]
+        some = np.flatnonzero(slots)
+        slots = slots[some]
+        for i in range(min(len(self.long), 64)):
+            of_kind = some[np.flatnonzero(slots & np.uint64(1 << i))]
+            for m in self.long[i::64]:
+                at = of_kind[left[of_kind] >= m]
+                whole = h.of(at, m)
+                ok = self.passes(whole)
+                yield m, at[ok], whole[ok]
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of texts hashed together: a text's number and a candidate's number, each
+        pair once, and the candidates."""
+        joined, n = "".join(texts), np.array([len(t) for t in texts])
+        ends = np.cumsum(n)
+        owner = np.repeat(np.arange(len(n)), n)
+        left = ends[owner] - np.arange(len(owner))
+        h, at, size, key = Hashes(joined), [], [], []
+        for m, p, whole in self.places(h, left):
+            if m > LONG:
+                whole = np.array([hash(joined[s:s + m]) for s in p.tolist()], np.int64).view(np.uint64)
+            one = _once(whole ^ (owner[p].astype(np.uint64) * np.uint64(MIX)))
+            at.append(p[one])
+            size.append(np.full(len(one), m))
+            key.append(whole[one])
+        if not at:
+            return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+        at, size = np.concatenate(at), np.concatenate(size)
+        _, first, number = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
+        return owner[at], [joined[p:p + m] for p, m in zip(at[first].tolist(), size[first].tolist())], number
+
+
+def index(table: DataFrame) -> Filter:
+    """The filter of a materialised lexicon's ``_low``. To the driver come its lengths
+    and at most MOST_BITS bits and SLOTS slots, of fixed width."""
+    lengths = sorted(r[0] for r in table.select(F.length("_low")).distinct().collect())
+    made = Filter(lengths, table.count())
+    rows = table.select("_low").mapInArrow(lambda batches: made.rows(batches, 0), "kind int, word int, bits long")
+    found = rows.groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made.fill(found)
+    return made
+
+
+def _scan(low: DataFrame, keys: list[str], lexicon: Filter) -> DataFrame:
+    """``keys`` and a candidate (``_low``), each once a row of ``low``."""
+    def scan(batches):
         for batch in batches:
-            grams, offsets = [], []
-            for low in batch.column(batch.schema.get_field_index("_low")).to_pylist():
-                h = runs(low, min(len(low), Q))
-                i = int(np.argmin(rarity[_slot(h, RARITY)])) if len(h) > 1 else 0
-                grams.append(int(h[i:i + 1].view(np.int64)[0]))
-                offsets.append(i)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grams, pa.int64()), pa.array(offsets, pa.int32())],
-                                             [*batch.schema.names, "_gram", "_offset"])
+            texts, seen, of = batch.column(len(keys)).to_pylist(), set(), -1
+            for at, held in _stretches(texts, lexicon.reach):
+                owner, words, number = lexicon.found(held)
+                if len(texts[at[0]]) > PIECE:  # one of a text's pieces
+                    seen, of = (seen if of == at[0] else set()), at[0]
+                    words = [w for w in words if w not in seen]
+                    seen.update(words)
+                    owner, number = np.zeros(len(words), np.int64), np.arange(len(words))
+                rows = pa.array(np.array(at)[owner], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(rows) for j in range(len(keys))), pa.array(words, pa.string()).take(pa.array(number, pa.int64()))],
+                                                 [*keys, "_low"])
 
-    schema = S.StructType([*lexicon.schema.fields, S.StructField("_gram", S.LongType()), S.StructField("_offset", S.IntegerType())])
-    return materialize(lexicon.mapInArrow(file, schema))
+    return low.mapInArrow(scan, S.StructType([*low.select(*keys).schema.fields, S.StructField("_low", S.StringType())]))
 
 
 def match(texts: DataFrame, lexicon: DataFrame, text_col: str = "reviews", keys: tuple[str, ...] = ("review_id",), keyword: str = "keyword") -> DataFrame:
     """One row per text and lexicon row whose keyword occurs anywhere in the text,
     upper and lower case alike: ``keys`` and the lexicon's columns."""
     keys = list(keys)
+    bound_batches(texts.sparkSession)
     if set(keys) & set(lexicon.columns):
         raise ValueError("keys and lexicon columns must have different names")
     low = texts.where(F.col(text_col).isNotNull()).select(*keys, T.lower(text_col).alias("_text"))
     table = materialize(lexicon.distinct().withColumn("_low", T.lower(keyword)).where("_low <> ''"))
-    lengths = sorted(r[0] for r in table.select(F.least(F.length("_low"), F.lit(Q))).distinct().collect())  # at most Q rows
-    longer = table.where(F.length("_low") > Q).limit(1).count() > 0
-    filed = index(table, _rarity(low, "_text") if longer else None)
-
-    # Reach of the keywords filed in a slot: at most SLOTS rows of fixed width.
-    left, right = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-    slot = F.shiftrightunsigned("_gram", 65 - SLOTS.bit_length()).cast("int")
-    for s, b, e in (filed.groupBy(slot.alias("s")).agg(F.max("_offset"), F.max(F.length("_low") - F.col("_offset"))).toLocalIterator()):
-        left[s], right[s] = b, e
-
-    def scan(batches):
-        for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(len(keys))):
-                for row in candidates(text.as_py(), lengths, left, right):
-                    at.append(i)
-                    rows.append(row)
-                    if len(rows) == ROWS:
-                        yield emit(batch, at, rows)
-                        at, rows = [], []
-            if rows:
-                yield emit(batch, at, rows)
-
-    def emit(batch, at, rows):
-        of = pa.array(at, pa.int64())
-        k, b, around = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(j).take(of) for j in range(len(keys))), pa.array(k, pa.int64()), pa.array(b, pa.int32()), pa.array(around, pa.string())],
-            [*keys, "_gram", "_before", "_around"])
-
-    schema = S.StructType([*low.select(*keys).schema.fields, S.StructField("_gram", S.LongType()),
-                           S.StructField("_before", S.IntegerType()), S.StructField("_around", S.StringType())])
-    found = low.mapInArrow(scan, schema)
-    _, _, small = spam._broadcast_if_small(filed, "_low")
-    if small:
-        pairs = found.join(F.broadcast(filed), "_gram")
-    else:
-        salted = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = found.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(salted, ["_gram", "_salt"])
-    start = F.col("_before") - F.col("_offset")
-    here = (start >= 0) & (F.substring("_around", start + 1, F.length("_low")) == F.col("_low"))
-    return pairs.where(here).select(*keys, *lexicon.columns).distinct()
+    made = index(table)
+    _, _, small = spam._broadcast_if_small(table, "_low")
+
+    def matches(rows):
+        found = _scan(rows, keys, made)
+        if small:
+            pairs = found.join(F.broadcast(table), "_low")
+        else:
+            salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            pairs = found.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(salted, ["_low", "_salt"])
+        return pairs.select(*keys, *lexicon.columns)
+
+    again = materialize(low.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(*[F.col(k).alias(f"_again_{k}") for k in keys]))
+    few = again.limit(spam.MAX_IN_LIST + 1).count()
+    if not few:
+        return matches(low)
+    other = F.broadcast(again) if few <= spam.MAX_IN_LIST else again
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_again_{k}")) for k in keys])
+    return matches(low.join(other, same, "left_anti")).unionByName(matches(low.join(other, same, "left_semi")).distinct())

@@ -67,3 +67,23 @@ def test_positions_are_dense(spark):
     with pytest.raises(ValueError):
         positions.attach(a, b.where("position > 0"))
     assert positions.with_position(df.limit(0), "id").count() == 0
+
+
+def test_candidates_do_not_grow_with_keywords_that_share_runs(spark):
+    """Keywords that agree but for their last words: what leaves the scan are the
+    matches, not every keyword of a run."""
+    lexicon = [(f"common run of words {i}x",) for i in range(2000)]
+    texts = [(i, f"Common run of words {i}x" if i % 2 else "common run of words") for i in range(60)]
+    lex = spark.createDataFrame(lexicon, "keyword string").withColumnRenamed("keyword", "_low")
+    low = spark.createDataFrame([(i, t.lower()) for i, t in texts], "review_id long, _text string")
+    made = substring_join.index(lex)
+    rows = substring_join._scan(low, ["review_id"], made).collect()
+    assert len(rows) < 60 + 30 and {(r.review_id, r["_low"]) for r in rows} >= {(i, t.lower()) for i, t in texts if i % 2}
+
+
+def test_rows_that_repeat_their_keys_are_one_text(spark):
+    rows = [(1, "abc abcdefgh"), (1, "abcdefgh"), (1, "other"), (2, "abcdefgh abcdefgh"), (None, "abc"), (None, "abc"), (3, None)]
+    lex = spark.createDataFrame([("k", "abcdefgh"), ("k", "abc"), ("j", "ABC")], "aspect string, keyword string")
+    got = [(r.review_id, r.aspect, r.keyword) for r in substring_join.match(spark.createDataFrame(rows, "review_id long, reviews string").repartition(3), lex).collect()]
+    want = [(i, a, k) for i in (1, 2) for a, k in (("k", "abcdefgh"), ("k", "abc"), ("j", "ABC"))] + [(None, "k", "abc"), (None, "j", "ABC")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
