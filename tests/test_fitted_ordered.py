@@ -101,3 +101,38 @@ def test_shared_features_give_the_same_labels(spark):
     one, each = (s.apply(df, gates).select("review_id", "reviews", *ASPECTS, *[f"logits_{a}" for a in ASPECTS[:2]]) for s in (fitted.scorer(models), scoring.PipelineScorer(models)))
     assert sorted(one.collect()) == sorted(each.collect())
     assert {r[a] for r in fitted.scorer({}).apply(df, gates).collect() for a in ASPECTS} == {"", "Neutral"}
+
+
+def test_arrow_batches_of_the_text_scan_are_bounded(spark):
+    """What a worker holds at a time follows neither the rows of a task nor their length."""
+    from pyspark.sql import functions as F
+
+    from revlens import session
+    from revlens.operators import matcher
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    sizes = lambda batches: ([b.num_rows] for b in batches)
+
+    def largest(rows):
+        import pyarrow as pa
+
+        def count(batches):
+            for (n,) in sizes(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+        return rows.mapInArrow(count, "n long").agg(F.max("n")).first()[0]
+
+    try:
+        for k, v in zip(keys, ("10000", str(64 << 20))):
+            spark.conf.set(k, v)
+        matcher.scan_column(spark, F.lit("x"), [["x"]], ["x"])
+        assert largest(spark.range(0, 3000, 1, 1)) <= session.BATCH_ROWS
+        wide = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+        assert largest(wide) * 100_000 <= 2 * session.BATCH_BYTES
+        spark.conf.set(keys[0], "7")
+        session.bound_batches(spark)
+        assert spark.conf.get(keys[0]) == "7"  # a smaller setting stays
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
