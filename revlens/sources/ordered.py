@@ -1,7 +1,8 @@
 """Result files in one order over all files (SNK-2, TXT-7).
 
-Rows are range-partitioned by their order and sorted, so that the files in name
-order, read one after another, hold all rows in order. Rows that agree on the order
+Rows are range-partitioned by their order and sorted, so that the files in the order
+of their writing tasks and of each task's files, read one after another, hold all rows
+in order. Rows that agree on the order
 are told apart by a hash of their columns, so a hot value is split over files. The
 manifest (``<path>/_manifest``) has a row per file: its number of rows and the place
 of its first one. It is counted from the files that were written and comes last: a
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import staging_path
+from ..session import bound_batches, staging_path
 from .reviews import write_results_csv
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,8 +50,10 @@ def write_ordered_csv(df: DataFrame, path: str, order: list[str], columns: list[
     rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     write_results_csv((expand(rows) if expand else rows).select(*[f"`{c}`" for c in columns]), path, compression)
     counts = _files(spark, path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
-    # a row per file
-    first = counts.withColumn("first_row", F.sum("n_rows").over(Window.orderBy("file")) - F.col("n_rows"))
+    # A row per file; the writing task, then the number of its file: their digits
+    # may grow, so that names alone do not keep the order.
+    place = [F.regexp_extract("file", of, 1).cast("int") for of in (r"^part-(\d+)-", r"-c(\d+)\.csv")]
+    first = counts.withColumn("first_row", F.sum("n_rows").over(Window.orderBy(*place)) - F.col("n_rows"))
     first.coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
     return spark.read.parquet(f"{path}/{MANIFEST}")
 
@@ -59,6 +62,7 @@ def read_ordered_csv(spark: SparkSession, path: str, name: str = "position") ->
     """The rows with their dense place in the order. A file is read by one task
     from its start, so its rows are numbered as they pass, without an exchange; the
     manifest adds the files before. A folder without manifest is an error."""
+    bound_batches(spark)
     manifest = spark.read.parquet(f"{path}/{MANIFEST}").select("file", "first_row")
     rows = _files(spark, path).select("*", F.col("_metadata.file_name").alias("_file"))
     numbered = rows.mapInArrow(_number, T.StructType([*rows.schema.fields, T.StructField("_nth", T.LongType())]))
