@@ -103,6 +103,20 @@ def test_shared_features_give_the_same_labels(spark):
     assert {r[a] for r in fitted.scorer({}).apply(df, gates).collect() for a in ASPECTS} == {"", "Neutral"}
 
 
+def test_result_files_are_bounded(spark, tmp_path, monkeypatch):
+    """One writing task, many files: no file, and so no reading task, grows with the
+    rows of a task; the manifest keeps the order beyond three digits of file numbers."""
+    from revlens.sources import reviews
+
+    monkeypatch.setattr(reviews, "FILE_ROWS", 2)
+    df = spark.range(0, 2300, 1, 3).selectExpr("id", "concat('a\n', id) AS t")
+    path = str(tmp_path / "out")
+    manifest = ordered.write_ordered_csv(df, path, ["id"], ["t", "id"], parts=1, compression="none").collect()
+    assert len(manifest) == 1150 and max(m.n_rows for m in manifest) == 2
+    got = [(r.position, int(r.id)) for r in ordered.read_ordered_csv(spark, path).collect()]
+    assert sorted(got) == [(i, i) for i in range(2300)]
+
+
 def test_arrow_batches_of_the_text_scan_are_bounded(spark):
     """What a worker holds at a time follows neither the rows of a task nor their length."""
     from pyspark.sql import functions as F
