@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (bound_batches, cut, exact_ids, id_column, ids_of, mix, release, safe_text, slices, small_side, staged, utf8,
+from .common import (bound_batches, cut, exact_ids, id_column, ids_of, make_room, mix, release, safe_text, slices, small_side, staged, trim, utf8,
                      word_hashes)
 from .components import components
 
@@ -72,6 +72,8 @@ COLLISION = 0.17 / (1 << MANTISSA) * 6
 BLOCK = 1024
 # Shingles (8 bytes each) of one block.
 BLOCK_SHINGLES = 2 << 20
+# Bytes of text that shingling looks at together; a worker needs some 40 times it.
+SET_BYTES = 1 << 18
 PIVOTS = 4
 _U = np.uint64
 
@@ -89,7 +91,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shingle_sets(texts, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     words: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-    for buf, spans in slices([_lower(t) for t in utf8(texts)]):
+    for buf, spans in slices([_lower(t) for t in utf8(texts)], SET_BYTES):
         at, h = word_hashes(buf)
         lo = np.searchsorted(at, [s for _, s, _ in spans])
         hi = np.searchsorted(at, [e for _, _, e in spans])
@@ -165,6 +167,7 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def task(batches):
+        make_room()
         for pdf in batches:
             sets = shingle_sets(list(pdf["text"]), rule.shingle)
             regs = np.array([registers(s) for s in sets if len(s)], np.uint16).reshape(-1, REGISTERS)
@@ -187,6 +190,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), safe_text().alias("text")).join(small_side(wanted, 64), "doc_id")
 
     def task(batches):
+        make_room()
         for pdf in batches:
             sets = shingle_sets(list(pdf["text"]), rule.shingle)
             pdf = pdf.drop(columns="text")
@@ -312,6 +316,7 @@ def _small_links(percent, batches):
         found = links_within(sets, regs, percent)
         if found:
             yield pd.DataFrame({"a": [int(rep[i]) for i, _ in found], "b": [int(rep[j]) for _, j in found]})
+    trim()
 
 
 def _block_links(percent, batches):
@@ -346,6 +351,7 @@ def _block_links(percent, batches):
         out = pd.DataFrame(rows, columns=cols)
         out["b"] = out["b"].astype("Int64")
         yield out
+    trim()
 
 
 def _cross_links(percent, batches):
@@ -369,6 +375,7 @@ def _cross_links(percent, batches):
                 rows.append((int(a["a"].iloc[i]), int(b["a"].iloc[j])))
         if rows:
             yield pd.DataFrame(rows, columns=["a", "b"])
+    trim()
 
 
 def _block_count(classes, shingles):

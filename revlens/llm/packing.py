@@ -153,6 +153,7 @@ def _again(batches, length: int):
     for found in pool.close(0):
         out.emit(found)
     yield out.frame().drop(columns="tail")
+    release()
 
 
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -24,13 +24,14 @@ their smallest value; texts are read whole whatever their length.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, mix, release, safe_text, slices, staged, utf8, word_hashes
+from .common import bound_batches, held_out, make_room, mix, release, safe_text, slices, staged, utf8, word_hashes
 
 # Documented bound of the training sample, per class. Which labelled rows enter
 # depends on a hash of doc_id only.
@@ -111,7 +112,10 @@ def _sparse(texts):
         ptr.append(ptr[-1] + n)
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), np.array(ptr)
-    return np.concatenate(rows), np.concatenate(weights), np.array(ptr)
+    # One after the other: the parts of the first are gone before the second is joined.
+    joined = np.concatenate(rows)
+    rows.clear()
+    return joined, np.concatenate(weights), np.array(ptr)
 
 
 def train(texts, labels, base_rate: float | None = None, epochs: int | None = None, lr: float = 0.5, batch: int = 32, seed: int = 7) -> dict:
@@ -205,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         return None
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        make_room()
         pdf = pdf.sort_values("doc_id")
         if pdf["y"].nunique() < 2:
             return pd.DataFrame({"model": pd.Series([], dtype=object)})
@@ -228,9 +233,12 @@ def score(docs: DataFrame, model: dict | None, default_score: float = 1.0, thres
         shared = spark.sparkContext.broadcast(model)
 
         @F.pandas_udf("double")
-        def quality_score(text: pd.Series) -> pd.Series:
+        def quality_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            make_room()
             m = shared.value
-            return pd.Series(1 / (1 + np.exp(-(logits(list(text), m["word"], m["gram"]) + float(m["bias"])))))
+            for text in batches:
+                yield pd.Series(1 / (1 + np.exp(-(logits(list(text), m["word"], m["gram"]) + float(m["bias"])))))
+            release()
 
         s = quality_score(safe_text())
     return (docs.select("doc_id", held_out().alias("held_out"), s.alias("score"), *extra)

@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-from .common import _powers, is_space, mix, utf8
+from .common import WORKER_CACHE, _powers, is_space, mix, utf8
 
 # White space in Unicode's sense that is not ASCII: a text with such
 # characters is encoded whole where white space belongs to a part.
@@ -221,9 +221,10 @@ class Encoder:
 
 
 def worker_cache() -> dict:
-    """State that lives as long as the worker process. Functions travel by
+    """State that lives as long as the worker process, or until a task of
+    another operator makes room (:func:`common.make_room`). Functions travel by
     value, so a module variable would start anew with every task."""
-    return sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__
+    return sys.modules.setdefault(WORKER_CACHE, types.ModuleType(WORKER_CACHE)).__dict__
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:

@@ -42,7 +42,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, release, safe_text
+from .common import bound_batches, held_out, make_room, release, safe_text
 from .quality import labelled_sample
 
 MAX_TRAIN_ROWS = 2500
@@ -211,21 +211,26 @@ def probability(cal: dict, stats: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     """Members are trained side by side, one task each, on the bounded sample;
     the logistic layer is calibrated on the same rows, in tasks that share them.
-    None without labels of both kinds."""
+    A member's task cuts its rows into windows batch by batch and keeps the
+    windows only, not the texts. None without labels of both kinds."""
     sample, base = labelled_sample(docs, labels, label, max_rows)
     if base is None:
         return None
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        seed = int(pdf["member"].iloc[0])
-        w = [windows(t) for t in pdf["text"]]
-        y = pdf["y"].to_numpy()
-        model = train_member([x for x, v in zip(w, y) if v == 1], [x for x, v in zip(w, y) if v == 0], seed)
-        del w, pdf
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make_room()
+        seed, rows = 0, []
+        for pdf in batches:
+            seed = int(pdf["member"].iloc[0])
+            rows += [(i, y, windows(t)) for i, y, t in zip(pdf["doc_id"].tolist(), pdf["y"].tolist(), pdf["text"])]
+            del pdf
+        rows.sort(key=lambda r: r[0])  # no id twice in the sample
+        model = train_member([w for _, y, w in rows if y == 1], [w for _, y, w in rows if y == 0], seed)
+        del rows
         release()
-        return pd.DataFrame({"member": [seed], "model": [pickle.dumps(model)]})
+        yield pd.DataFrame({"member": [seed], "model": [pickle.dumps(model)]})
 
+    bound_batches(docs.sparkSession)
     fitted = (sample.withColumn("member", F.explode(F.array(*[F.lit(k) for k in range(MEMBERS)])))
               .groupBy("member").applyInPandas(one, "member int, model binary"))
     members = [pickle.loads(r["model"]) for r in sorted(fitted.collect(), key=lambda r: r["member"])]
@@ -235,13 +240,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     shared = spark.sparkContext.broadcast(members)
 
     def stats(batches):
+        make_room()
         m = shared.value
         comp = compressors_of(m)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"],
                                 "stats": list(batch_statistics(m, comp, pdf["text"]))})
+        del comp
+        release()
 
-    bound_batches(spark)
     rows = (sample.repartition(8, "doc_id").mapInPandas(stats, "doc_id long, y int, stats array<double>")
             .orderBy("doc_id").collect())  # at most 2 * max_rows short rows
     y = np.array([r["y"] for r in rows])
@@ -263,6 +270,7 @@ def score(docs: DataFrame, model: dict | None, default_score: float = 0.0, thres
 
         @F.pandas_udf("double")
         def toxicity_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            make_room()
             m = shared.value
             comp = compressors_of(m["members"])
             for text in batches:
